@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,3 +58,9 @@ def text_bytes(docs: DataFrame, text: str = "text") -> int:
 def parts_for(total_bytes: int, each: int, least: int = 1) -> int:
     """How many partitions of about ``each`` bytes hold ``total_bytes``."""
     return max(least, -(-total_bytes // each))
+
+
+def by_batches(task):
+    """Marks a grouped function of (key, batches) as one that streams Arrow batches."""
+    task.__annotations__ = {"key": tuple[Any, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+    return task
