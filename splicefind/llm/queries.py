@@ -32,6 +32,24 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .token_output import token_output
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_output(docs, public_tokenizers.path("word_bpe_49k.json"), end=2)
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import best_fit_packing
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return best_fit_packing(docs, public_tokenizers.path("byte_bpe_50k.json"), end=0)
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_classifier import quality_classifier
 
