@@ -90,7 +90,7 @@ def runs(chunks: DataFrame, text: str, window: int, n_buckets: int) -> DataFrame
         packed = [pack(squeeze(hashes[at[b] : at[b + 1]], n_buckets)) for b in used]
         yield pa.record_batch([pa.array(used.astype(np.int32)), pa.array(np.full(len(used), chunk, np.int32)), pa.array([x[0] for x in packed], pa.binary()), pa.array([x[1] for x in packed], pa.binary())], ["bucket", "chunk", "high", "low"])
 
-    return chunks.select("chunk", text).groupBy("chunk").applyInArrow(task, RUN)
+    return chunks.groupBy("chunk").applyInArrow(task, RUN)
 
 
 def meet(values: list[np.ndarray]) -> np.ndarray:
@@ -156,7 +156,7 @@ def candidate_pairs(chunks: DataFrame, candidates: DataFrame, text: str, window:
         parts = list(task(key, left, right))
         return pa.Table.from_batches(parts) if parts else pa.table({"bucket": pa.array([], pa.int32()), "chunk": pa.array([], pa.int32()), "first": pa.array([], pa.binary()), "second": pa.array([], pa.binary())})
 
-    return chunks.select("chunk", text).groupBy("chunk").cogroup(candidates.groupBy("chunk")).applyInArrow(table, PAIRS)
+    return chunks.groupBy("chunk").cogroup(candidates.groupBy("chunk")).applyInArrow(table, PAIRS)
 
 
 def widened(hashes: np.ndarray, n_buckets: int) -> np.ndarray:
@@ -311,7 +311,7 @@ def every_pair(chunks: DataFrame, text: str, window: int, n_buckets: int) -> Dat
         used = np.flatnonzero(np.diff(at))
         yield pa.record_batch([pa.array(used.astype(np.int32)), pa.array(np.full(len(used), key[0].as_py(), np.int32)), tv.blob_list([first[at[b] : at[b + 1]] for b in used]), tv.blob_list([second[at[b] : at[b + 1]] for b in used])], ["bucket", "chunk", "first", "second"])
 
-    return chunks.select("chunk", text).groupBy("chunk").applyInArrow(task, PAIRS)
+    return chunks.groupBy("chunk").applyInArrow(task, PAIRS)
 
 
 def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, index: FingerprintIndex | None = None) -> DataFrame:
