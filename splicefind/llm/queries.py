@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from .common import crc_mod, table
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_scoring import lm_scoring
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm_scoring(docs, crc_mod("doc_id", 5) == 1)
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import quality_rules
 
