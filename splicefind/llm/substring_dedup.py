@@ -31,7 +31,8 @@ WINDOW = 35
 CHUNK_BYTES = 8 << 20
 BUCKET_ROWS = 2_000_000
 RUN = "bucket int, chunk int, high binary, low binary"
-PAIRS = "bucket int, chunk int, first binary, second binary"
+PAIRS = "bucket int, chunk int, high binary, low binary, second binary"
+PAIR_NAMES = ["bucket", "chunk", "high", "low", "second"]
 
 
 def chunked(docs: DataFrame, key: str, total: int, each: int = CHUNK_BYTES) -> tuple[DataFrame, int]:
@@ -129,8 +130,6 @@ def candidate_pairs(chunks: DataFrame, candidates: DataFrame, text: str, window:
 
     def task(key, left, right):
         wanted = wanted_keys(right, n_buckets)
-        if not len(wanted):
-            return
         firsts, seconds = [], []
         for batch in left.to_batches():
             for _, _, buf, offs in tv.blocks(batch, text):
@@ -140,7 +139,7 @@ def candidate_pairs(chunks: DataFrame, candidates: DataFrame, text: str, window:
                     firsts.append(hashes[hit])
                     seconds.append(tv.window_hashes(w.hashes(True), window, True)[starts[hit]])
         if not firsts:
-            return
+            return pair_rows([], [], [], [])
         first, second = np.concatenate(firsts), np.concatenate(seconds)
         order = np.lexsort((second, first))
         first, second = first[order], second[order]
@@ -150,13 +149,15 @@ def candidate_pairs(chunks: DataFrame, candidates: DataFrame, text: str, window:
         at = cut(first, n_buckets)
         used = np.flatnonzero(np.diff(at))
         chunk = key[0].as_py()
-        yield from pa.table({"bucket": pa.array(used.astype(np.int32)), "chunk": pa.array(np.full(len(used), chunk, np.int32)), "first": tv.blob_list([first[at[b] : at[b + 1]] for b in used]), "second": tv.blob_list([second[at[b] : at[b + 1]] for b in used])}).to_batches()
+        return pair_rows(used, [chunk] * len(used), [squeeze(first[at[b] : at[b + 1]], n_buckets) for b in used], [second[at[b] : at[b + 1]] for b in used])
 
-    def table(key, left, right):
-        parts = list(task(key, left, right))
-        return pa.Table.from_batches(parts) if parts else pa.table({"bucket": pa.array([], pa.int32()), "chunk": pa.array([], pa.int32()), "first": pa.array([], pa.binary()), "second": pa.array([], pa.binary())})
+    return chunks.groupBy("chunk").cogroup(candidates.groupBy("chunk")).applyInArrow(task, PAIRS)
 
-    return chunks.groupBy("chunk").cogroup(candidates.groupBy("chunk")).applyInArrow(table, PAIRS)
+
+def pair_rows(bucket, chunk, bits: list[np.ndarray], second: list[np.ndarray]) -> pa.Table:
+    """Rows of PAIRS: per bucket and chunk the 40-bit fingerprints and the second hashes."""
+    packed = [pack(x) for x in bits]
+    return pa.table([pa.array(bucket, pa.int32()), pa.array(chunk, pa.int32()), pa.array([x[0] for x in packed], pa.binary()), pa.array([x[1] for x in packed], pa.binary()), tv.blob_list(second)], PAIR_NAMES)
 
 
 def widened(hashes: np.ndarray, n_buckets: int) -> np.ndarray:
@@ -183,11 +184,10 @@ def verify(pairs: DataFrame) -> DataFrame:
     def task(key, batches):
         chunk, first, second = [], [], []
         for batch in batches:
-            for c, a, b in zip(batch.column("chunk").to_pylist(), batch.column("first").to_pylist(), batch.column("second").to_pylist()):
-                a = np.frombuffer(a, tv.U64)
-                first.append(a)
-                second.append(np.frombuffer(b, tv.U64))
-                chunk.append(np.full(len(a), c, np.int32))
+            for c, high, low, x in zip(*(batch.column(n).to_pylist() for n in PAIR_NAMES[1:])):
+                first.append(unpack(high, low))
+                second.append(np.frombuffer(x, tv.U64))
+                chunk.append(np.full(len(first[-1]), c, np.int32))
         if not first:
             return
         c, a, b = np.concatenate(chunk), np.concatenate(first), np.concatenate(second)
@@ -199,9 +199,12 @@ def verify(pairs: DataFrame) -> DataFrame:
         c, a, b = c[hit], a[hit], b[hit]
         order = np.argsort(c, kind="stable")
         c, a, b = c[order], a[order], b[order]
+        new = np.ones(len(c), dtype=bool)  # each pair once for each chunk
+        new[1:] = (c[1:] != c[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        c, a, b = c[new], a[new], b[new]
         ids, at = np.unique(c, return_index=True)
         at = np.append(at, len(c))
-        yield pa.record_batch([pa.array([key[0].as_py()] * len(ids), pa.int32()), pa.array(ids.astype(np.int32)), tv.blob_list([a[at[i] : at[i + 1]] for i in range(len(ids))]), tv.blob_list([b[at[i] : at[i + 1]] for i in range(len(ids))])], ["bucket", "chunk", "first", "second"])
+        yield from pair_rows([key[0].as_py()] * len(ids), ids.astype(np.int32), [a[i:j] for i, j in zip(at, at[1:])], [b[i:j] for i, j in zip(at, at[1:])]).to_batches()
 
     return pairs.groupBy("bucket").applyInArrow(task, PAIRS)
 
@@ -227,14 +230,14 @@ def kept_text(w: tv.Words, gone: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.string(), len(of), [None, pa.py_buffer(begin.astype(np.int32).tobytes()), pa.py_buffer(out.tobytes())])
 
 
-def remove(chunks: DataFrame, repeats: DataFrame, text: str, window: int) -> DataFrame:
+def remove(chunks: DataFrame, repeats: DataFrame, text: str, window: int, n_buckets: int) -> DataFrame:
     """All columns of ``chunks`` with the kept text, and n_words and n_removed."""
     schema = chunks.drop("chunk").schema
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", n_words long, n_removed long"
     names = [f.name for f in schema]
 
     def task(key, left, right):
-        pairs = [(np.frombuffer(a, tv.U64), np.frombuffer(b, tv.U64)) for a, b in zip(right["first"].to_pylist(), right["second"].to_pylist())]
+        pairs = [((tv.U64(b) << tv.U64(40)) | unpack(h, lo), np.frombuffer(x, tv.U64)) for b, h, lo, x in zip(*(right[n].to_pylist() for n in ("bucket", "high", "low", "second")))]
         first = np.concatenate([p[0] for p in pairs]) if pairs else np.zeros(0, tv.U64)
         second = np.concatenate([p[1] for p in pairs]) if pairs else np.zeros(0, tv.U64)
         wanted, both = np.unique(first), np.unique(tv.mix(first) ^ second)
@@ -243,9 +246,10 @@ def remove(chunks: DataFrame, repeats: DataFrame, text: str, window: int) -> Dat
             for lo, hi, buf, offs in tv.blocks(batch, text):
                 w, starts, hashes = windows_of(buf, offs, window)
                 gone = np.zeros(len(w), dtype=bool)
-                hit = among(hashes, wanted)
+                bits = widened(hashes, n_buckets)
+                hit = among(bits, wanted)
                 if hit.any():
-                    s, h = starts[hit], hashes[hit]
+                    s, h = starts[hit], bits[hit]
                     again = tv.window_hashes(w.hashes(True), window, True)[s]
                     gone = tv.covered(len(w), s[among(tv.mix(h) ^ again, both)], window)
                 texts.append(kept_text(w, gone))
@@ -284,13 +288,13 @@ class FingerprintIndex:
         def task(key, batches):
             first, second = [], []
             for batch in batches:
-                first += [np.frombuffer(x, tv.U64) for x in batch.column("first").to_pylist()]
+                first += [unpack(h, lo) for h, lo in zip(batch.column("high").to_pylist(), batch.column("low").to_pylist())]
                 second += [np.frombuffer(x, tv.U64) for x in batch.column("second").to_pylist()]
             a, b = np.concatenate(first), np.concatenate(second)
             order = np.lexsort((b, a))
             a, b = a[order], b[order]
             new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-            yield pa.record_batch([pa.array([key[0].as_py()], pa.int32()), pa.array([-1], pa.int32()), tv.blob_list([a[new]]), tv.blob_list([b[new]])], ["bucket", "chunk", "first", "second"])
+            yield from pair_rows([key[0].as_py()], [-1], [a[new]], [b[new]]).to_batches()
 
         path = f"{self.path}/compact-{len(self.levels):06d}-{id(self)}-{self.levels[-1].rpartition('-')[2]}"
         self.rows().groupBy("bucket").applyInArrow(task, PAIRS).write.parquet(path)
@@ -309,7 +313,7 @@ def every_pair(chunks: DataFrame, text: str, window: int, n_buckets: int) -> Dat
         first, second = first[order], second[order]
         at = cut(first, n_buckets)
         used = np.flatnonzero(np.diff(at))
-        yield pa.record_batch([pa.array(used.astype(np.int32)), pa.array(np.full(len(used), key[0].as_py(), np.int32)), tv.blob_list([first[at[b] : at[b + 1]] for b in used]), tv.blob_list([second[at[b] : at[b + 1]] for b in used])], ["bucket", "chunk", "first", "second"])
+        yield from pair_rows(used, [key[0].as_py()] * len(used), [squeeze(first[at[b] : at[b + 1]], n_buckets) for b in used], [second[at[b] : at[b + 1]] for b in used]).to_batches()
 
     return chunks.groupBy("chunk").applyInArrow(task, PAIRS)
 
@@ -328,11 +332,11 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     batch = runs(chunks, text, window, n_buckets)
     past = index.rows() if index else None
     if past is not None:
-        batch = batch.unionByName(short_rows(past, n_buckets))
+        batch = batch.unionByName(past.select("bucket", "chunk", "high", "low"))
     pairs = candidate_pairs(chunks, merge_join(batch), text, window, n_buckets)
     if past is not None:
         pairs = pairs.unionByName(past)
-    out = remove(chunks, verify(pairs), text, window)
+    out = remove(chunks, verify(pairs), text, window, n_buckets)
     if index is not None:
         path = shared_dir(docs.sparkSession)
         out.write.parquet(path)
@@ -340,13 +344,3 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         out = docs.sparkSession.read.parquet(path)
     return out
 
-
-def short_rows(pairs: DataFrame, n_buckets: int) -> DataFrame:
-    """History rows in the shape of runs."""
-
-    def task(batches):
-        for batch in batches:
-            packed = [pack(squeeze(at_most_twice(np.frombuffer(x, tv.U64)), n_buckets)) for x in batch.column("first").to_pylist()]
-            yield pa.record_batch([batch.column("bucket"), batch.column("chunk"), pa.array([x[0] for x in packed], pa.binary()), pa.array([x[1] for x in packed], pa.binary())], ["bucket", "chunk", "high", "low"])
-
-    return pairs.select("bucket", "chunk", "first").mapInArrow(task, RUN)
