@@ -47,9 +47,7 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     from splicefind.llm.substring_dedup import substring_dedup
 
     ship_code(spark)
-    out = substring_dedup(docs.withColumn("_whole", F.col("text"))).where("n_words = 0 or n_removed < n_words")
-    text = F.when(F.col("n_removed") > 0, F.col("text")).otherwise(F.col("_whole"))
-    out = out.withColumn("text", text)
+    out = substring_dedup(docs, verbatim=True).where("n_words = 0 or n_removed < n_words")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(docs.columns)

@@ -14,7 +14,7 @@ Scale: the texts are dealt once by a hash of their id to chunks of about ``CHUNK
 chunk's run at most twice, so no bucket grows with a group of copies.
 
 Defined cases: null and empty texts have no words and stay; texts shorter than a window
-lose nothing; repeated rows are copies of each other; kept words are joined by one space.
+lose nothing (a null text stays null only as an empty one); repeated rows are copies of each other; kept words are joined by one space.
 """
 
 from __future__ import annotations
@@ -209,28 +209,37 @@ def verify(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("bucket").applyInArrow(task, PAIRS)
 
 
-def kept_text(w: tv.Words, gone: np.ndarray) -> pa.Array:
-    """Texts of the words that stay, joined by one space."""
-    lens = np.where(gone, 0, w.ends - w.starts + 1)
+def kept_text(w: tv.Words, gone: np.ndarray, offs: np.ndarray, verbatim: bool) -> pa.Array:
+    """Texts of the words that stay, joined by one space; ``verbatim`` leaves texts alone that lose nothing."""
+    n = len(offs) - 1
+    whole = np.flatnonzero(tv.sum_by(w.of, gone) == 0) if verbatim else np.zeros(0, np.int64)
+    word_of = np.repeat(np.arange(n), np.diff(w.of))
     stay = ~gone
-    size = lens[stay]
+    if len(whole):
+        is_whole = np.zeros(n, dtype=bool)
+        is_whole[whole] = True
+        stay &= ~is_whole[word_of]
+    # segments: kept words, or a whole text; each is followed by one space
+    doc = np.concatenate([word_of[stay], whole])
+    order = np.argsort(doc, kind="stable")
+    doc = doc[order]
+    begin = np.concatenate([w.starts[stay], offs[:-1][whole]])[order]
+    size = np.concatenate([w.ends[stay], offs[1:][whole]])[order] - begin + 1
     first = np.cumsum(size) - size
     total = int(size.sum())
-    at = np.arange(total) - np.repeat(first, size) + np.repeat(w.starts[stay], size)
+    at = np.arange(total) - np.repeat(first, size) + np.repeat(begin, size)
     out = np.append(w.buf, np.uint8(32))[np.minimum(at, len(w.buf))] if total else np.zeros(0, np.uint8)
     out[first + size - 1] = 32
-    of = tv.sum_by(w.of, lens)
+    of = np.bincount(doc, weights=size, minlength=n).astype(np.int64)
     ends = np.cumsum(of)
-    begin = ends - of
-    # drop the space after the last word of each text
     keep = np.ones(total, dtype=bool)
-    keep[ends[of > 0] - 1] = False
+    keep[ends[of > 0] - 1] = False  # no space after a text's last segment
     out = out[keep]
-    begin = np.concatenate([[0], np.cumsum(of - (of > 0))])
-    return pa.Array.from_buffers(pa.string(), len(of), [None, pa.py_buffer(begin.astype(np.int32).tobytes()), pa.py_buffer(out.tobytes())])
+    at = np.concatenate([[0], np.cumsum(of - (of > 0))])
+    return pa.Array.from_buffers(pa.string(), n, [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(out.tobytes())])
 
 
-def remove(chunks: DataFrame, repeats: DataFrame, text: str, window: int, n_buckets: int) -> DataFrame:
+def remove(chunks: DataFrame, repeats: DataFrame, text: str, window: int, n_buckets: int, verbatim: bool) -> DataFrame:
     """All columns of ``chunks`` with the kept text, and n_words and n_removed."""
     schema = chunks.drop("chunk").schema
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", n_words long, n_removed long"
@@ -252,7 +261,7 @@ def remove(chunks: DataFrame, repeats: DataFrame, text: str, window: int, n_buck
                     s, h = starts[hit], bits[hit]
                     again = tv.window_hashes(w.hashes(True), window, True)[s]
                     gone = tv.covered(len(w), s[among(tv.mix(h) ^ again, both)], window)
-                texts.append(kept_text(w, gone))
+                texts.append(kept_text(w, gone, offs, verbatim))
                 n_words.append(np.diff(w.of))
                 n_removed.append(tv.sum_by(w.of, gone))
         flat = lambda xs: pa.array(np.concatenate(xs).astype(np.int64)) if xs else pa.array([], pa.int64())
@@ -318,10 +327,10 @@ def every_pair(chunks: DataFrame, text: str, window: int, n_buckets: int) -> Dat
     return chunks.groupBy("chunk").applyInArrow(task, PAIRS)
 
 
-def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, index: FingerprintIndex | None = None) -> DataFrame:
+def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, index: FingerprintIndex | None = None, verbatim: bool = False) -> DataFrame:
     """``docs`` with repeated windows removed from ``text``, and n_words and n_removed.
 
-    With an ``index``, windows that past batches hold are removed too, and this batch's run
+    ``verbatim`` leaves a text as it was when nothing is removed from it.  With an ``index``, windows that past batches hold are removed too, and this batch's run
     is appended to it.
     """
     total = text_bytes(docs, text)
@@ -336,7 +345,7 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     pairs = candidate_pairs(chunks, merge_join(batch), text, window, n_buckets)
     if past is not None:
         pairs = pairs.unionByName(past)
-    out = remove(chunks, verify(pairs), text, window, n_buckets)
+    out = remove(chunks, verify(pairs), text, window, n_buckets, verbatim)
     if index is not None:
         path = shared_dir(docs.sparkSession)
         out.write.parquet(path)
