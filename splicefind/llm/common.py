@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 from typing import Any
@@ -46,8 +47,17 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """The rows of ``df`` as a table written to the shared folder: cuts lineage, survives executors."""
     path = shared_dir(df.sparkSession)
+    spark = df.sparkSession
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    del df
+    free_shuffles(spark)
+    return spark.read.parquet(path)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
