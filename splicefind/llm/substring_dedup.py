@@ -4,13 +4,14 @@ A *run* is an immutable, sorted set of window fingerprints of one chunk of docum
 cut by fingerprint range into buckets.  Per bucket the runs of the new batch are
 merge-joined with each other and with the historical runs of the index; fingerprints
 that meet are candidates.  Candidates are verified by a second, independent 64-bit hash of
-the same words (128 bits with the first), again per bucket, and then the words they
+the same words (over 80 bits with the first), again per bucket, and then the words they
 cover are removed.  ``FingerprintIndex`` keeps the runs of past batches as Parquet and
 compacts them into one run when there are many.
 
 Scale: the texts are dealt once by a hash of their id to chunks of about ``CHUNK_BYTES``
-(that exchange is reused by the three passes); a fingerprint takes 5 bytes in the shuffle
-(its bucket holds the bits above); a window that occurs thousands of times is in each
+(that exchange is reused by the three passes); a fingerprint takes 4 bytes in the shuffle
+(its bucket holds the bits above; buckets are of like size at any scale, so the share of
+false candidates is, too), and 10 with the 48 bits of the second hash; a window that occurs thousands of times is in each
 chunk's run at most twice, so no bucket grows with a group of copies.
 
 Defined cases: null and empty texts have no words and stay; texts shorter than a window
@@ -30,9 +31,10 @@ from .common import by_batches, parts_for, shared_dir, text_bytes
 WINDOW = 35
 CHUNK_BYTES = 8 << 20
 BUCKET_ROWS = 2_000_000
-RUN = "bucket int, chunk int, high binary, low binary"
-PAIRS = "bucket int, chunk int, high binary, low binary, second binary"
-PAIR_NAMES = ["bucket", "chunk", "high", "low", "second"]
+SECOND = ~tv.U64(0xFFFF)  # the 48 bits of the second hash that are kept
+RUN = "bucket int, chunk int, bits binary"
+PAIRS = "bucket int, chunk int, bits binary, second binary"
+PAIR_NAMES = ["bucket", "chunk", "bits", "second"]
 
 
 def chunked(docs: DataFrame, key: str, total: int, each: int = CHUNK_BYTES) -> tuple[DataFrame, int]:
@@ -65,17 +67,29 @@ def cut(hashes: np.ndarray, n_buckets: int) -> np.ndarray:
 
 
 def squeeze(hashes: np.ndarray, n_buckets: int) -> np.ndarray:
-    """The 40 bits below the bucket's bits."""
+    """The 32 bits below the bucket's bits."""
     b = n_buckets.bit_length() - 1
-    return (hashes << tv.U64(b)) >> tv.U64(24)
+    return (hashes << tv.U64(b)) >> tv.U64(32)
 
 
-def pack(bits: np.ndarray) -> tuple[bytes, bytes]:
-    return (bits >> tv.U64(8)).astype("<u4").tobytes(), (bits & tv.U64(255)).astype(np.uint8).tobytes()
+def pack(bits: np.ndarray) -> bytes:
+    return bits.astype("<u4").tobytes()
 
 
-def unpack(high: bytes, low: bytes) -> np.ndarray:
-    return (np.frombuffer(high, "<u4").astype(tv.U64) << tv.U64(8)) | np.frombuffer(low, np.uint8)
+def unpack(bits: bytes) -> np.ndarray:
+    return np.frombuffer(bits, "<u4").astype(tv.U64)
+
+
+def pack48(x: np.ndarray) -> bytes:
+    """The upper 48 bits of each number."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def unpack48(x: bytes) -> np.ndarray:
+    raw = np.frombuffer(x, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, 2:] = raw
+    return out.ravel().view("<u8").astype(tv.U64)
 
 
 def runs(chunks: DataFrame, text: str, window: int, n_buckets: int) -> DataFrame:
@@ -89,7 +103,7 @@ def runs(chunks: DataFrame, text: str, window: int, n_buckets: int) -> DataFrame
         at = cut(hashes, n_buckets)
         used = np.flatnonzero(np.diff(at))
         packed = [pack(squeeze(hashes[at[b] : at[b + 1]], n_buckets)) for b in used]
-        yield pa.record_batch([pa.array(used.astype(np.int32)), pa.array(np.full(len(used), chunk, np.int32)), pa.array([x[0] for x in packed], pa.binary()), pa.array([x[1] for x in packed], pa.binary())], ["bucket", "chunk", "high", "low"])
+        yield pa.record_batch([pa.array(used.astype(np.int32)), pa.array(np.full(len(used), chunk, np.int32)), pa.array(packed, pa.binary())], ["bucket", "chunk", "bits"])
 
     return chunks.groupBy("chunk").applyInArrow(task, RUN)
 
@@ -107,9 +121,9 @@ def merge_join(run_rows: DataFrame) -> DataFrame:
     def task(key, batches):
         chunk, values = [], []
         for batch in batches:
-            for c, high, low in zip(batch.column("chunk").to_pylist(), batch.column("high").to_pylist(), batch.column("low").to_pylist()):
+            for c, bits in zip(batch.column("chunk").to_pylist(), batch.column("bits").to_pylist()):
                 chunk.append(c)
-                values.append(unpack(high, low))
+                values.append(unpack(bits))
         both = meet(values)
         if not len(both):
             return
@@ -120,7 +134,7 @@ def merge_join(run_rows: DataFrame) -> DataFrame:
                 out.setdefault(c, []).append(np.unique(v[hit]))
         packed = {c: pack(np.unique(np.concatenate(v))) for c, v in out.items()}
         b = key[0].as_py()
-        yield pa.record_batch([pa.array([b] * len(packed), pa.int32()), pa.array(list(packed), pa.int32()), pa.array([x[0] for x in packed.values()], pa.binary()), pa.array([x[1] for x in packed.values()], pa.binary())], ["bucket", "chunk", "high", "low"])
+        yield pa.record_batch([pa.array([b] * len(packed), pa.int32()), pa.array(list(packed), pa.int32()), pa.array(list(packed.values()), pa.binary())], ["bucket", "chunk", "bits"])
 
     return run_rows.groupBy("bucket").applyInArrow(task, RUN)
 
@@ -155,18 +169,17 @@ def candidate_pairs(chunks: DataFrame, candidates: DataFrame, text: str, window:
 
 
 def pair_rows(bucket, chunk, bits: list[np.ndarray], second: list[np.ndarray]) -> pa.Table:
-    """Rows of PAIRS: per bucket and chunk the 40-bit fingerprints and the second hashes."""
-    packed = [pack(x) for x in bits]
-    return pa.table([pa.array(bucket, pa.int32()), pa.array(chunk, pa.int32()), pa.array([x[0] for x in packed], pa.binary()), pa.array([x[1] for x in packed], pa.binary()), tv.blob_list(second)], PAIR_NAMES)
+    """Rows of PAIRS: per bucket and chunk the fingerprints and the second hashes."""
+    return pa.table([pa.array(bucket, pa.int32()), pa.array(chunk, pa.int32()), pa.array([pack(x) for x in bits], pa.binary()), pa.array([pack48(x) for x in second], pa.binary())], PAIR_NAMES)
 
 
 def widened(hashes: np.ndarray, n_buckets: int) -> np.ndarray:
-    """Bucket and fingerprint in one number: the upper 40 + log2(n_buckets) bits."""
-    return hashes >> tv.U64(24 - (n_buckets.bit_length() - 1))
+    """Bucket and fingerprint in one number: the upper 32 + log2(n_buckets) bits."""
+    return hashes >> tv.U64(32 - (n_buckets.bit_length() - 1))
 
 
 def wanted_keys(rows: pa.Table, n_buckets: int) -> np.ndarray:
-    parts = [(tv.U64(b) << tv.U64(40)) | unpack(h, lo) for b, h, lo in zip(rows["bucket"].to_pylist(), rows["high"].to_pylist(), rows["low"].to_pylist())]
+    parts = [(tv.U64(b) << tv.U64(32)) | unpack(x) for b, x in zip(rows["bucket"].to_pylist(), rows["bits"].to_pylist())]
     return np.sort(np.concatenate(parts)) if parts else np.zeros(0, tv.U64)
 
 
@@ -184,9 +197,9 @@ def verify(pairs: DataFrame) -> DataFrame:
     def task(key, batches):
         chunk, first, second = [], [], []
         for batch in batches:
-            for c, high, low, x in zip(*(batch.column(n).to_pylist() for n in PAIR_NAMES[1:])):
-                first.append(unpack(high, low))
-                second.append(np.frombuffer(x, tv.U64))
+            for c, bits, x in zip(*(batch.column(n).to_pylist() for n in PAIR_NAMES[1:])):
+                first.append(unpack(bits))
+                second.append(unpack48(x))
                 chunk.append(np.full(len(first[-1]), c, np.int32))
         if not first:
             return
@@ -246,7 +259,7 @@ def remove(chunks: DataFrame, repeats: DataFrame, text: str, window: int, n_buck
     names = [f.name for f in schema]
 
     def task(key, left, right):
-        pairs = [((tv.U64(b) << tv.U64(40)) | unpack(h, lo), np.frombuffer(x, tv.U64)) for b, h, lo, x in zip(*(right[n].to_pylist() for n in ("bucket", "high", "low", "second")))]
+        pairs = [((tv.U64(b) << tv.U64(32)) | unpack(bits), unpack48(x)) for b, bits, x in zip(*(right[n].to_pylist() for n in ("bucket", "bits", "second")))]
         first = np.concatenate([p[0] for p in pairs]) if pairs else np.zeros(0, tv.U64)
         second = np.concatenate([p[1] for p in pairs]) if pairs else np.zeros(0, tv.U64)
         wanted, both = np.unique(first), np.unique(tv.mix(first) ^ second)
@@ -259,7 +272,7 @@ def remove(chunks: DataFrame, repeats: DataFrame, text: str, window: int, n_buck
                 hit = among(bits, wanted)
                 if hit.any():
                     s, h = starts[hit], bits[hit]
-                    again = tv.window_hashes(w.hashes(True), window, True)[s]
+                    again = tv.window_hashes(w.hashes(True), window, True)[s] & SECOND
                     gone = tv.covered(len(w), s[among(tv.mix(h) ^ again, both)], window)
                 texts.append(kept_text(w, gone, offs, verbatim))
                 n_words.append(np.diff(w.of))
@@ -297,8 +310,8 @@ class FingerprintIndex:
         def task(key, batches):
             first, second = [], []
             for batch in batches:
-                first += [unpack(h, lo) for h, lo in zip(batch.column("high").to_pylist(), batch.column("low").to_pylist())]
-                second += [np.frombuffer(x, tv.U64) for x in batch.column("second").to_pylist()]
+                first += [unpack(x) for x in batch.column("bits").to_pylist()]
+                second += [unpack48(x) for x in batch.column("second").to_pylist()]
             a, b = np.concatenate(first), np.concatenate(second)
             order = np.lexsort((b, a))
             a, b = a[order], b[order]
@@ -341,7 +354,7 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     batch = runs(chunks, text, window, n_buckets)
     past = index.rows() if index else None
     if past is not None:
-        batch = batch.unionByName(past.select("bucket", "chunk", "high", "low"))
+        batch = batch.unionByName(past.select("bucket", "chunk", "bits"))
     pairs = candidate_pairs(chunks, merge_join(batch), text, window, n_buckets)
     if past is not None:
         pairs = pairs.unionByName(past)
