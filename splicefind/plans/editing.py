@@ -271,9 +271,9 @@ SELECT ses.sid, round(CASE WHEN e > s THEN least(1, coalesce(v, 0) / (e - s)) EL
 p AS (SELECT a.grp, count(*) FILTER (b.i = a.i + 1) AS adjacent, count(*) FILTER (b.i <> a.i + 1) AS reused FROM q a JOIN q b ON a.grp = b.grp AND a.i < b.i AND least(a.e, b.e) - greatest(a.s, b.s) > 0 GROUP BY a.grp)
 SELECT t.grp, coalesce(adjacent, 0) AS adjacent, coalesce(reused, 0) AS reused, claimed_h, union_h, zero_width, fragments FROM (SELECT grp, round(sum(greatest(e - s, 0)), 3) AS claimed_h, count(*) FILTER (e <= s) AS zero_width, count(*) FILTER (e - s < 0.15) AS fragments FROM ses GROUP BY grp) t
 LEFT JOIN p ON p.grp = t.grp LEFT JOIN (SELECT grp, round(sum(e - s), 3) AS union_h FROM m GROUP BY grp) u ON u.grp = t.grp""",
-    "boundary_set": f"WITH {_E}, b AS (SELECT DISTINCT grp, "at" FROM (SELECT grp, s AS "at" FROM ses UNION ALL SELECT grp, e FROM ses)) SELECT grp, count(*) AS n, min("at") AS first, max("at") AS last FROM b GROUP BY grp",
-    "snap_boundaries": f"""WITH {_E}, {_OTHER}, b AS (SELECT DISTINCT grp, "at" FROM (SELECT grp, s AS "at" FROM oth UNION ALL SELECT grp, e FROM oth)),
-i AS (SELECT sid, arg_min("at", (abs("at" - s), "at")) AS x, min(abs("at" - s)) AS g FROM ses JOIN b ON b.grp = ses.grp GROUP BY sid), o AS (SELECT sid, arg_min("at", (abs("at" - e), "at")) AS x, min(abs("at" - e)) AS g FROM ses JOIN b ON b.grp = ses.grp GROUP BY sid),
+    "boundary_set": f"WITH {_E}, b AS (SELECT DISTINCT grp, pt FROM (SELECT grp, s AS pt FROM ses UNION ALL SELECT grp, e FROM ses)) SELECT grp, count(*) AS n, min(pt) AS first, max(pt) AS last FROM b GROUP BY grp",
+    "snap_boundaries": f"""WITH {_E}, {_OTHER}, b AS (SELECT DISTINCT grp, pt FROM (SELECT grp, s AS pt FROM oth UNION ALL SELECT grp, e FROM oth)),
+i AS (SELECT sid, arg_min(pt, (abs(pt - s), pt)) AS x, min(abs(pt - s)) AS g FROM ses JOIN b ON b.grp = ses.grp GROUP BY sid), o AS (SELECT sid, arg_min(pt, (abs(pt - e), pt)) AS x, min(abs(pt - e)) AS g FROM ses JOIN b ON b.grp = ses.grp GROUP BY sid),
 r AS (SELECT ses.*, CASE WHEN i.g <= 0.5 THEN i.x END AS bi, CASE WHEN o.g <= 0.5 THEN o.x END AS bo FROM ses LEFT JOIN i ON i.sid = ses.sid LEFT JOIN o ON o.sid = ses.sid), a AS (SELECT *, coalesce(bi, s) AS na, coalesce(bo, e) AS nb FROM r),
 k AS (SELECT *, CASE WHEN nb > na + 0.05 THEN 0 WHEN e > na + 0.05 THEN 1 WHEN nb > s + 0.05 THEN 2 ELSE 3 END AS c FROM a)
 SELECT sid, round(CASE WHEN c IN (0, 1) THEN na ELSE s END, 3) AS new_start, round(CASE WHEN c IN (0, 2) THEN nb ELSE e END, 3) AS new_end, bi IS NOT NULL AND c IN (0, 1) AND abs(na - s) > 1e-9 AS snap_in, bo IS NOT NULL AND c IN (0, 2) AND abs(nb - e) > 1e-9 AS snap_out FROM k""",
