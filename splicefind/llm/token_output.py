@@ -155,8 +155,17 @@ def write_tokens(docs: DataFrame, out: str, path: str, end: int, spaced: bool =
         system.move(half, name)
         yield pa.record_batch([pa.array([number], pa.int32()), pa.array([len(keys)], pa.int64()), pa.array([len(ids)], pa.int64())], ["shard", "n_docs", "n_ids"])
 
+    def one_empty() -> list[tuple]:
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(out)
+        system.create_dir(base, recursive=True)
+        with system.open_output_stream(f"{base}/shard-{0:0{width}d}.pfr") as f:
+            f.write(shard_bytes(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)))
+        return [(0, 0, 0)]
+
     done = rows.withColumn("shard", shard.cast("int")).repartition(max(1, parts), "shard").groupBy("shard").applyInArrow(task, "shard int, n_docs long, n_ids long")
-    return docs.sparkSession.createDataFrame(sorted(map(tuple, done.collect())), "shard int, n_docs long, n_ids long")
+    return docs.sparkSession.createDataFrame(sorted(map(tuple, done.collect())) or one_empty(), "shard int, n_docs long, n_ids long")
 
 
 def read_tokens(spark, out: str, manifest: DataFrame) -> DataFrame:
