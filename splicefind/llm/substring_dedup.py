@@ -15,7 +15,8 @@ false candidates is, too), and 10 with the 48 bits of the second hash; a window
 chunk's run at most twice, so no bucket grows with a group of copies.
 
 Defined cases: null and empty texts have no words and stay; texts shorter than a window
-lose nothing (a null text stays null only as an empty one); repeated rows are copies of each other; kept words are joined by one space.
+lose nothing (a null text stays null only as an empty one); repeated rows are copies of each other; kept words are joined by one space.  Other columns pass through; n_words and n_removed of the
+caller's are replaced.
 """
 
 from __future__ import annotations
@@ -346,6 +347,8 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     ``verbatim`` leaves a text as it was when nothing is removed from it.  With an ``index``, windows that past batches hold are removed too, and this batch's run
     is appended to it.
     """
+    own = "chunk" in docs.columns  # a column of the caller's that bears an inner name
+    docs = docs.drop("n_words", "n_removed").withColumnsRenamed({"chunk": "_own_chunk"} if own else {})
     total = text_bytes(docs, text)
     # a word takes two bytes at least; the usual one about six
     n_buckets = index.n_buckets if index else 1 << max(0, (parts_for(total // 6, BUCKET_ROWS) - 1).bit_length())
@@ -364,5 +367,5 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         out.write.parquet(path)
         index.append(every_pair(chunks, text, window, n_buckets))
         out = docs.sparkSession.read.parquet(path)
-    return out
+    return out.withColumnsRenamed({"_own_chunk": "chunk"} if own else {})
 
