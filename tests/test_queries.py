@@ -5,9 +5,9 @@ from __future__ import annotations
 import pytest
 from compare import rows
 
-from splicefind.plans import editing, matching, sequences
+from splicefind.plans import editing, matching, repairing, sequences
 
-PARTS = (matching, editing, sequences)
+PARTS = (matching, editing, repairing, sequences)
 QUERIES = {k: f for p in PARTS for k, f in p.QUERIES.items()}
 SQL = {k: s for p in PARTS for k, s in p.SQL.items()}
 
