@@ -151,7 +151,7 @@ def event_sessions(spark, d):
 def scene_votes(spark, d):
     """Frames vote for their scene with what their similarity has over 0.1."""
     h = fx.hits(spark, d, 10).withColumn("scene_no", F.floor(F.col("l_t") / 20).cast("long"))
-    return h.groupBy("shot_no", "scene_no").agg(F.round(F.sum(F.greatest(F.lit(0.0), F.col("sim") - 0.1)), 6).alias("vote"))
+    return h.groupBy("shot_no", "scene_no").agg(F.round(F.sum(F.greatest(F.lit(0.0), F.col("sim") - 0.1)), 4).alias("vote"))
 
 
 def weighted_votes(spark, d):
@@ -239,7 +239,7 @@ SELECT shot_no, round(f, 6) AS forward, round(b, 6) AS backward, round((f + b) /
     "asof_nearest": f"""WITH {_PAIRS}, m AS (SELECT a.event_id, found, abs(ps - a.s) AS g, row_number() OVER (PARTITION BY a.event_id ORDER BY abs(ps - a.s), ps) AS k FROM a LEFT JOIN p ON p.user_id = a.user_id) SELECT event_id, CASE WHEN g <= 259200 THEN found END AS found FROM m WHERE k = 1""",
     "event_sessions": """WITH e AS (SELECT *, epoch_us(ts) / 1e6 AS s FROM events), c AS (SELECT *, CASE WHEN s - lag(s) OVER (PARTITION BY user_id ORDER BY s, event_id) > 21600 THEN 1 ELSE 0 END AS b FROM e), n AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY s, event_id ROWS UNBOUNDED PRECEDING) AS session_no FROM c)
 SELECT user_id, CAST(session_no AS BIGINT) AS session_no, min(s) AS start, max(s) AS "end", count(*) AS n FROM n GROUP BY user_id, session_no""",
-    "scene_votes": f"WITH {_H10} SELECT shot_no, CAST(floor(l_t / 20) AS BIGINT) AS scene_no, round(sum(greatest(0, sim - 0.1)), 6) AS vote FROM hits GROUP BY ALL",
+    "scene_votes": f"WITH {_H10} SELECT shot_no, CAST(floor(l_t / 20) AS BIGINT) AS scene_no, round(sum(greatest(0, sim - 0.1)), 4) AS vote FROM hits GROUP BY ALL",
     "weighted_votes": """WITH e AS (SELECT user_id, event_id, value AS v, CAST(hour(ts) AS DOUBLE) AS h FROM events WHERE value IS NOT NULL), m AS (SELECT *, min(v) OVER w AS lv, max(v) OVER w AS hv, min(h) OVER w AS lh, max(h) OVER w AS hh FROM e WINDOW w AS (PARTITION BY user_id))
 SELECT event_id, round(least(1, greatest(0.2, 0.6 * CASE WHEN hv > lv THEN (v - lv) / (hv - lv) ELSE 1 END + 0.4 * CASE WHEN hh > lh THEN (h - lh) / (hh - lh) ELSE 1 END)), 6) AS weight FROM m""",
 }
