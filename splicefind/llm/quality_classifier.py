@@ -47,7 +47,7 @@ def statistics(docs: DataFrame, text: str = "text") -> tuple[DataFrame, list[str
         "s_lines": per(count("\n"), n),
     }
     stats = {k: F.round(v.cast("double"), 6) for k, v in stats.items()}
-    return out.withColumns(stats).drop("_t", "_w"), list(stats)
+    return out.withColumns({**stats, "_row": F.monotonically_increasing_id()}).drop("_t", "_w"), list(stats)
 
 
 def grow(x: np.ndarray, gradient: np.ndarray, depth: int, least: int, cuts: list[np.ndarray]) -> list:
@@ -177,7 +177,9 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "quality", key: st
 def score(docs: DataFrame, model: dict, text: str = "text", threshold: float = 0.3) -> DataFrame:
     """``docs`` with score and predicted."""
     stats, names = statistics(docs, text)
-    out = stats.withColumn("score", compiled(model, names)).drop(*names)
+    # a row number keeps a later filter on the score above the statistics, which would else be
+    # worked out again for every rule that names them
+    out = stats.withColumn("score", F.when(F.col("_row") >= 0, compiled(model, names)).otherwise(0.0)).drop("_row", *names)
     return out.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
 
 
