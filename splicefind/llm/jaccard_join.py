@@ -14,7 +14,7 @@ Jaccard distance d = 1 - |x & y| / |x | y| is a metric.  Two texts link when d <
    are measured against it, and those within tau link to it.  The pivot is then done;
    members that are in one component already need no further comparison with each other.
    Two members can only link if their distances to the pivot differ by at most tau (the
-   triangle-inequality window), and only if both still reach the overlap they need.  A region with several components left goes to the next
+   triangle-inequality window), and only if both still have as many open cells as a link shares.  A region with several components left goes to the next
    level with a new pivot; once the pairs left in windows are no more than a few per
    row, they are measured directly.
 4. Components come from star contraction over the links, in tables on the shared folder.
@@ -194,7 +194,7 @@ def postings(docs: DataFrame, reps: DataFrame, frequent, key: str, text: str, k:
         often, times = sent.value
         is_rep = np.asarray(right["bucket"].to_numpy()) < 0
         wanted = wanted_keys(right.filter(pa.array(~is_rep)), n_buckets)
-        cells, names, sizes, kinds, blobs, reaches = [], [], [], [], [], []
+        cells, names, sizes, kinds, blobs, opens = [], [], [], [], [], []
         for keys, h, of in representatives(left, right.filter(pa.array(is_rep)), "text", k):
             n = np.diff(of)
             text_ = np.repeat(np.arange(len(n)), n)
@@ -204,8 +204,7 @@ def postings(docs: DataFrame, reps: DataFrame, frequent, key: str, text: str, k:
                 hit = among(widened(cell, n_buckets), wanted)
                 owner = text_[keep[hit]]
                 met[owner] = True
-                reach = n - prefix_size(n, percent) + np.bincount(owner, minlength=len(n))
-                reaches.append(reach[owner])
+                opens.append(np.bincount(owner, minlength=len(n))[owner])
                 cells.append(cell[hit].view(np.int64))
                 names.append(keys[owner])
                 sizes.append(n[owner])
@@ -216,12 +215,12 @@ def postings(docs: DataFrame, reps: DataFrame, frequent, key: str, text: str, k:
             names.append(keys[used])
             sizes.append(n[used])
             kinds.append(np.full(len(used), 2, np.int32))
-            reaches.append(n[used])
+            opens.append(np.zeros(len(used), np.int64))
             blobs += [h[of[i] : of[i + 1]].tobytes() for i in used]
         flat = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
-        return pa.table({"kind": flat(kinds, np.int32), "cell": flat(cells, np.int64), "rep": flat(names, np.int64), "n": flat(sizes, np.int64), "reach": flat(reaches, np.int64), "shingles": pa.array(blobs, pa.binary())})
+        return pa.table({"kind": flat(kinds, np.int32), "cell": flat(cells, np.int64), "rep": flat(names, np.int64), "n": flat(sizes, np.int64), "open": flat(opens, np.int64), "shingles": pa.array(blobs, pa.binary())})
 
-    return chunks.groupBy("chunk").cogroup(hints.groupBy("chunk")).applyInArrow(emit, "kind int, cell long, rep long, n long, reach long, shingles binary")
+    return chunks.groupBy("chunk").cogroup(hints.groupBy("chunk")).applyInArrow(emit, "kind int, cell long, rep long, n long, open long, shingles binary")
 
 
 def fits(a: Column, b: Column, percent: int) -> Column:
@@ -237,22 +236,25 @@ def needed(a: Column, b: Column, percent: int) -> Column:
 def linkable(rows: DataFrame, percent: int) -> DataFrame:
     """Rows of cells that may still hold a link.
 
-    ``reach`` bounds a document's overlap with any partner: its size less its cells that it
-    shares with nobody open.  Both documents of a link reach the overlap they need, so the
-    smaller one reaches what its equal would need ("rich"); a cell without a rich document
-    is done, and so is a row that its smallest rich one is out of reach for.
+    ``open`` counts the open cells of a document, of which a linked pair shares at least
+    overlap needed - (larger size less its cells) (see ``crowded``).  That is least for
+    the partner that differs most in size: among smaller ones the smallest that fits, among
+    larger ones the largest.  The latter is taken without rounding, as the rounded need
+    does not fall evenly.  A visitor meets only larger documents, of the cell's own band.
     """
-    rich = F.col("reach") >= needed(F.col("n"), F.col("n"), percent)
-    least = rows.groupBy("cell").agg(F.min(F.when(rich, F.col("n"))).alias("_m"), F.max("own").alias("_any"), F.count("*").alias("_k")).where("_m is not null and _any and _k > 1")
-    ok = (F.col("n") >= F.col("_m")) & (F.col("reach") >= needed(F.col("n"), F.greatest(F.col("_m"), F.ceil(F.col("n") * percent / 100.0 - 1e-9)), percent))
-    return rows.join(least.select("cell", "_m"), "cell").where(ok).drop("_m")
+    ends = rows.groupBy("cell").agg(F.min("n").alias("_lo"), F.max(F.when(F.col("own"), F.col("n"))).alias("_hi"), F.count("*").alias("_k")).where("_hi is not null and _k > 1").drop("_k")
+    n, p = F.col("n"), percent / 100.0
+    least = F.ceil(n * percent / 100.0 - 1e-9)
+    most = F.least("_hi", F.floor(n * 100.0 / percent + 1e-9))
+    smaller = F.col("own") & (F.col("open") + least - 1 >= needed(n, F.greatest("_lo", least), percent))
+    larger = (most > n) & (F.col("open") > p * (n - p * most) / (1 + p) - 1e-9)
+    return rows.join(ends, "cell").where(smaller | larger).drop("_lo", "_hi")
 
 
-def recounted(rows: DataFrame, percent: int) -> DataFrame:
-    """``rows`` with the reach that their open cells leave."""
-    held = rows.groupBy("rep", "own").agg(F.count("*").alias("_c"))
-    size = F.col("n") - F.ceil(F.col("n") * percent / 100.0 - 1e-9) + 1
-    return rows.drop("reach").join(held, ["rep", "own"]).withColumn("reach", F.col("n") - size + F.col("_c")).drop("_c")
+def recounted(rows: DataFrame) -> DataFrame:
+    """``rows`` with the number of their document's open cells."""
+    held = rows.groupBy("rep", "own").agg(F.count("*").alias("open"))
+    return rows.drop("open").join(held, ["rep", "own"])
 
 
 def crowded(pairs: DataFrame, cells: DataFrame, percent: int) -> DataFrame:
@@ -324,7 +326,7 @@ def region_components(cells: DataFrame, sets: DataFrame, percent: int) -> DataFr
     tau = 1 - percent / 100
     rows, links = stored(linkable(cells, percent)).withColumn("component", F.col("rep")), None
     nodes = sets.select("rep")
-    keep = ["cell", "rep", "n", "own", "reach"]
+    keep = ["cell", "rep", "n", "own", "open"]
     total, turn, label = cells.count(), 0, None
     while True:
         # pivots: of each component in a cell the smallest member; one at first, then up to PIVOTS
@@ -347,7 +349,7 @@ def region_components(cells: DataFrame, sets: DataFrame, percent: int) -> DataFr
         left = rows.select(*keep).join(pivots.select("cell", F.col("pivot").alias("rep")), ["cell", "rep"], "left_anti")
         left = left.join(pivots.where("place = 1").select("cell", "pivot"), "cell").join(distance, ["pivot", "rep"], "left").join(label, "rep").drop("pivot")
         several = left.groupBy("cell").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m"), F.max("own").alias("any")).where("lo <> hi and any")
-        open_ = linkable(recounted(linkable(recounted(left.join(several.select("cell"), "cell"), percent), percent), percent), percent)
+        open_ = linkable(recounted(linkable(recounted(left.join(several.select("cell"), "cell")), percent)), percent)
         open_ = stored(open_)
         rows = open_.join(open_.groupBy("cell").agg(F.count("*").alias("m")), "cell")
         size = rows.agg(F.count("*").alias("rows"), F.sum("m").alias("pairs")).first()
@@ -376,7 +378,7 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
     rows = seen.where("n >= 0")
     reps = rows.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("key").alias("rep"))
     found = stored(postings(docs, reps, frequent, key, text, k, percent))
-    cells = found.where("kind < 2").select("cell", "rep", "n", "reach", (F.col("kind") == 0).alias("own"))
+    cells = found.where("kind < 2").select("cell", "rep", "n", "open", (F.col("kind") == 0).alias("own"))
     sets = found.where("kind = 2").select("rep", "shingles")
     label = region_components(cells, sets, percent)
     whole = rows.join(reps.select("h1", "h2", "n", "rep"), ["h1", "h2", "n"], "left").join(label, "rep", "left")

@@ -169,6 +169,23 @@ def test_jaccard_join_on_chains_of_near_copies(spark, seed):
     assert by_id(jaccard_join(df), "doc_id", "n_shingles", "component_id") == sorted(brute.components(docs))
 
 
+@pytest.mark.parametrize("copies", [1, 6])
+def test_jaccard_join_with_larger_partners(spark, copies):
+    """A text whose shingles are frequent and the same text with words of its own, which sort first."""
+    from splicefind.llm.jaccard_join import jaccard_join
+
+    docs = []
+    for j, more in enumerate((1, 8, 14, 15, 18, 20, 22, 24, 25, 26, 30)):
+        for end in (0, 1):
+            x = [f"t{j}e{end}w{i}" for i in range(104)]  # 100 shingles
+            y = [f"u{j}e{end}w{i}" for i in range(more)]
+            top = 1000 * j + 100 * end
+            docs += [(top + i, " ".join(x)) for i in range(copies)] + [(top + 50, " ".join(x + y if end else y + x))]
+    random.Random(copies).shuffle(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    assert by_id(jaccard_join(df), "doc_id", "n_shingles", "component_id") == sorted(brute.components(docs))
+
+
 def test_quality_rules(data, empty):
     from splicefind.llm.quality_rules import quality_rules
 
