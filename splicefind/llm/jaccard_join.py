@@ -23,7 +23,9 @@ Every step is a join or aggregation whose rows are linear in the postings; hot p
 are joins that AQE can split; nothing of the links or sets goes to the driver.
 
 Defined cases: null and wordless texts have the empty set, link with nothing and are
-their own component; fewer than ``k`` words are one shingle; repeated rows are copies.
+their own component; fewer than ``k`` words are one shingle; repeated rows are copies;
+rows whose key is null link with nothing and keep a row with ``n_shingles`` and a null
+component.
 """
 
 from __future__ import annotations
@@ -105,11 +107,10 @@ def signatures(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
     def task(batches):
         seen, times = np.zeros(0, tv.U64), np.zeros(0, np.int64)
         for batch in batches:
-            keys = np.asarray(batch.column(0).to_numpy(zero_copy_only=False))
             for lo, hi, buf, offs in tv.blocks(batch, "text"):
                 h, of = sets_of(buf, offs, k)
                 h1, h2 = marks(h, of)
-                yield pa.record_batch([pa.array(keys[lo:hi].astype(np.int64)), pa.array(np.diff(of).astype(np.int64)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], ["key", "n", "h1", "h2"])
+                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(of).astype(np.int64)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], ["key", "n", "h1", "h2"])
                 x = np.sort(h)
                 first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
                 n = np.diff(np.append(first, len(x)))
@@ -123,7 +124,7 @@ def signatures(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
         zero = np.zeros(len(top), np.int64)
         yield pa.record_batch([pa.array(zero), pa.array(-times[top]), pa.array(seen[top].view(np.int64)), pa.array(zero)], ["key", "n", "h1", "h2"])
 
-    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).where("key is not null").mapInArrow(task, SIGNATURE)
+    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(task, SIGNATURE)
 
 
 def representatives(block, right: pa.Table, text: str, k: int):
@@ -376,11 +377,11 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
     order = np.argsort(names)
     frequent = (names[order], -times[order])
     rows = seen.where("n >= 0")
-    reps = rows.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("key").alias("rep"))
+    reps = rows.where("n > 0 and key is not null").groupBy("h1", "h2", "n").agg(F.min("key").alias("rep"))
     found = stored(postings(docs, reps, frequent, key, text, k, percent))
     cells = found.where("kind < 2").select("cell", "rep", "n", "open", (F.col("kind") == 0).alias("own"))
     sets = found.where("kind = 2").select("rep", "shingles")
     label = region_components(cells, sets, percent)
     whole = rows.join(reps.select("h1", "h2", "n", "rep"), ["h1", "h2", "n"], "left").join(label, "rep", "left")
-    out = whole.select("key", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "key").alias("component_id"))
+    out = whole.select("key", F.col("n").alias("n_shingles"), F.when(F.col("key").isNotNull(), F.coalesce("component", "rep", "key")).alias("component_id"))
     return out.withColumnRenamed("key", key)

@@ -186,6 +186,15 @@ def test_jaccard_join_with_larger_partners(spark, copies):
     assert by_id(jaccard_join(df), "doc_id", "n_shingles", "component_id") == sorted(brute.components(docs))
 
 
+def test_jaccard_join_keeps_rows_without_a_key(spark):
+    from splicefind.llm.jaccard_join import jaccard_join
+
+    text = " ".join(f"w{i}" for i in range(40))
+    df = spark.createDataFrame([(3, text), (None, text), (None, None), (5, text), (None, "one two")], "doc_id long, text string")
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join(df).collect()]
+    assert sorted(got, key=str) == sorted([(3, 36, 3), (5, 36, 3), (None, 36, None), (None, 0, None), (None, 1, None)], key=str)
+
+
 def test_quality_rules(data, empty):
     from splicefind.llm.quality_rules import quality_rules
 
