@@ -12,10 +12,12 @@ a text costs one hash lookup a byte where its full context is known, a few elsew
 ``adaptive`` gives the textbook code length of one text that starts with an empty trie.
 
 Gathering.  Each task counts the (ORDER + 1)-grams of its training texts; the counts are
-dealt by their last three symbols, so every shorter n-gram is summed exactly in the same
-bucket.  All counts cover the whole corpus.  The trie is broadcast, so its size has a
-bound: the count that a context needs to stay is raised until at most ``MOST_NODES`` are
-left (1 while they fit); what is cut is scored through the escapes.
+dealt by the last two symbols of their context, so a bucket has all n-grams of 3 and more
+symbols whose context ends in these, with exact sums.  All counts cover the whole corpus.
+Shorter n-grams (of 1 and 2 symbols, at most 257 * 257) go to every bucket, which then has
+the whole part of the trie that its contexts need.  Nothing is dropped, and nothing that
+grows with the corpus is broadcast: each chunk of texts sends its distinct (ORDER + 1)-grams
+by bucket and gets their log probabilities back.
 
 Base.  Vocabularies are unbounded, so nothing of them is broadcast: each chunk of
 texts sends its distinct word hashes by hash range, gets their training counts back, and
@@ -40,7 +42,6 @@ ORDER = 5
 END = 256
 SYMBOLS = 257
 BITS = 9
-MOST_NODES = 1_500_000
 BUCKET_BYTES = 48 << 20
 DISCOUNT = 0.5
 END_WORD = np.array([0x5EED_E0D0_0000_0001], dtype=tv.U64)
@@ -84,8 +85,16 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(counts[order], first)
 
 
+def dealt(keys: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the (order + 1)-grams ``keys`` by bucket, and where each bucket starts in it."""
+    bucket = (tv.mix((keys >> tv.U64(BITS)) & low(2 * BITS)) & tv.U64(n_buckets - 1)).astype(np.int32)
+    by = np.argsort(bucket, kind="stable")
+    return by, np.searchsorted(bucket[by], np.arange(n_buckets + 1))
+
+
 GRAMS = "bucket int, keys binary, counts binary"
-NODES = "size int, bucket int, keys binary, raw binary, counts binary"
+NODES = "size int, bucket int, keys binary, counts binary"
+SCORES = "bucket int, chunk int, totals binary"
 
 
 def gram_counts(docs: DataFrame, text: str, n_buckets: int, order: int = ORDER) -> DataFrame:
@@ -110,9 +119,7 @@ def gram_counts(docs: DataFrame, text: str, n_buckets: int, order: int = ORDER)
             return
         fold()
         keys, counts = parts[0]
-        bucket = (tv.mix(keys & low(3 * BITS)) & tv.U64(n_buckets - 1)).astype(np.int32)
-        by = np.argsort(bucket, kind="stable")
-        at = np.searchsorted(bucket[by], np.arange(n_buckets + 1))
+        by, at = dealt(keys, n_buckets)
         for b in np.flatnonzero(np.diff(at)):
             rows = by[at[b] : at[b + 1]]
             yield pa.record_batch([pa.array([b], pa.int32()), tv.blob_list([keys[rows]]), tv.blob_list([counts[rows].astype("<u4")])], ["bucket", "keys", "counts"])
@@ -126,47 +133,52 @@ def gram_counts(docs: DataFrame, text: str, n_buckets: int, order: int = ORDER)
             keys, counts = summed(np.concatenate([keys, *more]), np.concatenate([counts, *n]))
         kinds = counts
         for size in range(order + 1, 1, -1):
-            if size <= order:  # a symbol counts once for each longer context; raw keeps all
+            if size <= order:  # a symbol counts once for each longer context
                 shorter = keys & low(size * BITS)
                 kinds = summed(shorter, np.ones(len(keys), np.int64))[1]
                 keys, counts = summed(shorter, counts)
-            yield pa.record_batch([pa.array([size], pa.int32()), pa.array([key[0].as_py()], pa.int32()), tv.blob_list([keys]), tv.blob_list([counts]), tv.blob_list([kinds])], ["size", "bucket", "keys", "raw", "counts"])
+            yield pa.record_batch([pa.array([size], pa.int32()), pa.array([key[0].as_py()], pa.int32()), tv.blob_list([keys]), tv.blob_list([kinds])], ["size", "bucket", "keys", "counts"])
 
     return docs.select(text).mapInArrow(task, GRAMS).groupBy("bucket").applyInArrow(merge, NODES)
 
 
-def bounded(nodes: DataFrame, most: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """The n-grams that stay, by size, on the driver: at most about ``most`` of them (and all of size 1 and 2)."""
+def pairs_of(nodes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of 2 symbols with their counts, on the driver: at most 257 * 257."""
+    keys, counts = np.zeros(0, tv.U64), np.zeros(0, np.int64)
+    for r in nodes.where("size = 2").toLocalIterator():
+        keys, counts = summed(np.concatenate([keys, np.frombuffer(r["keys"], tv.U64)]), np.concatenate([counts, np.frombuffer(r["counts"], np.int64)]))
+    return keys, counts
 
-    def spread(batches):
-        total = np.zeros(64 * 64, dtype=np.int64)  # by count: exact below 2048, by powers of two beyond
-        for batch in batches:
-            for size, x in zip(batch.column("size").to_pylist(), batch.column("raw").to_pylist()):
-                if size > 2:
-                    total += np.bincount(level(np.frombuffer(x, np.int64)), minlength=len(total))
-        used = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(used.astype(np.int64)), pa.array(total[used])], ["level", "n"])
 
-    got = nodes.mapInArrow(spread, "level long, n long").groupBy("level").agg(F.sum("n").alias("n")).toPandas().sort_values("level", ascending=False)
-    fits = got[got["n"].cumsum() <= most]["level"]
-    least = 0 if len(fits) == len(got) else int(fits.min()) if len(fits) else 1 << 40
+def gram_scores(chunks: DataFrame, nodes: DataFrame, text: str, n_buckets: int, order: int = ORDER) -> DataFrame:
+    """Log probabilities of each chunk's distinct (order + 1)-grams, one row per bucket."""
+    sent = chunks.sparkSession.sparkContext.broadcast(pairs_of(nodes))
 
-    def prune(batches):
+    @by_batches
+    def ask(key, batches):
+        names = np.zeros(0, tv.U64)
         for batch in batches:
-            for size, k, raw, n in zip(*(batch.column(c).to_pylist() for c in ("size", "keys", "raw", "counts"))):
-                k, n = np.frombuffer(k, tv.U64), np.frombuffer(n, np.int64)
-                stay = level(np.frombuffer(raw, np.int64)) >= least if size > 2 else np.ones(len(k), dtype=bool)
-                yield pa.record_batch([pa.array([size], pa.int32()), tv.blob_list([k[stay]]), tv.blob_list([n[stay]])], ["size", "keys", "counts"])
+            names = np.union1d(names, chunk_grams([b[2:] for b in tv.blocks(batch, text)], order))
+        by, at = dealt(names, n_buckets)
+        used = np.flatnonzero(np.diff(at))
+        yield pa.record_batch([pa.array(used.astype(np.int32)), pa.array([key[0].as_py()] * len(used), pa.int32()), tv.blob_list([names[by[at[b] : at[b + 1]]] for b in used])], ["bucket", "chunk", "keys"])
+
+    def answer(key, left, right):
+        known = {2: sent.value}
+        for size, k, n in zip(*(left[c].to_pylist() for c in ("size", "keys", "counts"))):
+            known[size] = np.frombuffer(k, tv.U64), np.frombuffer(n, np.int64)
+        model = Trie(known, order)
+        got = [model.score(np.frombuffer(k, tv.U64)) for k in right["keys"].to_pylist()]
+        return pa.table({"bucket": right["bucket"], "chunk": right["chunk"], "totals": tv.blob_list(got)})
 
-    out: dict[int, list] = {}
-    for r in nodes.mapInArrow(prune, "size int, keys binary, counts binary").toLocalIterator():
-        out.setdefault(r["size"], []).append((np.frombuffer(r["keys"], tv.U64), np.frombuffer(r["counts"], np.int64)))
-    return {s: summed(np.concatenate([x[0] for x in v]), np.concatenate([x[1] for x in v])) for s, v in out.items()}
+    asked = chunks.groupBy("chunk").applyInArrow(ask, "bucket int, chunk int, keys binary")
+    return nodes.where("size > 2").groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(answer, SCORES)
 
 
-def level(n: np.ndarray) -> np.ndarray:
-    """A rank that rises with the count: the count below 2048, then by powers of two."""
-    return np.where(n < 2048, n, 2048 + np.log2(np.maximum(n, 1)).astype(np.int64))
+def chunk_grams(blocks, order: int) -> np.ndarray:
+    """Distinct (order + 1)-grams, ascending, of blocks (buf, offs)."""
+    found = [np.unique(grams(*symbols(buf, offs, order)[:2], order)) for buf, offs in blocks]
+    return np.unique(np.concatenate([np.zeros(0, tv.U64), *found]))
 
 
 class Table:
@@ -313,11 +325,6 @@ def adaptive(text: bytes, order: int = ORDER) -> float:
     return total
 
 
-def fit(train: DataFrame, text: str = "text", order: int = ORDER, most_nodes: int = MOST_NODES) -> Trie:
-    n_buckets = 1 << (parts_for(text_bytes(train, text), BUCKET_BYTES) - 1).bit_length()
-    return Trie(bounded(stored(gram_counts(train, text, min(n_buckets, 1 << 20), order)), most_nodes), order)
-
-
 VOCABULARY = "bucket int, chunk int, keys binary, counts binary"
 
 
@@ -365,30 +372,32 @@ def corpus_counts(words: DataFrame) -> DataFrame:
     return words.groupBy("bucket").applyInArrow(task, "bucket int, chunk int, totals binary, n long, v long")
 
 
-def lm_scoring(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", order: int = ORDER, most_nodes: int = MOST_NODES) -> DataFrame:
+def lm_scoring(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", order: int = ORDER) -> DataFrame:
     """Per document: key, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    model = fit(rows.where(~F.col("held_out")), "text", order, most_nodes)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
     total = text_bytes(rows)
     n_buckets = min(1 << 20, 1 << (parts_for(total, BUCKET_BYTES) - 1).bit_length())
     chunks, _ = chunked(rows, "key", total)
     counted = corpus_counts(vocabularies(chunks, "text", n_buckets))
+    nodes = stored(gram_counts(rows.where(~F.col("held_out")), "text", n_buckets, order))
+    logs_of = gram_scores(chunks, nodes, "text", n_buckets, order)
+    hints = counted.where("chunk >= 0").select("bucket", "chunk", "totals", F.lit(True).alias("word")).unionByName(logs_of.withColumn("word", F.lit(False)))
     kind = docs.schema[key].dataType.simpleString()
 
     def task(key_, left, right):
-        m = sent.value
-        got = sorted(zip(right["bucket"].to_pylist(), right["totals"].to_pylist()))
-        totals = np.concatenate([np.frombuffer(x, np.int64) for _, x in got])
+        got = sorted(zip(right["bucket"].to_pylist(), right["word"].to_pylist(), right["totals"].to_pylist()))
+        totals = np.concatenate([np.frombuffer(x, np.int64) for _, word, x in got if word])
         blocks = list(chunk_words(left.to_batches(), "text"))
         names = np.unique(np.concatenate([END_WORD, *(b[5] for b in blocks)]))
         end = int(totals[np.searchsorted(names, END_WORD[0])])
         logs = np.log10(totals + 0.5)
+        known = chunk_grams([(b[3], b[4]) for b in blocks], order)
+        chances = Table(known[dealt(known, n_buckets)[0]], np.concatenate([np.frombuffer(x, np.float64) for _, word, x in got if not word]))
         out = []
         for batch, lo, hi, buf, offs, h, of in blocks:
             i = np.searchsorted(names, h)
-            sym, event, at = symbols(buf, offs, m.order)
-            score = m.score(grams(sym, event, m.order))
+            sym, event, at = symbols(buf, offs, order)
+            score = chances.find(grams(sym, event, order))[0]
             out.append(
                 pa.record_batch(
                     [
@@ -401,7 +410,7 @@ def lm_scoring(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str
         return pa.Table.from_batches(out)
 
     schema = f"key {kind}, held_out boolean, n_tokens long, n_known long, logs double, score double"
-    scored = chunks.groupBy("chunk").cogroup(counted.where("chunk >= 0").select("bucket", "chunk", "totals").groupBy("chunk")).applyInArrow(task, schema)
+    scored = chunks.groupBy("chunk").cogroup(hints.groupBy("chunk")).applyInArrow(task, schema)
     whole = counted.where("chunk < 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v"))
     n, v = whole.select("n").scalar(), whole.select("v").scalar()
     base = F.col("logs") - F.col("n_tokens") * F.log10(n + 0.5 * (v + 1))

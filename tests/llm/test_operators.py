@@ -143,6 +143,31 @@ def test_pruned_trie_is_still_a_distribution():
     assert (10 ** trie.score(keys)).sum() == pytest.approx(1)
 
 
+def test_lm_scoring_keeps_every_ngram(spark):
+    """Over 1.5 million n-grams of 3 and more symbols, held against one trie of all counts."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from splicefind.llm import lm_scoring as lm
+
+    rng = np.random.default_rng(3)
+    texts = [bytes(rng.integers(97, 123, 7000, dtype=np.uint8)) for _ in range(100)]
+    buf, offs = np.frombuffer(b"".join(texts), np.uint8), np.arange(101) * 7000
+    sym, event, of = lm.symbols(buf, offs)
+    key = lm.grams(sym, event)
+    train = key[: of[90]]
+    keys, counts = lm.summed(train, np.ones(len(train), np.int64))
+    nodes = {6: (keys, counts)}
+    for size in range(5, 1, -1):
+        keys, counts = lm.summed(keys & lm.low(size * lm.BITS), np.ones(len(keys), np.int64))
+        nodes[size] = (keys, counts)
+    assert sum(len(nodes[size][0]) for size in (3, 4, 5, 6)) > 1_500_000
+    want = np.add.reduceat(lm.Trie(nodes).score(key), of[:-1])
+    df = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in lm.lm_scoring(df, F.col("doc_id") >= 90).collect()}
+    assert np.allclose([got[i] for i in range(100)], want)
+
+
 def test_jaccard_join(data, empty):
     from splicefind.llm.jaccard_join import jaccard_join
 
