@@ -3,9 +3,11 @@
 Both vocabularies first cut a text into pre-tokens that never depend on what lies beyond a
 white-space boundary, so a text's ids are those of its units end to end.  A unit is a
 run of letters, of digits or of other signs; runs with an apostrophe or with characters
-outside ASCII and Latin letters stay whole, and a text with white space beyond ASCII is
-encoded whole.  Each new unit is encoded by the library once and then looked up by its
-64-bit hash; the cache is emptied at ``MOST_UNITS``, which bounds it and changes no id.
+outside ASCII and Latin letters stay whole, and a text with white space beyond ASCII or
+with the literal text of an added token is encoded whole.  Each new unit is encoded by the
+library once and then looked up by its 64-bit hash; every occurrence is held against the
+cached unit byte by byte, and one that differs is encoded on its own.  The cache is
+emptied at ``MOST_UNITS``, which bounds it and changes no id.
 """
 
 from __future__ import annotations
@@ -58,13 +60,14 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.literals = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.spaced = spaced
         self.clear()
 
     def clear(self) -> None:
         self.keys, self.at, self.size = np.zeros(0, tv.U64), np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.flat = np.zeros(0, np.uint32)
+        self.text_at, self.text_size, self.text = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
 
     def units(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Byte ranges of the units, in order; with ``spaced`` they cover every byte."""
@@ -101,17 +104,38 @@ class UnitEncoder:
         starts = np.flatnonzero(start)
         return starts, np.append(starts[1:], n)
 
-    def learn(self, keys: np.ndarray, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
-        raw = buf.tobytes()
+    def library(self, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each unit, all ids) from the library."""
         got = self.tokenizer.encode_batch_fast([raw[a:b].decode("utf-8", "replace") for a, b in zip(starts.tolist(), ends.tolist())], add_special_tokens=False)
         ids = [x.ids for x in got]
         size = np.fromiter((len(x) for x in ids), dtype=np.int32, count=len(ids))
-        if len(self.keys) + len(keys) > MOST_UNITS:
-            self.clear()
+        return size, np.fromiter((i for x in ids for i in x), dtype=np.uint32, count=int(size.sum()))
+
+    def learn(self, keys: np.ndarray, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        size, ids = self.library(buf.tobytes(), starts, ends)
         at = np.cumsum(size) - size + len(self.flat)
-        self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), dtype=np.uint32, count=int(size.sum()))])
+        self.flat = np.concatenate([self.flat, ids])
+        long = ends - starts
+        text_at = np.cumsum(long) - long + len(self.text)
+        self.text = np.concatenate([self.text, buf[np.arange(int(long.sum())) + np.repeat(starts - (np.cumsum(long) - long), long)]])
         where = np.searchsorted(self.keys, keys)
         self.keys, self.at, self.size = np.insert(self.keys, where, keys), np.insert(self.at, where, at), np.insert(self.size, where, size)
+        self.text_at, self.text_size = np.insert(self.text_at, where, text_at), np.insert(self.text_size, where, long)
+
+    def differs(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, unit: np.ndarray) -> np.ndarray:
+        """Which occurrences are not the bytes of their cached unit."""
+        long, at = ends - starts, self.text_at[unit]
+        out = long != self.text_size[unit]
+        here, there = tv.lanes(buf), tv.lanes(self.text)
+        out |= ((here[starts] ^ there[at]) & tv.inside(long)) != 0
+        rest = np.flatnonzero(~out & (long > 8))
+        step = 8
+        while len(rest):
+            left = long[rest] - step
+            out[rest] = ((here[starts[rest] + step] ^ there[at[rest] + step]) & tv.inside(left)) != 0
+            rest = rest[~out[rest] & (left > 8)]
+            step += 8
+        return out
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         if not len(self.keys):
@@ -134,14 +158,30 @@ class UnitEncoder:
                 new = np.arange(len(keys))
             self.learn(keys[new], buf, w.starts[first[new]], w.ends[first[new]])
             found = self.find(keys)
-        size = self.size[found][inverse]
+        unit = found[inverse]
+        size, at, flat = self.size[unit], self.at[unit], self.flat
+        other = np.flatnonzero(self.differs(buf, w.starts, w.ends, unit))
+        if len(other):  # units of one hash
+            more, ids = self.library(buf.tobytes(), w.starts[other], w.ends[other])
+            size[other], at[other] = more, np.cumsum(more) - more + len(flat)
+            flat = np.concatenate([flat, ids])
         begin = np.cumsum(size, dtype=np.int64) - size
-        ids = self.flat[np.arange(int(size.sum(dtype=np.int64))) + np.repeat(self.at[found][inverse] - begin, size)]
+        ids = flat[np.arange(int(size.sum(dtype=np.int64))) + np.repeat(at - begin, size)]
         return ids, tv.sum_by(np.searchsorted(w.starts, offs), size)
 
+    def literal(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """Texts that hold the literal text of an added token."""
+        raw, out = buf.tobytes(), np.zeros(len(offs) - 1, dtype=bool)
+        for token in self.literals:
+            at = raw.find(token)
+            while at >= 0:
+                out[np.searchsorted(offs, at, side="right") - 1] = True
+                at = raw.find(token, at + 1)
+        return out
+
     def encode(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a block end to end, and where each text's ids start."""
-        odd = _odd_space(buf, offs)
+        odd = _odd_space(buf, offs) | self.literal(buf, offs)
         if not odd.any():
             ids, size = self.plain(buf, offs)
             return ids, np.concatenate([[0], np.cumsum(size)])

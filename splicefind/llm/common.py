@@ -44,16 +44,48 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/splicefind-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """The rows of ``df`` as a table written to the shared folder: cuts lineage, survives executors."""
-    path = shared_dir(df.sparkSession)
-    spark = df.sparkSession
+def stored(df: DataFrame, free: bool = True) -> DataFrame:
+    """The rows of ``df`` as a table written to the shared folder: cuts lineage, survives executors.
+
+    ``free`` asks Spark's cleaner to drop the shuffle files of plans that nothing refers to any more;
+    it is for steps that move whole texts.
+    """
+    spark, path = df.sparkSession, shared_dir(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
     del df
-    free_shuffles(spark)
+    if free:
+        free_shuffles(spark)
     return spark.read.parquet(path)
 
 
+class Scratch:
+    """Tables of one run in the shared folder, by name; a newer table of a name replaces the older one."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.base = spark, shared_dir(spark)
+        self.version: dict[str, int] = {}
+
+    def put(self, name: str, df: DataFrame, free: bool = False) -> DataFrame:
+        """``df`` as a stored table.  Frames that read the name's older table end here: it is deleted."""
+        version = self.version.get(name, 0)
+        path = f"{self.base}/{name}-{version + 1}"
+        df.write.option("compression", "zstd").parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.version[name] = version + 1
+        del df
+        if version:
+            delete(self.spark, f"{self.base}/{name}-{version}")
+        if free:
+            free_shuffles(self.spark)
+        return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a table of this run's own from the shared folder."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of plans that nothing refers to any more."""
     gc.collect()

@@ -2,22 +2,26 @@
 
 Jaccard distance d = 1 - |x & y| / |x | y| is a metric.  Two texts link when d <= tau.
 
-1. Equal sets collapse to one representative (their smallest id): copies never make pairs.
-2. First level of pivots: one-shingle sets.  d(x, {g}) < 1 only where x holds g, so each
-   document lies in the Voronoi cells of its own shingles; ties are broken by one global
-   order (shingles that are frequent in some part of the corpus last, then by hash).
-   A document is replicated to its first |x| - ceil((1 - tau)|x|) + 1 cells: a partner
-   beyond all of them would be farther than tau.  Cells are cut into bands of set size
-   (partners lie in one band or in neighbours, so each document enters its own and the
-   next band's).  Cells with one document are dropped.
-3. Regions join recursively: each takes a document as pivot, all members of fitting size
-   are measured against it, and those within tau link to it.  The pivot is then done;
-   members that are in one component already need no further comparison with each other.
-   Two members can only link if their distances to the pivot differ by at most tau (the
-   triangle-inequality window), and only if both still have as many open cells as a link shares.  A region with several components left goes to the next
-   level with a new pivot; once the pairs left in windows are no more than a few per
-   row, they are measured directly.
-4. Components come from star contraction over the links, in tables on the shared folder.
+1. Equal sets collapse to one representative: copies never make pairs.
+2. Cells.  Unrelated texts are all at distance 1, so a Voronoi diagram of documents alone
+   leaves nearly all of them in one boundary region.  The space is first cut by projection:
+   for sizes of one band, the universe of shingles is hashed into m parts, and a
+   document lies in one cell a part, named by the shingles that it has there.  A link of
+   sizes a <= c differs in at most k = (a + c)(1 - J)/(1 + J) shingles, so linked documents lie in the
+   same cell in all but k parts.  m exceeds the largest k of the band, and a document that shares
+   fewer cells with others than a link must share (``need``) has no partner and leaves at once.
+   Of a document's s shared cells the first s - need + 1 in one global order are enough.
+   A pair is looked for in the band of its smaller size; a document also visits the band below.
+3. Regions.  Inside a cell, pivots are documents.  The first level takes one pivot a cell, which
+   contracts groups of near copies.  Later levels take up to ``PIVOTS`` pivots of different components:
+   each member goes to the Voronoi region of its nearest pivot and is replicated to every
+   region whose pivot is at most 2 tau farther; in a region it stays only while the
+   triangle-inequality window (distances to the pivot that differ by at most tau) holds a
+   member of another component.  Regions recurse; pivots are done once measured, and regions that
+   stay large are cut by a new projection (step 2 with another hash).  When the pairs left in windows are no more
+   than a few per row, they are measured.
+4. Links are contracted onto the labels so far by alternating large and small stars, in tables on the
+   shared folder; a superseded table is deleted.
 
 Every step is a join or aggregation whose rows are linear in the postings; hot pivots
 are joins that AQE can split; nothing of the links or sets goes to the driver.
@@ -25,7 +29,8 @@ are joins that AQE can split; nothing of the links or sets goes to the driver.
 Defined cases: null and wordless texts have the empty set, link with nothing and are
 their own component; fewer than ``k`` words are one shingle; repeated rows are copies;
 rows whose key is null link with nothing and keep a row with ``n_shingles`` and a null
-component.
+component.  A key may be of any type that has an order (others than integers are named by a 64-bit
+hash inside).  Only the key and the result columns are returned, so extra columns never clash.
 """
 
 from __future__ import annotations
@@ -35,22 +40,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from . import textvec as tv
-from .common import parts_for, stored, text_bytes
-from .substring_dedup import BUCKET_ROWS, RUN, among, at_most_twice, chunked, cut, merge_join, pack, squeeze, wanted_keys, widened
+from .common import Scratch, parts_for, text_bytes
+from .substring_dedup import BUCKET_ROWS, CHUNK_BYTES, RUN, among, at_most_twice, cut, merge_join, pack, squeeze, wanted_keys, widened
 
 K = 5
 PERCENT = 80
-MOST_FREQUENT = 100_000
 PAIRS_PER_ROW = 4
 PIVOTS = 8
+HOT = 64  # members of a region beyond which it is cut by a new projection
 MOST_BROADCAST = 1_000_000
+CELLS_PER_BYTE = 0.15  # a word takes about six bytes and a shingle enters about 0.7 cells
 
 
-def prefix_size(n, percent: int = PERCENT):
-    """How many cells a set of n shingles enters."""
-    return n - -(-n * percent // 100) + 1
+def differing(a, c, percent: int = PERCENT):
+    """The most shingles in which two linked sets of sizes a <= c can differ."""
+    return (a + c) * (100 - percent) // (100 + percent)
 
 
 def size_bands(most: int, percent: int = PERCENT) -> np.ndarray:
@@ -58,89 +65,100 @@ def size_bands(most: int, percent: int = PERCENT) -> np.ndarray:
     out = [1]
     while out[-1] <= most:
         out.append(max(out[-1] + 1, -(-out[-1] * 100 // percent)))
-    return np.array(out, dtype=np.int64)
-
-
-def cells_of(h: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """The cells of shingles ``h`` of documents of size ``n``: of the own band, then of the next."""
-    band = np.searchsorted(size_bands(int(n.max(initial=1)), percent), n, side="right").astype(tv.U64)
-    step = tv.U64(0x9E3779B97F4A7C15)
-    return tv.mix(h ^ (band * step)), tv.mix(h ^ ((band + tv.U64(1)) * step))
+    return np.array([*out, -(-out[-1] * 100 // percent) + 1], dtype=np.int64)
 
 
 def sets_of(buf: np.ndarray, offs: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text of a block, ascending, and where each text's start."""
     w = tv.Words(tv.LOWER[buf], offs, tv.WORD_BYTES)
     h = w.hashes()
-    starts, text = tv.starts_within(w.of, k)
-    got = [tv.window_hashes(h, k)[starts] if len(starts) else np.zeros(0, tv.U64)]
-    texts = [text]
     count = np.diff(w.of)
+    size = np.where(count >= k, count - k + 1, np.minimum(count, 1))
+    of = np.concatenate([[0], np.cumsum(size)])
+    out = np.zeros(int(of[-1]), dtype=tv.U64)
+    starts, text = tv.starts_within(w.of, k)
+    if len(starts):
+        out[starts - w.of[text] + of[text]] = tv.window_hashes(h, k)[starts]
     for n in range(1, k):  # too short for a window: the whole sequence is the one shingle
         few = np.flatnonzero(count == n)
         if len(few):
-            got.append(tv.mix(tv.window_hashes(h, n)[w.of[few]] ^ tv.U64(n)))
-            texts.append(few)
-    h, t = np.concatenate(got), np.concatenate(texts)
-    order = np.lexsort((h, t))
-    h, t = h[order], t[order]
-    new = np.ones(len(h), dtype=bool)
-    new[1:] = (h[1:] != h[:-1]) | (t[1:] != t[:-1])
-    h, t = h[new], t[new]
-    return h, np.searchsorted(t, np.arange(len(offs)))
+            out[of[few]] = tv.mix(tv.window_hashes(h, n)[w.of[few]] ^ tv.U64(n))
+    for a, b in zip(of[:-1].tolist(), of[1:].tolist()):
+        out[a:b].sort()
+    new = np.ones(len(out), dtype=bool)
+    new[1:] = out[1:] != out[:-1]
+    new[of[:-1][size > 0]] = True
+    return out[new], np.concatenate([[0], np.cumsum(new)])[of]
+
+
+def cells_of(h: np.ndarray, of: np.ndarray, percent: int, salt: int = 0):
+    """Per band (own, then the one below): (is it the own one, cells, their texts, need of each text)."""
+    n = np.diff(of)
+    bands = size_bands(int(n.max(initial=1)), percent)
+    top = bands[1:] - 1
+    far = differing(top, top * 100 // percent, percent)
+    parts = far + 1 + far // 3
+    text = np.repeat(np.arange(len(n)), n)
+    body = tv.mix(h)
+    own = np.searchsorted(bands, n, side="right") - 1
+    for back in (0, 1):
+        band = own - back
+        m = np.where(band >= 0, parts[band], 0)
+        name = tv.mix(band.astype(tv.U64) + tv.U64(salt << 32))
+        start = np.concatenate([[0], np.cumsum(m)])
+        part = ((tv.mix(h ^ name[text]) >> tv.U64(33)).astype(np.int64) * m[text]) >> np.int64(31)
+        used = m[text] > 0
+        sums = np.zeros(int(start[-1]), dtype=tv.U64)
+        np.add.at(sums, (start[text] + part)[used], body[used])
+        owner = np.repeat(np.arange(len(n)), m)
+        place = (np.arange(len(sums)) - start[owner]).astype(tv.U64)
+        empty = np.bincount(owner, weights=sums == 0, minlength=len(n)).astype(np.int64)
+        largest = n * 100 // percent if back == 0 else np.minimum(n, bands[own] - 1)  # of the partner
+        need = m - differing(n, largest, percent) - empty
+        # where a link could rest on empty parts alone, they are cells, too
+        keep = (sums != 0) | (need <= 0)[owner]
+        yield back == 0, tv.mix(sums[keep] ^ tv.mix(place[keep] ^ name[owner[keep]])), owner[keep], np.maximum(need, 1)
 
 
 def marks(h: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit hashes of each whole set."""
-    a, b = tv.mix(h + tv.U64(0x1234567)), tv.mix(h ^ tv.U64(0xABCDEF987654321))
+    a, b = tv.mix(h + tv.U64(0x1234567)), tv.mix2(h ^ tv.U64(0xABCDEF987654321))
     total = lambda x: np.concatenate([np.zeros(1, tv.U64), np.cumsum(x)])
     ta, tb = total(a), total(b)
     return ta[of[1:]] - ta[of[:-1]], tb[of[1:]] - tb[of[:-1]]
 
 
-SIGNATURE = "key long, n long, h1 long, h2 long"
-
-
-def signatures(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    """(key, set size, two hashes of the set); rows with n = -count report frequent shingles of a task as h1."""
+def signatures(docs: DataFrame, k: int) -> DataFrame:
+    """``docs`` (key, node, chunk, text) with size and two hashes of the set in place of the text."""
+    names = ["key", "node", "chunk", "n", "h1", "h2"]
 
     def task(batches):
-        seen, times = np.zeros(0, tv.U64), np.zeros(0, np.int64)
         for batch in batches:
             for lo, hi, buf, offs in tv.blocks(batch, "text"):
                 h, of = sets_of(buf, offs, k)
                 h1, h2 = marks(h, of)
-                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(of).astype(np.int64)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], ["key", "n", "h1", "h2"])
-                x = np.sort(h)
-                first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
-                n = np.diff(np.append(first, len(x)))
-                often = n > 1  # only an order hangs on these counts, no result
-                seen, inverse = np.unique(np.concatenate([seen, x[first[often]]]), return_inverse=True)
-                times = np.bincount(inverse, weights=np.concatenate([times, n[often]]), minlength=len(seen)).astype(np.int64)
-                if len(seen) > 4 * MOST_FREQUENT:
-                    stay = np.sort(np.argsort(-times, kind="stable")[: 2 * MOST_FREQUENT])
-                    seen, times = seen[stay], times[stay]
-        top = np.argsort(-times, kind="stable")[: MOST_FREQUENT // 2]
-        zero = np.zeros(len(top), np.int64)
-        yield pa.record_batch([pa.array(zero), pa.array(-times[top]), pa.array(seen[top].view(np.int64)), pa.array(zero)], ["key", "n", "h1", "h2"])
-
-    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(task, SIGNATURE)
-
-
-def representatives(block, right: pa.Table, text: str, k: int):
-    """Of a chunk's rows those that stand for their set: (keys, sets, ranges) per block."""
-    keys, h1 = right["rep"].to_numpy(), right["mark"].to_numpy()
-    order = np.lexsort((h1, keys))
-    keys, h1 = keys[order], h1[order]
+                part = batch.slice(lo, hi - lo)
+                yield pa.record_batch([part["key"], part["node"], part["chunk"], pa.array(np.diff(of).astype(np.int64)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], names)
+
+    return docs.mapInArrow(task, f"key {docs.schema['key'].dataType.simpleString()}, node long, chunk int, n long, h1 long, h2 long")
+
+
+def representatives(block: pa.Table, right: pa.Table, k: int):
+    """Of a chunk's rows those that stand for their set: (nodes, sets, where each starts) per block."""
+    nodes, h1 = right["node"].to_numpy(), right["mark"].to_numpy()
+    order = np.lexsort((h1, nodes))
+    nodes, h1 = nodes[order], h1[order]
     done: set[tuple[int, int]] = set()
+    named = block["node"].to_numpy()
+    block = block.filter(pa.array(np.isin(named, nodes)))
     for batch in block.to_batches():
-        names = np.asarray(batch.column("key").to_numpy(zero_copy_only=False), np.int64)
-        for lo, hi, buf, offs in tv.blocks(batch, text):
+        names = batch["node"].to_numpy()
+        for lo, hi, buf, offs in tv.blocks(batch, "text"):
             h, of = sets_of(buf, offs, k)
             mark = marks(h, of)[0].view(np.int64)
-            a, b = np.searchsorted(keys, names[lo:hi]), np.searchsorted(keys, names[lo:hi], side="right")
+            a, b = np.searchsorted(nodes, names[lo:hi]), np.searchsorted(nodes, names[lo:hi], side="right")
             stay = np.zeros(hi - lo, dtype=bool)
-            for i in np.flatnonzero(b > a):
+            for i in range(hi - lo):
                 pair = (int(names[lo + i]), int(mark[i]))
                 if pair[1] in h1[a[i] : b[i]] and pair not in done:
                     done.add(pair)
@@ -150,36 +168,17 @@ def representatives(block, right: pa.Table, text: str, k: int):
             yield names[lo:hi][stay], h[kept], np.concatenate([[0], np.cumsum(size[stay])])
 
 
-def prefixes(h: np.ndarray, of: np.ndarray, often: np.ndarray, times: np.ndarray, percent: int) -> np.ndarray:
-    """Mask of the shingles that are cells of their document."""
-    n = np.diff(of)
-    text = np.repeat(np.arange(len(n)), n)
-    late = np.zeros(len(h), dtype=np.int64)
-    if len(often) and len(h):
-        i = np.minimum(np.searchsorted(often, h), len(often) - 1)
-        late = np.where(often[i] == h, times[i], 0)
-    order = np.lexsort((h, late, text)) if late.any() else np.arange(len(h))
-    rank = np.arange(len(h)) - of[:-1][text]
-    out = np.zeros(len(h), dtype=bool)
-    out[order[rank < prefix_size(n, percent)[text]]] = True
-    return out
-
-
-def postings(docs: DataFrame, reps: DataFrame, frequent, key: str, text: str, k: int, percent: int) -> DataFrame:
-    """Rows (cell, representative, set size) of shared cells, kind 0 in the own band, 1 in the next; kind 2: the sets of documents in them."""
-    total = text_bytes(docs, text)
-    n_buckets = 1 << (parts_for(total // 12, BUCKET_ROWS) - 1).bit_length()
-    chunks, n_chunks = chunked(docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).where("key is not null"), "key", total)
-    own = reps.select(F.pmod(F.xxhash64("rep"), F.lit(n_chunks)).cast("int").alias("chunk"), "rep", F.col("h1").alias("mark"))
-    sent = docs.sparkSession.sparkContext.broadcast(frequent)
+def postings(docs: DataFrame, reps: DataFrame, n_chunks: int, total: int, k: int, percent: int) -> DataFrame:
+    """Rows (cell, node, set size) of shared cells, kind 0 of the own band, 1 of the one below; kind 2: the sets of documents in them."""
+    n_buckets = 1 << (parts_for(int(total * CELLS_PER_BYTE), BUCKET_ROWS) - 1).bit_length()
+    chunks = docs.select("node", "chunk", "text").where("node is not null").repartition(n_chunks, "chunk")
+    own = reps.select("chunk", "node", F.col("h1").alias("mark"))
 
     def run(key_, left, right):
-        often, times = sent.value
-        got = []
-        for _, h, of in representatives(left, right, "text", k):
-            keep = prefixes(h, of, often, times, percent)
-            got += cells_of(h[keep], np.repeat(np.diff(of), np.diff(of))[keep], percent)
-        cells = at_most_twice(np.concatenate(got)) if got else np.zeros(0, tv.U64)
+        got = [tv.U64([])]
+        for _, h, of in representatives(left, right, k):
+            got += [cell for _, cell, _, _ in cells_of(h, of, percent)]
+        cells = at_most_twice(np.concatenate(got))
         at = cut(cells, n_buckets)
         used = np.flatnonzero(np.diff(at))
         packed = [pack(squeeze(cells[at[b] : at[b + 1]], n_buckets)) for b in used]
@@ -187,100 +186,51 @@ def postings(docs: DataFrame, reps: DataFrame, frequent, key: str, text: str, k:
 
     shared = merge_join(chunks.groupBy("chunk").cogroup(own.groupBy("chunk")).applyInArrow(run, RUN))
     # one partner per chunk: its shared cells and its representatives side by side
-    hints = shared.select("chunk", "bucket", "bits", F.lit(0).cast("long").alias("rep"), F.lit(0).cast("long").alias("mark")).unionByName(
-        own.select("chunk", F.lit(-1).alias("bucket"), F.lit(b"").alias("bits"), "rep", "mark")
+    hints = shared.select("chunk", "bucket", "bits", F.lit(0).cast("long").alias("node"), F.lit(0).cast("long").alias("mark")).unionByName(
+        own.select("chunk", F.lit(-1).alias("bucket"), F.lit(b"").alias("bits"), "node", "mark")
     )
 
     def emit(key_, left, right):
-        often, times = sent.value
         is_rep = np.asarray(right["bucket"].to_numpy()) < 0
         wanted = wanted_keys(right.filter(pa.array(~is_rep)), n_buckets)
-        cells, names, sizes, kinds, blobs, opens = [], [], [], [], [], []
-        for keys, h, of in representatives(left, right.filter(pa.array(is_rep)), "text", k):
+        cells, names, sizes, kinds, blobs = [tv.U64([])], [np.int64([])], [np.int64([])], [np.int32([])], []
+        for nodes, h, of in representatives(left, right.filter(pa.array(is_rep)), k):
             n = np.diff(of)
-            text_ = np.repeat(np.arange(len(n)), n)
-            keep = np.flatnonzero(prefixes(h, of, often, times, percent))
             met = np.zeros(len(n), dtype=bool)
-            for own_band, cell in zip((True, False), cells_of(h[keep], n[text_[keep]], percent)):
+            for own_band, cell, text, need in cells_of(h, of, percent):
                 hit = among(widened(cell, n_buckets), wanted)
-                owner = text_[keep[hit]]
-                met[owner] = True
-                opens.append(np.bincount(owner, minlength=len(n))[owner])
-                cells.append(cell[hit].view(np.int64))
-                names.append(keys[owner])
-                sizes.append(n[owner])
-                kinds.append(np.full(len(owner), 0 if own_band else 1, np.int32))
-                blobs += [None] * len(owner)
+                cell, text = cell[hit], text[hit]
+                held = np.bincount(text, minlength=len(n))
+                order = np.lexsort((cell, text))
+                cell, text = cell[order], text[order]
+                rank = np.arange(len(cell)) - (np.cumsum(held) - held)[text]
+                stay = rank <= (held - need)[text]
+                cell, text = cell[stay], text[stay]
+                met[text] = True
+                cells.append(cell)
+                names.append(nodes[text])
+                sizes.append(n[text])
+                kinds.append(np.full(len(cell), 0 if own_band else 1, np.int32))
+                blobs += [None] * len(cell)
             used = np.flatnonzero(met)
-            cells.append(np.zeros(len(used), np.int64))
-            names.append(keys[used])
+            cells.append(np.zeros(len(used), tv.U64))
+            names.append(nodes[used])
             sizes.append(n[used])
             kinds.append(np.full(len(used), 2, np.int32))
-            opens.append(np.zeros(len(used), np.int64))
             blobs += [h[of[i] : of[i + 1]].tobytes() for i in used]
-        flat = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
-        return pa.table({"kind": flat(kinds, np.int32), "cell": flat(cells, np.int64), "rep": flat(names, np.int64), "n": flat(sizes, np.int64), "open": flat(opens, np.int64), "shingles": pa.array(blobs, pa.binary())})
-
-    return chunks.groupBy("chunk").cogroup(hints.groupBy("chunk")).applyInArrow(emit, "kind int, cell long, rep long, n long, open long, shingles binary")
-
+        return pa.table({"kind": np.concatenate(kinds), "cell": np.concatenate(cells).view(np.int64), "node": np.concatenate(names), "n": np.concatenate(sizes), "shingles": pa.array(blobs, pa.binary())})
 
-def fits(a: Column, b: Column, percent: int) -> Column:
-    """Sizes that leave a link possible."""
-    return (F.least(a, b) * 100 >= F.greatest(a, b) * percent)
+    return chunks.groupBy("chunk").cogroup(hints.groupBy("chunk")).applyInArrow(emit, "kind int, cell long, node long, n long, shingles binary")
 
 
-def needed(a: Column, b: Column, percent: int) -> Column:
-    """The overlap that two sets of these sizes need to link."""
-    return F.ceil((a + b) * percent / (100.0 + percent) - 1e-9)
-
-
-def linkable(rows: DataFrame, percent: int) -> DataFrame:
-    """Rows of cells that may still hold a link.
-
-    ``open`` counts the open cells of a document, of which a linked pair shares at least
-    overlap needed - (larger size less its cells) (see ``crowded``).  That is least for
-    the partner that differs most in size: among smaller ones the smallest that fits, among
-    larger ones the largest.  The latter is taken without rounding, as the rounded need
-    does not fall evenly.  A visitor meets only larger documents, of the cell's own band.
-    """
-    ends = rows.groupBy("cell").agg(F.min("n").alias("_lo"), F.max(F.when(F.col("own"), F.col("n"))).alias("_hi"), F.count("*").alias("_k")).where("_hi is not null and _k > 1").drop("_k")
-    n, p = F.col("n"), percent / 100.0
-    least = F.ceil(n * percent / 100.0 - 1e-9)
-    most = F.least("_hi", F.floor(n * 100.0 / percent + 1e-9))
-    smaller = F.col("own") & (F.col("open") + least - 1 >= needed(n, F.greatest("_lo", least), percent))
-    larger = (most > n) & (F.col("open") > p * (n - p * most) / (1 + p) - 1e-9)
-    return rows.join(ends, "cell").where(smaller | larger).drop("_lo", "_hi")
-
-
-def recounted(rows: DataFrame) -> DataFrame:
-    """``rows`` with the number of their document's open cells."""
-    held = rows.groupBy("rep", "own").agg(F.count("*").alias("open"))
-    return rows.drop("open").join(held, ["rep", "own"])
-
-
-def crowded(pairs: DataFrame, cells: DataFrame, percent: int) -> DataFrame:
-    """Of (a, b) those that share enough cells.
-
-    Shingles in the order of the smaller cell range are all counted; the rest of an
-    overlap lies beyond one document's cells.  So a linked pair shares at least
-    overlap needed - (largest size less its cells).
-    """
-    side = lambda c: cells.select("cell", F.col("rep").alias(c), F.col("n").alias("n" + c), F.col("own").alias("o" + c))
-    met = pairs.select("a", "b").join(side("b"), "b").join(side("a"), ["a", "cell"]).where("oa or ob")
-    shared = met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("na").alias("na"), F.max("nb").alias("nb"))
-    overlap = F.ceil((F.col("na") + F.col("nb")) * percent / (100.0 + percent) - 1e-9)
-    beyond = F.ceil(F.greatest("na", "nb") * percent / 100.0 - 1e-9) - 1
-    return shared.where(F.col("shared") >= overlap - beyond).select("a", "b")
-
-
-def measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b) with the size of the intersection and of the union; ``pairs`` is stored."""
-    needed = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
+def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, size of the intersection, of the union); ``pairs`` is stored."""
+    needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     if pairs.count() <= MOST_BROADCAST:  # at most two ids of 8 bytes a pair
         needed = F.broadcast(needed)
-    sets = sets.join(needed, "rep", "left_semi")
-    left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
+    sets = sets.join(needed, "node", "left_semi")
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
 
     def task(batches):
         for batch in batches:
@@ -297,9 +247,9 @@ def measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(task, "a long, b long, both long, either long")
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(rep, component): smallest node reachable, by alternating large and small stars."""
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(u, root) for all nodes of ``edges`` (a, b) but the roots, by alternating large and small stars."""
+    edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     while True:
         # large star: larger neighbours go to the smallest neighbour
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -308,80 +258,136 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         # small star: smaller neighbours and the node itself go to the smallest
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        edges = scratch.put("edges", small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
         # done once all are stars: no node has two roots, and no root has one itself
         ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("root")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("root")))
         if ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("root").alias("root")).where("up > 1 or (up = 1 and root = 1)").isEmpty():
-            break
-    roots = edges.groupBy("u").agg(F.min("v").alias("component"))
-    return nodes.join(roots.withColumnRenamed("u", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"))
+            return edges.select("u", F.col("v").alias("root"))
+
+
+def relabelled(label: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """``label`` (node, component) after the links (a, b): only links between components are worked on."""
+    side = lambda c: label.select(F.col("node").alias(c), F.col("component").alias("c" + c))
+    news = links.join(side("a"), "a").join(side("b"), "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+    news = scratch.put("news", news)
+    if news.isEmpty():
+        return label
+    roots = components(news, scratch).withColumnRenamed("u", "component")
+    return scratch.put("label", label.join(roots, "component", "left").select("node", F.coalesce("root", "component").alias("component")))
+
 
+def chosen(rows: DataFrame, most: int) -> DataFrame:
+    """(region, pivot): up to ``most`` pivots a region, of different components, by a hash of their names."""
+    per = rows.groupBy("region", "component").agg(F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node"))).alias("p"))
+    if most == 1:
+        return per.groupBy("region").agg(F.min("p").alias("p")).select("region", F.col("p.node").alias("pivot"))
+    place = F.row_number().over(W.partitionBy("region").orderBy("p"))
+    return per.withColumn("place", place).where(F.col("place") <= most).select("region", F.col("p.node").alias("pivot"))
 
-def region_components(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(rep, component) over all links, found through pairs that connect components.
 
-    ``cells`` has cell, rep, n, own.  The first turn measures one pivot a cell, later ones up to
-    PIVOTS of different components; see the module text.
-    Two visitors of a band need no comparison there: they meet in their own.
+def voronoi(rows: DataFrame, pivots: DataFrame, distance: DataFrame, tau: float) -> DataFrame:
+    """The members of the regions below: at home with the nearest pivot, replicated to those at most 2 tau farther.
+
+    If y's home is pivot q and x's is p, d(x, y) <= tau gives
+    d(x, q) <= tau + d(y, q) <= tau + d(y, p) <= 2 tau + d(x, p): x is replicated to where y is at home.
+    """
+    far = rows.select("region", "node", "n", "own").join(pivots, "region").join(distance, ["pivot", "node"])
+    far = far.groupBy("region", "node", "n", "own").agg(F.sort_array(F.collect_list(F.struct("d", "pivot"))).alias("to"))  # as many as pivots
+    far = far.where(F.col("to")[0]["d"] > 0)  # pivots are done
+    near = F.filter("to", lambda x: x["d"] - F.col("to")[0]["d"] <= 2 * tau + 1e-9)
+    out = far.select("region", "node", "n", "own", F.posexplode(near).alias("rank", "x"))
+    return out.select(F.xxhash64("region", "x.pivot").alias("region"), "node", "n", "own", (F.col("rank") == 0).alias("home"), F.col("x.d").alias("d"))
+
+
+def windowed(rows: DataFrame, tau: float) -> DataFrame:
+    """Rows whose triangle-inequality window holds a member of another component that they must meet.
+
+    The window is looked at in bands of width tau: partners lie in one band or in neighbours.
     """
+    band = F.floor(F.col("d") / max(tau, 1e-9) + 1e-9)
+    rows = rows.withColumn("band", band)
+    held = rows.groupBy("region", "band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("own").alias("o"), F.max("home").alias("h"))
+    held = held.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    held = held.groupBy("region", "band").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("o").alias("o"), F.max("h").alias("h")).where("lo <> hi and o and h")
+    return rows.join(held, ["region", "band"]).drop("band", "lo", "hi", "o", "h")
+
+
+def redealt(rows: DataFrame, sets: DataFrame, percent: int, salt: int) -> DataFrame:
+    """The same rows in the cells of a new projection, region by region; those with too few shared cells leave."""
+
+    def task(batches):
+        for batch in batches:
+            blobs = [np.frombuffer(x.as_buffer(), tv.U64) for x in batch["shingles"]]
+            h, of = np.concatenate([tv.U64([]), *blobs]), np.concatenate([[0], np.cumsum([len(x) for x in blobs])]).astype(np.int64)
+            rest = batch.drop_columns(["shingles", "own"])
+            for own, cell, text, need in cells_of(h, of, percent, salt):
+                yield pa.record_batch([*rest.take(pa.array(text)).columns, pa.array(np.full(len(text), own)), pa.array(cell.view(np.int64)), pa.array(need[text])], [*rest.schema.names, "own", "cell", "need"])
+
+    dealt = rows.drop("d").join(sets, "node").mapInArrow(task, "node long, region long, n long, home boolean, component long, own boolean, cell long, need long")
+    dealt = dealt.withColumn("region", F.xxhash64("region", "cell")).drop("cell")
+    for _ in range(2):
+        held = dealt.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("own").alias("o")).where("lo <> hi and o").select("region")
+        dealt = dealt.join(held, "region")
+    counted = dealt.groupBy("node", "own").agg(F.count("*").alias("held"))  # over all its regions: at least that of each
+    return dealt.join(counted, ["node", "own"]).where("held >= need").select("region", "node", "n", "own", "home", F.lit(None).cast("double").alias("d"), "component")
+
+
+def joined(rows: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(node, component) of all nodes of ``sets``; ``rows`` has region (a cell), node, n, own."""
     tau = 1 - percent / 100
-    rows, links = stored(linkable(cells, percent)).withColumn("component", F.col("rep")), None
-    nodes = sets.select("rep")
-    keep = ["cell", "rep", "n", "own", "open"]
-    total, turn, label = cells.count(), 0, None
+    label = sets.select("node", F.col("node").alias("component"))
+    rows = rows.withColumn("component", F.col("node"))
+    link = F.col("both") * 100 >= F.col("either") * percent
+    level, budget = 0, PAIRS_PER_ROW * rows.count()
     while True:
-        # pivots: of each component in a cell the smallest member; one at first, then up to PIVOTS
-        per = rows.groupBy("cell", "component").agg(F.min(F.struct("rep", "n", "own")).alias("p"))
-        if turn:
-            pivots = per.withColumn("place", F.row_number().over(W.partitionBy("cell").orderBy("p"))).where(F.col("place") <= PIVOTS)
-        else:
-            pivots = per.groupBy("cell").agg(F.min("p").alias("p")).withColumns({"component": F.col("p.rep"), "place": F.lit(1)})
-        pivots = pivots.select("cell", "place", F.col("component").alias("cp"), F.col("p.rep").alias("pivot"), F.col("p.n").alias("np"), F.col("p.own").alias("po"))
-        others = rows.join(pivots, "cell").where((F.col("component") != F.col("cp")) & (F.col("rep") != F.col("pivot")) & (F.col("own") | F.col("po")) & fits(F.col("n"), F.col("np"), percent))
-        pairs = stored(crowded(others.select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")).distinct(), cells, percent))
-        found = stored(measured(pairs, sets, percent))
-        near = found.where(F.col("both") * 100 >= F.col("either") * percent).select("a", "b")
-        if label is None or not near.isEmpty():
-            links = near if links is None else links.unionByName(near)
-            label = stored(components(nodes, links))
-        # the pivots are done; cells in one component are done
+        pivots = scratch.put("pivots", chosen(rows, PIVOTS if level else 1))
+        met = rows.select("region", "node").join(pivots, "region").where("node <> pivot")
+        pairs = scratch.put("pairs", met.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct())
+        found = scratch.put("found", measured(pairs, sets))
+        label = relabelled(label, found.where(link).select("a", "b"), scratch)
         gap = (1 - F.col("both") / F.col("either")).alias("d")
-        distance = found.select(F.col("a").alias("pivot"), F.col("b").alias("rep"), gap).unionByName(found.select(F.col("b").alias("pivot"), F.col("a").alias("rep"), gap))
-        left = rows.select(*keep).join(pivots.select("cell", F.col("pivot").alias("rep")), ["cell", "rep"], "left_anti")
-        left = left.join(pivots.where("place = 1").select("cell", "pivot"), "cell").join(distance, ["pivot", "rep"], "left").join(label, "rep").drop("pivot")
-        several = left.groupBy("cell").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m"), F.max("own").alias("any")).where("lo <> hi and any")
-        open_ = linkable(recounted(linkable(recounted(left.join(several.select("cell"), "cell")), percent)), percent)
-        open_ = stored(open_)
-        rows = open_.join(open_.groupBy("cell").agg(F.count("*").alias("m")), "cell")
-        size = rows.agg(F.count("*").alias("rows"), F.sum("m").alias("pairs")).first()
+        distance = found.select(F.col("a").alias("pivot"), F.col("b").alias("node"), gap).unionByName(found.select(F.col("b").alias("pivot"), F.col("a").alias("node"), gap))
+        distance = distance.unionByName(pivots.select("pivot", F.col("pivot").alias("node"), F.lit(0.0).alias("d")).distinct())
+        below = voronoi(rows, pivots, distance, tau).join(label, "node")
+        rows = scratch.put("rows", windowed(below, tau))
+        sizes = rows.groupBy("region").agg(F.count("*").alias("m"))
+        size = sizes.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("rows"), F.sum(F.col("m") * (F.col("m") - 1) / 2).alias("pairs")).first()
         if not size["rows"]:
             return label
-        if size["pairs"] <= PAIRS_PER_ROW * total:
+        if size["pairs"] <= budget:
             break
-        rows = rows.select(*keep, "component")
-        turn += 1
-    side = lambda c: rows.select("cell", F.col("rep").alias(c), F.col("n").alias("n" + c), F.col("own").alias("o" + c), F.col("d").alias("d" + c), F.col("component").alias("c" + c))
+        level += 1
+        hot = sizes.where(F.col("m") > HOT).select("region")
+        cool = rows.join(hot, "region", "left_anti")
+        rows = scratch.put("dealt", cool.unionByName(redealt(rows.join(hot, "region", "left_semi"), sets, percent, level)))
+    side = lambda c: rows.select("region", F.col("node").alias(c), *(F.col(x).alias(x + c) for x in ("n", "own", "home", "d", "component")))
     window = F.coalesce(F.abs(F.col("da") - F.col("db")) <= tau + 1e-9, F.lit(True))
-    pairs = side("a").join(side("b"), "cell").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.col("oa") | F.col("ob")) & window & fits(F.col("na"), F.col("nb"), percent))
-    found = measured(stored(crowded(pairs.select("a", "b").distinct(), cells, percent)), sets, percent)
-    near = stored(found.where(F.col("both") * 100 >= F.col("either") * percent).select("a", "b"))
-    return label if near.isEmpty() else components(nodes, links.unionByName(near))
+    fit = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+    left = side("a").join(side("b"), "region").where((F.col("a") < F.col("b")) & (F.col("componenta") != F.col("componentb")) & (F.col("owna") | F.col("ownb")) & (F.col("homea") | F.col("homeb")) & window & fit)
+    found = measured(scratch.put("pairs", left.select("a", "b").distinct()), sets)
+    return relabelled(label, scratch.put("found", found.where(link).select("a", "b")), scratch)
 
 
 def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, percent: int = PERCENT) -> DataFrame:
     """Per row of ``docs``: key, n_shingles, component_id."""
-    spark = docs.sparkSession
-    seen = stored(signatures(docs, key, text, k))
-    top = seen.where("n < 0").groupBy("h1").agg(F.sum("n").alias("n")).orderBy("n", "h1").limit(MOST_FREQUENT).toArrow()
-    names, times = top["h1"].to_numpy().view(tv.U64), top["n"].to_numpy()
-    order = np.argsort(names)
-    frequent = (names[order], -times[order])
-    rows = seen.where("n >= 0")
-    reps = rows.where("n > 0 and key is not null").groupBy("h1", "h2", "n").agg(F.min("key").alias("rep"))
-    found = stored(postings(docs, reps, frequent, key, text, k, percent))
-    cells = found.where("kind < 2").select("cell", "rep", "n", "open", (F.col("kind") == 0).alias("own"))
-    sets = found.where("kind = 2").select("rep", "shingles")
-    label = region_components(cells, sets, percent)
-    whole = rows.join(reps.select("h1", "h2", "n", "rep"), ["h1", "h2", "n"], "left").join(label, "rep", "left")
-    out = whole.select("key", F.col("n").alias("n_shingles"), F.when(F.col("key").isNotNull(), F.coalesce("component", "rep", "key")).alias("component_id"))
-    return out.withColumnRenamed("key", key)
+    scratch = Scratch(docs.sparkSession)
+    plain = isinstance(docs.schema[key].dataType, IntegralType)
+    total = text_bytes(docs, text)
+    n_chunks = parts_for(total, CHUNK_BYTES)
+    node = F.col("key").cast("long") if plain else F.when(F.col("key").isNotNull(), F.xxhash64("key"))
+    chunk = F.pmod(F.xxhash64("key", "text"), F.lit(n_chunks)).cast("int")  # rows of one key are spread by their texts
+    named = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).select("key", node.alias("node"), chunk.alias("chunk"), "text")
+    seen = scratch.put("seen", signatures(named, k))
+    group = ["h1", "h2", "n"]
+    reps = seen.where("n > 0 and node is not null").groupBy(*group).agg(F.min(F.struct("node", "chunk")).alias("r"), F.min("key").alias("low")).select(*group, "low", "r.node", "r.chunk")
+    found = scratch.put("postings", postings(named, reps, n_chunks, total, k, percent), free=True)
+    cells = found.where("kind < 2").select(F.col("cell").alias("region"), "node", "n", (F.col("kind") == 0).alias("own"))
+    open_ = cells.groupBy("region").agg(F.count("*").alias("m"), F.max("own").alias("any")).where("m > 1 and any").select("region")
+    cells = scratch.put("cells", cells.join(open_, "region"))
+    label = joined(cells, found.where("kind = 2").select("node", "shingles"), percent, scratch)
+    whole = reps.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # the smallest key of a component: its name, but for hashed ones
+    lowest = F.col("component").cast(docs.schema[key].dataType) if plain else F.min("low").over(W.partitionBy("component"))
+    out = seen.join(whole.select(*group, lowest.alias("lowest")), group, "left")
+    component = F.when(F.col("key").isNotNull(), F.coalesce("lowest", "key"))
+    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"))

@@ -14,12 +14,10 @@ import pyarrow.compute as pc
 U64 = np.uint64
 BLOCK_BYTES = 4 << 20
 
-_rng = np.random.Generator(np.random.PCG64(20240229))
-_BYTE_CODE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | U64(1)
-_BYTE_CODE2 = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | U64(1)
-_P = U64(0x9E3779B97F4A7C15)
-_Q = U64(0xD6E8FEB86659FD93)
-_pow = np.ones(1, dtype=U64)
+_STEP = U64(0x9E3779B97F4A7C15)
+_STEP2 = U64(0xD1B54A32D192ED03)
+#: The bytes of a lane that belong to a word with so many bytes left.
+_INSIDE = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=U64)
 
 #: The word class [^\x20\x09-\x0D]: every byte but the six blanks.
 WORD_BYTES = np.ones(256, dtype=bool)
@@ -34,21 +32,32 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
 
-def powers(n: int) -> np.ndarray:
-    """The first n powers of the byte multiplier."""
-    global _pow
-    if len(_pow) < n:
-        out = np.full(max(n, 2 * len(_pow), 256), _P, dtype=U64)
-        out[0] = 1
-        _pow = np.multiply.accumulate(out)
-    return _pow[:n]
+def mix(x: np.ndarray) -> np.ndarray:
+    """Splitmix finaliser: a bijection that spreads every input bit over the 64 output bits."""
+    y = x >> U64(30)
+    y ^= x
+    y *= U64(0xBF58476D1CE4E5B9)
+    y ^= y >> U64(27)
+    y *= U64(0x94D049BB133111EB)
+    y ^= y >> U64(31)
+    return y
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """Splitmix finaliser: spreads every input bit over the 64 output bits."""
-    x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U64(27))) * U64(0x94D049BB133111EB)
-    return x ^ (x >> U64(31))
+def mix2(x: np.ndarray) -> np.ndarray:
+    """The Murmur3 finaliser, another such bijection."""
+    y = x >> U64(33)
+    y ^= x
+    y *= U64(0xFF51AFD7ED558CCD)
+    y ^= y >> U64(33)
+    y *= U64(0xC4CEB9FE1A85EC53)
+    y ^= y >> U64(33)
+    return y
+
+
+def lanes(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of ``buf`` on as one number; zeros follow the end."""
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    return np.ndarray((len(buf) + 1,), dtype="<u8", buffer=padded, strides=(1,))
 
 
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -78,6 +87,11 @@ def blocks(batch: pa.RecordBatch, column: str = "text", limit: int = BLOCK_BYTES
         lo = hi
 
 
+def inside(left: np.ndarray) -> np.ndarray:
+    """Masks of the bytes of a lane that belong to a word with ``left`` bytes left."""
+    return _INSIDE[np.minimum(left, 8)]
+
+
 class Words:
     """The words of a block: byte ranges, and ``of`` (n + 1) = where each text's words start."""
 
@@ -106,38 +120,48 @@ class Words:
         """A 64-bit hash of each word's bytes; ``second`` gives an independent one."""
         if not len(self.starts):
             return np.zeros(0, dtype=U64)
-        code = _BYTE_CODE2 if second else _BYTE_CODE
-        lens = self.ends - self.starts
-        first = np.cumsum(lens) - lens
-        total = int(lens.sum())
-        at = np.arange(total) - np.repeat(first, lens)
-        data = self.buf if total == len(self.buf) else self.buf[at + np.repeat(self.starts, lens)]
-        sums = np.add.reduceat(code[data] * powers(int(lens.max()))[at], first)
-        return mix(sums + lens.astype(U64))
+        spread, step = (mix2, _STEP2) if second else (mix, _STEP)
+        lens, view = self.ends - self.starts, lanes(self.buf)
+        out = spread((view[self.starts] & inside(lens)) + step)
+        big = np.flatnonzero(lens > 8)
+        if len(big):  # further lanes, each mixed with its number before they are added
+            more = (lens[big] - 1) // 8
+            begin = np.cumsum(more) - more
+            i = np.arange(int(more.sum())) - np.repeat(begin, more) + 1
+            lane = view[np.repeat(self.starts[big], more) + 8 * i] & inside(np.repeat(lens[big], more) - 8 * i)
+            out[big] += np.add.reduceat(spread(lane ^ spread((i + 1).astype(U64) * step)), begin)
+        return spread(out ^ (lens.astype(U64) * step))
 
 
 def window_hashes(words: np.ndarray, n: int, second: bool = False) -> np.ndarray:
     """Hash of each n consecutive words, by doubling; length len(words) - n + 1, across texts too."""
     if len(words) < n:
         return np.zeros(0, dtype=U64)
-    base = _Q if not second else U64(0xA0761D6478BD642F)
+    mult, shift = (_STEP2, U64(29)) if second else (_STEP, U64(32))
+
+    def join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        y = a >> shift
+        y ^= a
+        y *= mult
+        y ^= y >> U64(31)
+        y += b
+        return y
+
     out, have = None, 0
-    part, size, mult = words, 1, base
-    left = n
+    part, size, left = words, 1, n
     while True:
         if left & 1:
             if out is None:
                 out, have = part, size
             else:  # out covers ``have`` words; put this part before it
                 m = min(len(part), len(out) - size)
-                out, have = part[:m] + mult * out[size : size + m], have + size
+                out, have = join(part[:m], out[size : size + m]), have + size
         left >>= 1
         if not left:
             break
-        part = part[: len(part) - size] + mult * part[size:]
+        part = join(part[: len(part) - size], part[size:])
         size *= 2
-        mult = U64(int(mult) * int(mult) & 0xFFFFFFFFFFFFFFFF)
-    return mix(out[: len(words) - n + 1])
+    return (mix2 if second else mix)(out[: len(words) - n + 1])
 
 
 def starts_within(of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

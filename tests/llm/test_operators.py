@@ -220,6 +220,99 @@ def test_jaccard_join_keeps_rows_without_a_key(spark):
     assert sorted(got, key=str) == sorted([(3, 36, 3), (5, 36, 3), (None, 36, None), (None, 0, None), (None, 1, None)], key=str)
 
 
+def test_jaccard_join_recurses_into_regions(spark, monkeypatch):
+    """Chains and groups that share a passage, with every region cut again until none is left."""
+    from splicefind.llm import jaccard_join as j
+
+    monkeypatch.setattr(j, "PAIRS_PER_ROW", 0)
+    monkeypatch.setattr(j, "HOT", 3)
+    monkeypatch.setattr(j, "PIVOTS", 2)
+    rng = random.Random(8)
+    docs, cur = [], [f"w{rng.randrange(500)}" for _ in range(90)]
+    for i in range(10):
+        cur = list(cur)
+        for _ in range(2):
+            cur[rng.randrange(len(cur))] = f"n{rng.randrange(10**6)}"
+        docs.append((i, " ".join(cur)))
+    shared = [f"s{i}" for i in range(60)]
+    docs += [(100 + i, " ".join(shared + [f"o{i % 7}x{k}" for k in range(14 + i % 3)])) for i in range(9)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert by_id(j.jaccard_join(df), "doc_id", "n_shingles", "component_id") == sorted(brute.components(docs))
+
+
+@pytest.mark.parametrize("percent", [50, 80, 95, 100])
+def test_linked_sets_share_enough_cells(percent):
+    from splicefind.llm import jaccard_join as j
+
+    rng = np.random.default_rng(percent)
+    for n in [*range(1, 14), 40, 200]:
+        for _ in range(12):
+            x = np.unique(rng.integers(0, 1 << 62, n, dtype=np.uint64))
+            y = np.unique(np.concatenate([x[rng.random(len(x)) > rng.random() * 0.3], rng.integers(0, 1 << 62, rng.integers(0, 2 + n // 4), dtype=np.uint64)]))
+            both = len(np.intersect1d(x, y))
+            if not len(y) or 100 * both < percent * (len(x) + len(y) - both):
+                continue
+            h, of = np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)])
+            cells, needs = {0: {}, 1: {}}, {}
+            for own, cell, text, need in j.cells_of(h, of, percent):
+                for t in (0, 1):
+                    cells[t][own] = set(cell[text == t].tolist())
+                    needs[t, own] = need[t]
+            met = max((len(cells[0][a] & cells[1][b]) - max(needs[0, a], needs[1, b]) for a in (True, False) for b in (True, False) if a or b), default=-1)
+            assert met >= 0, (n, len(x), len(y), both)
+
+
+def test_jaccard_join_of_string_ids(spark):
+    from splicefind.llm.jaccard_join import jaccard_join
+
+    text = " ".join(f"w{i}" for i in range(40))
+    df = spark.createDataFrame([("z", text), ("b", text), ("c", text + " more"), (None, text), ("a", "other words only")], "id string, body string")
+    got = {r["id"]: r["component_id"] for r in jaccard_join(df, "id", "body").collect()}
+    assert got == {"z": "b", "b": "b", "c": "b", "a": "a", None: None}
+
+
+def swaps(n):
+    """Two words of n bytes that any polynomial hash modulo 2^64 confuses."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_words_that_differ_stay_apart(spark, n):
+    from splicefind.llm.decontaminate import decontaminate
+    from splicefind.llm.jaccard_join import jaccard_join
+    from splicefind.llm.lm_scoring import lm_scoring
+    from splicefind.llm.packing import best_fit_packing
+    from splicefind.llm.substring_dedup import substring_dedup
+    from splicefind.llm.token_output import token_output
+
+    a, b = swaps(n)
+    say = [" ".join([*(f"w{i}" for i in range(34)), x]) for x in (a, b)]
+    df = spark.createDataFrame([(1, say[0]), (2, say[1])], "doc_id long, text string").coalesce(1)
+    assert by_id(substring_dedup(df), "doc_id", "n_removed") == [(1, 0), (2, 0)]
+    ones = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string").coalesce(1)
+    assert by_id(jaccard_join(ones), "doc_id", "component_id") == [(1, 1), (2, 2)]
+    assert by_id(decontaminate(ones, spark.createDataFrame([(5, a)], "item_id long, text string")), "doc_id", "n_hit") == [(1, 1), (2, 0)]
+    assert by_id(lm_scoring(ones, F.col("doc_id") == 2), "doc_id", "n_known") == [(1, 2), (2, 1)]
+    docs = [(1, a), (2, b)]
+    ids = encoded("word_bpe_49k.json", docs, 2)
+    assert by_id(token_output(ones, P.path("word_bpe_49k.json")), "doc_id", "ids_crc32") == [(i, crc(ids[i])) for i in (1, 2)]
+    ids = encoded("byte_bpe_50k.json", docs, 0)
+    assert by_id(best_fit_packing(ones, P.path("byte_bpe_50k.json"), capacity=1 << 14), "doc_id", "ids_crc32") == [(i, crc(ids[i])) for i in (1, 2)]
+
+
+def test_units_of_one_hash_keep_their_own_ids(monkeypatch):
+    from splicefind.llm import bpe
+    from splicefind.llm import textvec as tv
+
+    monkeypatch.setattr(tv.Words, "hashes", lambda self, second=False: np.zeros(len(self), tv.U64))
+    text = b"some words of different ids and sizes, extraordinarily so"
+    enc = bpe.UnitEncoder(P.path("byte_bpe_50k.json"), True)
+    for _ in range(2):
+        ids, _ = enc.encode(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        assert ids.tolist() == enc.tokenizer.encode(text.decode(), add_special_tokens=False).ids
+
+
 def test_quality_rules(data, empty):
     from splicefind.llm.quality_rules import quality_rules
 
@@ -290,7 +383,6 @@ def encoded(name, docs, end):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path(name))
-    t.encode_special_tokens = True
     return {i: [*t.encode(x or "", add_special_tokens=False).ids, end] for i, x in docs}
 
 
