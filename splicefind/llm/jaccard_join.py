@@ -10,16 +10,15 @@ Jaccard distance d = 1 - |x & y| / |x | y| is a metric.  Two texts link when d <
    sizes a <= c differs in at most k = (a + c)(1 - J)/(1 + J) shingles, so linked documents lie in the
    same cell in all but k parts.  m exceeds the largest k of the band, and a document that shares
    fewer cells with others than a link must share (``need``) has no partner and leaves at once.
-   Of a document's s shared cells the first s - need + 1 in one global order are enough.
    A pair is looked for in the band of its smaller size; a document also visits the band below.
-3. Regions.  Inside a cell, pivots are documents.  The first level takes one pivot a cell, which
-   contracts groups of near copies.  Later levels take up to ``PIVOTS`` pivots of different components:
-   each member goes to the Voronoi region of its nearest pivot and is replicated to every
-   region whose pivot is at most 2 tau farther; in a region it stays only while the
-   triangle-inequality window (distances to the pivot that differ by at most tau) holds a
-   member of another component.  Regions recurse; pivots are done once measured, and regions that
-   stay large are cut by a new projection (step 2 with another hash).  When the pairs left in windows are no more
-   than a few per row, they are measured.
+3. Regions.  Inside a cell, pivots are documents.  The first level takes one pivot a cell, the member that
+   shares the largest part of its cells, which contracts groups of near copies.  Where members of different
+   components still make many pairs, the next levels take up to ``PIVOTS`` pivots of different components:
+   each member goes to the Voronoi region of its nearest pivot and is replicated to every region whose
+   pivot is at most 2 tau farther; in a region it stays only while the triangle-inequality
+   window (distances to the pivot that differ by at most tau) holds a member of another component.
+   Regions recurse while that makes fewer pairs; pivots are done once measured.  Pairs that share as many cells as their
+   sizes ask for are then measured exactly.
 4. Links are contracted onto the labels so far by alternating large and small stars, in tables on the
    shared folder; a superseded table is deleted.
 
@@ -50,7 +49,7 @@ K = 5
 PERCENT = 80
 PAIRS_PER_ROW = 4
 PIVOTS = 8
-HOT = 64  # members of a region beyond which it is cut by a new projection
+HOT = 64  # pairs a member beyond which a region is cut
 MOST_BROADCAST = 1_000_000
 CELLS_PER_BYTE = 0.15  # a word takes about six bytes and a shingle enters about 0.7 cells
 
@@ -91,8 +90,11 @@ def sets_of(buf: np.ndarray, offs: np.ndarray, k: int = K) -> tuple[np.ndarray,
     return out[new], np.concatenate([[0], np.cumsum(new)])[of]
 
 
-def cells_of(h: np.ndarray, of: np.ndarray, percent: int, salt: int = 0):
-    """Per band (own, then the one below): (is it the own one, cells, their texts, need of each text)."""
+def cells_of(h: np.ndarray, of: np.ndarray, percent: int):
+    """Per band (own, then the one below): (is it the own one, cells, their texts, need and cells of each text).
+
+    The number of cells is 0 where empty parts count, too: it then bounds nothing.
+    """
     n = np.diff(of)
     bands = size_bands(int(n.max(initial=1)), percent)
     top = bands[1:] - 1
@@ -104,7 +106,7 @@ def cells_of(h: np.ndarray, of: np.ndarray, percent: int, salt: int = 0):
     for back in (0, 1):
         band = own - back
         m = np.where(band >= 0, parts[band], 0)
-        name = tv.mix(band.astype(tv.U64) + tv.U64(salt << 32))
+        name = tv.mix(band.astype(tv.U64))
         start = np.concatenate([[0], np.cumsum(m)])
         part = ((tv.mix(h ^ name[text]) >> tv.U64(33)).astype(np.int64) * m[text]) >> np.int64(31)
         used = m[text] > 0
@@ -117,7 +119,7 @@ def cells_of(h: np.ndarray, of: np.ndarray, percent: int, salt: int = 0):
         need = m - differing(n, largest, percent) - empty
         # where a link could rest on empty parts alone, they are cells, too
         keep = (sums != 0) | (need <= 0)[owner]
-        yield back == 0, tv.mix(sums[keep] ^ tv.mix(place[keep] ^ name[owner[keep]])), owner[keep], np.maximum(need, 1)
+        yield back == 0, tv.mix(sums[keep] ^ tv.mix(place[keep] ^ name[owner[keep]])), owner[keep], np.maximum(need, 1), np.where(need > 0, m - empty, 0)
 
 
 def marks(h: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -177,7 +179,7 @@ def postings(docs: DataFrame, reps: DataFrame, n_chunks: int, total: int, k: int
     def run(key_, left, right):
         got = [tv.U64([])]
         for _, h, of in representatives(left, right, k):
-            got += [cell for _, cell, _, _ in cells_of(h, of, percent)]
+            got += [x[1] for x in cells_of(h, of, percent)]
         cells = at_most_twice(np.concatenate(got))
         at = cut(cells, n_buckets)
         used = np.flatnonzero(np.diff(at))
@@ -193,34 +195,36 @@ def postings(docs: DataFrame, reps: DataFrame, n_chunks: int, total: int, k: int
     def emit(key_, left, right):
         is_rep = np.asarray(right["bucket"].to_numpy()) < 0
         wanted = wanted_keys(right.filter(pa.array(~is_rep)), n_buckets)
-        cells, names, sizes, kinds, blobs = [tv.U64([])], [np.int64([])], [np.int64([])], [np.int32([])], []
+        parts = {"kind": [np.int32([])], "cell": [np.int64([])], "node": [np.int64([])], "n": [np.int64([])], "full": [np.int64([])], "rank": [np.float64([])], "first": [np.zeros(0, bool)]}
+        blobs: list = []
         for nodes, h, of in representatives(left, right.filter(pa.array(is_rep)), k):
             n = np.diff(of)
             met = np.zeros(len(n), dtype=bool)
-            for own_band, cell, text, need in cells_of(h, of, percent):
+            for own, cell, text, need, full in cells_of(h, of, percent):
+                every = np.maximum(np.bincount(text, minlength=len(n)), 1)
                 hit = among(widened(cell, n_buckets), wanted)
                 cell, text = cell[hit], text[hit]
                 held = np.bincount(text, minlength=len(n))
-                order = np.lexsort((cell, text))
-                cell, text = cell[order], text[order]
-                rank = np.arange(len(cell)) - (np.cumsum(held) - held)[text]
-                stay = rank <= (held - need)[text]
+                stay = (held >= need)[text]
                 cell, text = cell[stay], text[stay]
                 met[text] = True
-                cells.append(cell)
-                names.append(nodes[text])
-                sizes.append(n[text])
-                kinds.append(np.full(len(cell), 0 if own_band else 1, np.int32))
+                # of s shared cells the first s - need + 1 in one order hold one of every link
+                order = np.lexsort((cell, text))
+                cell, text = cell[order], text[order]
+                begin = np.searchsorted(text, np.arange(len(n)))
+                first = np.arange(len(cell)) - begin[text] <= (held - need)[text]
+                new = {"kind": np.full(len(cell), 0 if own else 1), "cell": cell.view(np.int64), "node": nodes[text], "n": n[text], "full": full[text], "rank": -(held / every)[text], "first": first}
+                for c, x in new.items():
+                    parts[c].append(x.astype(parts[c][0].dtype))
                 blobs += [None] * len(cell)
             used = np.flatnonzero(met)
-            cells.append(np.zeros(len(used), tv.U64))
-            names.append(nodes[used])
-            sizes.append(n[used])
-            kinds.append(np.full(len(used), 2, np.int32))
+            zero = np.zeros(len(used), np.int64)
+            for c, x in {"kind": zero + 2, "cell": zero, "node": nodes[used], "n": n[used], "full": zero, "rank": zero, "first": zero}.items():
+                parts[c].append(x.astype(parts[c][0].dtype))
             blobs += [h[of[i] : of[i + 1]].tobytes() for i in used]
-        return pa.table({"kind": np.concatenate(kinds), "cell": np.concatenate(cells).view(np.int64), "node": np.concatenate(names), "n": np.concatenate(sizes), "shingles": pa.array(blobs, pa.binary())})
+        return pa.table({**{c: np.concatenate(x) for c, x in parts.items()}, "shingles": pa.array(blobs, pa.binary())})
 
-    return chunks.groupBy("chunk").cogroup(hints.groupBy("chunk")).applyInArrow(emit, "kind int, cell long, node long, n long, shingles binary")
+    return chunks.groupBy("chunk").cogroup(hints.groupBy("chunk")).applyInArrow(emit, "kind int, cell long, node long, n long, full long, rank double, first boolean, shingles binary")
 
 
 def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -277,26 +281,36 @@ def relabelled(label: DataFrame, links: DataFrame, scratch: Scratch) -> DataFram
 
 
 def chosen(rows: DataFrame, most: int) -> DataFrame:
-    """(region, pivot): up to ``most`` pivots a region, of different components, by a hash of their names."""
-    per = rows.groupBy("region", "component").agg(F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node"))).alias("p"))
+    """(region, pivot): up to ``most`` pivots a region, of different components, by rank."""
+    per = rows.groupBy("region", "component").agg(F.min(F.struct("rank", F.xxhash64("node").alias("h"), "node")).alias("p"))
     if most == 1:
         return per.groupBy("region").agg(F.min("p").alias("p")).select("region", F.col("p.node").alias("pivot"))
     place = F.row_number().over(W.partitionBy("region").orderBy("p"))
     return per.withColumn("place", place).where(F.col("place") <= most).select("region", F.col("p.node").alias("pivot"))
 
 
+def apart(rows: DataFrame) -> DataFrame:
+    """(region, members, pairs): pairs of different components in each region, some of them in its band."""
+    per = rows.groupBy("region", "component").agg(F.count("*").alias("m"), F.max("own").alias("own"))
+    size = per.groupBy("region").agg(F.sum("m").alias("members"), F.sum(F.col("m") * F.col("m")).alias("same"), F.max("own").alias("own"))
+    return size.select("region", "members", ((F.col("members") * F.col("members") - F.col("same")) / 2).alias("pairs")).where("own and pairs > 0")
+
+
+KEPT = ["region", "cell", "node", "n", "own", "full", "rank"]
+
+
 def voronoi(rows: DataFrame, pivots: DataFrame, distance: DataFrame, tau: float) -> DataFrame:
     """The members of the regions below: at home with the nearest pivot, replicated to those at most 2 tau farther.
 
     If y's home is pivot q and x's is p, d(x, y) <= tau gives
     d(x, q) <= tau + d(y, q) <= tau + d(y, p) <= 2 tau + d(x, p): x is replicated to where y is at home.
     """
-    far = rows.select("region", "node", "n", "own").join(pivots, "region").join(distance, ["pivot", "node"])
-    far = far.groupBy("region", "node", "n", "own").agg(F.sort_array(F.collect_list(F.struct("d", "pivot"))).alias("to"))  # as many as pivots
+    far = rows.select(*KEPT).join(pivots, "region").join(distance, ["pivot", "node"])
+    far = far.groupBy(*KEPT).agg(F.sort_array(F.collect_list(F.struct("d", "pivot"))).alias("to"))  # as many as pivots
     far = far.where(F.col("to")[0]["d"] > 0)  # pivots are done
     near = F.filter("to", lambda x: x["d"] - F.col("to")[0]["d"] <= 2 * tau + 1e-9)
-    out = far.select("region", "node", "n", "own", F.posexplode(near).alias("rank", "x"))
-    return out.select(F.xxhash64("region", "x.pivot").alias("region"), "node", "n", "own", (F.col("rank") == 0).alias("home"), F.col("x.d").alias("d"))
+    out = far.select(*KEPT, F.posexplode(near).alias("place", "x"))
+    return out.select(F.xxhash64("region", "x.pivot").alias("region"), *KEPT[1:], (F.col("place") == 0).alias("home"), F.col("x.d").alias("d"))
 
 
 def windowed(rows: DataFrame, tau: float) -> DataFrame:
@@ -312,59 +326,61 @@ def windowed(rows: DataFrame, tau: float) -> DataFrame:
     return rows.join(held, ["region", "band"]).drop("band", "lo", "hi", "o", "h")
 
 
-def redealt(rows: DataFrame, sets: DataFrame, percent: int, salt: int) -> DataFrame:
-    """The same rows in the cells of a new projection, region by region; those with too few shared cells leave."""
-
-    def task(batches):
-        for batch in batches:
-            blobs = [np.frombuffer(x.as_buffer(), tv.U64) for x in batch["shingles"]]
-            h, of = np.concatenate([tv.U64([]), *blobs]), np.concatenate([[0], np.cumsum([len(x) for x in blobs])]).astype(np.int64)
-            rest = batch.drop_columns(["shingles", "own"])
-            for own, cell, text, need in cells_of(h, of, percent, salt):
-                yield pa.record_batch([*rest.take(pa.array(text)).columns, pa.array(np.full(len(text), own)), pa.array(cell.view(np.int64)), pa.array(need[text])], [*rest.schema.names, "own", "cell", "need"])
+def promising(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of different components whose sizes and shared cells leave a link possible.
 
-    dealt = rows.drop("d").join(sets, "node").mapInArrow(task, "node long, region long, n long, home boolean, component long, own boolean, cell long, need long")
-    dealt = dealt.withColumn("region", F.xxhash64("region", "cell")).drop("cell")
-    for _ in range(2):
-        held = dealt.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("own").alias("o")).where("lo <> hi and o").select("region")
-        dealt = dealt.join(held, "region")
-    counted = dealt.groupBy("node", "own").agg(F.count("*").alias("held"))  # over all its regions: at least that of each
-    return dealt.join(counted, ["node", "own"]).where("held >= need").select("region", "node", "n", "own", "home", F.lit(None).cast("double").alias("d"), "component")
+    In each shared cell a linked pair meets once: where the smaller name is at home.  Where a document has
+    ``full`` cells, at most as many of them as shingles differ are not shared.
+    """
+    side = lambda c: rows.select("region", F.col("node").alias(c), *(F.col(x).alias(x + c) for x in ("n", "own", "full", "home", "d", "component")))
+    tau = 1 - percent / 100
+    window = F.coalesce(F.abs(F.col("da") - F.col("db")) <= tau + 1e-9, F.lit(True))
+    fit = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+    met = side("a").join(side("b"), "region").where((F.col("a") < F.col("b")) & (F.col("componenta") != F.col("componentb")) & (F.col("owna") | F.col("ownb")) & F.col("homea") & window & fit)
+    shared = met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("na").alias("na"), F.max("nb").alias("nb"), F.greatest(F.max("fulla"), F.max("fullb")).alias("full"))
+    differ = F.floor((F.col("na") + F.col("nb")) * (100 - percent) / (100 + percent) + 1e-9)
+    return shared.where(F.col("shared") >= F.col("full") - differ).select("a", "b")
 
 
 def joined(rows: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """(node, component) of all nodes of ``sets``; ``rows`` has region (a cell), node, n, own."""
+    """(node, component) of all nodes of ``sets``; ``rows`` has region (a cell), node, n, own, full, rank, first."""
     tau = 1 - percent / 100
-    label = sets.select("node", F.col("node").alias("component"))
-    rows = rows.withColumn("component", F.col("node"))
     link = F.col("both") * 100 >= F.col("either") * percent
-    level, budget = 0, PAIRS_PER_ROW * rows.count()
-    while True:
-        pivots = scratch.put("pivots", chosen(rows, PIVOTS if level else 1))
+    budget = PAIRS_PER_ROW * rows.count()
+
+    def distances(rows: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+        """(pivots, measured pairs of each member and pivot)."""
+        pivots = scratch.put("pivots", chosen(rows, most))
         met = rows.select("region", "node").join(pivots, "region").where("node <> pivot")
         pairs = scratch.put("pairs", met.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct())
-        found = scratch.put("found", measured(pairs, sets))
+        return pivots, scratch.put("found", measured(pairs, sets))
+
+    label = sets.select("node", F.col("node").alias("component"))
+    _, found = distances(rows.where("first").withColumn("component", F.col("node")), 1)
+    label = relabelled(label, found.where(link).select("a", "b"), scratch)
+    rows = rows.drop("first").withColumns({"cell": F.col("region"), "home": F.lit(True), "d": F.lit(None).cast("double")})
+    open_ = rows.join(label, "node")
+    rows = scratch.put("rows", open_.join(apart(open_).select("region"), "region"))
+    before = None
+    while True:
+        sizes = scratch.put("sizes", apart(rows))
+        pairs = sizes.agg(F.coalesce(F.sum("pairs"), F.lit(0.0))).first()[0]
+        if pairs <= budget or (before is not None and pairs > 0.75 * before):
+            break  # the rest is measured, however much it is
+        before = pairs
+        hot = sizes.where(F.col("pairs") > HOT * F.col("members")).select("region")
+        cut = rows.join(hot, "region", "left_semi")
+        pivots, found = distances(cut, PIVOTS)
         label = relabelled(label, found.where(link).select("a", "b"), scratch)
         gap = (1 - F.col("both") / F.col("either")).alias("d")
         distance = found.select(F.col("a").alias("pivot"), F.col("b").alias("node"), gap).unionByName(found.select(F.col("b").alias("pivot"), F.col("a").alias("node"), gap))
         distance = distance.unionByName(pivots.select("pivot", F.col("pivot").alias("node"), F.lit(0.0).alias("d")).distinct())
-        below = voronoi(rows, pivots, distance, tau).join(label, "node")
-        rows = scratch.put("rows", windowed(below, tau))
-        sizes = rows.groupBy("region").agg(F.count("*").alias("m"))
-        size = sizes.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("rows"), F.sum(F.col("m") * (F.col("m") - 1) / 2).alias("pairs")).first()
-        if not size["rows"]:
-            return label
-        if size["pairs"] <= budget:
-            break
-        level += 1
-        hot = sizes.where(F.col("m") > HOT).select("region")
-        cool = rows.join(hot, "region", "left_anti")
-        rows = scratch.put("dealt", cool.unionByName(redealt(rows.join(hot, "region", "left_semi"), sets, percent, level)))
-    side = lambda c: rows.select("region", F.col("node").alias(c), *(F.col(x).alias(x + c) for x in ("n", "own", "home", "d", "component")))
-    window = F.coalesce(F.abs(F.col("da") - F.col("db")) <= tau + 1e-9, F.lit(True))
-    fit = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-    left = side("a").join(side("b"), "region").where((F.col("a") < F.col("b")) & (F.col("componenta") != F.col("componentb")) & (F.col("owna") | F.col("ownb")) & (F.col("homea") | F.col("homeb")) & window & fit)
-    found = measured(scratch.put("pairs", left.select("a", "b").distinct()), sets)
+        below = windowed(voronoi(cut, pivots, distance, tau).join(label, "node"), tau)
+        cool = rows.join(hot, "region", "left_anti").drop("component").join(label, "node")
+        rows = scratch.put("rows", cool.unionByName(below.select(cool.columns)))
+    if not pairs:
+        return label
+    found = measured(scratch.put("pairs", promising(rows.join(sizes.select("region"), "region"), percent)), sets)
     return relabelled(label, scratch.put("found", found.where(link).select("a", "b")), scratch)
 
 
@@ -381,7 +397,7 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
     group = ["h1", "h2", "n"]
     reps = seen.where("n > 0 and node is not null").groupBy(*group).agg(F.min(F.struct("node", "chunk")).alias("r"), F.min("key").alias("low")).select(*group, "low", "r.node", "r.chunk")
     found = scratch.put("postings", postings(named, reps, n_chunks, total, k, percent), free=True)
-    cells = found.where("kind < 2").select(F.col("cell").alias("region"), "node", "n", (F.col("kind") == 0).alias("own"))
+    cells = found.where("kind < 2").select(F.col("cell").alias("region"), "node", "n", (F.col("kind") == 0).alias("own"), "full", "rank", "first")
     open_ = cells.groupBy("region").agg(F.count("*").alias("m"), F.max("own").alias("any")).where("m > 1 and any").select("region")
     cells = scratch.put("cells", cells.join(open_, "region"))
     label = joined(cells, found.where("kind = 2").select("node", "shingles"), percent, scratch)
