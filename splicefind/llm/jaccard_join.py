@@ -17,8 +17,10 @@ Jaccard distance d = 1 - |x & y| / |x | y| is a metric.  Two texts link when d <
    each member goes to the Voronoi region of its nearest pivot and is replicated to every region whose
    pivot is at most 2 tau farther; in a region it stays only while the triangle-inequality
    window (distances to the pivot that differ by at most tau) holds a member of another component.
-   Regions recurse while that makes fewer pairs; pivots are done once measured.  Pairs that share as many cells as their
-   sizes ask for are then measured exactly.
+   Regions recurse while that makes fewer pairs; pivots are done once measured.
+   What is left in small regions meets there, at most ``HOT`` pairs a member.  The members of large ones (near copies of one
+   text, too far apart to link and too close for any window) are compared in blocks of bounded size by one byte a part:
+   no pair is emitted unless as many parts agree as a link must share.  Pairs that share enough are measured exactly.
 4. Links are contracted onto the labels so far by alternating large and small stars, in tables on the
    shared folder; a superseded table is deleted.
 
@@ -49,7 +51,8 @@ K = 5
 PERCENT = 80
 PAIRS_PER_ROW = 4
 PIVOTS = 8
-HOT = 64  # pairs a member beyond which a region is cut
+HOT = 4  # pairs a member beyond which a region is cut, or compared in blocks
+BLOCK = 1024
 MOST_BROADCAST = 1_000_000
 CELLS_PER_BYTE = 0.15  # a word takes about six bytes and a shingle enters about 0.7 cells
 
@@ -91,9 +94,10 @@ def sets_of(buf: np.ndarray, offs: np.ndarray, k: int = K) -> tuple[np.ndarray,
 
 
 def cells_of(h: np.ndarray, of: np.ndarray, percent: int):
-    """Per band (own, then the one below): (is it the own one, cells, their texts, need and cells of each text).
+    """Per band (own, then the one below): (is it the own one, cells, their texts, and of each text need, cells, band, parts).
 
-    The number of cells is 0 where empty parts count, too: it then bounds nothing.
+    The number of cells is 0 where empty parts count, too: it then bounds nothing.  The parts are
+    one byte each (0: empty), end to end, with where each text's start.
     """
     n = np.diff(of)
     bands = size_bands(int(n.max(initial=1)), percent)
@@ -119,7 +123,7 @@ def cells_of(h: np.ndarray, of: np.ndarray, percent: int):
         need = m - differing(n, largest, percent) - empty
         # where a link could rest on empty parts alone, they are cells, too
         keep = (sums != 0) | (need <= 0)[owner]
-        yield back == 0, tv.mix(sums[keep] ^ tv.mix(place[keep] ^ name[owner[keep]])), owner[keep], np.maximum(need, 1), np.where(need > 0, m - empty, 0)
+        yield back == 0, tv.mix(sums[keep] ^ tv.mix(place[keep] ^ name[owner[keep]])), owner[keep], np.maximum(need, 1), np.where(need > 0, m - empty, 0), band, (np.where(sums != 0, 1 + (tv.mix(sums) >> tv.U64(32)) % tv.U64(255), 0).astype(np.uint8), start)
 
 
 def marks(h: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -171,7 +175,7 @@ def representatives(block: pa.Table, right: pa.Table, k: int):
 
 
 def postings(docs: DataFrame, reps: DataFrame, n_chunks: int, total: int, k: int, percent: int) -> DataFrame:
-    """Rows (cell, node, set size) of shared cells, kind 0 of the own band, 1 of the one below; kind 2: the sets of documents in them."""
+    """Rows (cell, node, set size) of shared cells, kind 0 of the own band, 1 of the one below; kind 2: the sets of documents in them, kind 3: their parts in a band."""
     n_buckets = 1 << (parts_for(int(total * CELLS_PER_BYTE), BUCKET_ROWS) - 1).bit_length()
     chunks = docs.select("node", "chunk", "text").where("node is not null").repartition(n_chunks, "chunk")
     own = reps.select("chunk", "node", F.col("h1").alias("mark"))
@@ -195,12 +199,18 @@ def postings(docs: DataFrame, reps: DataFrame, n_chunks: int, total: int, k: int
     def emit(key_, left, right):
         is_rep = np.asarray(right["bucket"].to_numpy()) < 0
         wanted = wanted_keys(right.filter(pa.array(~is_rep)), n_buckets)
-        parts = {"kind": [np.int32([])], "cell": [np.int64([])], "node": [np.int64([])], "n": [np.int64([])], "full": [np.int64([])], "rank": [np.float64([])], "first": [np.zeros(0, bool)]}
+        parts = {"kind": [np.int32([])], "cell": [np.int64([])], "node": [np.int64([])], "n": [np.int64([])], "full": [np.int64([])], "rank": [np.float64([])], "first": [np.zeros(0, bool)], "band": [np.int32([])]}
         blobs: list = []
         for nodes, h, of in representatives(left, right.filter(pa.array(is_rep)), k):
             n = np.diff(of)
             met = np.zeros(len(n), dtype=bool)
-            for own, cell, text, need, full in cells_of(h, of, percent):
+
+            def add(kind: int, text: np.ndarray, nodes=nodes, n=n, **more) -> None:
+                for c, x in parts.items():
+                    value = {"kind": kind, "node": nodes[text], "n": n[text], **more}.get(c, 0)
+                    x.append(np.broadcast_to(np.asarray(value).astype(x[0].dtype), len(text)))
+
+            for own, cell, text, need, full, band, (sign, start) in cells_of(h, of, percent):
                 every = np.maximum(np.bincount(text, minlength=len(n)), 1)
                 hit = among(widened(cell, n_buckets), wanted)
                 cell, text = cell[hit], text[hit]
@@ -213,18 +223,17 @@ def postings(docs: DataFrame, reps: DataFrame, n_chunks: int, total: int, k: int
                 cell, text = cell[order], text[order]
                 begin = np.searchsorted(text, np.arange(len(n)))
                 first = np.arange(len(cell)) - begin[text] <= (held - need)[text]
-                new = {"kind": np.full(len(cell), 0 if own else 1), "cell": cell.view(np.int64), "node": nodes[text], "n": n[text], "full": full[text], "rank": -(held / every)[text], "first": first}
-                for c, x in new.items():
-                    parts[c].append(x.astype(parts[c][0].dtype))
+                add(kind=0 if own else 1, text=text, cell=cell.view(np.int64), full=full[text], rank=-(held / every)[text], first=first, band=band[text])
                 blobs += [None] * len(cell)
+                there = np.unique(text)
+                add(kind=3, text=there, band=band[there])
+                blobs += [sign[start[i] : start[i + 1]].tobytes() for i in there]
             used = np.flatnonzero(met)
-            zero = np.zeros(len(used), np.int64)
-            for c, x in {"kind": zero + 2, "cell": zero, "node": nodes[used], "n": n[used], "full": zero, "rank": zero, "first": zero}.items():
-                parts[c].append(x.astype(parts[c][0].dtype))
+            add(kind=2, text=used)
             blobs += [h[of[i] : of[i + 1]].tobytes() for i in used]
         return pa.table({**{c: np.concatenate(x) for c, x in parts.items()}, "shingles": pa.array(blobs, pa.binary())})
 
-    return chunks.groupBy("chunk").cogroup(hints.groupBy("chunk")).applyInArrow(emit, "kind int, cell long, node long, n long, full long, rank double, first boolean, shingles binary")
+    return chunks.groupBy("chunk").cogroup(hints.groupBy("chunk")).applyInArrow(emit, "kind int, cell long, node long, n long, full long, rank double, first boolean, band int, shingles binary")
 
 
 def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -296,7 +305,7 @@ def apart(rows: DataFrame) -> DataFrame:
     return size.select("region", "members", ((F.col("members") * F.col("members") - F.col("same")) / 2).alias("pairs")).where("own and pairs > 0")
 
 
-KEPT = ["region", "cell", "node", "n", "own", "full", "rank"]
+KEPT = ["region", "band", "node", "n", "own", "full", "rank"]
 
 
 def voronoi(rows: DataFrame, pivots: DataFrame, distance: DataFrame, tau: float) -> DataFrame:
@@ -318,19 +327,20 @@ def windowed(rows: DataFrame, tau: float) -> DataFrame:
 
     The window is looked at in bands of width tau: partners lie in one band or in neighbours.
     """
-    band = F.floor(F.col("d") / max(tau, 1e-9) + 1e-9)
-    rows = rows.withColumn("band", band)
-    held = rows.groupBy("region", "band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("own").alias("o"), F.max("home").alias("h"))
-    held = held.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
-    held = held.groupBy("region", "band").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("o").alias("o"), F.max("h").alias("h")).where("lo <> hi and o and h")
-    return rows.join(held, ["region", "band"]).drop("band", "lo", "hi", "o", "h")
+    ring = F.floor(F.col("d") / max(tau, 1e-9) + 1e-9)
+    rows = rows.withColumn("ring", ring)
+    held = rows.groupBy("region", "ring").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("own").alias("o"), F.max("home").alias("h"))
+    held = held.withColumn("ring", F.explode(F.array(F.col("ring") - 1, F.col("ring"), F.col("ring") + 1)))
+    held = held.groupBy("region", "ring").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("o").alias("o"), F.max("h").alias("h")).where("lo <> hi and o and h")
+    return rows.join(held, ["region", "ring"]).drop("ring", "lo", "hi", "o", "h")
 
 
 def promising(rows: DataFrame, percent: int) -> DataFrame:
     """(a, b) of different components whose sizes and shared cells leave a link possible.
 
     In each shared cell a linked pair meets once: where the smaller name is at home.  Where a document has
-    ``full`` cells, at most as many of them as shingles differ are not shared.
+    ``full`` cells, at most as many of them as shingles differ are not shared.  (A pair that also meets in a
+    large region may fall short here; it is found there.)
     """
     side = lambda c: rows.select("region", F.col("node").alias(c), *(F.col(x).alias(x + c) for x in ("n", "own", "full", "home", "d", "component")))
     tau = 1 - percent / 100
@@ -342,8 +352,45 @@ def promising(rows: DataFrame, percent: int) -> DataFrame:
     return shared.where(F.col("shared") >= F.col("full") - differ).select("a", "b")
 
 
-def joined(rows: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """(node, component) of all nodes of ``sets``; ``rows`` has region (a cell), node, n, own, full, rank, first."""
+def promising_in_blocks(rows: DataFrame, parts: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """The same of large regions, without making pairs: regions of one main component and band go together.
+
+    The members of other components are held against all members, block by block of at most about
+    ``BLOCK`` rows a side, by how many of their parts agree.
+    """
+    main = rows.groupBy("region", "component").agg(F.count("*").alias("m")).groupBy("region").agg(F.max(F.struct("m", "component"))["component"].alias("main"))
+    rows = rows.join(main, "region").select("main", "band", "node", "n", "own", "component").distinct()
+    rows = scratch.put("large", rows.join(parts, ["node", "band"]))
+    blocks = lambda c: F.ceil(c / BLOCK).cast("int")
+    odd = F.col("component") != F.col("main")
+    sizes = rows.groupBy("main", "band").agg(blocks(F.sum(odd.cast("long"))).alias("odd_blocks"), blocks(F.count("*")).alias("all_blocks")).where("odd_blocks > 0")
+    rows = rows.join(sizes, ["main", "band"])
+    slot = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = rows.where(odd).withColumn("i", slot("odd_blocks")).withColumn("j", every("all_blocks"))
+    right = rows.withColumn("j", slot("all_blocks")).withColumn("i", every("odd_blocks"))
+    key = ["main", "band", "i", "j"]
+
+    def task(left, right):
+        right = right.rename_columns([c.rstrip("_") for c in right.column_names])
+        if not len(left) or not len(right):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        (a, na, oa, ca, x), (b, nb, ob, cb, y) = ([t[c].to_numpy() for c in ("node", "n", "own", "component")] + [np.frombuffer(b"".join(t["parts"].to_pylist()), np.uint8).reshape(len(t), -1)] for t in (left, right))
+        agree = np.zeros((len(a), len(b)), np.int32)
+        for k in range(x.shape[1]):
+            agree += x[:, k, None] == y[None, :, k]
+        low, high = np.minimum(na[:, None], nb), np.maximum(na[:, None], nb)
+        ok = (agree >= x.shape[1] - differing(low, high, percent)) & (low * 100 >= high * percent) & (ca[:, None] != cb) & (oa[:, None] | ob)
+        i, j = np.nonzero(ok)
+        return pa.table({"a": np.minimum(a[i], b[j]), "b": np.maximum(a[i], b[j])})
+
+    columns = [*key, "node", "n", "own", "component", "parts"]
+    other = right.select([F.col(c).alias(f"{c}_") for c in columns])  # two sides of one table need names of their own
+    return left.select(columns).groupBy(*key).cogroup(other.groupBy(*[f"{c}_" for c in key])).applyInArrow(task, "a long, b long")
+
+
+def joined(rows: DataFrame, sets: DataFrame, parts: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(node, component) of all nodes of ``sets``; ``rows`` has region (a cell), band, node, n, own, full, rank, first."""
     tau = 1 - percent / 100
     link = F.col("both") * 100 >= F.col("either") * percent
     budget = PAIRS_PER_ROW * rows.count()
@@ -358,17 +405,18 @@ def joined(rows: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) ->
     label = sets.select("node", F.col("node").alias("component"))
     _, found = distances(rows.where("first").withColumn("component", F.col("node")), 1)
     label = relabelled(label, found.where(link).select("a", "b"), scratch)
-    rows = rows.drop("first").withColumns({"cell": F.col("region"), "home": F.lit(True), "d": F.lit(None).cast("double")})
-    open_ = rows.join(label, "node")
+    open_ = rows.drop("first").withColumns({"home": F.lit(True), "d": F.lit(None).cast("double")}).join(label, "node")
     rows = scratch.put("rows", open_.join(apart(open_).select("region"), "region"))
     before = None
     while True:
         sizes = scratch.put("sizes", apart(rows))
         pairs = sizes.agg(F.coalesce(F.sum("pairs"), F.lit(0.0))).first()[0]
+        if not pairs:
+            return label
+        hot = sizes.where(F.col("pairs") > HOT * F.col("members")).select("region")
         if pairs <= budget or (before is not None and pairs > 0.75 * before):
-            break  # the rest is measured, however much it is
+            break
         before = pairs
-        hot = sizes.where(F.col("pairs") > HOT * F.col("members")).select("region")
         cut = rows.join(hot, "region", "left_semi")
         pivots, found = distances(cut, PIVOTS)
         label = relabelled(label, found.where(link).select("a", "b"), scratch)
@@ -378,9 +426,9 @@ def joined(rows: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) ->
         below = windowed(voronoi(cut, pivots, distance, tau).join(label, "node"), tau)
         cool = rows.join(hot, "region", "left_anti").drop("component").join(label, "node")
         rows = scratch.put("rows", cool.unionByName(below.select(cool.columns)))
-    if not pairs:
-        return label
-    found = measured(scratch.put("pairs", promising(rows.join(sizes.select("region"), "region"), percent)), sets)
+    rows = rows.join(sizes.select("region"), "region")
+    near = promising(rows.join(hot, "region", "left_anti"), percent).unionByName(promising_in_blocks(rows.join(hot, "region", "left_semi"), parts, percent, scratch))
+    found = measured(scratch.put("pairs", near.distinct()), sets)
     return relabelled(label, scratch.put("found", found.where(link).select("a", "b")), scratch)
 
 
@@ -397,13 +445,25 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
     group = ["h1", "h2", "n"]
     reps = seen.where("n > 0 and node is not null").groupBy(*group).agg(F.min(F.struct("node", "chunk")).alias("r"), F.min("key").alias("low")).select(*group, "low", "r.node", "r.chunk")
     found = scratch.put("postings", postings(named, reps, n_chunks, total, k, percent), free=True)
-    cells = found.where("kind < 2").select(F.col("cell").alias("region"), "node", "n", (F.col("kind") == 0).alias("own"), "full", "rank", "first")
+    cells = found.where("kind < 2").select(F.col("cell").alias("region"), "node", "n", (F.col("kind") == 0).alias("own"), "full", "rank", "first", "band")
     open_ = cells.groupBy("region").agg(F.count("*").alias("m"), F.max("own").alias("any")).where("m > 1 and any").select("region")
     cells = scratch.put("cells", cells.join(open_, "region"))
-    label = joined(cells, found.where("kind = 2").select("node", "shingles"), percent, scratch)
+    sets, parts = found.where("kind = 2").select("node", "shingles"), found.where("kind = 3").select("node", "band", F.col("shingles").alias("parts"))
+    label = joined(cells, sets, parts, percent, scratch)
     whole = reps.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     # the smallest key of a component: its name, but for hashed ones
     lowest = F.col("component").cast(docs.schema[key].dataType) if plain else F.min("low").over(W.partitionBy("component"))
     out = seen.join(whole.select(*group, lowest.alias("lowest")), group, "left")
     component = F.when(F.col("key").isNotNull(), F.coalesce("lowest", "key"))
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, md5(array_to_string(list_slice(ws, i, i + least(5, len(ws)) - 1), ' ')) AS h, least(5, len(ws)) AS k FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM s a JOIN s b ON a.h = b.h AND a.k = b.k GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both >= 80 * (x.n + y.n - both)),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), c AS (SELECT a AS doc_id, min(b) AS c FROM r GROUP BY a)
+SELECT w.doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, w.doc_id) AS component_id FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN c ON c.doc_id = w.doc_id
+"""
