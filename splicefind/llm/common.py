@@ -92,6 +92,14 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names with as many leading underscores as keep them apart from ``columns``."""
+    lead = "_"
+    while any(lead + n in columns for n in names):
+        lead += "_"
+    return [lead + n for n in names]
+
+
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
     """Bytes of all texts: the figure that partition counts are derived from."""
     return docs.agg(F.sum(F.octet_length(text)).alias("n")).first().n or 0

@@ -12,7 +12,8 @@ each other in any order instead.  The benchmark is sent in slices of bounded siz
 
 Defined cases: null or wordless texts have no words and no hits; wordless items have no
 window and never occur; repeated items each count; items shorter than a window are one
-window; repeated documents are judged one by one.
+window; repeated documents are judged one by one; keys may be of any type, null ones stay null.  Only the key and
+the result columns are returned, so extra columns never clash.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from .common import parts_for, stored, text_bytes
 
 WINDOW = 10
 SLICE_BYTES = 8 << 20
-INDEX_SCHEMA = "segment string, keys binary, word_of binary, terms binary, term_of binary, positions binary"
+INDEX_SCHEMA = "segment string, keys array<{}>, word_of binary, terms binary, term_of binary, positions binary"
 
 
 def tokens(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -37,23 +38,23 @@ def tokens(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per segment; ``keys`` are the 64-bit ids of its documents in order."""
+    """One row per segment; ``keys`` are the keys of its documents in order."""
 
     def task(batches):
         import uuid
 
         for batch in batches:
-            ids = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), dtype=np.int64)
             for lo, hi, buf, offs in tv.blocks(batch, "text"):
                 words, of = tokens(buf, offs)
                 order = np.argsort(words, kind="stable")
                 ranked = words[order]
                 first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(ranked) else np.zeros(0, dtype=np.int64)
-                parts = (ids[lo:hi], of.astype(np.int32), ranked[first], np.append(first, len(ranked)).astype(np.int32), order.astype(np.int32))
-                yield pa.record_batch([pa.array([uuid.uuid4().hex]), *(tv.blob_list([x]) for x in parts)], ["segment", "keys", "word_of", "terms", "term_of", "positions"])
+                keys = pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), batch.column(0).slice(lo, hi - lo))
+                parts = (of.astype(np.int32), ranked[first], np.append(first, len(ranked)).astype(np.int32), order.astype(np.int32))
+                yield pa.record_batch([pa.array([uuid.uuid4().hex]), keys, *(tv.blob_list([x]) for x in parts)], ["segment", "keys", "word_of", "terms", "term_of", "positions"])
 
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    return rows.mapInArrow(task, INDEX_SCHEMA)
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    return rows.mapInArrow(task, INDEX_SCHEMA.format(rows.schema["key"].dataType.simpleString()))
 
 
 class Segment:
@@ -61,7 +62,7 @@ class Segment:
 
     def __init__(self, row: dict):
         get = lambda name, kind: np.frombuffer(row[name], dtype=kind)
-        self.keys, self.word_of, self.terms, self.term_of, self.positions = get("keys", np.int64), get("word_of", np.int32), get("terms", tv.U64), get("term_of", np.int32), get("positions", np.int32)
+        self.word_of, self.terms, self.term_of, self.positions = get("word_of", np.int32), get("terms", tv.U64), get("term_of", np.int32), get("positions", np.int32)
         self.n = len(self.positions)
         self._at = None
 
@@ -169,7 +170,7 @@ def slices(benchmark: DataFrame, item: str, text: str, window: int | None):
         yield ids, np.array(item_of, dtype=np.int64), np.concatenate(phrases) if phrases else np.zeros(0, tv.U64), np.concatenate([[0], np.cumsum(lens)]).astype(np.int64)
 
 
-HITS = "segment string, row int, key long, n_words long, items array<string>, starts array<int>, ends array<int>"
+HITS = "segment string, row int, key {}, n_words long, items array<string>, starts array<int>, ends array<int>"
 
 
 def search(index: DataFrame, benchmark: DataFrame, item: str = "item_id", text: str = "text", window: int | None = WINDOW, within: int | None = None) -> DataFrame:
@@ -185,7 +186,7 @@ def search(index: DataFrame, benchmark: DataFrame, item: str = "item_id", text:
             ids, item_of, phrase, of = sent.value
             names = np.array([*ids, ""], dtype=object)
             for batch in batches:
-                for row in batch.to_pylist():
+                for row, keys in zip(batch.drop_columns(["keys"]).to_pylist(), batch.column("keys")):
                     seg = Segment(row)
                     if within is None:
                         which, start = seg.phrases(phrase, of)
@@ -195,7 +196,7 @@ def search(index: DataFrame, benchmark: DataFrame, item: str = "item_id", text:
                         end = start + 1
                     doc = seg.doc(start)
                     pairs = np.unique(np.stack([doc, item_of[which]], axis=1), axis=0) if len(doc) else np.zeros((0, 2), dtype=np.int64)
-                    n = len(seg.keys)
+                    n = len(keys.values)
                     cut = np.searchsorted(pairs[:, 0], np.arange(n + 1)).astype(np.int32)
                     # overlapping hits of a document become one range
                     hit = tv.covered(seg.n, start, end - start) if len(start) else np.zeros(seg.n, dtype=bool)
@@ -207,14 +208,14 @@ def search(index: DataFrame, benchmark: DataFrame, item: str = "item_id", text:
                     base = np.repeat(seg.word_of[:-1], np.diff(per))
                     yield pa.record_batch(
                         [
-                            pa.array([row["segment"]] * n, pa.string()), pa.array(np.arange(n, dtype=np.int32)), pa.array(seg.keys), pa.array(np.diff(seg.word_of).astype(np.int64)),
+                            pa.array([row["segment"]] * n, pa.string()), pa.array(np.arange(n, dtype=np.int32)), keys.values, pa.array(np.diff(seg.word_of).astype(np.int64)),
                             pa.ListArray.from_arrays(pa.array(cut), pa.array(names[pairs[:, 1]].tolist(), pa.string())),
                             pa.ListArray.from_arrays(pa.array(per), pa.array((begins - base).astype(np.int32))), pa.ListArray.from_arrays(pa.array(per), pa.array((stops - base).astype(np.int32))),
                         ],
                         ["segment", "row", "key", "n_words", "items", "starts", "ends"],
                     )
 
-        rows = index.mapInArrow(task, HITS)
+        rows = index.mapInArrow(task, HITS.format(index.schema["keys"].dataType.elementType.simpleString()))
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -236,3 +237,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     else:
         hits = hits.withColumn("ranges", ranges)
     return hits.select(F.col("key").alias(key), "n_words", union_length(F.col("ranges")).cast("long").alias("n_hit"), F.array_sort("items").alias("items"), "ranges")
+
+
+ORACLE_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+n AS (SELECT item_id, ws, least(10, len(ws)) AS k FROM b WHERE len(ws) > 0),
+win AS (SELECT DISTINCT item_id, k, list_slice(ws, i, i + k - 1) AS s FROM (SELECT *, unnest(range(1, len(ws) - k + 2)) AS i FROM n)),
+pos AS (SELECT doc_id, k, i, list_slice(ws, i, i + k - 1) AS s FROM (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM n) WHERE len(ws) >= k)),
+hit AS (SELECT doc_id, item_id, pos.k, i FROM pos JOIN win ON pos.k = win.k AND pos.s = win.s),
+h AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM hit) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n, string_agg(x, ',' ORDER BY x) AS s FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(t.n, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+"""

@@ -2,8 +2,8 @@
 
 Training counts (language, bucket) per task in numpy and sums them in one small
 aggregation; the log-probability matrix has a fixed number of buckets and as many rows
-as languages, so its size is proven before it is broadcast (``most_bytes``; beyond that
-the number of buckets is halved until it fits).  Scoring reads each text once.
+as languages, so its size is checked before anything is collected or broadcast (with more
+languages than ``most_bytes`` has room for, fitting stops with an error).  Scoring reads each text once.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; without any
 training text every text is ``und``; ties go to the language that sorts first.  Null
@@ -99,10 +99,11 @@ def counts(docs: DataFrame, text: str, lang: str, n_buckets: int = BUCKETS, orde
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", orders=ORDERS, alpha: float = 0.5, most_bytes: int = MOST_BYTES) -> dict:
     """The model: languages, log priors and the (buckets + 1, languages) log-probability matrix."""
-    langs = sorted(r[0] for r in docs.select(F.col(lang).cast("string").alias("lang")).where("lang is not null").distinct().collect())
     n_buckets = BUCKETS
-    while n_buckets > 256 and n_buckets * max(1, len(langs)) * 4 > most_bytes:
-        n_buckets //= 2
+    room = most_bytes // (4 * n_buckets)
+    n_langs = docs.select(F.col(lang).cast("string").alias("lang")).where("lang is not null").distinct().count()
+    if n_langs > room:
+        raise ValueError(f"{n_langs} languages need more than most_bytes = {most_bytes} (room for {room})")
     got: pd.DataFrame = counts(docs, text, lang, n_buckets, orders).toPandas()
     langs = sorted(set(got["lang"])) if len(got) else []
     total = np.zeros((n_buckets, len(langs)))

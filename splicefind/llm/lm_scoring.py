@@ -143,11 +143,16 @@ def gram_counts(docs: DataFrame, text: str, n_buckets: int, order: int = ORDER)
 
 
 def pairs_of(nodes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams of 2 symbols with their counts, on the driver: at most 257 * 257."""
-    keys, counts = np.zeros(0, tv.U64), np.zeros(0, np.int64)
-    for r in nodes.where("size = 2").toLocalIterator():
-        keys, counts = summed(np.concatenate([keys, np.frombuffer(r["keys"], tv.U64)]), np.concatenate([counts, np.frombuffer(r["counts"], np.int64)]))
-    return keys, counts
+    """The n-grams of 2 symbols with their counts, summed by Spark: at most 257 * 257 rows reach the driver."""
+
+    def task(batches):
+        for batch in batches:
+            for k, n in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist()):
+                yield pa.record_batch([pa.array(np.frombuffer(k, np.int64)), pa.array(np.frombuffer(n, np.int64))], ["key", "n"])
+
+    rows = nodes.where("size = 2").select("keys", "counts").mapInArrow(task, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    got = rows.toArrow()
+    return summed(got["key"].to_numpy().view(tv.U64), got["n"].to_numpy().astype(np.int64))
 
 
 def gram_scores(chunks: DataFrame, nodes: DataFrame, text: str, n_buckets: int, order: int = ORDER) -> DataFrame:
@@ -377,7 +382,8 @@ def lm_scoring(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     total = text_bytes(rows)
     n_buckets = min(1 << 20, 1 << (parts_for(total, BUCKET_BYTES) - 1).bit_length())
-    chunks, _ = chunked(rows, "key", total)
+    chunks, n_chunks = chunked(rows, "key", "text", total)
+    chunks = chunks.repartition(n_chunks, "chunk")
     counted = corpus_counts(vocabularies(chunks, "text", n_buckets))
     nodes = stored(gram_counts(rows.where(~F.col("held_out")), "text", n_buckets, order))
     logs_of = gram_scores(chunks, nodes, "text", n_buckets, order)

@@ -9,7 +9,7 @@ a list of slots (length, range of ranks -> sequences, offset); a piece takes the
 its rank among the pieces of its length, which two small aggregations give.
 
 Defined cases: null and empty texts are one piece of the end id alone; repeated rows
-are packed each; no rows give no sequences.
+are packed each; null keys stay null; no rows give no sequences.  Keys must be integers (others fail in the cast).
 """
 
 from __future__ import annotations
@@ -110,7 +110,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndarra
 def assign(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS) -> DataFrame:
     """``pieces`` (stored) with sequence_id and offset."""
     groups = parts_for(pieces.count(), group_rows)
-    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("key", "piece"), F.lit(groups)).cast("int"))
+    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("key", "piece", "length", "ids_crc32"), F.lit(groups)).cast("int"))
     per = dealt.groupBy("group", "length").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in per.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     slots, _ = plan(histogram, capacity)
@@ -121,7 +121,7 @@ def assign(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_
     firsts = per.select("group", F.col("length").alias("of_length"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
 
     def task(key, left, right):
-        key_, piece, length = (left[c].to_numpy() for c in ("key", "piece", "length"))
+        key_, piece, length = (left[c].fill_null(0).to_numpy() for c in ("key", "piece", "length"))
         order = np.lexsort((left["ids_crc32"].to_numpy(), piece, key_, length))
         ranked = length[order]
         begin = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(ranked) else np.zeros(0, np.int64)

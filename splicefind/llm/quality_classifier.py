@@ -9,7 +9,9 @@
 
 Defined cases: null and empty texts have all statistics 0 and the score these give; null
 labels do not train; without labelled rows, or with one class only, the score is the
-smoothed share of label 1.  Repeated labels of one id each count.
+smoothed share of label 1.  Repeated labels of one id each count, repeated rows are scored one by one.
+Other columns pass through unless they are named held_out, score or predicted, which the result replaces; inner
+columns take names that the caller's do not have.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import words
+from .common import fresh, words
 
 MOST_LABELLED = 20_000
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -26,17 +28,18 @@ DIGITS = "0123456789"
 
 
 def statistics(docs: DataFrame, text: str = "text") -> tuple[DataFrame, list[str]]:
-    """Add the statistics as columns s_*; returns their names too."""
+    """Add the statistics as columns, and a row number; returns the names of all, the row number's last."""
     body = F.coalesce(F.col(text), F.lit(""))
-    out = docs.withColumn("_t", body).withColumn("_w", words(text))
-    count = lambda chars: F.length("_t") - F.length(F.translate("_t", chars, ""))
+    _t, _w = fresh(docs.columns, "text", "words")
+    out = docs.withColumn(_t, body).withColumn(_w, words(text))
+    count = lambda chars: F.length(_t) - F.length(F.translate(_t, chars, ""))
     per = lambda a, b: a / F.greatest(b, F.lit(1))
-    n, chars = F.size("_w"), F.length("_t")
-    twice = F.size(F.filter("_w", lambda w, i: w == F.get("_w", i - 1)))
+    n, chars = F.size(_w), F.length(_t)
+    twice = F.size(F.filter(_w, lambda w, i: w == F.get(_w, i - 1)))
     stats = {
         "s_words": n.cast("double"),
         "s_word_chars": per(chars, n),
-        "s_distinct": per(F.size(F.array_distinct("_w")), n),
+        "s_distinct": per(F.size(F.array_distinct(_w)), n),
         "s_twice": per(twice, n),
         "s_upper": per(count(UPPER), chars),
         "s_digits": per(count(DIGITS), chars),
@@ -46,8 +49,9 @@ def statistics(docs: DataFrame, text: str = "text") -> tuple[DataFrame, list[str
         "s_stops": per(count(".,;:"), n),
         "s_lines": per(count("\n"), n),
     }
-    stats = {k: F.round(v.cast("double"), 6) for k, v in stats.items()}
-    return out.withColumns({**stats, "_row": F.monotonically_increasing_id()}).drop("_t", "_w"), list(stats)
+    names = fresh(docs.columns, *stats, "row")
+    values = [F.round(v.cast("double"), 6) for v in stats.values()]
+    return out.withColumns(dict(zip(names, [*values, F.monotonically_increasing_id()]))).drop(_t, _w), names
 
 
 def grow(x: np.ndarray, gradient: np.ndarray, depth: int, least: int, cuts: list[np.ndarray]) -> list:
@@ -170,16 +174,17 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "quality", key: st
     rows = labelled.where(F.col(label).isNotNull()).select(key, text, F.col(label).cast("int").alias("_y"))
     picked = rows.orderBy(F.xxhash64(key, F.lit(11)), key).limit(most_labelled)
     stats, names = statistics(picked, text)
+    names = names[:-1]
     got = stats.select("_y", *names).toPandas()
     return fit_rules(got[names].to_numpy(dtype=float), (got["_y"].to_numpy() > 0).astype(float)) | {"names": names}
 
 
 def score(docs: DataFrame, model: dict, text: str = "text", threshold: float = 0.3) -> DataFrame:
     """``docs`` with score and predicted."""
-    stats, names = statistics(docs, text)
+    stats, (*names, row) = statistics(docs.drop("score", "predicted"), text)
     # a row number keeps a later filter on the score above the statistics, which would else be
     # worked out again for every rule that names them
-    out = stats.withColumn("score", F.when(F.col("_row") >= 0, compiled(model, names)).otherwise(0.0)).drop("_row", *names)
+    out = stats.withColumn("score", F.when(F.col(row) >= 0, compiled(model, names)).otherwise(0.0)).drop(row, *names)
     return out.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
 
 

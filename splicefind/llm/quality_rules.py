@@ -5,7 +5,7 @@ whole operator is a scan and projections: no shuffle, any size, any skew.
 
 Defined cases: a null or blank text has no words, all counts 0, fails the base rule and
 is not kept.  Repeated rows are judged one by one.  Other columns pass through unless
-they bear the name of a result column, which then replaces them.
+they bear the name of a result column, which then replaces them; inner columns take names that the caller's do not have.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import words
+from .common import fresh, words
 
 # Frequent function words of English, German, French and Spanish.
 STOP_WORDS = (
@@ -54,21 +54,22 @@ def base_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines and n_stop_words."""
     body = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(body, "\n"), lambda x: F.length(F.translate(x, " \t\u000b\f\r", "")) > 0)
-    out = docs.withColumn("_words", words(text)).withColumn("_lines", lines)
-    n = F.size("_words")
-    hashes = F.when(n > WINDOW, F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("_words", i, WINDOW)))).otherwise(F.array().cast("array<bigint>"))
-    out = out.withColumn("_windows", hashes)
+    ws, ls, win = fresh(docs.columns, "words", "lines", "windows")
+    out = docs.withColumn(ws, words(text)).withColumn(ls, lines)
+    n = F.size(ws)
+    hashes = F.when(n > WINDOW, F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(ws, i, WINDOW)))).otherwise(F.array().cast("array<bigint>"))
+    out = out.withColumn(win, hashes)
     return out.withColumns(
         {
             "n_words": n.cast("long"),
             "word_chars": F.length(F.translate(body, " \t\n\u000b\f\r", "")).cast("long"),
             "n_symbols": (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("long"),
-            "n_lines": F.size("_lines").cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_repeat_words": repeated_words(F.col("_words"), F.col("_windows")),
-            "n_stop_words": F.size(F.filter("_words", lambda w: w.isin(*STOP_WORDS))).cast("long"),
+            "n_lines": F.size(ls).cast("long"),
+            "n_dup_lines": (F.size(ls) - F.size(F.array_distinct(ls))).cast("long"),
+            "n_repeat_words": repeated_words(F.col(ws), F.col(win)),
+            "n_stop_words": F.size(F.filter(ws, lambda w: w.isin(*STOP_WORDS))).cast("long"),
         }
-    ).drop("_words", "_lines", "_windows")
+    ).drop(ws, ls, win)
 
 
 def verdict(thresholds=THRESHOLDS) -> Column:

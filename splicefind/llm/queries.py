@@ -91,6 +91,12 @@ def registered() -> dict:
 
 
 def oracles() -> dict[str, str]:
-    from .quality_rules import ORACLE_SQL as op3
-
-    return {"op3_quality_rules": op3}
+    from . import decontaminate, jaccard_join, quality_rules, substring_dedup, url_filter
+
+    return {
+        "op2_jaccard_join": jaccard_join.ORACLE_SQL,
+        "op3_quality_rules": quality_rules.ORACLE_SQL,
+        "op4_decontaminate": decontaminate.ORACLE_SQL,
+        "op5_substring_dedup": substring_dedup.ORACLE_SQL,
+        "op9_url_filter": url_filter.oracle_sql(),
+    }

@@ -1,21 +1,25 @@
 """Substring dedup with a log-structured fingerprint index.
 
 A *run* is an immutable, sorted set of window fingerprints of one chunk of documents,
-cut by fingerprint range into buckets.  Per bucket the runs of the new batch are
-merge-joined with each other and with the historical runs of the index; fingerprints
-that meet are candidates.  Candidates are verified by a second, independent 64-bit hash of
-the same words (over 80 bits with the first), again per bucket, and then the words they
-cover are removed.  ``FingerprintIndex`` keeps the runs of past batches as Parquet and
-compacts them into one run when there are many.
-
-Scale: the texts are dealt once by a hash of their id to chunks of about ``CHUNK_BYTES``
-(that exchange is reused by the three passes); a fingerprint takes 4 bytes in the shuffle
-(its bucket holds the bits above; buckets are of like size at any scale, so the share of
-false candidates is, too), and 10 with the 48 bits of the second hash; a window that occurs thousands of times is in each
-chunk's run at most twice, so no bucket grows with a group of copies.
+cut by fingerprint range into buckets.  ``FingerprintIndex`` keeps runs as Parquet, tier by tier: each
+batch appends its runs, and ``fan_in`` + 1 runs of one tier are compacted into one of the next.
+Per bucket all runs are merge-joined; fingerprints that meet are candidates.  Candidates are
+verified by a second, unrelated 64-bit hash of the same words (over 80 bits with the
+first), again per bucket, and then the words they cover are removed.
+
+A whole corpus goes through the index in ``BATCHES`` batches, and one removal pass follows against the final
+index, as a window of the first batch may recur in the last.  Its runs name their chunk, and verification reads
+the texts again.  With an index of the caller's, only the new batch is cleaned: its runs meet those of past batches,
+which keep the second hashes, as their texts are gone.
+
+Scale: the texts are dealt by a hash of their id and text to chunks of about ``CHUNK_BYTES``;
+a fingerprint takes 4 bytes before compression (its bucket holds the bits above; buckets are of like size at any scale,
+so the share of false candidates is, too), and 10 with the 48 bits of the second hash; a window that occurs thousands of
+times is in each chunk's run at most twice, so no bucket grows with a group of copies.
 
 Defined cases: null and empty texts have no words and stay; texts shorter than a window
-lose nothing (a null text stays null only as an empty one); repeated rows are copies of each other; kept words are joined by one space.  Other columns pass through; n_words and n_removed of the
+lose nothing (a null text stays null only as an empty one); repeated rows are copies of each other, and ids may be null or repeat;
+kept words are joined by one space.  Other columns pass through; n_words and n_removed of the
 caller's are replaced.
 """
 
@@ -27,21 +31,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import by_batches, parts_for, shared_dir, text_bytes
+from .common import by_batches, delete, free_shuffles, parts_for, shared_dir, text_bytes
 
 WINDOW = 35
 CHUNK_BYTES = 8 << 20
 BUCKET_ROWS = 2_000_000
+BATCHES = 3
 SECOND = ~tv.U64(0xFFFF)  # the 48 bits of the second hash that are kept
 RUN = "bucket int, chunk int, bits binary"
 PAIRS = "bucket int, chunk int, bits binary, second binary"
+RUN_COLUMNS = ["bucket", "chunk", "bits"]
 PAIR_NAMES = ["bucket", "chunk", "bits", "second"]
 
 
-def chunked(docs: DataFrame, key: str, total: int, each: int = CHUNK_BYTES) -> tuple[DataFrame, int]:
-    """``docs`` dealt to chunks by a hash of the key, as column chunk; and how many."""
+def chunked(docs: DataFrame, key: str, text: str, total: int, each: int = CHUNK_BYTES) -> tuple[DataFrame, int]:
+    """``docs`` with column chunk, by a hash of key and text (rows of one key are spread); and how many chunks."""
     n = parts_for(total, each)
-    return docs.withColumn("chunk", F.pmod(F.xxhash64(F.col(key)), F.lit(n)).cast("int")).repartition(n, "chunk"), n
+    return docs.withColumn("chunk", F.pmod(F.xxhash64(key, text), F.lit(n)).cast("int")), n
 
 
 def windows_of(buf, offs, window):
@@ -74,11 +80,14 @@ def squeeze(hashes: np.ndarray, n_buckets: int) -> np.ndarray:
 
 
 def pack(bits: np.ndarray) -> bytes:
-    return bits.astype("<u4").tobytes()
+    """Ascending 32-bit numbers as steps, byte plane by byte plane: the upper planes are mostly zero and compress."""
+    steps = np.diff(bits.astype(np.int64), prepend=0).astype("<u4")
+    return steps.view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
-def unpack(bits: bytes) -> np.ndarray:
-    return np.frombuffer(bits, "<u4").astype(tv.U64)
+def unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.int64).astype(tv.U64)
 
 
 def pack48(x: np.ndarray) -> bytes:
@@ -287,41 +296,78 @@ def remove(chunks: DataFrame, repeats: DataFrame, text: str, window: int, n_buck
 
 
 class FingerprintIndex:
-    """Runs of past batches under ``path``: one Parquet folder per run, compacted beyond ``fan_in``."""
+    """Runs under ``path``: one Parquet folder a run, named by its tier; more than ``fan_in`` of a tier become one of the next.
 
-    def __init__(self, spark, path: str | None = None, n_buckets: int = 64, fan_in: int = 4):
-        self.spark, self.path, self.n_buckets, self.fan_in = spark, path or shared_dir(spark), n_buckets, fan_in
-        self.levels: list[str] = []
-
-    def rows(self) -> DataFrame | None:
-        """History as pair rows; chunk -1, as nothing is removed from the past."""
-        return self.spark.read.parquet(*self.levels) if self.levels else None
-
-    def append(self, pairs: DataFrame) -> None:
-        path = f"{self.path}/run-{len(self.levels):06d}-{id(pairs)}"
-        pairs.withColumn("chunk", F.lit(-1)).write.parquet(path)
-        self.levels.append(path)
-        if len(self.levels) > self.fan_in:
-            self.compact()
+    The folder is the whole state, so an index is reopened by its path.  ``n_buckets`` (a power of two) is
+    chosen once, for the size that the corpus is expected to reach, and kept with the runs.
+    """
 
-    def compact(self) -> None:
-        """Merge all runs into one: per bucket sorted, each pair once."""
+    def __init__(self, spark, path: str | None = None, n_buckets: int = 64, fan_in: int = 4):
+        self.spark, self.path, self.fan_in = spark, path or shared_dir(spark), fan_in
+        kept = [n for n in self.folders() if n.startswith("buckets-")]
+        self.n_buckets = int(kept[0].rpartition("-")[2]) if kept else n_buckets
+        if not kept:
+            spark.range(1).write.parquet(f"{self.path}/buckets-{n_buckets}")
+
+    def folders(self) -> list[str]:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        system = where.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return sorted(f.getPath().getName() for f in system.listStatus(where)) if system.exists(where) else []
+
+    @property
+    def levels(self) -> list[str]:
+        """Names of the finished runs: run-<tier>-<number>."""
+        return [n for n in self.folders() if n.startswith("run-") and self._exists(f"{self.path}/{n}/_SUCCESS")]
+
+    def _exists(self, path: str) -> bool:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
+
+    def rows(self, names: list[str] | None = None) -> DataFrame | None:
+        """The rows of all runs; chunk -1 is history, from which nothing is removed."""
+        names = self.levels if names is None else names
+        return self.spark.read.schema(PAIRS).parquet(*(f"{self.path}/{n}" for n in names)) if names else None
+
+    def _next(self, tier: int) -> str:
+        number = max([int(n.rpartition("-")[2]) for n in self.folders() if n.startswith("run-")], default=-1) + 1
+        return f"{self.path}/run-{tier:03d}-{number:06d}"
+
+    def append(self, rows: DataFrame) -> None:
+        """Add the rows of a batch (RUN or PAIRS) as one immutable run, then compact full tiers."""
+        if "second" not in rows.columns:
+            rows = rows.withColumn("second", F.lit(None).cast("binary"))
+        rows.select(PAIR_NAMES).write.option("compression", "zstd").parquet(self._next(0))
+        tier = 0
+        while len(full := [n for n in self.levels if int(n.split("-")[1]) == tier]) > self.fan_in:
+            self.compact(full, tier + 1)
+            tier += 1
+
+    def compact(self, names: list[str] | None = None, tier: int | None = None) -> None:
+        """Merge runs into one: per bucket sorted, each pair of history once, runs of chunks as they are."""
+        names = self.levels if names is None else names
+        tier = max(int(n.split("-")[1]) for n in names) + 1 if tier is None else tier
 
         @by_batches
         def task(key, batches):
             first, second = [], []
             for batch in batches:
-                first += [unpack(x) for x in batch.column("bits").to_pylist()]
-                second += [unpack48(x) for x in batch.column("second").to_pylist()]
-            a, b = np.concatenate(first), np.concatenate(second)
-            order = np.lexsort((b, a))
-            a, b = a[order], b[order]
-            new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-            yield from pair_rows([key[0].as_py()], [-1], [a[new]], [b[new]]).to_batches()
-
-        path = f"{self.path}/compact-{len(self.levels):06d}-{id(self)}-{self.levels[-1].rpartition('-')[2]}"
-        self.rows().groupBy("bucket").applyInArrow(task, PAIRS).write.parquet(path)
-        self.levels = [path]
+                past = np.asarray(batch.column("chunk").to_numpy() < 0)
+                own = batch.filter(pa.array(~past))
+                if own.num_rows:
+                    yield own
+                old = batch.filter(pa.array(past))
+                first += [unpack(x) for x in old.column("bits").to_pylist()]
+                second += [unpack48(x) for x in old.column("second").to_pylist()]
+            if first:
+                a, b = np.concatenate(first), np.concatenate(second)
+                order = np.lexsort((b, a))
+                a, b = a[order], b[order]
+                new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+                yield from pair_rows([key[0].as_py()], [-1], [a[new]], [b[new]]).to_batches()
+
+        self.rows(names).groupBy("bucket").applyInArrow(task, PAIRS).write.option("compression", "zstd").parquet(self._next(tier))
+        for n in names:
+            delete(self.spark, f"{self.path}/{n}")
 
 
 def every_pair(chunks: DataFrame, text: str, window: int, n_buckets: int) -> DataFrame:
@@ -349,23 +395,39 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     """
     own = "chunk" in docs.columns  # a column of the caller's that bears an inner name
     docs = docs.drop("n_words", "n_removed").withColumnsRenamed({"chunk": "_own_chunk"} if own else {})
-    total = text_bytes(docs, text)
-    # a word takes two bytes at least; the usual one about six
-    n_buckets = index.n_buckets if index else 1 << max(0, (parts_for(total // 6, BUCKET_ROWS) - 1).bit_length())
-    n_buckets = min(n_buckets, 1 << 24)
-    chunks, _ = chunked(docs, key, total)
-    batch = runs(chunks, text, window, n_buckets)
-    past = index.rows() if index else None
-    if past is not None:
-        batch = batch.unionByName(past.select("bucket", "chunk", "bits"))
-    pairs = candidate_pairs(chunks, merge_join(batch), text, window, n_buckets)
-    if past is not None:
-        pairs = pairs.unionByName(past)
-    out = remove(chunks, verify(pairs), text, window, n_buckets, verbatim)
-    if index is not None:
-        path = shared_dir(docs.sparkSession)
+    spark, total = docs.sparkSession, text_bytes(docs, text)
+    rows, n_chunks = chunked(docs, key, text, total)
+    chunks = rows.repartition(n_chunks, "chunk")
+    if index is None:
+        # a word takes two bytes at least; the usual one about six
+        n_buckets = min(1 << max(0, (parts_for(total // 6, BUCKET_ROWS) - 1).bit_length()), 1 << 24)
+        whole = FingerprintIndex(spark, n_buckets=n_buckets, fan_in=BATCHES - 1)
+        for k in range(BATCHES):
+            batch = rows.select(text, "chunk").where(F.col("chunk") % BATCHES == k).repartition(parts_for(n_chunks, BATCHES), "chunk")
+            whole.append(runs(batch, text, window, n_buckets))
+            del batch
+            free_shuffles(spark)
+        pairs = candidate_pairs(chunks, merge_join(whole.rows().select(RUN_COLUMNS)), text, window, n_buckets)
+        out = remove(chunks, verify(pairs), text, window, n_buckets, verbatim)
+    else:
+        n_buckets, past = index.n_buckets, index.rows()
+        batch = runs(chunks, text, window, n_buckets)
+        pairs = candidate_pairs(chunks, merge_join(batch.unionByName(past.select(RUN_COLUMNS)) if past else batch), text, window, n_buckets)
+        out = remove(chunks, verify(pairs.unionByName(past) if past else pairs), text, window, n_buckets, verbatim)
+        path = shared_dir(spark)
         out.write.parquet(path)
-        index.append(every_pair(chunks, text, window, n_buckets))
-        out = docs.sparkSession.read.parquet(path)
+        index.append(every_pair(chunks, text, window, n_buckets).withColumn("chunk", F.lit(-1)))
+        out = spark.read.schema(out.schema).parquet(path)
     return out.withColumnsRenamed({"_own_chunk": "chunk"} if own else {})
 
+
+ORACLE_SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+p AS (SELECT doc_id, i, md5(array_to_string(list_slice(ws, i, i + 34), ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM w)),
+r AS (SELECT h FROM p GROUP BY h HAVING count(*) > 1), g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS k FROM p SEMI JOIN r USING (h)),
+gone AS (SELECT doc_id, list(k) AS ks, count(*) AS n FROM g GROUP BY doc_id),
+u AS (SELECT doc_id, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS k FROM w),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY k) AS t FROM u ANTI JOIN g USING (doc_id, k) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""

@@ -1,18 +1,20 @@
 """Token ids in patched frame-of-reference files.
 
-A shard file holds the documents of one id range in ascending order.  Layout, little
-endian: magic ``PFR1``, then int64 counts (documents, ids, blocks, bytes of blocks,
+A shard file holds the documents of one id range in ascending order, those without an id first.  Layout, little
+endian: magic ``PFR2``, then int64 counts (documents, documents without an id, ids, blocks, bytes of blocks,
 exceptions), then the document table (int64 id, int64 number of ids), the start of each
 block in the block area (int64), and per block its minimum (uint32), width (uint8) and
 number of exceptions (uint8), then the block area and the exception lists (position
 uint8, value uint32).  A block is 128 ids less their minimum, packed at the width that
 its 90th percentile needs; the ids that need more are exceptions, stored whole.
 
-Writers write to a temporary name in the shared folder and rename, so a task that runs
-again replaces its own shard.  Files are read back by Spark's binary reader.
+The rows are dealt to shards by ranges of (id, hash of the text), so neither a list of cuts nor a
+manifest passes the driver, and rows of one id may fill several shards.  Writers write to a temporary name in the shared
+folder and rename, so a task that runs again replaces its own shard; how many ids each shard holds is a
+small table.  Files are read back by Spark's binary reader.
 
-Defined cases: null and empty texts are the end id alone; rows of one id stay in one
-shard, ordered by text; an empty table writes one empty shard.
+Defined cases: null and empty texts are the end id alone; rows of one id go by a hash of their text, then by
+their ids; a null id stays null and comes first; an empty table writes no shard.  Ids must be integers.  Other columns are not carried.
 """
 
 from __future__ import annotations
@@ -23,16 +25,18 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from . import bpe
 from . import textvec as tv
-from .common import by_batches, parts_for, shared_dir, text_bytes
+from .common import Scratch, parts_for, shared_dir, text_bytes
 
 BLOCK = 128
 PERCENTILE = 90
 SHARD_BYTES = 8 << 20
-MAGIC = b"PFR1"
+MAGIC = b"PFR2"
 
 
 def widths(x: np.ndarray) -> np.ndarray:
@@ -79,20 +83,20 @@ def decode(area: np.ndarray, starts: np.ndarray, least: np.ndarray, width: np.nd
     return (rest + least[:, None]).ravel()[:n]
 
 
-def shard_bytes(keys: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> bytes:
+def shard_bytes(keys: np.ndarray, sizes: np.ndarray, ids: np.ndarray, unnamed: int = 0) -> bytes:
     area, starts, least, width, count, exceptions = encode(ids)
-    head = MAGIC + struct.pack("<5q", len(keys), len(ids), len(least), len(area), len(exceptions) // 5)
+    head = MAGIC + struct.pack("<6q", len(keys), unnamed, len(ids), len(least), len(area), len(exceptions) // 5)
     return b"".join([head, keys.astype("<i8").tobytes(), sizes.astype("<i8").tobytes(), starts.astype("<i8").tobytes(), least.astype("<u4").tobytes(), width.tobytes(), count.tobytes(), area, exceptions])
 
 
 class Shard:
-    """An opened shard file: keys, sizes, and ``ids(block from, block to)`` or all."""
+    """An opened shard file: keys (the first ``unnamed`` mean nothing), sizes, and ``ids(block from, block to)`` or all."""
 
     def __init__(self, data: bytes):
         if data[:4] != MAGIC:
             raise ValueError("not a token shard")
-        docs, self.n, blocks, area, exceptions = struct.unpack("<5q", data[4:44])
-        at = 44
+        docs, self.unnamed, self.n, blocks, area, exceptions = struct.unpack("<6q", data[4:52])
+        at = 52
 
         def take(kind, n):
             nonlocal at
@@ -113,36 +117,39 @@ class Shard:
 
 
 def write_tokens(docs: DataFrame, out: str, path: str, end: int, spaced: bool = False, key: str = "doc_id", text: str = "text", each: int = SHARD_BYTES) -> DataFrame:
-    """Write the shard files of ``docs`` under ``out``; returns (shard, n_docs, n_ids) rows, by shard."""
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    """Write the shard files of ``docs`` under ``out``; returns the stored table (shard, n_docs, n_ids)."""
+    if not isinstance(docs.schema[key].dataType, IntegralType):
+        raise TypeError(f"the shard files hold integer ids, {key} is {docs.schema[key].dataType.simpleString()}")
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("by"))
     parts = parts_for(text_bytes(rows), each)
-    cuts = sorted(set(rows.approxQuantile("key", [i / parts for i in range(1, parts)], 0.2 / parts))) if parts > 1 else []
-    # shard = how many cuts lie at or below the id, by halving
-    cut = F.array(*[F.lit(int(c)) for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    shard = F.size(F.filter(cut, lambda c: c <= F.coalesce(F.col("key"), F.lit(-(1 << 63))))) if cuts else F.lit(0)
-    width = max(8, len(str(len(cuts))))
-
-    @by_batches
-    def task(key, batches):
+    width = max(8, len(str(parts)))
+
+    def task(batches):
         import uuid
 
         from pyarrow import fs
+        from pyspark import TaskContext
 
-        number = key[0].as_py()
+        number = TaskContext.get().partitionId()
         enc = bpe.encoder(path, spaced)
-        keys, sizes, ids, first = [], [], [], []
+        null, keys, by, sizes, ids = [], [], [], [], []
         for batch in batches:
-            names = np.asarray(batch.column("key").fill_null(0).to_numpy(zero_copy_only=False), np.int64)
             for lo, hi, buf, offs in tv.blocks(batch, "text"):
                 got, of = bpe.with_end(*enc.encode(buf, offs), end)
-                keys.append(names[lo:hi])
+                name = batch.column("key").slice(lo, hi - lo)
+                null.append(name.is_null().to_numpy(zero_copy_only=False))
+                keys.append(name.fill_null(0).to_numpy())
+                by.append(batch.column("by").slice(lo, hi - lo).to_numpy())
                 sizes.append(np.diff(of))
                 ids.append(got)
-        keys, sizes, ids = (np.concatenate(x) for x in (keys, sizes, ids))
+        if not keys:
+            return
+        null, keys, by, sizes, ids = (np.concatenate(x) for x in (null, keys, by, sizes, ids))
         start = np.cumsum(sizes) - sizes
-        order = np.argsort(keys, kind="stable")
-        if len(np.unique(keys)) < len(keys):  # rows of one id go by their ids, so that a rerun gives the same file
-            order = np.array(sorted(range(len(keys)), key=lambda i: (keys[i], ids[start[i] : start[i] + sizes[i]].tobytes())))
+        order = np.lexsort((by, keys, ~null))
+        same = np.flatnonzero((np.diff(by[order]) == 0) & (np.diff(keys[order]) == 0))
+        if len(same):  # texts of one id and hash go by their ids, so that a rerun gives the same file
+            order = np.array(sorted(range(len(keys)), key=lambda i: (not null[i], keys[i], by[i], ids[start[i] : start[i] + sizes[i]].tobytes())))
         keys, sizes, start = keys[order], sizes[order], start[order]
         begin = np.cumsum(sizes) - sizes
         ids = ids[np.arange(int(sizes.sum())) + np.repeat(start - begin, sizes)]
@@ -151,29 +158,29 @@ def write_tokens(docs: DataFrame, out: str, path: str, end: int, spaced: bool =
         name = f"{base}/shard-{number:0{width}d}.pfr"
         half = f"{base}/.{uuid.uuid4().hex}"
         with system.open_output_stream(half) as f:
-            f.write(shard_bytes(keys, sizes, ids))
+            f.write(shard_bytes(keys, sizes, ids, int(null.sum())))
         system.move(half, name)
         yield pa.record_batch([pa.array([number], pa.int32()), pa.array([len(keys)], pa.int64()), pa.array([len(ids)], pa.int64())], ["shard", "n_docs", "n_ids"])
 
-    def one_empty() -> list[tuple]:
-        from pyarrow import fs
+    done = rows.repartitionByRange(max(1, parts), "key", "by").mapInArrow(task, "shard int, n_docs long, n_ids long")
+    return Scratch(docs.sparkSession).put("manifest", done, free=True)
 
-        system, base = fs.FileSystem.from_uri(out)
-        system.create_dir(base, recursive=True)
-        with system.open_output_stream(f"{base}/shard-{0:0{width}d}.pfr") as f:
-            f.write(shard_bytes(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)))
-        return [(0, 0, 0)]
 
-    done = rows.withColumn("shard", shard.cast("int")).repartition(max(1, parts), "shard").groupBy("shard").applyInArrow(task, "shard int, n_docs long, n_ids long")
-    return docs.sparkSession.createDataFrame(sorted(map(tuple, done.collect())) or one_empty(), "shard int, n_docs long, n_ids long")
+def before(rows: DataFrame, order: str, value: str, group: int = 4096) -> DataFrame:
+    """(order, first): the sum of ``value`` over all smaller ``order`` (an int), by groups of ``group`` and within each."""
+    rows = rows.withColumn("_g", F.floor(F.col(order) / group))
+    sums = rows.groupBy("_g").agg(F.sum(value).alias("_s"))
+    upto = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select("_g", F.coalesce(F.sum("_s").over(upto(W.orderBy("_g"))), F.lit(0)).alias("_before"))
+    inner = F.coalesce(F.sum(value).over(upto(W.partitionBy("_g").orderBy(order))), F.lit(0))
+    return rows.withColumn("_inner", inner).join(sums, "_g").select(order, (F.col("_before") + F.col("_inner")).alias("first"))
 
 
 def read_tokens(spark, out: str, manifest: DataFrame) -> DataFrame:
     """Per document, from the files: key, start, n_tokens, ids_crc32, ascending by key over all shards."""
-    from pyspark.sql import Window as W
-
-    before = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
-    firsts = manifest.select("shard", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("first"))
+    rows = "shard int, key long, local long, n_tokens long, ids_crc32 long"
+    if manifest.isEmpty():
+        return spark.createDataFrame([], rows).select("key", F.col("local").alias("start"), "n_tokens", "ids_crc32")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.pfr").load(out)
     files = files.select(F.regexp_extract("path", r"shard-(\d+)\.pfr$", 1).cast("int").alias("shard"), "content")
 
@@ -185,16 +192,19 @@ def read_tokens(spark, out: str, manifest: DataFrame) -> DataFrame:
                 ends = np.cumsum(s.sizes)
                 begin = ends - s.sizes
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(begin.tolist(), ends.tolist())]
-                yield pa.record_batch([pa.array([shard] * len(crc), pa.int32()), pa.array(s.keys), pa.array(begin.astype(np.int64)), pa.array(s.sizes), pa.array(crc, pa.int64())], ["shard", "key", "local", "n_tokens", "ids_crc32"])
+                keys = pa.array(s.keys, mask=np.arange(len(s.keys)) < s.unnamed)
+                yield pa.record_batch([pa.array([shard] * len(crc), pa.int32()), keys, pa.array(begin.astype(np.int64)), pa.array(s.sizes), pa.array(crc, pa.int64())], ["shard", "key", "local", "n_tokens", "ids_crc32"])
 
-    rows = files.mapInArrow(task, "shard int, key long, local long, n_tokens long, ids_crc32 long")
-    return rows.join(F.broadcast(firsts), "shard").select("key", (F.col("first") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
+    return files.mapInArrow(task, rows).join(before(manifest, "shard", "n_ids"), "shard").select("key", (F.col("first") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def token_output(docs: DataFrame, path: str, end: int = 2, out: str | None = None, spaced: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Write all texts and return what the files hold, per document."""
-    out = out or shared_dir(docs.sparkSession)
-    if "://" not in out and not out.startswith("file:"):
-        out = "file://" + out
+    """Write all texts and return what the files hold, per document.
+
+    A folder without a scheme lies in the session's default file system.
+    """
+    spark = docs.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(out or shared_dir(spark))
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
     manifest = write_tokens(docs, out, path, end, spaced, key, text)
-    return read_tokens(docs.sparkSession, out, manifest).withColumnRenamed("key", key)
+    return read_tokens(spark, out, manifest).withColumnRenamed("key", key)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import brute
 import pytest
 from compare import rows
+from pyspark.sql import functions as F
 
 from splicefind.llm import queries
 
@@ -77,3 +78,26 @@ def test_pipeline_stages(spark, sf):
             items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
             assert set(after) == {d for d, _, h, _ in brute.contaminated(pairs, items) if h == 0}
         state = spark.createDataFrame(out.collect(), docs.schema)
+
+
+def test_pipeline_stages_on_odd_rows(spark, sf):
+    """Null and repeated ids, empty texts, columns that bear inner names; and no rows at all."""
+    import corpus_pipeline as p
+
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").orderBy(F.length("text").desc()).first()["text"]
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text), (None, text), (2, text + " more"), (2, " ".join(f"v{i}" for i in range(50))), (2, " ".join(f"v{i}" for i in range(50))), (None, None), (None, ""), (None, item), (5, item), (8, "few words")]
+    schema = "doc_id long, text string, lang string, n_removed long, n_words long, score double, s_words string, digest string, h long, document string, place int"
+    df = spark.createDataFrame([(i, t, f"l{k}", k, k, 0.5, "s", "d", k, "doc", k) for k, (i, t) in enumerate(rows)], schema)
+    stages = dict(p.STAGES)
+    for name, stage in p.STAGES[:-1]:
+        assert stage(spark, df.limit(0), sf).columns == df.columns
+        assert stage(spark, df.limit(0), sf).count() == 0, name
+        assert stage(spark, df, sf).columns == df.columns
+    assert stages["packing"](spark, df.limit(0), sf).count() == 0
+    kept = {r["lang"] for r in stages["jaccard_join"](spark, df, sf).collect()}
+    assert kept == {"l1", "l3", "l5", "l6", "l7", "l9"}  # no id comes first; of alike rows the first by the other columns
+    cut = {r["lang"]: r for r in stages["substring_dedup"](spark, df, sf).collect()}
+    assert set(cut) == {"l2", "l5", "l6", "l9"} and cut["l2"]["text"] == "more" and cut["l2"]["n_removed"] == 2 and cut["l9"]["n_words"] == 9
+    assert {r["lang"] for r in stages["decontamination"](spark, df, sf).collect()} == {f"l{k}" for k in range(10)} - {"l7", "l8"}
+    assert stages["quality_classifier"](spark, df, sf).where("score <> 0.5").count() == 0
