@@ -25,7 +25,12 @@ def is_content(s: Column | str, watermarks: tuple[str, ...] = ()) -> Column:
 def grams(s: Column | str, n: int = 3) -> Column:
     """Distinct character n-grams of the normalised text; shorter texts are one gram, empty ones none."""
     t = normalize_text(s)
-    many = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - (n - 1), F.lit(1))), lambda i: F.substring(t, i, F.lit(n))))
+
+    def windows(c: Column) -> Column:
+        return F.array_distinct(F.transform(F.slice(c, 1, F.greatest(F.size(c) - (n - 1), F.lit(0))), lambda x, i: F.concat(x, *[F.get(c, i + k) for k in range(1, n)])))
+
+    # a one-element array binds the characters once for the lambda, so a long text is split once
+    many = F.transform(F.array(F.split(t, "")), windows)[0]
     return F.when(F.length(t) == 0, F.array().cast("array<string>")).when(F.length(t) < n, F.array(t)).otherwise(many)
 
 

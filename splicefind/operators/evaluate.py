@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import bisect
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from splicefind.functions.vectors import col
 from splicefind.operators.asof import overlap_join
+from splicefind.operators.folds import fold
 from splicefind.operators.intervals import overlap
 
 
@@ -36,12 +40,26 @@ def auc(df: DataFrame, score: str, label: str) -> DataFrame:
 
 
 def kendall_tau(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
-    """Per series: pairs in order, inverted, and tau.  Series are shots of one batch, so pairs stay few."""
-    a, b = df.select(*keys, F.col(order).alias("_i"), F.col(value).alias("_x")), df.select(*keys, F.col(order).alias("_j"), F.col(value).alias("_y"))
-    pairs = a.join(b, keys).where("_i < _j")
-    up, down = (F.col("_y") > F.col("_x")).cast("long"), (F.col("_y") < F.col("_x")).cast("long")
-    out = pairs.groupBy(*keys).agg(F.sum(up).alias("concordant"), F.sum(down).alias("discordant"), F.count("*").alias("pairs"))
-    return out.withColumn("tau", (F.col("concordant") - F.col("discordant")) / F.col("pairs"))
+    """Per series of two rows and more: pairs in order, inverted, all, and tau.
+
+    A fold counts each row against the sorted values before it, so no pair is made.
+    """
+
+    def count(rows: list[dict]) -> list[dict]:
+        up = down = pairs = 0
+        seen: list[float] = []
+        for _, tied in itertools.groupby(rows, key=lambda r: r[order]):  # rows of one place are no pair
+            tied = [r[value] for r in tied]
+            for x in tied:
+                up += bisect.bisect_left(seen, x)
+                down += len(seen) - bisect.bisect_right(seen, x)
+            pairs += len(tied) * len(seen)
+            for x in tied:
+                bisect.insort(seen, x)
+        return [{**rows[0], "concordant": up, "discordant": down, "pairs": pairs, "tau": (up - down) / pairs}] if pairs else []
+
+    rows = df.where(F.col(order).isNotNull() & F.col(value).isNotNull())
+    return fold(rows, keys, [order], count, "concordant long, discordant long, pairs long, tau double", keys)
 
 
 def recall(truth: DataFrame, results: DataFrame, key: str, width: float, slack: float = 2.0, share: float = 0.4, union: float = 0.5, scene: float = 15.0) -> DataFrame:

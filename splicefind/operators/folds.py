@@ -1,17 +1,23 @@
 """Sequential operators: each step depends on rows already accepted or changed.
 
 A fold is a plain function on the ordered rows of one series (a shot, a video, a batch);
-``fold`` runs it per key with ``applyInPandas``.  Series are the unit of memory: one
-video's shots or clips, never a source of the whole corpus.  Empty series give no rows.
+``fold`` deals the rows by key, sorts each partition and cuts the series inside the task, so
+small series cost no set-up each.  Series are the unit of memory: one video's shots
+or clips, never a source of the whole corpus.  Empty series give no rows.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+BATCH_ROWS = 8192
 
 
 def fold(df: DataFrame, keys: list[str], order: list[str], fn, extra: str = "", columns: list[str] | None = None) -> DataFrame:
@@ -21,56 +27,58 @@ def fold(df: DataFrame, keys: list[str], order: list[str], fn, extra: str = "",
     """
     fields = [f for f in df.schema if columns is None or f.name in columns]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), *([extra] if extra else [])])
-    names = [f.name for f in fields] + [x.split()[0] for x in _top_level(extra)]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = fn(pdf.sort_values(order, kind="stable").to_dict("records"))
-        return pd.DataFrame([{n: r.get(n) for n in names} for r in rows], columns=names)
+    out_schema = to_arrow_schema(StructType.fromDDL(schema))
 
-    return df.groupBy(*keys).applyInPandas(run, schema)
+    def run(batches):
+        rows = itertools.chain.from_iterable(b.to_pylist() for b in batches)
+        done: list[dict] = []
+        for _, series in itertools.groupby(rows, key=lambda r: tuple(r[k] for k in keys)):
+            done += fn(list(series))
+            if len(done) >= BATCH_ROWS:
+                yield pa.RecordBatch.from_pylist(done, out_schema)
+                done = []
+        yield pa.RecordBatch.from_pylist(done, out_schema)
 
-
-def _top_level(ddl: str) -> list[str]:
-    out, depth, cur = [], 0, ""
-    for ch in ddl:
-        depth += (ch in "<(") - (ch in ">)")
-        if ch == "," and depth == 0:
-            out.append(cur.strip())
-            cur = ""
-        else:
-            cur += ch
-    return [*out, cur.strip()] if cur.strip() else out
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
 # ---- peaks and segments -------------------------------------------------------------------
 
 
 def keep_strongest(at: list[float], strength: list[float], apart: float) -> list[int]:
-    """Indices kept: strongest first (stable), each at least ``apart`` from all kept; in time order."""
-    kept: list[int] = []
-    for i in sorted(range(len(at)), key=lambda i: -strength[i]):
-        if all(abs(at[i] - at[j]) >= apart for j in kept):
-            kept.append(i)
-    return sorted(kept, key=lambda i: (at[i], i))
+    """Indices kept: strongest first (stable), each at least ``apart`` from all kept; in time order.
+
+    A kept place silences its neighbourhood, found by bisection in time order.
+    """
+    t = np.asarray(at, float)
+    by_time = np.argsort(t, kind="stable")
+    line, rank = t[by_time], np.empty(len(t), np.int64)
+    rank[by_time] = np.arange(len(t))
+    silent = np.zeros(len(t), bool)
+    kept = []
+    for i in np.argsort(-np.asarray(strength, float), kind="stable"):
+        if not silent[rank[i]]:
+            kept.append(int(i))
+            a, b = np.searchsorted(line, t[i] - apart), np.searchsorted(line, t[i] + apart, side="right")
+            silent[a:b] |= np.abs(line[a:b] - t[i]) < apart
+    return sorted(kept, key=lambda i: rank[i])
 
 
 def merge_short(n: int, cuts: list[int], strength: list[float], least: int) -> list[int]:
     """Cuts left of 0..n: while a segment is too short, the weaker cut beside the first such goes (left on ties)."""
-    left = sorted(zip(cuts, strength))
-    while left:
-        edges = [0, *(c for c, _ in left), n]
-        short = next((i for i in range(len(edges) - 1) if edges[i + 1] - edges[i] < least), None)
-        if short is None:
+    order = np.argsort(np.asarray(cuts), kind="stable") if len(cuts) else np.zeros(0, np.int64)
+    edge = np.concatenate([[0], np.asarray(cuts, np.int64)[order], [n]]).astype(np.int64)
+    power = np.concatenate([[np.inf], np.asarray(strength, float)[order], [np.inf]])  # the ends never go
+    while len(edge) > 2:
+        short = np.flatnonzero(np.diff(edge) < least)
+        if not len(short):
             break
-        a, b = short - 1, short  # cuts at its left and right
-        if a < 0:
-            drop = b
-        elif b >= len(left):
-            drop = a
-        else:
-            drop = a if left[a][1] <= left[b][1] else b
-        del left[drop]
-    return [c for c, _ in left]
+        i = short[0]
+        gone = i if power[i] <= power[i + 1] and i else i + 1
+        if gone == len(edge) - 1:
+            gone = i
+        edge, power = np.delete(edge, gone), np.delete(power, gone)
+    return edge[1:-1].tolist()
 
 
 def padded_mean(x: np.ndarray, radius: int) -> np.ndarray:
@@ -191,17 +199,6 @@ def continuity_clusters(rows: list[dict], base: float = 10.0, bridge: float = 15
     return out
 
 
-def similarity_runs(rows: list[dict], gap: float = 8.0) -> list[dict]:
-    """Groups in similarity order: a row joins while t - last <= gap, negative steps included."""
-    out, no, last = [], 0, None
-    for r in sorted(rows, key=lambda r: -r["sim"]):
-        if last is not None and r["t"] - last > gap:
-            no += 1
-        last = r["t"]
-        out.append({**r, "run": no})
-    return out
-
-
 def spaced_best(rows: list[dict], k: int = 5, apart: float = 3.0) -> list[dict]:
     """Most similar rows at least ``apart`` seconds from each other, the first k."""
     out: list[dict] = []
@@ -215,21 +212,29 @@ def spaced_best(rows: list[dict], k: int = 5, apart: float = 3.0) -> list[dict]:
 
 
 def monotone_path(sims: np.ndarray, least: float = 0.4, step: float = 1.0) -> list[tuple[int, int]]:
-    """Diagonal moves of the best monotone alignment: match +sim, else -0.5 (diagonal, up, left on ties)."""
+    """Diagonal moves of the best monotone alignment: match +sim, else -0.5 (diagonal, up, left on ties).
+
+    Cells of one anti-diagonal do not depend on each other, so the table fills diagonal by diagonal.
+    """
     n, m = sims.shape
-    s, trace = np.zeros((n + 1, m + 1)), np.zeros((n + 1, m + 1), np.int8)
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            p = 0.5 * (step if sims[i - 1, j - 1] >= least else 1.0)
-            options = (s[i - 1, j - 1] + sims[i - 1, j - 1], s[i - 1, j] - p, s[i, j - 1] - p)
-            trace[i, j] = int(np.argmax(options))
-            s[i, j] = options[trace[i, j]]
-    i, j, out = n, m, []
-    while i > 0 and j > 0:
-        if trace[i, j] == 0:
-            out.append((i - 1, j - 1))
-        i, j = i - (trace[i, j] != 2), j - (trace[i, j] != 1)
-    return out[::-1]
+    value = np.zeros((n + 1, m + 1))
+    toll = np.where(sims >= least, 0.5 * step, 0.5)
+    move = np.zeros((n, m), np.int8)
+    for d in range(n + m - 1):
+        i = np.arange(max(0, d - m + 1), min(n, d + 1))
+        j = d - i
+        choice = np.stack([value[i, j] + sims[i, j], value[i, j + 1] - toll[i, j], value[i + 1, j] - toll[i, j]])
+        move[i, j] = choice.argmax(axis=0)
+        value[i + 1, j + 1] = choice.max(axis=0)
+    steps = {0: (1, 1), 1: (1, 0), 2: (0, 1)}
+    at, path = (n - 1, m - 1), []
+    while min(at) >= 0:
+        kind = int(move[at])
+        if kind == 0:
+            path.append(at)
+        at = (at[0] - steps[kind][0], at[1] - steps[kind][1])
+    path.reverse()
+    return path
 
 
 def drop_drift(path: list[tuple[int, int]], most: int = 3) -> list[list[tuple[int, int]]]:
@@ -412,78 +417,90 @@ def timeline_prior(rows: list[dict], band: float = 45.0, drop: float = 0.10) ->
     return out
 
 
-def split_at(rows: list[dict], marks: list[float], edge: float = 0.5) -> list[dict]:
-    """Cut clips at marks well inside them; pieces under ``edge`` extend the one before; record time is shared by width."""
-    out = []
-    for r in rows:
-        a, b = r["start"], r["end"]
-        cuts = [m for m in sorted(marks) if a + edge < m < b - edge] if b - a > 2 * edge else []
-        pieces: list[list[float]] = []
-        for s, e in zip([a, *cuts], [*cuts, b]):
-            if pieces and e - s < edge:
-                pieces[-1][1] = e
-            else:
-                pieces.append([s, e])
-        at = r["q_start"]
-        for i, (s, e) in enumerate(pieces):
-            q = (r["q_end"] - r["q_start"]) * (e - s) / (b - a) if b > a else 0.0
-            out.append({**r, "start": s, "end": e, "q_start": at, "q_end": r["q_end"] if i == len(pieces) - 1 else at + q, "piece": i if len(pieces) > 1 else -1})
-            at += q
-    return out
+class Clip:
+    """A clip while its source span and record slot change."""
+
+    __slots__ = ("added", "q", "row", "s")
+
+    def __init__(self, row: dict, s: tuple[float, float], q: tuple[float, float], added: bool = False):
+        self.row, self.s, self.q, self.added = row, s, q, added
+
+    @property
+    def width(self) -> float:
+        return self.s[1] - self.s[0]
+
+    def done(self) -> dict:
+        (a, b), (p, q) = self.s, self.q
+        return {**self.row, "start": round(a, 3), "end": round(b, 3), "q_start": round(p, 3), "q_end": round(q, 3), "inserted": self.added}
+
+
+def punched(outer: Clip, inner: Clip, frame: float) -> Clip | None:
+    """Take the inner clip's span out of the outer one; returns the tail, where head and tail both last a frame.
+
+    A remainder under a frame goes to the inner clip; where neither side lasts a frame, both share the span evenly.
+    """
+    (a, b), (c, d) = outer.s, inner.s
+    head, tail = c - a >= frame, b - d >= frame
+    if head and tail:
+        at = outer.q[0] + (outer.q[1] - outer.q[0]) * (c - a) / max(b - a, 1e-9)
+        rest = Clip(outer.row, (d, b), (at, outer.q[1]), True)
+        outer.s, outer.q = (a, c), (outer.q[0], at)
+        return rest
+    if head or tail:
+        outer.s, inner.s = ((a, c), (c, b)) if head else ((d, b), (a, d))
+    elif b - a >= 2 * frame:
+        outer.s, inner.s = (a, (a + b) / 2), ((a + b) / 2, b)
+    return None
+
+
+def shared(first: Clip, second: Clip, frame: float) -> None:
+    """Cut a partial overlap in its middle, if both keep a frame."""
+    middle = (second.s[0] + first.s[1]) / 2
+    middle = min(max(middle, first.s[0] + frame), second.s[1] - frame)
+    if middle - first.s[0] >= frame and second.s[1] - middle >= frame:
+        first.s, second.s = (first.s[0], middle), (middle, second.s[1])
 
 
 def trim_overlaps(rows: list[dict], fps: float = 25.0, record_gap: float = 0.05) -> list[dict]:
     """Neighbours on the record line no longer share source time; their union stays covered.
 
-    Overlaps are cut in the middle; a clip inside its neighbour punches a hole into it (head and
-    tail); remainders under a frame go to the inner clip.
+    A tail that a punched hole leaves comes right after its head and is a neighbour of its own.
     """
     frame = 1.0 / fps
-    clips = sorted(({**r, "inserted": False} for r in rows), key=lambda r: (r["q_start"], r["q_end"]))
-    i = 0
-    while i + 1 < len(clips):
-        a, b = clips[i], clips[i + 1]
-        i += 1
-        if b["q_start"] - a["q_end"] > record_gap or min(a["end"], b["end"]) <= max(a["start"], b["start"]):
-            continue
-        left, right = (a, b) if a["start"] <= b["start"] else (b, a)
-        if left["end"] >= right["end"]:  # right lies inside
-            head, tail = right["start"] - left["start"], left["end"] - right["end"]
-            old_start, old_end = left["start"], left["end"]
-            if head >= frame and tail >= frame:
-                slot = left["q_end"] - left["q_start"]
-                part = slot * head / max(head + tail, 1e-9)
-                new = {**left, "start": right["end"], "end": old_end, "q_start": left["q_start"] + part, "inserted": True}
-                left |= {"end": right["start"], "q_end": left["q_start"] + part}
-                clips.insert(clips.index(left) + 1, new)
-            elif head >= frame:
-                left["end"] = right["start"]
-                right["end"] = max(right["end"], old_end)
-            elif tail >= frame:
-                left["start"] = right["end"]
-                right["start"] = min(right["start"], old_start)
-            elif old_end - old_start >= 2 * frame:
-                mid = (old_start + old_end) / 2
-                left["end"], right["start"], right["end"] = mid, mid, old_end
-        else:
-            mid = min(max((right["start"] + left["end"]) / 2, left["start"] + frame), right["end"] - frame)
-            if mid - left["start"] >= frame and right["end"] - mid >= frame:
-                left["end"], right["start"] = mid, mid
-    return [{**c, "start": round(c["start"], 3), "end": round(c["end"], 3), "q_start": round(c["q_start"], 3), "q_end": round(c["q_end"], 3)} for c in clips]
-
-
-def repair_conflicts(rows: list[dict], series: list[tuple[float, float]], most_width: float = 8.0, least: float = 0.5, good: float = 0.60, drop: float = 0.25) -> list[dict]:
+    todo = [Clip(r, (r["start"], r["end"]), (r["q_start"], r["q_end"])) for r in sorted(rows, key=lambda r: (r["q_start"], r["q_end"]))]
+    todo.reverse()  # the next clip is the last
+    out: list[Clip] = []
+    while todo:
+        clip = todo.pop()
+        last = out[-1] if out else None
+        if last and clip.q[0] - last.q[1] <= record_gap and min(last.s[1], clip.s[1]) > max(last.s[0], clip.s[0]):
+            outer, other = (last, clip) if last.s[0] <= clip.s[0] else (clip, last)
+            if outer.s[1] < other.s[1]:
+                shared(outer, other, frame)
+            elif (tail := punched(outer, other, frame)) is not None:
+                if outer is clip:
+                    todo.append(tail)
+                else:  # head, tail, inner clip: the tail is met next, then the inner clip
+                    todo += [clip, tail]
+                    continue
+        out.append(clip)
+    return [c.done() for c in out]
+
+
+def repair_conflicts(rows: list[dict], most_width: float = 8.0, least: float = 0.5, good: float = 0.60, drop: float = 0.25) -> list[dict]:
     """Move narrow clashing rows, lowest score first, to the best free place in the gap around them.
 
-    ``series``: (time, similarity) of the library for these rows.  Positions change between steps.
+    The first row's ``series`` has (t, sim) of the library for these rows.  Positions change between steps.
     """
     out = [{**r, "moved": False} for r in rows]
-    t = np.array([x for x, _ in series])
-    s = np.array([y for _, y in series])
+    t = np.array([x["t"] for x in rows[0]["series"] or []], float)
+    order = np.argsort(t, kind="stable")
+    t, sums = t[order], np.concatenate([[0.0], np.cumsum(np.array([x["sim"] for x in rows[0]["series"] or []], float)[order])])
 
-    def mean(a: float, b: float):
-        m = (t >= a) & (t <= b)
-        return float(s[m].mean()) if m.any() else None
+    def means(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Mean similarity in each [a, b]; nan without a row."""
+        i, j = np.searchsorted(t, a), np.searchsorted(t, b, side="right")
+        return np.where(j > i, (sums[j] - sums[i]) / np.maximum(j - i, 1), np.nan).round(9)
 
     for i in sorted(range(1, len(out) - 1), key=lambda i: out[i]["score"]):
         p, c, n = out[i - 1], out[i], out[i + 1]
@@ -494,12 +511,16 @@ def repair_conflicts(rows: list[dict], series: list[tuple[float, float]], most_w
         rival = n if over[1] >= least and (over[0] < least or over[1] >= over[0]) else p
         if c["score"] > rival["score"] or p["end"] > n["start"] or n["start"] - p["end"] < width:
             continue
-        busy = [(o["start"], o["end"]) for k, o in enumerate(out) if k != i]
-        spots = [x for x in t if p["end"] <= x and x + width <= n["start"] and not any(min(x + width, e) > max(x, b) for b, e in busy)]
-        best = max(((mean(x, x + width), -x) for x in spots if mean(x, x + width) is not None), default=None)
-        now = mean(c["start"], c["end"])
-        if best and now is not None and best[0] >= good and now - best[0] <= drop:
-            out[i] |= {"start": -best[1], "end": -best[1] + width, "moved": True}
+        spots = np.unique(t[(t >= p["end"]) & (t + width <= n["start"])])
+        for k, o in enumerate(out):
+            if k != i:
+                spots = spots[(spots + width <= o["start"]) | (spots >= o["end"])]
+        worth = means(spots, spots + width)
+        now = float(means(np.array([c["start"]]), np.array([c["end"]]))[0])
+        if np.isfinite(worth).any() and np.isfinite(now):
+            best = int(np.nanargmax(worth))
+            if worth[best] >= good and now - worth[best] <= drop:
+                out[i] |= {"start": float(spots[best]), "end": float(spots[best]) + width, "moved": True}
     return out
 
 

@@ -48,6 +48,23 @@ def grade(df: DataFrame, width_lo: float = 1.0, width_hi: float = 60.0, least_ru
     return out.withColumn("reasons", F.array_distinct(F.concat(F.when(dark & ~none, F.array(F.lit("dark_scene"))).otherwise(F.array().cast("array<string>")), "flags")))
 
 
+def alternatives(spans: Column | str, primary: Column, band: float = 0.10) -> Column:
+    """The spans (array of start, end, sim) but the one at index ``primary``: with relative similarity and level.
+
+    MEDIUM within ``band`` of the primary's similarity, else LOW; empty without a primary.
+    """
+    spans = col(spans)
+    best = F.coalesce(F.get(spans, primary)["sim"], F.lit(0.0))
+    scale = F.greatest(F.abs(best), F.lit(1e-6))
+    others = F.filter(spans, lambda s, i: i != primary)
+
+    def graded(s: Column) -> Column:
+        sim = F.coalesce(s["sim"], F.lit(0.0))
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(best - sim <= band * scale, "MEDIUM").otherwise("LOW").alias("level"), F.round(clip01(sim / scale), 3).alias("relative"))
+
+    return F.when(primary.isNull(), F.array()).otherwise(F.transform(others, graded))
+
+
 def score_v2(local, coarse, consistency, margin_) -> Column:
     return clip01(0.4 * clip01(col(local)) + 0.3 * clip01(col(coarse)) + 0.2 * clip01(col(consistency)) + 0.1 * clip01(col(margin_)))
 

@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from splicefind.functions.vectors import col
-from splicefind.operators.asof import nearest, overlap_join
+from splicefind.operators.asof import nearest, overlap_join, range_join
+from splicefind.operators.components import connected_components
 
 
 def overlap(s1, e1, s2, e2) -> Column:
@@ -71,14 +72,14 @@ def boundaries(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.select(*keys, F.explode(F.array("start", "end")).alias("at")).distinct()
 
 
-def snap(clips: DataFrame, marks: DataFrame, keys: list[str], tolerance: float = 1.0, least: float = 0.05, duration: float | None = None) -> DataFrame:
+def snap(clips: DataFrame, marks: DataFrame, keys: list[str], tolerance: float = 1.0, least: float = 0.05, duration: float | None = None, width: float | None = None) -> DataFrame:
     """Move both ends to the nearest mark in tolerance; ends that would collapse the clip fall back.
 
     Adds new_start, new_end, snap_in, snap_out.
     """
     m = marks.select(*keys, F.col("at").alias("_at"))
-    out = nearest(clips, m, keys, "start", "_at", [], tolerance).withColumn("_in", F.col("match.at")).drop("match")
-    out = nearest(out, m, keys, "end", "_at", [], tolerance).withColumn("_out", F.col("match.at")).drop("match")
+    out = nearest(clips, m, keys, "start", "_at", [], tolerance, width).withColumn("_in", F.col("match.at")).drop("match")
+    out = nearest(out, m, keys, "end", "_at", [], tolerance, width).withColumn("_out", F.col("match.at")).drop("match")
     clamp = (lambda c: F.least(F.greatest(c, F.lit(0.0)), F.lit(duration))) if duration else (lambda c: c)
     a, b = clamp(F.coalesce("_in", "start")), clamp(F.coalesce("_out", "end"))
     out = out.withColumn("_a", a).withColumn("_b", b)
@@ -93,6 +94,62 @@ def snap(clips: DataFrame, marks: DataFrame, keys: list[str], tolerance: float =
     return out.drop("_in", "_out", "_a", "_b", "_c")
 
 
+def split_at(clips: DataFrame, marks: DataFrame, keys: list[str], row: str, width: float, edge: float = 0.5) -> DataFrame:
+    """Cut clips at marks that lie more than ``edge`` inside them; the record slot is shared by source width.
+
+    A piece narrower than ``edge`` extends the one before, so a cut stays exactly where the next one (or
+    the clip's end) is at least ``edge`` away.  Adds piece (-1 for whole clips).
+    """
+    inner = clips.where(F.col("end") - F.col("start") > 2 * edge).select(*keys, row, (F.col("start") + edge).alias("_s"), (F.col("end") - edge).alias("_e"))
+    met = range_join(marks.select(*keys, F.col("at").alias("_at")), inner, keys, "_at", "_s", "_e", width).where("_at > _s and _at < _e")
+    cuts = met.groupBy(*keys, row).agg(F.array_sort(F.collect_set("_at")).alias("_c"))  # the marks inside one clip
+    out = clips.join(cuts, [*keys, row], "left").withColumn("_c", F.coalesce("_c", F.array().cast("array<double>")))
+    stays = F.filter("_c", lambda c, i: F.coalesce(F.get("_c", i + 1), F.col("end").cast("double")) - c >= edge)
+    out = out.withColumn("_p", F.concat(F.array(F.col("start").cast("double")), stays, F.array(F.col("end").cast("double"))))
+    many = F.size("_p") > 2
+    out = out.withColumn("_i", F.explode(F.sequence(F.lit(0), F.size("_p") - 2)))
+    a, b = F.get("_p", F.col("_i")), F.get("_p", F.col("_i") + 1)
+    place = lambda x: F.col("q_start") + (F.col("q_end") - F.col("q_start")) * (x - F.col("start")) / (F.col("end") - F.col("start"))
+    first, last = F.col("_i") == 0, F.col("_i") == F.size("_p") - 2
+    new = {"_a": a, "_b": b, "_qa": F.when(first, F.col("q_start")).otherwise(place(a)), "_qb": F.when(last, F.col("q_end")).otherwise(place(b)), "piece": F.when(many, F.col("_i")).otherwise(-1)}
+    return out.withColumns(new).drop("start", "end", "q_start", "q_end", "_c", "_p", "_i").withColumnsRenamed({"_a": "start", "_b": "end", "_qa": "q_start", "_qb": "q_end"})
+
+
+# The texts of the two warnings.
+FRAGMENT_TEXT = "LOC-2001 导出清单中有 %d 个不足 %.2f 秒的极短片段，导入剪辑软件后可能表现为闪烁或无效素材；建议在这些位置改用完整镜头边界。"
+CLAIM_TEXT = "LOC-2002 第 %s 段都指向原片同一区间 %.1f-%.1fs，导出工程里会出现重复素材；若是刻意的画面复用可忽略，否则建议在剪辑软件中合并为一条。"
+CLAIM_SEPARATOR = "、"
+CLAIM_SQL = f"format('{CLAIM_TEXT.replace('%s', '{}').replace('%.1f', '{:.1f}')}', string_agg(CAST(i + 1 AS VARCHAR), '{CLAIM_SEPARATOR}' ORDER BY i), min(s), max(e))"
+
+
+def fragment_warnings(clips: DataFrame, keys: list[str], least: float = 0.15) -> DataFrame:
+    """(keys, fragments, warning) for each plan with clips narrower than ``least`` seconds."""
+    few = clips.where(F.col("end") - F.col("start") < least).groupBy(*keys).agg(F.count("*").alias("fragments"))
+    return few.withColumn("warning", F.format_string(FRAGMENT_TEXT, F.col("fragments").cast("int"), F.lit(least)))
+
+
+def duplicate_claims(clips: DataFrame, keys: list[str], row: str, seg: str, width: float, share: float = 0.8, alike: float = 0.5) -> DataFrame:
+    """Clips in groups that claim the same span: (keys, row, members, warning), connected over pairs.
+
+    Two clips claim the same when their overlap is at least ``share`` of the narrower one and the narrower
+    at least ``alike`` of the wider.
+    """
+    size = F.col("end") - F.col("start")
+    live = clips.where(size > 0).select(*keys, row, "start", "end")
+    other = live.select(*keys, F.col(row).alias("_r"), F.col("start").alias("_s"), F.col("end").alias("_e"))
+    met = overlap_join(live, other, keys, "start", "end", "_s", "_e", width).where(F.col(row) < F.col("_r"))
+    a, b = size, F.col("_e") - F.col("_s")
+    same = (F.least(a, b) / F.greatest(a, b) >= alike) & (overlap("start", "end", "_s", "_e") / F.greatest(F.lit(1e-6), F.least(a, b)) >= share)
+    edges = met.where(same).select(F.col(row).alias("a"), F.col("_r").alias("b"))
+    nodes = edges.select(F.explode(F.array("a", "b")).alias(row)).distinct()
+    group = connected_components(nodes, edges, row)
+    held = clips.join(group, row)
+    segs = F.array_join(F.transform(F.array_sort(F.collect_set(F.col(seg).cast("long") + 1)), lambda x: x.cast("string")), CLAIM_SEPARATOR)
+    text = held.groupBy("component").agg(F.count("*").alias("members"), segs.alias("_n"), F.min("start").alias("_lo"), F.max("end").alias("_hi"))
+    text = text.select("component", "members", F.format_string(CLAIM_TEXT, "_n", "_lo", "_hi").alias("warning"))
+    return held.join(text, "component").select(*keys, row, "members", "warning")
+
+
 def expand(clips: DataFrame, scenes: DataFrame, keys: list[str], row: str, width: float, most: float = 60.0, rel_cap: float = 0.0) -> DataFrame:
     """Hull of the scenes a clip overlaps, unless wider than ``most`` or than ``rel_cap`` times the clip."""
     s = scenes.select(*keys, F.col("start").alias("_s"), F.col("end").alias("_e"))

@@ -6,9 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from splicefind.functions.vectors import cosine
 from splicefind.operators.asof import nearest, range_join
-from splicefind.operators.retrieval import top_k, topk_per_key
+from splicefind.operators.retrieval import nearest_apart, top_k, topk_per_key
 from splicefind.operators.timeseries import over
 
 
@@ -77,10 +76,8 @@ def uniqueness(df: DataFrame, keys: list[str], order: str, radius: int = 1, feat
     """How alike the nearest other neighbourhood is: the largest cosine of +-radius blocks that do not overlap (keys, order, nearest)."""
     w = over(keys, order).rowsBetween(-radius, radius)
     rows = df.withColumn("_i", F.row_number().over(over(keys, order))).withColumn("_block", F.flatten(F.collect_list(feature).over(w))).withColumn("_n", F.count("*").over(w)).where(F.col("_n") == 2 * radius + 1)
-    a = rows.select(*keys, order, "_i", "_block")
-    b = rows.select(*keys, F.col("_i").alias("_j"), F.col("_block").alias("_other"))
-    met = a.join(b, keys).where(F.abs(F.col("_i") - F.col("_j")) > 2 * radius)
-    return met.groupBy(*keys, order).agg(F.round(F.max(cosine("_block", "_other")), 9).alias("nearest"))
+    met = nearest_apart(rows.withColumn("_i", F.col("_i").cast("long")), keys, "_i", 2 * radius, "_block")
+    return rows.select(*keys, order, F.col("_i").cast("long").alias("_i")).join(met, [*keys, "_i"]).select(*keys, order, "nearest")
 
 
 def rank_of_truth(ranked: DataFrame, keys: list[str], score: str, truth: str) -> DataFrame:

@@ -116,3 +116,84 @@ def grouped_max(rows: DataFrame, queries: DataFrame, feature: str = "feature", t
         got = lib.mapInArrow(task, "shot_no long, l_t double, sim double")
         out = got if out is None else out.unionByName(got)
     return out
+
+
+def nearest_apart(rows: DataFrame, keys: list[str], place: str, apart: int, feature: str = "feature") -> DataFrame:
+    """Per row the largest cosine to a row of its series more than ``apart`` places away: (keys, place, nearest).
+
+    All rows are held against all, slice by slice as in ``top_k``; each partition keeps one value a row.
+    """
+    names = [*keys, place]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*names).schema) + ", sim double"
+    rows = rows.select(*names, F.hash(*keys).alias("_k") if keys else F.lit(0).alias("_k"), F.col(feature).alias("f"))
+    parts = max(1, -(-rows.count() // SLICE_ROWS))
+    found = None
+    for part in range(parts):
+        few = (rows.where(F.pmod(F.xxhash64(*names), F.lit(parts)) == part) if parts > 1 else rows).toArrow().combine_chunks()
+        sent = rows.sparkSession.sparkContext.broadcast((few.select(names), few["_k"].to_numpy(), few[place].to_numpy(), _matrix(few["f"])))
+
+        def task(batches, sent=sent):
+            head, group, at, qs = sent.value
+            best = np.full(len(at), -np.inf)
+            for batch in batches:
+                if batch.num_rows and len(at):
+                    sims = np.round(qs @ _matrix(batch["f"]).T, DIGITS)
+                    far = (np.abs(at[:, None] - batch[place].to_numpy()) > apart) & (group[:, None] == batch["_k"].to_numpy())
+                    best = np.maximum(best, np.where(far, sims, -np.inf).max(axis=1))
+            ok = np.isfinite(best)
+            kept = head.filter(pa.array(ok)).combine_chunks()
+            yield from kept.append_column("sim", pa.array(best[ok])).to_batches()
+
+        got = rows.mapInArrow(task, schema)
+        found = got if found is None else found.unionByName(got)
+    return found.groupBy(*names).agg(F.max("sim").alias("nearest"))
+
+
+ITEM_GRAMS = 4_000_000
+CELLS = 4_000_000
+
+
+def best_containment(docs: DataFrame, items: DataFrame, doc: str, item: str, grams: str = "grams") -> DataFrame:
+    """Per document the item with the largest symmetric gram containment (the first by name on ties): (doc, item, sim).
+
+    The items are the stated query set: their gram sets go out in slices of at most about ``ITEM_GRAMS``
+    postings, and each document is counted against a slice by its posting lists.  Documents
+    that share no gram with any item have no row.
+    """
+    hashed = lambda df, name: df.select(F.col(name), F.transform(grams, lambda g: F.xxhash64(g)).alias("g"))
+    wanted, rows = hashed(items, item), hashed(docs, doc)
+    parts = max(1, -(-(wanted.agg(F.sum(F.size("g")).alias("n")).first()["n"] or 0) // ITEM_GRAMS))
+    schema = f"`{doc}` {docs.schema[doc].dataType.simpleString()}, `{item}` {items.schema[item].dataType.simpleString()}, sim double"
+    found = None
+    for part in range(parts):
+        few = wanted.where(F.pmod(F.xxhash64(item), F.lit(parts)) == part).sort(item).toArrow().combine_chunks()
+        size = np.array([len(x) for x in few["g"]], np.int64)
+        flat = few["g"].combine_chunks().flatten().to_numpy() if len(few) else np.zeros(0, np.int64)
+        order = np.argsort(flat, kind="stable")
+        vocabulary, first = np.unique(flat[order], return_index=True)
+        owner = np.repeat(np.arange(len(few)), size)[order]
+        sent = docs.sparkSession.sparkContext.broadcast((few.select([item]), size, vocabulary, np.append(first, len(flat)), owner))
+
+        def task(batches, sent=sent):
+            names, size, vocabulary, first, owner = sent.value
+            names, n = names.column(0).combine_chunks(), len(size)
+            step = max(1, CELLS // max(n, 1))
+            for whole in batches:
+                for lo in range(0, whole.num_rows if len(vocabulary) else 0, step):
+                    batch = whole.slice(lo, step)
+                    own = np.diff(batch["g"].offsets.to_numpy())
+                    flat = batch["g"].flatten().to_numpy()
+                    i = np.minimum(np.searchsorted(vocabulary, flat), len(vocabulary) - 1)
+                    hit = vocabulary[i] == flat
+                    row, i = np.repeat(np.arange(len(own)), own)[hit], i[hit]
+                    many = first[i + 1] - first[i]
+                    at = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first[i], many)
+                    both = np.bincount(np.repeat(row, many) * n + owner[at], minlength=len(own) * n).reshape(len(own), n)
+                    sims = np.round((both / np.maximum(own, 1)[:, None] + both / np.maximum(size, 1)) / 2, DIGITS)
+                    best = sims.argmax(axis=1)
+                    some = np.flatnonzero(both.max(axis=1) > 0)
+                    yield pa.record_batch([batch[doc].take(pa.array(some)), names.take(pa.array(best[some])), pa.array(sims[some, best[some]])], [doc, item, "sim"])
+
+        got = rows.mapInArrow(task, schema)
+        found = got if found is None else found.unionByName(got)
+    return topk_per_key(found, [doc], [F.desc("sim"), item], 1).drop("rank") if parts > 1 else found

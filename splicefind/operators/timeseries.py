@@ -127,3 +127,11 @@ def block_gate(df: DataFrame, keys: list[str], order, vector: str, before: int =
     out = out.withColumn("block_distance", F.when(ok, far("_before", "_after")).otherwise(0.0))
     worst = F.array_max(F.transform("_rows", lambda v: far(v, F.col("_after"))))
     return out.withColumn("block_deviation", F.when(ok, worst).otherwise(9.9)).drop("_before", "_after", "_rows")
+
+
+def similarity_runs(df: DataFrame, keys: list[str], gap: float = 8.0, t: str = "t", sim: str = "sim") -> DataFrame:
+    """Number of each row's group in similarity order: a row joins while t - last t <= gap, negative steps included."""
+    w = W.partitionBy(*keys).orderBy(F.desc(sim), t)
+    new = F.coalesce((F.col(t) - F.lag(t).over(w) > gap).cast("int"), F.lit(0))
+    rows = df.withColumn("_new", new)
+    return rows.withColumn("run", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)).cast("int")).drop("_new")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from splicefind.functions import scalars as S
 from splicefind.functions import text as X
-from splicefind.operators import evaluate, export, grading, intervals
+from splicefind.operators import evaluate, export, grading, intervals, retrieval
 from splicefind.operators import timeseries as ts
 from splicefind.plans import fixtures as fx
 from splicefind.plans import matching
@@ -60,7 +60,7 @@ def boundary_set(spark, d):
 def snap_boundaries(spark, d):
     s = _sessions(spark, d)
     marks = intervals.boundaries(s.select(((F.col("grp") + 1) % 10).alias("grp"), "start", "end"), ["grp"])
-    return intervals.snap(s, marks, ["grp"], 0.5).select("sid", "new_start", "new_end", "snap_in", "snap_out")
+    return intervals.snap(s, marks, ["grp"], 0.5, width=24.0).select("sid", "new_start", "new_end", "snap_in", "snap_out")
 
 
 def expand_spans(spark, d):
@@ -198,14 +198,24 @@ def normalize_lines(spark, d):
 
 
 def text_containment(spark, d):
-    """Best benchmark line for each short document by gram containment, over shared grams only."""
-    doc = fx.table(spark, d, "documents").where("n_chars <= 400").select("doc_id", X.grams("text").alias("dg"))
-    b = fx.table(spark, d, "benchmark").select("item_id", X.grams("text").alias("bg"))
-    shared = doc.select("doc_id", F.size("dg").alias("nd"), F.explode("dg").alias("g")).join(b.select("item_id", F.size("bg").alias("nb"), F.explode("bg").alias("g")), "g")
-    per = shared.groupBy("doc_id", "item_id", "nd", "nb").agg(F.count("*").alias("k"))
-    per = per.withColumn("sim", F.round((F.col("k") / F.col("nd") + F.col("k") / F.col("nb")) / 2, 9))
-    best = per.withColumn("_r", F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("sim"), "item_id"))).where("_r = 1")
-    return best.select("doc_id", "item_id", F.round("sim", 6).alias("sim"))
+    """Best benchmark line for each document by gram containment."""
+    doc = fx.table(spark, d, "documents").select("doc_id", X.grams("text").alias("grams"))
+    item = fx.table(spark, d, "benchmark").select("item_id", X.grams("text").alias("grams"))
+    return retrieval.best_containment(doc, item, "doc_id", "item_id").select("doc_id", "item_id", F.round("sim", 6).alias("sim"))
+
+
+def duplicate_claims(spark, d):
+    """Groups of a customer's spans that claim the same source span, with their warning."""
+    s = _shots(spark, d).withColumns({c: F.floor(F.col(c) * 10) / 10 for c in ("start", "end")})
+    return intervals.duplicate_claims(s, ["o_custkey"], "o_orderkey", "i", 16.0).select("o_custkey", "o_orderkey", "members", F.sha2("warning", 256).alias("digest"))
+
+
+def alternatives(spark, d):
+    """The other spans of each customer beside the one of the best score."""
+    s = _shots(spark, d).groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("sim"), "o_orderkey", "start", "end"))).alias("s"))
+    spans = F.transform("s", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), (-x["sim"]).alias("sim"), x["o_orderkey"].alias("o_orderkey")))
+    out = s.select("o_custkey", F.explode(grading.alternatives(spans, F.lit(0))).alias("a"))
+    return out.select("o_custkey", F.col("a.start").alias("start"), F.col("a.end").alias("end"), F.col("a.level").alias("level"), F.col("a.relative").alias("relative"))
 
 
 def redact_urls(spark, d):
@@ -316,7 +326,7 @@ CASE WHEN u // 3600 > 0 THEN (u // 3600) || 'h ' ELSE '' END || CASE WHEN u % 36
 SELECT k AS p_partkey, round(CASE k % 3 WHEN 0 THEN 24000.0::DOUBLE / 1001 WHEN 1 THEN 25 END, 6) AS rate, round(CASE WHEN k % 2 = 0 THEN k * 1000003 / 1e6 ELSE 60 + k % 60 + 0.5 END, 6) AS done, CAST(greatest(16, z - z % 2) AS BIGINT) AS even, round(greatest(1, 0.02 * x), 6) AS tolerance, CAST((77 * z * 4 + 151 * z * 3 + 28 * z) // 256 AS INTEGER) AS luma,
 CASE WHEN b <= 0 THEN '—' WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN CASE WHEN b / 1024 >= 10 THEN CAST(round(b / 1024) AS BIGINT) || ' KB' ELSE CAST(round(b / 1024, 1) AS DECIMAL(18, 1)) || ' KB' END ELSE CASE WHEN b / 1048576 >= 10 THEN CAST(round(b / 1048576) AS BIGINT) || ' MB' ELSE CAST(round(b / 1048576, 1) AS DECIMAL(18, 1)) || ' MB' END END AS bytes FROM p""",
     "normalize_lines": f"""WITH c AS (SELECT conv_id, turn, {_NORM.format('text')} AS t, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS f FROM conversations) SELECT conv_id, turn, sha256(t) AS digest, length(t) >= 3 AND NOT contains(t, 'license') AS content, CAST(least(length(f), 101) AS BIGINT) AS n FROM c""",
-    "text_containment": f"""WITH d AS (SELECT doc_id, {_NORM.format('text')} AS t FROM documents WHERE n_chars <= 400), b AS (SELECT item_id, {_NORM.format('text')} AS t FROM benchmark),
+    "text_containment": f"""WITH d AS (SELECT doc_id, {_NORM.format('text')} AS t FROM documents), b AS (SELECT item_id, {_NORM.format('text')} AS t FROM benchmark),
 dg AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, unnest(CASE WHEN t = '' THEN [] WHEN length(t) < 3 THEN [t] ELSE list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3)) END) AS g FROM d)),
 bg AS (SELECT DISTINCT item_id, g FROM (SELECT item_id, unnest(CASE WHEN t = '' THEN [] WHEN length(t) < 3 THEN [t] ELSE list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3)) END) AS g FROM b)),
 nd AS (SELECT doc_id, count(*) AS nd FROM dg GROUP BY 1), ni AS (SELECT item_id, count(*) AS nb FROM bg GROUP BY 1), k AS (SELECT doc_id, item_id, count(*) AS k FROM dg JOIN bg USING (g) GROUP BY ALL),
@@ -329,6 +339,13 @@ substr(array_to_string(list_transform(regexp_extract_all(lower(f), '(\\d+|\\D+)'
     "progress_clamp": """WITH e AS (SELECT * FROM events WHERE event_type IN ('click', 'view')), w AS (SELECT *, coalesce(last_value(CASE WHEN event_type = 'click' THEN least(value, 100) END IGNORE NULLS) OVER k, 0) AS a, coalesce(last_value(CASE WHEN event_type = 'view' THEN least(value, 100) END IGNORE NULLS) OVER k, 0) AS b FROM e WINDOW k AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))
 SELECT event_id, round(max(0.6 * a + 0.4 * b) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 6) AS percent FROM w""",
 }
+SQL["duplicate_claims"] = f"""WITH RECURSIVE {_SHOT}, t AS (SELECT o_custkey, o_orderkey, i, floor(s * 10) / 10 AS s, floor(e * 10) / 10 AS e FROM shot), e AS (SELECT a.o_custkey, a.o_orderkey AS a, b.o_orderkey AS b FROM t a JOIN t b ON a.o_custkey = b.o_custkey AND a.o_orderkey <> b.o_orderkey AND a.e > a.s AND b.e > b.s
+  AND least(a.e - a.s, b.e - b.s) / greatest(a.e - a.s, b.e - b.s) >= 0.5 AND greatest(0, least(a.e, b.e) - greatest(a.s, b.s)) / greatest(1e-6, least(a.e - a.s, b.e - b.s)) >= 0.8),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), c AS (SELECT a, least(a, min(b)) AS g FROM r GROUP BY a),
+g AS (SELECT g, count(*) AS members, {intervals.CLAIM_SQL} AS w FROM c JOIN t ON o_orderkey = a GROUP BY g)
+SELECT o_custkey, o_orderkey, members, sha256(w) AS digest FROM c JOIN g USING (g) JOIN t ON o_orderkey = a"""
+SQL["alternatives"] = f"""WITH {_SHOT}, k AS (SELECT *, row_number() OVER w AS z, first_value(score) OVER w AS p FROM shot WINDOW w AS (PARTITION BY o_custkey ORDER BY score DESC, o_orderkey))
+SELECT o_custkey, s AS start, e AS "end", CASE WHEN p - score <= 0.10 * greatest(abs(p), 1e-6) THEN 'MEDIUM' ELSE 'LOW' END AS level, round(least(1, greatest(0, score / greatest(abs(p), 1e-6))), 3) AS relative FROM k WHERE z > 1"""
 _CR, _EM = matching.SQL["coverage_runs"], matching.SQL["evidence_modes"]
 SQL["confidence_levels"] = f"""WITH cr AS ({_CR}), em AS ({_EM}), b AS (SELECT *, row_number() OVER (PARTITION BY shot_no ORDER BY best_cover DESC, cluster_no) AS r FROM cr),
 j AS (SELECT em.*, f.best_cover AS bc, f.mean_sim AS sim, f.run_len, f.run_end - f.run_start AS rs, f.stability AS stb, f.coverage_quality AS cq, CASE WHEN s.best_cover IS NULL THEN 1.0 ELSE least(1.0, greatest(0.0, (f.best_cover - s.best_cover) / greatest(abs(f.best_cover), 1e-6))) END AS mg FROM em LEFT JOIN b f ON f.shot_no = em.shot_no AND f.r = 1 LEFT JOIN b s ON s.shot_no = em.shot_no AND s.r = 2),

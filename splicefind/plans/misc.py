@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from splicefind.functions import scalars as S
 from splicefind.functions import text as X
-from splicefind.operators import asof, evaluate
+from splicefind.operators import asof, evaluate, intervals
 from splicefind.plans import fixtures as fx
 from splicefind.plans import pipelines
 from splicefind.plans.editing import _E, _SHOT, _sessions, _shots
@@ -26,8 +26,19 @@ def _results(spark, d):
 
 def channel_plan(spark, d):
     scenes = _shots(spark, d).select("o_custkey", (F.floor(F.col("start") / 10) * 10.0).alias("start"), (F.floor(F.col("start") / 10) * 10.0 + 10).alias("end")).distinct()
-    plan, _, _ = pipelines.channel_plan(_results(spark, d), scenes, ["o_custkey"], 50.0)
-    return plan.select("o_custkey", "seg_index", "sub_index", "kind", "start", "end", "inserted")
+    plan = pipelines.channel_plan(_results(spark, d), scenes, ["o_custkey"], 50.0)["plan"]
+    return plan.select("o_custkey", "seg_index", "sub_index", "kind", "piece", "q_start", "q_end", "start", "end", "inserted")
+
+
+def channel_audits(spark, d):
+    """The audits of the channel plan before and after its overlaps are trimmed."""
+    scenes = _shots(spark, d).select("o_custkey", (F.floor(F.col("start") / 10) * 10.0).alias("start"), (F.floor(F.col("start") / 10) * 10.0 + 10).alias("end")).distinct()
+    got = pipelines.channel_plan(_results(spark, d), scenes, ["o_custkey"], 50.0)
+    return got["before"].withColumn("step", F.lit("before")).unionByName(got["after"].withColumn("step", F.lit("after")))
+
+
+def fragment_warnings(spark, d):
+    return intervals.fragment_warnings(_sessions(spark, d), ["grp"]).select("grp", "fragments", F.sha2("warning", 256).alias("digest"))
 
 
 def fcp_xml(spark, d):
@@ -117,6 +128,7 @@ def truth_prf(spark, d):
 QUERIES = {k: v for k, v in dict(globals()).items() if callable(v) and getattr(v, "__module__", "") == __name__ and not k.startswith("_")}
 
 SQL = {
+    "fragment_warnings": f"""WITH {_E}, k AS (SELECT grp, count(*) AS fragments FROM ses WHERE e - s < 0.15 GROUP BY grp) SELECT grp, fragments, sha256(format('{intervals.FRAGMENT_TEXT.replace("%d", "{}").replace("%.2f", "0.15")}', fragments)) AS digest FROM k""",
     "time_grid": f"WITH {_E}, g AS (SELECT sid, s, unnest(range(0, CAST(floor((e - s) / 0.5 + 1e-9) AS INTEGER) + 1)) AS k FROM ses) SELECT sid, CAST(k AS INTEGER) AS k, round(s + k * 0.5, 4) AS t FROM g",
     "frames_in_scenes": f"WITH {fx.LIB} SELECT CAST(floor(t / 20) AS BIGINT) AS scene_no, count(*) AS n, min(t) AS first FROM lib GROUP BY 1",
     "boundary_recall": f"""WITH {_E}, m AS (SELECT a.grp, a.sid, min(abs(b.s - a.s)) AS g FROM ses a LEFT JOIN ses b ON (b.grp + 1) % 10 = a.grp GROUP BY a.grp, a.sid)

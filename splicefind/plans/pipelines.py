@@ -40,20 +40,26 @@ def locate(queries: DataFrame, library: DataFrame, gap: float = 15.0, least_rows
     return grading.grade(out).select("shot_no", "mode", "nq", "qcov", "primary", "secondary", "spans", "score", "level", "flags", "reasons")
 
 
-def channel_plan(results: DataFrame, scenes: DataFrame, keys: list[str], width: float, least: str = "MEDIUM", tolerance: float = 1.0, fps: float = 25.0) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(plan, audit before, audit after): flatten, snap to scene edges, expand to scenes, audit, trim overlaps, audit.
+def channel_plan(results: DataFrame, scenes: DataFrame, keys: list[str], width: float, least: str = "MEDIUM", tolerance: float = 1.0, fps: float = 25.0) -> dict[str, DataFrame]:
+    """plan, warnings, before and after (the two audits), in the fixed order.
 
-    ``results`` and ``scenes`` carry ``keys`` (the source); see ``export.export_plan`` for the rest.
+    Flatten, warn of fragments, snap to scene edges, split at scene edges, expand to scenes (but split
+    pieces), audit, trim overlaps, audit.  ``results`` and ``scenes`` carry ``keys`` (the source); see
+    ``export.export_plan`` for the rest.
     """
-    flat = export.export_plan(results, least)
-    plan = flat.join(results.select("seg_index", *keys), "seg_index")
-    snapped = intervals.snap(plan, intervals.boundaries(scenes, keys), keys, tolerance).drop("start", "end").withColumnsRenamed({"new_start": "start", "new_end": "end"})
-    row = snapped.withColumn("_row", F.concat_ws(":", "seg_index", "sub_index"))
-    wide = intervals.expand(row, scenes, keys, "_row", width, rel_cap=1.5).drop("start", "end").withColumnsRenamed({"new_start": "start", "new_end": "end"})
-    mains = wide.where(F.col("kind") != "sub")
+    plan = export.export_plan(results, least).join(results.select("seg_index", *keys), "seg_index")
+    warnings = intervals.fragment_warnings(plan, keys)
+    marks = intervals.boundaries(scenes, keys)
+    renamed = {"new_start": "start", "new_end": "end"}
+    row = intervals.snap(plan, marks, keys, tolerance, width=width).drop("start", "end").withColumnsRenamed(renamed).withColumn("_row", F.concat_ws(":", "seg_index", "sub_index"))
+    subs = row.where("kind = 'sub'").withColumn("piece", F.lit(-1))
+    pieces = subs.unionByName(intervals.split_at(row.where("kind <> 'sub'"), marks, keys, "_row", width))
+    whole = intervals.expand(pieces.where("piece < 0"), scenes, keys, "_row", width, rel_cap=1.5).drop("start", "end").withColumnsRenamed(renamed)
+    wide = whole.unionByName(pieces.where("piece >= 0").withColumn("expanded", F.lit(False)))
+    mains = wide.where("kind <> 'sub'")
     before = intervals.overlap_audit(mains, keys, "q_start", width)
-    trimmed = folds.fold(mains, keys, ["q_start", "q_end", "seg_index"], lambda r: folds.trim_overlaps(r, fps), "inserted boolean")
-    return trimmed.unionByName(wide.where("kind = 'sub'").withColumn("inserted", F.lit(False))), before, intervals.overlap_audit(trimmed, keys, "q_start", width)
+    trimmed = folds.fold(mains, keys, ["q_start", "q_end", "seg_index", "piece"], lambda r: folds.trim_overlaps(r, fps), "inserted boolean")
+    return {"plan": trimmed.unionByName(wide.where("kind = 'sub'").withColumn("inserted", F.lit(False))), "warnings": warnings, "before": before, "after": intervals.overlap_audit(trimmed, keys, "q_start", width)}
 
 
 def fcp_xml(plan: DataFrame, keys: list[str], title: str, fps: float) -> DataFrame:

@@ -43,7 +43,7 @@ def pool_frames(spark, d):
 
 
 def uniqueness(spark, d):
-    rows = fx.library(spark, d).where("t < 200").withColumn("k", F.lit(0))
+    rows = fx.library(spark, d).withColumn("k", F.lit(0))
     return repair.uniqueness(rows, ["k"], "t").select("t", F.round("nearest", 6).alias("nearest"))
 
 
@@ -100,7 +100,7 @@ SELECT s.shot_no, CAST(s.cluster_no AS BIGINT) AS cluster_no, round(avg(sim), 6)
     "start_shifts": f"""WITH {_SIMS}, c AS (SELECT *, shot_no * 10 + 7.0 AS cur, abs(t - (shot_no * 10 + 7.0)) AS dd FROM sims WHERE abs(t - (shot_no * 10 + 7.0)) <= 15), k AS (SELECT *, max(sim) OVER (PARTITION BY shot_no) AS top, row_number() OVER (PARTITION BY shot_no ORDER BY dd, t) AS z FROM c),
 n AS (SELECT shot_no, sim AS now FROM k WHERE z = 1), p AS (SELECT *, row_number() OVER (PARTITION BY shot_no ORDER BY dd, t) AS y FROM k WHERE sim >= top - 0.03)
 SELECT p.shot_no, CAST(CASE WHEN sim - now >= 0.01 AND abs(t - cur) <= 10 THEN t ELSE cur END AS DOUBLE) AS new_start, round(sim, 6) AS best, round(now, 6) AS now FROM p JOIN n ON n.shot_no = p.shot_no WHERE y = 1""",
-    "uniqueness": f"""WITH {fx.LIB}, l AS (SELECT t, f, row_number() OVER (ORDER BY t) AS i FROM lib WHERE t < 200), b AS (SELECT x.i, x.t, list_concat(list_concat(p.f, x.f), n.f) AS v FROM l x JOIN l p ON p.i = x.i - 1 JOIN l n ON n.i = x.i + 1)
+    "uniqueness": f"""WITH {fx.LIB}, l AS (SELECT t, f, row_number() OVER (ORDER BY t) AS i FROM lib), b AS (SELECT x.i, x.t, list_concat(list_concat(p.f, x.f), n.f) AS v FROM l x JOIN l p ON p.i = x.i - 1 JOIN l n ON n.i = x.i + 1)
 SELECT a.t, round(max(round(list_cosine_similarity(a.v, b.v), 9)), 6) AS nearest FROM b a JOIN b ON abs(a.i - b.i) > 2 GROUP BY a.t""",
     "truth_ranks": f"WITH {fx.hits_sql(10)}, r AS (SELECT *, rank() OVER (PARTITION BY shot_no ORDER BY sim DESC) AS z FROM hits) SELECT shot_no, CAST(min(z) FILTER (abs(l_t - q_t) <= 100) AS INTEGER) AS best_rank FROM r GROUP BY shot_no",
     "cross_cuts": f"""WITH {fx.QRY}, x AS (SELECT shot_no, t, f, lead(f) OVER (PARTITION BY shot_no ORDER BY t) AS g FROM qry), k AS (SELECT shot_no, t, round(1 - list_cosine_similarity(f, g), 9) AS dd FROM x WHERE g IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY shot_no ORDER BY dd DESC, t) AS z FROM k)

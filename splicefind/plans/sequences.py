@@ -1,14 +1,14 @@
-"""Registered queries over sequential folds (rows-only checks; tests hold them against restatements)."""
+"""Registered queries over sequential folds; SQL walks the same steps by recursion where it can."""
 
 from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from splicefind.operators import folds
+from splicefind.operators import folds, intervals, timeseries
 from splicefind.operators.timeseries import epoch_seconds
 from splicefind.plans import fixtures as fx
-from splicefind.plans.editing import _sessions, _shots
+from splicefind.plans.editing import _E, _SHOT, _sessions, _shots
 
 
 def shot_detection(spark, d):
@@ -23,7 +23,8 @@ def two_level_shots(spark, d):
 
 def spaced_peaks(spark, d):
     s = fx.series(spark, d).withColumn("at", F.col("seq").cast("double"))
-    return folds.fold(s, ["user_id"], ["seq"], lambda r: [r[i] for i in folds.keep_strongest([x["at"] for x in r], [x["x"] for x in r], 3.0)])
+    kept = folds.fold(s, ["user_id"], ["seq"], lambda r: [r[i] for i in folds.keep_strongest([x["at"] for x in r], [x["x"] for x in r], 3.0)])
+    return kept.select("user_id", "seq", F.round("x", 6).alias("x"))
 
 
 def short_merge(spark, d):
@@ -41,12 +42,12 @@ def continuity_clusters(spark, d):
 
 def similarity_runs(spark, d):
     h = fx.hits(spark, d, 5).groupBy("shot_no", F.col("l_t").alias("t")).agg(F.max("sim").alias("sim"))
-    return folds.fold(h, ["shot_no"], ["t"], folds.similarity_runs, "run int")
+    return timeseries.similarity_runs(h, ["shot_no"]).select("shot_no", "t", F.round("sim", 6).alias("sim"), "run")
 
 
 def spaced_topk(spark, d):
     h = fx.hits(spark, d, 10).groupBy("shot_no", F.col("l_t").alias("t")).agg(F.max("sim").alias("sim"))
-    return folds.fold(h, ["shot_no"], ["t"], folds.spaced_best)
+    return folds.fold(h, ["shot_no"], ["t"], folds.spaced_best).select("shot_no", "t", F.round("sim", 6).alias("sim"))
 
 
 def moment_align(spark, d):
@@ -81,7 +82,7 @@ def sequence_rerank(spark, d):
 
 def iou_dedup(spark, d):
     s = _sessions(spark, d).where("end > start").withColumn("q_start", F.col("start")).withColumn("cover", F.col("n") / 10).withColumn("sim", F.lit(0.5))
-    return folds.fold(s, ["grp"], ["sid"], lambda r: folds.iou_dedup(r, 0.3, 20))
+    return folds.fold(s, ["grp"], ["sid"], lambda r: folds.iou_dedup(r, 0.3, 20)).select("grp", "sid", "n")
 
 
 def subspan_gate(spark, d):
@@ -95,7 +96,8 @@ def claim_gate(spark, d):
 
 
 def shift_repeats(spark, d):
-    return folds.fold(_shots(spark, d), ["o_custkey"], ["i"], lambda r: folds.shift_repeats(r, 60.0, 1000.0), "shifted boolean")
+    out = folds.fold(_shots(spark, d), ["o_custkey"], ["i"], lambda r: folds.shift_repeats(r, 60.0, 1000.0), "shifted boolean")
+    return out.select("o_orderkey", F.round("start", 4).alias("start"), F.round("end", 4).alias("end"), "shifted")
 
 
 def timeline_prior(spark, d):
@@ -108,9 +110,11 @@ def timeline_prior(spark, d):
 
 
 def boundary_split(spark, d):
-    s = _shots(spark, d).withColumn("q_start", F.col("i").cast("double")).withColumn("q_end", F.col("i") + F.lit(1.0))
-    marks = [float(x) for x in range(0, 1000, 3)]
-    return folds.fold(s, ["o_custkey"], ["i"], lambda r: folds.split_at(r, marks), "piece int")
+    """Each customer's spans cut at the places that the prices of all parts mark."""
+    s = _shots(spark, d).withColumn("q_start", F.col("i").cast("double")).withColumn("q_end", F.col("i") + F.lit(1.0)).withColumn("one", F.lit(1))
+    marks = fx.table(spark, d, "part").select(F.lit(1).alias("one"), F.round(F.pmod("p_retailprice", F.lit(1000.0)), 1).alias("at")).distinct()
+    out = intervals.split_at(s, marks, ["one"], "o_orderkey", 10.0)
+    return out.select("o_orderkey", "piece", F.round("start", 4).alias("start"), F.round("end", 4).alias("end"), F.round("q_start", 4).alias("q_start"), F.round("q_end", 4).alias("q_end"))
 
 
 def trim_overlaps(spark, d):
@@ -119,8 +123,11 @@ def trim_overlaps(spark, d):
 
 
 def conflict_repair(spark, d):
-    series = [(float(t), 0.5 + 0.5 * ((t * 37) % 100) / 100) for t in range(1000)]
-    return folds.fold(_shots(spark, d), ["o_custkey"], ["i"], lambda r: folds.repair_conflicts(r, series, least=0.2, good=0.3), "moved boolean")
+    """Clashing spans of a customer moved within the similarities that its order lines give."""
+    lines = fx.table(spark, d, "lineitem").join(fx.table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    series = lines.groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct(F.round(F.pmod("l_extendedprice", F.lit(1000.0)), 2).alias("t"), (F.col("l_discount") * 10).cast("double").alias("sim")))).alias("series"))
+    rows = _shots(spark, d).join(series, "o_custkey", "left")
+    return folds.fold(rows, ["o_custkey"], ["i"], lambda r: folds.repair_conflicts(r, least=0.2, good=0.3), "moved boolean", ["o_custkey", "o_orderkey", "i", "start", "end", "score"])
 
 
 def progress_frames(spark, d):
@@ -129,4 +136,31 @@ def progress_frames(spark, d):
 
 
 QUERIES = {k: v for k, v in dict(globals()).items() if callable(v) and getattr(v, "__module__", "") == __name__ and not k.startswith("_")}
-SQL: dict[str, str] = {}
+_H5 = f"{fx.hits_sql(5)}, h AS (SELECT shot_no, l_t AS t, max(sim) AS sim FROM hits GROUP BY ALL)"
+SQL = {
+    "similarity_runs": f"""WITH {_H5}, k AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY shot_no ORDER BY sim DESC, t) > 8 THEN 1 ELSE 0 END AS b FROM h)
+SELECT shot_no, t, round(sim, 6) AS sim, CAST(sum(b) OVER (PARTITION BY shot_no ORDER BY sim DESC, t ROWS UNBOUNDED PRECEDING) AS INTEGER) AS run FROM k""",
+    "boundary_split": f"""WITH {_SHOT}, m AS (SELECT DISTINCT round(p_retailprice % 1000, 1) AS pt FROM part), c AS (SELECT o_orderkey, s, e, i, pt FROM shot JOIN m ON pt > s + 0.5 AND pt < e - 0.5 WHERE e - s > 1),
+n AS (SELECT *, coalesce(lead(pt) OVER (PARTITION BY o_orderkey ORDER BY pt), e) - pt AS w FROM c), b AS (SELECT o_orderkey, s, e, i, pt FROM n WHERE w >= 0.5 UNION ALL SELECT o_orderkey, s, e, i, s FROM shot),
+p AS (SELECT *, row_number() OVER k - 1 AS z, count(*) OVER (PARTITION BY o_orderkey) AS n, lead(pt) OVER k AS nx FROM b WINDOW k AS (PARTITION BY o_orderkey ORDER BY pt))
+SELECT o_orderkey, CAST(CASE WHEN n > 1 THEN z ELSE -1 END AS INTEGER) AS piece, round(pt, 4) AS start, round(coalesce(nx, e), 4) AS "end", round(i + (pt - s) / (e - s), 4) AS q_start, round(i + (coalesce(nx, e) - s) / (e - s), 4) AS q_end FROM p""",
+    "spaced_peaks": f"""WITH RECURSIVE {fx.SERIES}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY x DESC, seq) AS z FROM ser),
+w AS (SELECT user_id, seq, x, z, [seq] AS kept, true AS ok FROM r WHERE z = 1 UNION ALL
+  SELECT r.user_id, r.seq, r.x, r.z, CASE WHEN len(list_filter(kept, lambda k: abs(k - r.seq) < 3)) = 0 THEN list_append(kept, r.seq) ELSE kept END, len(list_filter(kept, lambda k: abs(k - r.seq) < 3)) = 0 FROM w JOIN r ON r.user_id = w.user_id AND r.z = w.z + 1)
+SELECT user_id, CAST(seq AS INTEGER) AS seq, round(x, 6) AS x FROM w WHERE ok""",
+    "spaced_topk": f"""WITH RECURSIVE {fx.hits_sql(10)}, h AS (SELECT shot_no, l_t AS t, max(sim) AS sim FROM hits GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY shot_no ORDER BY sim DESC, t) AS z FROM h),
+w AS (SELECT shot_no, t, sim, z, [t] AS kept, true AS ok FROM r WHERE z = 1 UNION ALL
+  SELECT r.shot_no, r.t, r.sim, r.z, CASE WHEN len(kept) < 5 AND len(list_filter(kept, lambda k: abs(k - r.t) < 3)) = 0 THEN list_append(kept, r.t) ELSE kept END, len(kept) < 5 AND len(list_filter(kept, lambda k: abs(k - r.t) < 3)) = 0 FROM w JOIN r ON r.shot_no = w.shot_no AND r.z = w.z + 1)
+SELECT shot_no, t, round(sim, 6) AS sim FROM w WHERE ok""",
+    "iou_dedup": f"""WITH RECURSIVE {_E}, r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY n DESC, sid) AS z FROM ses WHERE e > s),
+w AS (SELECT grp, sid, n, z, [{{'a': s, 'b': e}}] AS kept, true AS ok FROM r WHERE z = 1 UNION ALL
+  SELECT r.grp, r.sid, r.n, r.z, CASE WHEN c.ok THEN list_append(kept, {{'a': r.s, 'b': r.e}}) ELSE kept END, c.ok FROM w JOIN r ON r.grp = w.grp AND r.z = w.z + 1,
+  LATERAL (SELECT len(kept) < 20 AND len(list_filter(kept, lambda k: greatest(0, least(k.b, r.e) - greatest(k.a, r.s)) / (greatest(k.b, r.e) - least(k.a, r.s)) > 0.3)) = 0 AS ok) c)
+SELECT grp, sid, n FROM w WHERE ok""",
+    "shift_repeats": f"""WITH RECURSIVE {_SHOT}, w AS (SELECT o_custkey, o_orderkey, i, s AS a, e AS b, false AS sh FROM shot WHERE i = 1 UNION ALL
+  SELECT t.o_custkey, t.o_orderkey, t.i, CASE WHEN c.sh THEN w.b ELSE t.s END, CASE WHEN c.sh THEN w.b + (t.e - t.s) ELSE t.e END, c.sh FROM w JOIN shot t ON t.o_custkey = w.o_custkey AND t.i = w.i + 1, LATERAL (SELECT abs(t.s - w.a) <= 60 AND w.b > t.s AND w.b + (t.e - t.s) <= 1000 AS sh) c)
+SELECT o_orderkey, round(a, 4) AS start, round(b, 4) AS "end", sh AS shifted FROM w""",
+    "timeline_prior": f"""WITH RECURSIVE {_SHOT}, w AS (SELECT o_custkey, o_orderkey, i, (s + e) / 2 AS m, 0 AS pick FROM shot WHERE i = 1 UNION ALL
+  SELECT t.o_custkey, t.o_orderkey, t.i, CASE WHEN c.pick = 1 THEN t.s * 0.5 + 2 ELSE (t.s + t.e) / 2 END, c.pick FROM w JOIN shot t ON t.o_custkey = w.o_custkey AND t.i = w.i + 1, LATERAL (SELECT CASE WHEN abs((t.s + t.e) / 2 - w.m) > 45 AND abs((t.s * 0.5 + (t.s * 0.5 + 4)) / 2 - w.m) <= 45 THEN 1 ELSE 0 END AS pick) c)
+SELECT o_custkey, o_orderkey, CAST(pick AS INTEGER) AS pick FROM w""",
+}

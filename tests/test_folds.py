@@ -132,10 +132,74 @@ def test_trimming_keeps_the_union(seed):
     assert all(r["end"] - r["start"] >= 1 / 25 - 2e-3 for r in got)
 
 
-def test_split_shares_record_time():
-    got = folds.split_at([{"start": 0.0, "end": 10.0, "q_start": 0.0, "q_end": 5.0}], [0.3, 4.0, 4.2, 9.8])
-    assert [(r["start"], r["end"]) for r in got] == [(0.0, 4.2), (4.2, 10.0)]
-    assert got[0]["q_start"] == 0.0 and got[-1]["q_end"] == 5.0 and abs(got[0]["q_end"] - got[1]["q_start"]) < 1e-9
+def brute_trim(rows, fps=25.0, gap=0.05):
+    """The timeline repair in its literal steps: a list of clips, walked by pairs of neighbours."""
+    frame = 1.0 / fps
+    clips = [dict(r) for r in sorted(rows, key=lambda r: (r["q_start"], r["q_end"]))]
+    k = 0
+    while k < len(clips) - 1:
+        one, two = clips[k : k + 2]
+        k += 1
+        if two["q_start"] - one["q_end"] > gap or min(one["end"], two["end"]) - max(one["start"], two["start"]) <= 0:
+            continue
+        lo, hi = (one, two) if one["start"] <= two["start"] else (two, one)
+        if lo["end"] >= hi["end"]:
+            total = lo["end"] - lo["start"]
+            before, after = hi["start"] - lo["start"], lo["end"] - hi["end"]
+            if before >= frame and after >= frame:
+                at = lo["q_start"] + (lo["q_end"] - lo["q_start"]) * before / total
+                clips.insert(clips.index(lo) + 1, {**lo, "start": hi["end"], "q_start": at})
+                lo["end"], lo["q_end"] = hi["start"], at
+            elif before >= frame:
+                hi["end"], lo["end"] = lo["end"], hi["start"]
+            elif after >= frame:
+                hi["start"], lo["start"] = lo["start"], hi["end"]
+            elif total >= 2 * frame:
+                m = (lo["start"] + lo["end"]) / 2
+                hi["start"], hi["end"], lo["end"] = m, lo["end"], m
+        else:
+            m = min(max((hi["start"] + lo["end"]) / 2, lo["start"] + frame), hi["end"] - frame)
+            if m - lo["start"] >= frame and hi["end"] - m >= frame:
+                lo["end"], hi["start"] = m, m
+    return [tuple(round(c[x], 3) for x in ("q_start", "q_end", "start", "end")) for c in clips]
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_trimming_equals_its_steps(seed):
+    rng = random.Random(seed)
+    rows = spans(rng, 9, 40.0)
+    for r in rows[::3]:  # clips that lie inside a neighbour, with and without a frame to spare
+        r["start"], r["end"] = 20.0, 20.0 + rng.choice((0.03, 3.0, 60.0))
+    got = [tuple(r[x] for x in ("q_start", "q_end", "start", "end")) for r in folds.trim_overlaps([dict(r) for r in rows])]
+    assert got == brute_trim(rows)
+
+
+def test_hole_shares_the_record_slot_by_source_width():
+    outer = {"start": 0.0, "end": 10.0, "q_start": 0.0, "q_end": 10.0}
+    got = folds.trim_overlaps([outer, {"start": 4.0, "end": 5.0, "q_start": 10.0, "q_end": 11.0}])
+    assert [(r["start"], r["end"], r["q_end"]) for r in got] == [(0.0, 4.0, 4.0), (5.0, 10.0, 10.0), (4.0, 5.0, 11.0)]
+
+
+def test_split_shares_record_time(spark):
+    from splicefind.operators.intervals import split_at
+
+    clips = spark.createDataFrame([(1, 7, 0.0, 10.0, 0.0, 5.0), (1, 8, 3.9, 4.9, 5.0, 6.0)], "k int, row int, start double, end double, q_start double, q_end double")
+    marks = spark.createDataFrame([(1, x) for x in (0.3, 4.0, 4.2, 9.8)] + [(2, 5.0)], "k int, at double")
+    got = sorted(split_at(clips, marks, ["k"], "row", 3.0).collect(), key=lambda r: (r["row"], r["start"]))
+    assert [(r["start"], r["end"], r["piece"]) for r in got] == [(0.0, 4.2, 0), (4.2, 10.0, 1), (3.9, 4.9, -1)]
+    assert got[0]["q_start"] == 0.0 and got[1]["q_end"] == 5.0 and got[0]["q_end"] == got[1]["q_start"] == pytest.approx(2.1)
+
+
+def test_as_of_by_buckets_equals_whole_series(spark):
+    from splicefind.operators.asof import around
+
+    rng = random.Random(4)
+    left = spark.createDataFrame([(i % 2, rng.randrange(300) / 4) for i in range(120)] + [(0, None)], "k int, t double")
+    right = spark.createDataFrame([(i % 3, rng.randrange(300) / 4, i) for i in range(60)], "k int, r double, x int")
+    plain = around(left, right, ["k"], "t", "r", ["x"])
+    dealt = around(left, right, ["k"], "t", "r", ["x"], width=5.0)
+    assert sorted(map(str, plain.where("t is not null").collect())) == sorted(map(str, dealt.where("t is not null").collect()))
+    assert dealt.where("t is null").count() == 1
 
 
 def test_shift_uses_the_shifted_row_before():
