@@ -22,7 +22,8 @@ def overlap_share(s1, e1, s2, e2) -> Column:
 def iou(s1, e1, s2, e2) -> Column:
     """Overlap by the hull; 0 when a span is null."""
     hull = F.greatest(col(e1), col(e2)) - F.least(col(s1), col(s2))
-    return F.coalesce(F.when(hull > 0, overlap(s1, e1, s2, e2) / hull), F.lit(0.0))
+    whole = col(s1).isNotNull() & col(e1).isNotNull() & col(s2).isNotNull() & col(e2).isNotNull()  # greatest and least skip nulls
+    return F.when(whole & (hull > 0), overlap(s1, e1, s2, e2) / hull).otherwise(0.0)
 
 
 def merge(df: DataFrame, keys: list[str], start: str = "start", end: str = "end", eps: float = 0.0) -> DataFrame:
