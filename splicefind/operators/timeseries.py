@@ -1,7 +1,8 @@
 """Ordered-series operators: lags, padded statistics, peaks, runs, sessions, block statistics.
 
-All are window expressions over (keys, order); a series is one window partition, so a
-source should be dealt by its key.  Nothing sorts without a key.
+All are window expressions over (keys, order); a series is one window partition.  Local operators (those that look at
+a few rows around each) run on one long series in parallel through ``by_ranges``, which deals it by ranges of its order
+and lends each range the rows around it.  Nothing sorts without a key.
 """
 
 from __future__ import annotations
@@ -17,6 +18,30 @@ def over(keys: list[str], order) -> W:
     return W.partitionBy(*keys).orderBy(*(order if isinstance(order, list) else [order]))
 
 
+def by_ranges(df: DataFrame, keys: list[str], order: str, width: float, rows: int, fn) -> DataFrame:
+    """``fn(df, keys)`` of an operator that looks at up to ``rows`` rows on either side, on ranges of ``width``.
+
+    Each range gets copies of the ``rows`` rows before and after it, from as many ranges as these lie in; what ``fn`` makes of
+    the copies is dropped.  ``fn`` must carry the columns of its input; the order has no ties.
+    """
+    part = [*keys, "_range"]
+    dealt = df.withColumn("_range", F.floor(F.col(order) / width))
+    row = F.struct(F.col(order).alias("o"), F.struct(*df.columns).alias("row"))
+
+    def edge(by) -> DataFrame:
+        near = dealt.withColumn("_n", F.row_number().over(W.partitionBy(*part).orderBy(by))).where(F.col("_n") <= rows)
+        return near.groupBy(*part).agg(F.array_sort(F.collect_list(row)).alias("e"))  # at most ``rows`` rows
+
+    ends = edge(F.col(order)).withColumnRenamed("e", "first").join(edge(F.desc(order)).withColumnRenamed("e", "last"), part)
+    line = W.partitionBy(*keys).orderBy("_range")
+    before, after = F.flatten(F.collect_list("last").over(line.rowsBetween(-rows, -1))), F.flatten(F.collect_list("first").over(line.rowsBetween(1, rows)))
+    ends = ends.select(*part, before.alias("b"), after.alias("a"))
+    lent = F.concat(F.slice("b", F.greatest(F.size("b") - rows + 1, F.lit(1)), rows), F.slice("a", 1, rows))
+    lent = ends.select("_range", F.explode(lent).alias("x")).select("x.row.*", "_range", F.lit(False).alias("_own"))
+    whole = dealt.withColumn("_own", F.lit(True)).unionByName(lent)
+    return fn(whole, part).where("_own").drop("_own", "_range")
+
+
 def adjacent_distance(df: DataFrame, keys: list[str], order="t", feature: str = "feature", out: str = "distance") -> DataFrame:
     """1 - cos of each row and the next of its series; the last row of a series goes."""
     w = over(keys, order)

@@ -58,14 +58,23 @@ def global_anchor(spark, d):
     return out.select("shot_no", R("seed"), "reason")
 
 
+def _line(spark, d):
+    """The whole library as one series."""
+    return fx.library(spark, d).withColumn("k", F.lit(0))
+
+
 def adjacent_distance(spark, d):
-    out = ts.adjacent_distance(fx.library(spark, d).withColumn("k", F.lit(0)), ["k"])
+    out = ts.by_ranges(_line(spark, d), ["k"], "t", 150.0, 1, ts.adjacent_distance)
     return out.select("t", R("distance"))
 
 
 def local_peaks(spark, d):
-    rows = ts.adjacent_distance(fx.library(spark, d).withColumn("k", F.lit(0)), ["k"]).withColumn("x", F.round("distance", 9))
-    return rows.withColumn("p", ts.is_peak("x", ["k"], "t")).withColumn("o", ts.parabola_offset("x", ["k"], "t")).where("p").select("t", F.round("x", 6).alias("x"), F.round("o", 5).alias("offset"))
+    def peaks(rows, keys):
+        rows = ts.adjacent_distance(rows, keys).withColumn("x", F.round("distance", 9))
+        return rows.withColumn("p", ts.is_peak("x", keys, "t")).withColumn("o", ts.parabola_offset("x", keys, "t"))
+
+    rows = ts.by_ranges(_line(spark, d), ["k"], "t", 150.0, 2, peaks)
+    return rows.where("p").select("t", F.round("x", 6).alias("x"), F.round("o", 5).alias("offset"))
 
 
 def adaptive_peaks(spark, d):
@@ -87,7 +96,7 @@ def run_shares(spark, d):
 
 
 def block_gate(spark, d):
-    out = ts.block_gate(fx.library(spark, d).withColumn("k", F.lit(0)), ["k"], "t", "feature")
+    out = ts.by_ranges(_line(spark, d), ["k"], "t", 150.0, 5, lambda rows, keys: ts.block_gate(rows, keys, "t", "feature"))
     return out.select("t", R("block_distance", 5), R("block_deviation", 5))
 
 
