@@ -135,3 +135,27 @@ def score_starts(sims: DataFrame, starts: DataFrame, keys: list[str], span: int,
     fine = fine.groupBy(*keys, "start", row).agg(F.max(sim).alias("_r")).groupBy(*keys, "start").agg(F.avg("_r").alias("refined"))
     out = s.select(*keys, "start").join(per.drop("_med"), [*keys, "start"], "left").join(fine, [*keys, "start"], "left")
     return out.fillna(-1.0, ["coarse", "support", "refined"])
+
+
+def prior_start(start: Column, end: Column, seed: Column, ok: Column) -> Column:
+    """A vote of the shot's own rows moves the start only, and never past the end."""
+    return F.when(F.coalesce(ok & (seed < end), F.lit(False)), F.greatest(seed, F.lit(0.0))).otherwise(start)
+
+
+def anchored(start: Column, end: Column, seed: Column, ok: Column, last: Column) -> tuple[Column, Column]:
+    """A vote of the whole batch moves the start and keeps the width, up to the last time."""
+    moved = F.coalesce(ok, F.lit(False))
+    return F.when(moved, seed).otherwise(start), F.when(moved, F.least(last, seed + (end - start))).otherwise(end)
+
+
+def strong_subs(subs: Column, least: float = 0.2) -> Column:
+    """Sub spans (start, end, cover) without those of little cover."""
+    return F.filter(subs, lambda s: F.coalesce(s["cover"] >= least, F.lit(False)))
+
+
+def found_by_text(df: DataFrame, columns: list[str], text: str) -> DataFrame:
+    """Rows in which one of the columns holds the text, upper and lower case alike."""
+    hit = F.lit(False)
+    for c in columns:
+        hit = hit | F.coalesce(F.lower(F.col(c).cast("string")).contains(text.lower()), F.lit(False))
+    return df.where(hit)

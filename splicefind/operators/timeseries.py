@@ -160,3 +160,18 @@ def similarity_runs(df: DataFrame, keys: list[str], gap: float = 8.0, t: str = "
     new = F.coalesce((F.col(t) - F.lag(t).over(w) > gap).cast("int"), F.lit(0))
     rows = df.withColumn("_new", new)
     return rows.withColumn("run", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)).cast("int")).drop("_new")
+
+
+def every(df: DataFrame, keys: list[str], order, step: int) -> DataFrame:
+    """Every ``step``-th row of each series, the first included."""
+    return df.withColumn("_i", F.row_number().over(over(keys, order)) - 1).where(F.col("_i") % step == 0).drop("_i")
+
+
+def evenly(df: DataFrame, keys: list[str], order, n: int) -> DataFrame:
+    """``n`` evenly spaced rows of each series (places truncated), all rows of shorter ones."""
+    rows = df.withColumn("_i", F.row_number().over(over(keys, order)) - 1)
+    size = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    step = (F.col("_n") - 1) / max(n - 1, 1)
+    k = F.ceil(F.col("_i") / step - 1e-9)  # the only k whose place can be this row
+    hit = F.when(F.col("_n") <= n, True).when(F.lit(n == 1), F.col("_i") == 0).otherwise((k < n) & (F.floor(k * step + 1e-9) == F.col("_i")))
+    return rows.join(size, keys).where(hit).drop("_i", "_n")

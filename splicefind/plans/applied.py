@@ -6,9 +6,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from splicefind.functions import scalars as S
-from splicefind.operators import apply, folds, grading, intervals, repair
+from splicefind.operators import apply, folds, grading, intervals, repair, timeseries
+from splicefind.operators.asof import nearest
 from splicefind.plans import fixtures as fx
-from splicefind.plans.editing import _NB, _SHOT, _shots
+from splicefind.plans.editing import _E, _NB, _SHOT, _sessions, _shots
 
 
 def _level(score):
@@ -131,6 +132,42 @@ def box_nms(spark, d):
     return folds.fold(s, ["o_custkey"], ["i"], run, columns=["o_custkey", "o_orderkey"])
 
 
+def strided_rows(spark, d):
+    return timeseries.every(fx.series(spark, d), ["user_id"], "seq", 3).select("user_id", "seq")
+
+
+def even_rows(spark, d):
+    return timeseries.evenly(fx.series(spark, d), ["user_id"], "seq", 5).select("user_id", "seq")
+
+
+def snapped_rows(spark, d):
+    """Each session start of a group on the nearest session start of the next one, however far."""
+    s = _sessions(spark, d)
+    grid = s.select(((F.col("grp") + 1) % 10).alias("grp"), F.col("start").alias("g"))
+    return nearest(s.select("grp", "sid", "start"), grid, ["grp"], "start", "g", [], width=24.0).select("sid", F.col("match.at").alias("at"))
+
+
+def prior_starts(spark, d):
+    s = _shots(spark, d)
+    seed, ok = F.col("start") + F.col("i") - 3, F.col("score") > 0.5
+    a, b = apply.anchored(F.col("start"), F.col("end"), seed, ok, F.lit(900.0))
+    return s.select("o_orderkey", F.round(apply.prior_start(F.col("start"), F.col("end"), seed, ok), 4).alias("start"), F.round(a, 4).alias("moved_start"), F.round(b, 4).alias("moved_end"))
+
+
+def kept_subs(spark, d):
+    """Sub spans left after weak ones go, in the rows that the claim gate keeps."""
+    s = _shots(spark, d)
+    subs = F.array(*[F.struct((F.col("start") + k).alias("start"), (F.col("end") + k).alias("end"), F.round(F.pmod(F.col("score") * (k + 1), F.lit(1.0)), 4).alias("cover")) for k in range(3)])
+    return s.select("o_orderkey", F.size(apply.strong_subs(subs, 0.5)).cast("long").alias("n"))
+
+
+def text_lookup(spark, d):
+    """Orders of the parts whose name or brand holds a text, found by their keys."""
+    parts = apply.found_by_text(fx.table(spark, d, "part"), ["p_name", "p_brand"], "1")
+    lines = fx.table(spark, d, "lineitem").join(parts.select(F.col("p_partkey").alias("l_partkey")), "l_partkey")
+    return lines.groupBy("l_partkey").agg(F.count("*").alias("n"))
+
+
 QUERIES = {k: v for k, v in dict(globals()).items() if callable(v) and getattr(v, "__module__", "") == __name__ and not k.startswith("_")}
 
 _LV = "CASE WHEN score >= 0.75 THEN 'HIGH' WHEN score >= 0.55 THEN 'MEDIUM' ELSE 'LOW' END"
@@ -149,6 +186,12 @@ def _criteria() -> str:
 
 _LINES = "ln AS (SELECT o_custkey, l_linenumber, l_partkey, l_extendedprice, CAST(l_discount AS DOUBLE) AS dc FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
 SQL = {
+    "strided_rows": f"WITH {fx.SERIES} SELECT user_id, CAST(seq AS INTEGER) AS seq FROM ser WHERE seq % 3 = 0",
+    "even_rows": f"WITH {fx.SERIES}, n AS (SELECT user_id, count(*) AS n FROM ser GROUP BY 1) SELECT user_id, CAST(seq AS INTEGER) AS seq FROM ser JOIN n USING (user_id) WHERE n <= 5 OR seq IN (SELECT CAST(floor(k * (n - 1) / 4 + 1e-9) AS BIGINT) FROM range(5) t(k))",
+    "snapped_rows": f"WITH {_E} SELECT a.sid, arg_min(b.s, (abs(b.s - a.s), b.s)) AS \"at\" FROM ses a LEFT JOIN ses b ON (b.grp + 1) % 10 = a.grp GROUP BY a.sid",
+    "prior_starts": f"WITH {_SHOT} SELECT o_orderkey, round(CASE WHEN score > 0.5 AND s + i - 3 < e THEN greatest(s + i - 3, 0) ELSE s END, 4) AS start, round(CASE WHEN score > 0.5 THEN s + i - 3 ELSE s END, 4) AS moved_start, round(CASE WHEN score > 0.5 THEN least(900, s + i - 3 + (e - s)) ELSE e END, 4) AS moved_end FROM shot",
+    "kept_subs": f"WITH {_SHOT} SELECT o_orderkey, CAST(round(score % 1, 4) >= 0.5 AS BIGINT) + CAST(round((score * 2) % 1, 4) >= 0.5 AS BIGINT) + CAST(round((score * 3) % 1, 4) >= 0.5 AS BIGINT) AS n FROM shot",
+    "text_lookup": "SELECT l_partkey, count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey WHERE contains(lower(p_name), '1') OR contains(lower(p_brand), '1') GROUP BY l_partkey",
     "ambiguous_rows": f"WITH {_NB}, k AS (SELECT *, {_LV} AS lv, coalesce({_ODD}, false) AS odd FROM nb) SELECT o_orderkey, CASE WHEN odd AND lv = 'HIGH' THEN 'MEDIUM' ELSE lv END AS level, odd AND lv = 'HIGH' AS ambiguous FROM k",
     "temporal_repairs": f"""WITH {_NB}, {_LINES}, sm AS (SELECT o_custkey, round(l_extendedprice % 1000, 2) AS t, max(dc) AS sim FROM ln GROUP BY ALL), odd AS (SELECT *, least(ps, ns) - 2 AS lo, greatest(pe, ne) + 2 AS hi FROM nb WHERE {_ODD}),
 b AS (SELECT o_orderkey, t, row_number() OVER (PARTITION BY o_orderkey ORDER BY round(sim, 9) DESC, t) AS z FROM odd JOIN sm ON sm.o_custkey = odd.o_custkey AND t BETWEEN lo AND hi), f AS (SELECT o_orderkey, t FROM b WHERE z = 1)

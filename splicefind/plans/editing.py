@@ -104,7 +104,7 @@ def confidence_levels(spark, d):
     rows = rows.withColumns({"margin": grading.margin("best_cover", "second"), "best_sim": F.coalesce("mean_sim", F.lit(0.0)), "span_cover": F.col("best_cover"), "run_s": F.col("run_end") - F.col("run_start"), "width": F.col("run_end") - F.col("run_start"), "stability": F.coalesce("stability", F.lit(0.0)), "best_cover": F.coalesce("best_cover", F.lit(0.0))})
     out = grading.grade(rows)
     v2 = F.round(grading.score_v2("best_sim", "qcov", F.coalesce("coverage_quality", F.lit(0.0)), "margin"), 4)
-    return out.select("shot_no", F.round("score", 3).alias("score"), "level", F.array_join("flags", "|").alias("flags"), F.round(v2, 3).alias("score_v2"), grading.downgrade("level", v2 < 0.6).alias("level_v2"))
+    return out.select("shot_no", F.round("score", 3).alias("score"), "level", F.array_join("flags", "|").alias("flags"), F.array_join("reasons", "|").alias("reasons"), F.round(v2, 3).alias("score_v2"), grading.downgrade("level", v2 < 0.6).alias("level_v2"))
 
 
 def recall_table(spark, d):
@@ -353,4 +353,4 @@ k AS (SELECT *, coalesce(sim, 0) AS q, coalesce(sim, 0) >= 0.6 AND (coalesce(bc,
 m AS (SELECT *, CASE WHEN none THEN 0 ELSE (0.30 / greatest(n_strong, 1) + 0.25 * mg + 0.15 * least(1.0, greatest(0.0, qcov)) + 0.15 * coalesce(bc, 0) + 0.08 * least(1.0, greatest(0.0, q)) + 0.07 * coalesce(stb, 0)) * CASE WHEN dark THEN 0.8 ELSE 1.0 END END AS raw,
 CASE WHEN none THEN 'no_evidence' ELSE array_to_string(list_filter([CASE WHEN mode = 'montage' THEN 'montage' END, CASE WHEN coalesce(run_len <= 1 OR rs < 2, true) THEN 'finloc_unstable' END, CASE WHEN rs >= 60 OR rs < 1 THEN 'source_window_anomaly' END, CASE WHEN qcov < 0.4 OR dispersion >= 0.35 THEN 'query_coverage_dispersed' END, CASE WHEN n_strong >= 2 AND mg < 0.08 THEN 'low_candidate_margin' END, CASE WHEN n_strong >= 2 THEN 'multiple_similar_candidates' END], lambda x: x IS NOT NULL), '|') END AS flags,
 least(1.0, 0.4 * least(1.0, greatest(0.0, q)) + 0.3 * least(1.0, qcov) + 0.2 * coalesce(cq, 0) + 0.1 * mg) AS v2 FROM k), n AS (SELECT *, CASE WHEN flags <> '' THEN 'LOW' WHEN raw >= 0.75 AND NOT dark THEN 'HIGH' WHEN raw >= 0.55 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM m)
-SELECT shot_no, round(round(raw, 4), 3) AS score, level, flags, round(round(v2, 4), 3) AS score_v2, CASE WHEN round(v2, 4) < 0.6 AND level = 'HIGH' THEN 'MEDIUM' WHEN round(v2, 4) < 0.6 AND level = 'MEDIUM' THEN 'LOW' ELSE level END AS level_v2 FROM n"""
+SELECT shot_no, round(round(raw, 4), 3) AS score, level, flags, CASE WHEN dark AND NOT none THEN 'dark_scene' || CASE WHEN flags = '' THEN '' ELSE '|' || flags END ELSE flags END AS reasons, round(round(v2, 4), 3) AS score_v2, CASE WHEN round(v2, 4) < 0.6 AND level = 'HIGH' THEN 'MEDIUM' WHEN round(v2, 4) < 0.6 AND level = 'MEDIUM' THEN 'LOW' ELSE level END AS level_v2 FROM n"""
