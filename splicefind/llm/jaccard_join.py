@@ -12,8 +12,8 @@ Jaccard distance d = 1 - |x & y| / |x | y| is a metric.  Two texts link when d <
    fewer cells with others than a link must share (``need``) has no partner and leaves at once.
    A pair is looked for in the band of its smaller size; a document also visits the band below.
 3. Regions.  Inside a cell, pivots are documents.  The first level takes one pivot a cell, the member that
-   shares the largest part of its cells, which contracts groups of near copies.  Where members of different
-   components still make many pairs, the next levels take up to ``PIVOTS`` pivots of different components:
+   shares the largest part of its cells, which contracts groups of near copies.  Where a large region still holds many pairs of
+   different components, and some members lie over 2 tau from the pivot (else no pivot can part them), the next levels take up to ``PIVOTS`` pivots of different components:
    each member goes to the Voronoi region of its nearest pivot and is replicated to every region whose
    pivot is at most 2 tau farther; in a region it stays only while the triangle-inequality
    window (distances to the pivot that differ by at most tau) holds a member of another component.
@@ -51,7 +51,8 @@ K = 5
 PERCENT = 80
 PAIRS_PER_ROW = 4
 PIVOTS = 8
-HOT = 4  # pairs a member beyond which a region is cut, or compared in blocks
+HOT = 4  # pairs a member beyond which a region is compared in blocks
+CUT = 4 * 1024  # members beyond which a region is cut by pivots first: below, few blocks hold it
 BLOCK = 1024
 MOST_BROADCAST = 1_000_000
 CELLS_PER_BYTE = 0.15  # a word takes about six bytes and a shingle enters about 0.7 cells
@@ -94,10 +95,9 @@ def sets_of(buf: np.ndarray, offs: np.ndarray, k: int = K) -> tuple[np.ndarray,
 
 
 def cells_of(h: np.ndarray, of: np.ndarray, percent: int):
-    """Per band (own, then the one below): (is it the own one, cells, their texts, and of each text need, cells, band, parts).
+    """Per band (own, then the one below): (is it the own one, cells, their texts, and of each text need, cells and band).
 
-    The number of cells is 0 where empty parts count, too: it then bounds nothing.  The parts are
-    one byte each (0: empty), end to end, with where each text's start.
+    The number of cells is 0 where empty parts count, too: it then bounds nothing.
     """
     n = np.diff(of)
     bands = size_bands(int(n.max(initial=1)), percent)
@@ -123,7 +123,22 @@ def cells_of(h: np.ndarray, of: np.ndarray, percent: int):
         need = m - differing(n, largest, percent) - empty
         # where a link could rest on empty parts alone, they are cells, too
         keep = (sums != 0) | (need <= 0)[owner]
-        yield back == 0, tv.mix(sums[keep] ^ tv.mix(place[keep] ^ name[owner[keep]])), owner[keep], np.maximum(need, 1), np.where(need > 0, m - empty, 0), band, (np.where(sums != 0, 1 + (tv.mix(sums) >> tv.U64(32)) % tv.U64(255), 0).astype(np.uint8), start)
+        yield back == 0, tv.mix(sums[keep] ^ tv.mix(place[keep] ^ name[owner[keep]])), owner[keep], np.maximum(need, 1), np.where(need > 0, m - empty, 0), band
+
+
+def fine_parts(h: np.ndarray, of: np.ndarray, band: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sets hashed into four times as many parts as a link of the band can differ in, a byte each (0: empty); where each text's start."""
+    n = np.diff(of)
+    bands = size_bands(int(n.max(initial=1)), percent)
+    top = bands[1:] - 1
+    m = np.where(band >= 0, 4 * differing(top, top * 100 // percent, percent)[band] + 1, 0)
+    start = np.concatenate([[0], np.cumsum(m)])
+    text = np.repeat(np.arange(len(n)), n)
+    part = ((tv.mix2(h) >> tv.U64(33)).astype(np.int64) * m[text]) >> np.int64(31)
+    used = m[text] > 0
+    sums = np.zeros(int(start[-1]), dtype=tv.U64)
+    np.add.at(sums, (start[text] + part)[used], tv.mix(h)[used])
+    return np.where(sums != 0, 1 + (tv.mix(sums) >> tv.U64(32)) % tv.U64(255), 0).astype(np.uint8), start
 
 
 def marks(h: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -210,7 +225,7 @@ def postings(docs: DataFrame, reps: DataFrame, n_chunks: int, total: int, k: int
                     value = {"kind": kind, "node": nodes[text], "n": n[text], **more}.get(c, 0)
                     x.append(np.broadcast_to(np.asarray(value).astype(x[0].dtype), len(text)))
 
-            for own, cell, text, need, full, band, (sign, start) in cells_of(h, of, percent):
+            for own, cell, text, need, full, band in cells_of(h, of, percent):
                 every = np.maximum(np.bincount(text, minlength=len(n)), 1)
                 hit = among(widened(cell, n_buckets), wanted)
                 cell, text = cell[hit], text[hit]
@@ -226,6 +241,7 @@ def postings(docs: DataFrame, reps: DataFrame, n_chunks: int, total: int, k: int
                 add(kind=0 if own else 1, text=text, cell=cell.view(np.int64), full=full[text], rank=-(held / every)[text], first=first, band=band[text])
                 blobs += [None] * len(cell)
                 there = np.unique(text)
+                sign, start = fine_parts(h, of, np.where(np.isin(np.arange(len(n)), there), band, -1), percent)
                 add(kind=3, text=there, band=band[there])
                 blobs += [sign[start[i] : start[i + 1]].tobytes() for i in there]
             used = np.flatnonzero(met)
@@ -402,8 +418,14 @@ def joined(rows: DataFrame, sets: DataFrame, parts: DataFrame, percent: int, scr
         pairs = scratch.put("pairs", met.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct())
         return pivots, scratch.put("found", measured(pairs, sets))
 
+    def gaps(found: DataFrame, pivots: DataFrame) -> DataFrame:
+        """(pivot, node, d) of the measured pairs, both ways, and of each pivot and itself."""
+        gap = (1 - F.col("both") / F.col("either")).alias("d")
+        both = found.select(F.col("a").alias("pivot"), F.col("b").alias("node"), gap).unionByName(found.select(F.col("b").alias("pivot"), F.col("a").alias("node"), gap))
+        return both.unionByName(pivots.select("pivot", F.col("pivot").alias("node"), F.lit(0.0).alias("d")).distinct())
+
     label = sets.select("node", F.col("node").alias("component"))
-    _, found = distances(rows.where("first").withColumn("component", F.col("node")), 1)
+    pivots, found = distances(rows.where("first").withColumn("component", F.col("node")), 1)
     label = relabelled(label, found.where(link).select("a", "b"), scratch)
     open_ = rows.drop("first").withColumns({"home": F.lit(True), "d": F.lit(None).cast("double")}).join(label, "node")
     rows = scratch.put("rows", open_.join(apart(open_).select("region"), "region"))
@@ -416,15 +438,18 @@ def joined(rows: DataFrame, sets: DataFrame, parts: DataFrame, percent: int, scr
         hot = sizes.where(F.col("pairs") > HOT * F.col("members")).select("region")
         if pairs <= budget or (before is not None and pairs > 0.75 * before):
             break
+        wide = rows.join(sizes.where((F.col("pairs") > HOT * F.col("members")) & (F.col("members") > CUT)).select("region"), "region", "left_semi")
+        if before is None:  # distances to the pivot of the first level
+            wide = wide.drop("d").join(pivots, "region").join(gaps(found, pivots), ["pivot", "node"])
+        wide = scratch.put("wide", wide.groupBy("region").agg(F.max("d").alias("d")).where(F.col("d") > 2 * tau).select("region"))
+        if wide.isEmpty():
+            break
         before = pairs
-        cut = rows.join(hot, "region", "left_semi")
+        cut = rows.join(wide, "region", "left_semi")
         pivots, found = distances(cut, PIVOTS)
         label = relabelled(label, found.where(link).select("a", "b"), scratch)
-        gap = (1 - F.col("both") / F.col("either")).alias("d")
-        distance = found.select(F.col("a").alias("pivot"), F.col("b").alias("node"), gap).unionByName(found.select(F.col("b").alias("pivot"), F.col("a").alias("node"), gap))
-        distance = distance.unionByName(pivots.select("pivot", F.col("pivot").alias("node"), F.lit(0.0).alias("d")).distinct())
-        below = windowed(voronoi(cut, pivots, distance, tau).join(label, "node"), tau)
-        cool = rows.join(hot, "region", "left_anti").drop("component").join(label, "node")
+        below = windowed(voronoi(cut, pivots, gaps(found, pivots), tau).join(label, "node"), tau)
+        cool = rows.join(wide, "region", "left_anti").drop("component").join(label, "node")
         rows = scratch.put("rows", cool.unionByName(below.select(cool.columns)))
     rows = rows.join(sizes.select("region"), "region")
     near = promising(rows.join(hot, "region", "left_anti"), percent).unionByName(promising_in_blocks(rows.join(hot, "region", "left_semi"), parts, percent, scratch))

@@ -226,6 +226,7 @@ def test_jaccard_join_recurses_into_regions(spark, monkeypatch):
 
     monkeypatch.setattr(j, "PAIRS_PER_ROW", 0)
     monkeypatch.setattr(j, "HOT", 0)
+    monkeypatch.setattr(j, "CUT", 0)
     monkeypatch.setattr(j, "PIVOTS", 2)
     rng = random.Random(8)
     docs, cur = [], [f"w{rng.randrange(500)}" for _ in range(90)]
@@ -254,7 +255,8 @@ def test_linked_sets_share_enough_cells(percent):
                 continue
             h, of = np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)])
             cells, needs, signs = {0: {}, 1: {}}, {}, {}
-            for own, cell, text, need, full, _, (parts, start) in j.cells_of(h, of, percent):
+            for own, cell, text, need, full, band in j.cells_of(h, of, percent):
+                parts, start = j.fine_parts(h, of, band, percent)
                 signs[own] = [parts[start[t] : start[t + 1]] for t in (0, 1)]
                 for t in (0, 1):
                     cells[t][own] = set(cell[text == t].tolist())
