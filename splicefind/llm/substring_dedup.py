@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import by_batches, delete, free_shuffles, parts_for, shared_dir, text_bytes
+from .common import by_batches, delete, free_shuffles, parts_for, shared_dir, stored, text_bytes
 
 WINDOW = 35
 CHUNK_BYTES = 8 << 20
@@ -407,7 +407,9 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
             whole.append(runs(batch, text, window, n_buckets))
             del batch
             free_shuffles(spark)
-        pairs = candidate_pairs(chunks, merge_join(whole.rows().select(RUN_COLUMNS)), text, window, n_buckets)
+        met = stored(merge_join(whole.rows().select(RUN_COLUMNS)))  # the runs have done their work before the texts move again
+        delete(spark, whole.path)
+        pairs = candidate_pairs(chunks, met, text, window, n_buckets)
         out = remove(chunks, verify(pairs), text, window, n_buckets, verbatim)
     else:
         n_buckets, past = index.n_buckets, index.rows()
