@@ -85,13 +85,40 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(docs, crc_mod("doc_id", 4) == 2).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import folded, leaf_hash, merkle_manifest, siblings_hash
+
+    docs = table(spark, sf_dir, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    tampered = F.when((F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0) & F.col("n_chars").isNotNull(), leaf_hash(*(F.col(f) + 1 if f == "n_chars" else F.col(f) for f in fields)))
+    out = merkle_manifest(docs, fields, carry={"tampered": tampered}).withColumn("folded_root", folded(F.coalesce("tampered", "leaf"), F.col("path")))
+    return out.select("doc_id", "leaf", "subroot", "root", siblings_hash("path").alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import source_divergence
+
+    return source_divergence(table(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
+def op13_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .word_bpe import bpe_decode, bpe_encode, ids_digest
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = ids_digest(bpe_decode(bpe_encode(docs, path, public_tokenizers.PATTERN), path))
+    return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
 def registered() -> dict:
     """name -> query; the names start with op<N>_."""
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracles() -> dict[str, str]:
-    from . import decontaminate, jaccard_join, quality_rules, substring_dedup, url_filter
+    from . import decontaminate, divergence, jaccard_join, merkle, quality_rules, substring_dedup, url_filter
 
     return {
         "op2_jaccard_join": jaccard_join.ORACLE_SQL,
@@ -99,4 +126,6 @@ def oracles() -> dict[str, str]:
         "op4_decontaminate": decontaminate.ORACLE_SQL,
         "op5_substring_dedup": substring_dedup.ORACLE_SQL,
         "op9_url_filter": url_filter.oracle_sql(),
+        "op11_merkle_manifest": merkle.ORACLE_SQL,
+        "op12_source_divergence": divergence.ORACLE_SQL,
     }

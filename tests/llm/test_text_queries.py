@@ -22,7 +22,7 @@ def test_against_sql(name, spark, sf, duck):
 
 
 def test_names():
-    assert [sum(k.startswith(f"op{n}_") for k in queries.registered()) for n in range(1, 11)] == [1] * 10
+    assert [sum(k.startswith(f"op{n}_") for k in queries.registered()) for n in range(1, 14)] == [1] * 13
 
 
 def test_jaccard_query(spark, sf, docs):
