@@ -1,13 +1,15 @@
 """Byte-level BPE encoding by a shuffle of distinct words, and decoding by the table of token bytes.
 
-1. Explode: each input task cuts its texts into pre-tokens, chunk by chunk of about CHUNK_BYTES, and writes one row for each word of a chunk with all
-   positions that it has there (as packed differences), and one row for each document with its number of pre-tokens.
-   So " the" is one row a chunk, however often it occurs.
-2. Encode: the distinct words of all chunks are shuffled without positions, and each is encoded once.
-3. Join back: the ids go back to (chunk, number of the word); what the join moves is one short row per word and chunk.
-   A word that every chunk has is a skewed key of it, which adaptive execution may split.
+1. Explode: each input task cuts its texts into pre-tokens, chunk by chunk of about CHUNK_BYTES.  A chunk's distinct words are
+   dealt to buckets by a hash of the word, and each bucket of a chunk is one stored row: its words, and all positions that each has in
+   the chunk (packed).  Another row per document says how many pre-tokens it has.  So " the" is one entry a chunk, however often it occurs.
+2. Encode: the words of all chunks meet by bucket, without positions, and each distinct word is encoded once.
+3. Join back: the ids of a bucket's words go back to the chunks that hold them.
 4. Reassemble: a chunk's positions and ids meet in one task, which lays the ids out by position and cuts them into documents.
 
+The number of buckets comes from the bytes of all texts, so a bucket's words fit a task (BUCKET_BYTES, about); a word
+of every chunk adds one entry a chunk to its bucket.
+
 Decoding looks the ids up in the table of token bytes, which has one row per vocabulary entry and is held by every worker:
 its size is a bound by the vocabulary (checked against MOST_TOKENS), not by the data.
 
@@ -20,6 +22,8 @@ run with an error.  The key may be of any type; other columns are not read.
 from __future__ import annotations
 
 import base64
+import struct
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count
@@ -30,9 +34,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import by_batches, parts_for, stored, text_bytes
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 32 << 20
+BUCKET_BYTES = 16 << 20
+BUCKETS = 32  # at least, so that small tables use all cores
 PIECE_CHARS = 1 << 20
 MOST_TOKENS = 1 << 22
 
@@ -87,29 +93,85 @@ def pieces(text: str, pattern) -> Iterator[list[str]]:
     yield pattern.findall(text[start:] if start else text)
 
 
-def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, number of bytes of each value): seven bits a byte, low ones first, the high bit where more follow."""
-    values = values.astype(np.uint64)
-    size = 1 + sum((values >> np.uint64(7 * k) > 0).astype(np.int64) for k in range(1, 6))
-    at = np.cumsum(size) - size
-    out = np.empty(int(size.sum()), dtype=np.uint8)
-    for k in range(6):
-        rows = np.flatnonzero(size > k)
-        if len(rows):
-            out[at[rows] + k] = (values[rows] >> np.uint64(7 * k) & np.uint64(127)).astype(np.uint8) | ((size[rows] > k + 1).astype(np.uint8) << 7)
-    return out, size
+def pack(values: np.ndarray) -> bytes:
+    """Seven bits a byte, the high bit where more follow; all first bytes come first, then all second ones, and so on."""
+    out, rest = [], values.astype(np.uint64)
+    while len(rest):
+        more = rest > 127
+        out.append((rest & np.uint64(127)).astype(np.uint8) | (more.astype(np.uint8) << 7))
+        rest = rest[more] >> np.uint64(7)
+    return b"".join(x.tobytes() for x in out)
+
+
+def unpack(data: bytes, n: int) -> np.ndarray:
+    """The ``n`` values of packed ``data``."""
+    data, out = np.frombuffer(data, np.uint8), np.zeros(n, dtype=np.int64)
+    at, start, shift = np.arange(n), 0, 0
+    while len(at):
+        byte = data[start : start + len(at)]
+        out[at] |= (byte & 127).astype(np.int64) << shift
+        start, shift = start + len(at), shift + 7
+        at = at[byte > 127]
+    return out
+
+
+def _blob(n: int, *parts: bytes) -> bytes:
+    """A number and byte strings as one compressed one."""
+    import zstandard
+
+    return zstandard.compress(struct.pack(f"<{len(parts) + 2}q", n, len(parts), *map(len, parts)) + b"".join(parts))
+
+
+def _parts(blob: bytes) -> tuple[int, list[bytes]]:
+    import zstandard
 
+    raw = zstandard.decompress(blob)
+    n, many = struct.unpack_from("<2q", raw)
+    ends = np.cumsum(struct.unpack_from(f"<{many}q", raw, 16)) + 16 + 8 * many
+    return n, [raw[a:b] for a, b in zip([16 + 8 * many, *ends], ends)]
 
-def unpack(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(values, where each one's bytes end) of packed values."""
-    ends = np.flatnonzero(data < 128) + 1
-    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-    out = np.zeros(len(ends), dtype=np.int64)
-    for k in range(6):
-        rows = np.flatnonzero(ends - starts > k)
-        if len(rows):
-            out[rows] |= (data[starts[rows] + k] & 127).astype(np.int64) << 7 * k
-    return out, ends
+
+def _word_list(blob: bytes) -> list[bytes]:
+    n, (sizes, raw) = _parts(blob)
+    ends = np.cumsum(unpack(sizes, n))
+    return [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+
+
+def bucketed(words: list[bytes], stream: np.ndarray, n_buckets: int) -> Iterator[tuple[int, bytes, bytes]]:
+    """(bucket, words, positions) of a chunk whose pre-tokens are ``words[stream]``.
+
+    In a bucket the more frequent words come first, those of one number in order of appearance: then
+    differences of neighbours are small.  A word's first position is told from the one of the word before it.
+    """
+    times = np.bincount(stream, minlength=len(words))
+    bucket = np.fromiter((zlib.crc32(w) % n_buckets for w in words), np.int64, len(words))
+    order = np.lexsort((-times, bucket))
+    number = np.empty(len(words), dtype=np.int32)
+    number[order] = np.arange(len(words), dtype=np.int32)
+    place = np.argsort(number[stream], kind="stable").astype(np.int32)
+    times, bucket = times[order], bucket[order]
+    ends = np.cumsum(times)
+    for a in np.flatnonzero(np.diff(bucket, prepend=-1)):
+        b = int(np.searchsorted(bucket, bucket[a], side="right"))
+        lo, hi = int(ends[a] - times[a]), int(ends[b - 1])
+        step = np.diff(place[lo:hi].astype(np.int64), prepend=0)
+        at = ends[a:b] - times[a:b] - lo
+        jump = np.diff(place[at + lo].astype(np.int64), prepend=0)
+        step[at] = np.where(jump < 0, -2 * jump - 1, 2 * jump)
+        own = [words[i] for i in order[a:b]]
+        yield int(bucket[a]), _blob(b - a, pack(np.array([len(w) for w in own])), b"".join(own)), _blob(b - a, pack(times[a:b]), pack(step))
+
+
+def positions(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(times of each word, positions word after word)."""
+    n, (times, step) = _parts(blob)
+    times = unpack(times, n)
+    step = unpack(step, int(times.sum()))
+    at = np.cumsum(times) - times
+    first = np.cumsum(np.where(step[at] % 2, -(step[at] + 1) // 2, step[at] // 2))
+    step[at] = 0
+    inner = np.cumsum(step)
+    return times, inner - np.repeat(inner[at] - first, times)
 
 
 def _binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -117,37 +179,17 @@ def _binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.binary())
 
 
-def _flat(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes end to end, length of each) of a binary column without nulls."""
-    parts = [c.cast(pa.large_binary()) for c in (column.chunks if isinstance(column, pa.ChunkedArray) else [column])]
-    data, size = [np.zeros(0, np.uint8)], [np.zeros(0, np.int64)]
-    for c in parts:
-        offs = np.frombuffer(c.buffers()[1], np.int64)[c.offset : c.offset + len(c) + 1]
-        data.append(np.frombuffer(c.buffers()[2] or b"", np.uint8)[offs[0] : offs[-1]])
-        size.append(np.diff(offs))
-    return np.concatenate(data), np.concatenate(size)
-
-
-def exploded(docs: DataFrame, pattern: str, key: str, text: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Rows of documents (chunk, place, key, pieces) and rows of words (chunk, number, word, positions)."""
+def exploded(docs: DataFrame, pattern: str, key: str, text: str, n_buckets: int, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """Rows of documents (chunk, place, key, pieces) and rows of words (chunk, bucket, words, positions)."""
     kind = docs.schema[key].dataType.simpleString()
-    names = ["chunk", "place", "key", "pieces", "number", "word", "positions"]
+    names = ["chunk", "place", "key", "pieces", "bucket", "words", "positions"]
 
     def sent(chunk, keys, sizes, words, stream):
         many = len(sizes)
-        none = lambda n, t: pa.nulls(n, t)
-        yield pa.record_batch([pa.array([chunk] * many, pa.int64()), pa.array(range(many), pa.int32()), pa.concat_arrays(keys), pa.array(sizes, pa.int64()), none(many, pa.int32()), none(many, pa.binary()), none(many, pa.binary())], names)
-        if not words:
-            return
-        stream = np.concatenate(stream)
-        order = np.argsort(stream, kind="stable")
-        first = np.concatenate([[0], np.cumsum(np.bincount(stream, minlength=len(words)))])[:-1]
-        step = np.diff(order, prepend=0)
-        step[first] = order[first]
-        data, size = pack(step)
-        ends = np.cumsum(size)[np.append(first[1:], len(order)) - 1]
-        many = len(words)
-        yield pa.record_batch([pa.array([chunk] * many, pa.int64()), none(many, pa.int32()), none(many, keys[0].type), none(many, pa.int64()), pa.array(range(many), pa.int32()), pa.array([w.encode() for w in words], pa.binary()), _binary(data, ends)], names)
+        yield pa.record_batch([pa.array([chunk] * many, pa.int64()), pa.array(range(many), pa.int32()), pa.concat_arrays(keys), pa.array(sizes, pa.int64()), pa.nulls(many, pa.int32()), pa.nulls(many, pa.binary()), pa.nulls(many, pa.binary())], names)
+        if words:
+            for bucket, own, places in bucketed([w.encode() for w in words], np.concatenate(stream), n_buckets):
+                yield pa.record_batch([pa.array([chunk], pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, keys[0].type), pa.nulls(1, pa.int64()), pa.array([bucket], pa.int32()), pa.array([own], pa.binary()), pa.array([places], pa.binary())], names)
 
     def task(batches):
         import regex
@@ -155,17 +197,15 @@ def exploded(docs: DataFrame, pattern: str, key: str, text: str, chunk_bytes: in
 
         cut = regex.compile(pattern)
         chunk = TaskContext.get().partitionId() << 32
-        keys, sizes, words, stream, held = [], [], None, [], 0
+        keys, sizes, words, stream, held = [], [], defaultdict(count().__next__), [], 0
         for batch in batches:
             texts = batch.column("text").cast(pa.binary())
             for i in range(batch.num_rows):
                 raw = texts[i].as_py() or b""
                 if held and held + len(raw) > chunk_bytes:
                     yield from sent(chunk, keys, sizes, words, stream)
-                    keys, sizes, words, stream, held = [], [], None, [], 0
+                    keys, sizes, words, stream, held = [], [], defaultdict(count().__next__), [], 0
                     chunk += 1
-                if words is None:
-                    words = defaultdict(count().__next__)
                 many = 0
                 for found in pieces(raw.decode("utf-8", "replace"), cut):
                     stream.append(np.fromiter(map(words.__getitem__, found), np.int32, len(found)))
@@ -177,57 +217,62 @@ def exploded(docs: DataFrame, pattern: str, key: str, text: str, chunk_bytes: in
             yield from sent(chunk, keys, sizes, words, stream)
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return rows.mapInArrow(task, f"chunk long, place int, key {kind}, pieces long, number int, word binary, positions binary")
+    return rows.mapInArrow(task, f"chunk long, place int, key {kind}, pieces long, bucket int, words binary, positions binary")
 
 
 def encoded_words(words: DataFrame, path: str, pattern: str) -> DataFrame:
-    """``words`` (word) with the ids of each."""
+    """(chunk, bucket, ids) of ``words`` (chunk, bucket, words): each distinct word of a bucket is encoded once."""
 
-    def task(batches):
-        one = encoding(path, pattern)._encode_single_piece
+    @by_batches
+    def task(key, batches):
+        one, known = encoding(path, pattern)._encode_single_piece, {}
         for batch in batches:
-            ids = [one(w) for w in batch.column("word").to_pylist()]
-            yield pa.record_batch([batch.column("word"), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
+            for chunk, blob in zip(batch.column("chunk"), batch.column("words")):
+                ids = []
+                for w in _word_list(blob.as_py()):
+                    if w not in known:
+                        known[w] = one(w)
+                    ids.append(known[w])
+                flat = np.fromiter((i for x in ids for i in x), np.int64)
+                sent = _blob(len(ids), pack(np.array([len(x) for x in ids])), pack(flat))
+                yield pa.record_batch([pa.array([chunk.as_py()], pa.int64()), pa.array([key[0].as_py()], pa.int32()), pa.array([sent], pa.binary())], ["chunk", "bucket", "ids"])
 
-    return words.mapInArrow(task, "word binary, ids array<int>")
+    return words.groupBy("bucket").applyInArrow(task, "chunk long, bucket int, ids binary")
 
 
 def reassembled(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """(key, ids) of each document: ``rows`` as `exploded` gives them, ``ids`` (chunk, number, ids)."""
+    """(key, ids) of each document: ``rows`` as `exploded` gives them, ``ids`` (chunk, bucket, ids)."""
     kind = rows.schema["key"].dataType.simpleString()
 
     def task(name, rows, ids):
         """Lay out the ids of one chunk by position and cut them into its documents."""
         docs = rows.filter(pc.is_valid(rows["place"])).sort_by("place")
-        words = rows.filter(pc.is_valid(rows["number"])).sort_by("number")
-        ids = ids.sort_by("number")
-        lists = ids["ids"].combine_chunks()
-        size = np.asarray(lists.value_lengths(), dtype=np.int64) if len(lists) else np.zeros(0, np.int64)
-        flat = np.asarray(lists.flatten(), dtype=np.int32)
-        step, ends = unpack(_flat(words["positions"])[0])
-        times = np.diff(np.searchsorted(ends, np.cumsum(_flat(words["positions"])[1]), side="right"), prepend=0)
-        first = np.cumsum(times) - times
-        place = np.cumsum(step)  # differences within a word, so what came before the word's first one goes again
-        if len(step):
-            place -= np.repeat(place[first] - step[first], times)
-        stream = np.empty(len(place), dtype=np.int64)
-        stream[place] = np.repeat(np.arange(len(times)), times)
+        places = dict(zip(rows["bucket"].to_pylist(), rows["positions"]))
+        stream = np.zeros(pc.sum(docs["pieces"]).as_py() or 0, dtype=np.int64)
+        size, flat, upto = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        for bucket, blob in zip(ids["bucket"].to_pylist(), ids["ids"]):
+            n, (sizes, own) = _parts(blob.as_py())
+            size.append(unpack(sizes, n))
+            flat.append(unpack(own, int(size[-1].sum())))
+            times, at = positions(places[bucket].as_py())
+            stream[at] = upto + np.repeat(np.arange(n), times)
+            upto += n
+        size, flat = np.concatenate(size), np.concatenate(flat)
         long = size[stream]
-        begin = np.cumsum(long) - long
-        out = flat[np.arange(int(long.sum())) + np.repeat((np.cumsum(size) - size)[stream] - begin, long)]
-        upto = np.concatenate([[0], np.cumsum(long)])[np.cumsum(np.asarray(docs["pieces"], dtype=np.int64))]
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], upto]).astype(np.int32)), pa.array(out, pa.int32()))
-        return pa.table([docs["key"], lists], ["key", "ids"])
+        ends = np.cumsum(long)
+        out = flat[np.arange(int(long.sum())) + np.repeat((np.cumsum(size) - size)[stream] - (ends - long), long)].astype(np.int32)
+        cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(np.asarray(docs["pieces"], dtype=np.int64))])]
+        return pa.table([docs["key"], pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(out, pa.int32()))], ["key", "ids"])
 
-    return rows.drop("word").groupBy("chunk").cogroup(ids.groupBy("chunk")).applyInArrow(task, f"key {kind}, ids array<int>")
+    return rows.drop("words").groupBy("chunk").cogroup(ids.groupBy("chunk")).applyInArrow(task, f"key {kind}, ids array<int>")
 
 
 def bpe_encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(``key``, ids) of every whole text."""
-    rows = stored(exploded(docs, pattern, key, text, chunk_bytes), free=False)
-    words = rows.where(F.col("number").isNotNull()).select(*(F.col(n).alias(n) for n in ("chunk", "number", "word")))  # names of their own
-    ids = words.join(encoded_words(words.select("word").distinct(), path, pattern), "word").select("chunk", "number", "ids")
-    return reassembled(rows, ids).withColumnRenamed("key", key)
+    n_buckets = parts_for(text_bytes(docs, text) // 6, BUCKET_BYTES, BUCKETS)  # a chunk's words are about a sixth of its text at most
+    rows = stored(exploded(docs, pattern, key, text, n_buckets, chunk_bytes), free=False)
+    words = rows.where(F.col("bucket").isNotNull()).select(*(F.col(n).alias(n) for n in ("chunk", "bucket", "words")))  # names of their own
+    return reassembled(rows, encoded_words(words, path, pattern)).withColumnRenamed("key", key)
 
 
 def bpe_decode(tokens: DataFrame, path: str, ids: str = "ids", out: str = "bytes") -> DataFrame:

@@ -257,11 +257,20 @@ def test_pieces_of_stretches_are_those_of_the_whole(monkeypatch):
     assert [[w for p in x for w in p] for x in parts] == want and max(map(len, parts)) > 5
 
 
-def test_packed_positions_round_trip():
+def test_packed_words_and_positions_round_trip():
     x = np.array([0, 1, 127, 128, 16383, 16384, 2**21, 2**31, 5, 0])
-    data, size = word_bpe.pack(x)
-    back, ends = word_bpe.unpack(data)
-    assert back.tolist() == x.tolist() and ends.tolist() == np.cumsum(size).tolist()
+    assert word_bpe.unpack(word_bpe.pack(x), len(x)).tolist() == x.tolist()
+    rng = np.random.default_rng(2)
+    for n_buckets in (1, 3, 50):
+        words = [str(i).encode() * (i % 3) for i in range(40)]
+        stream = np.concatenate([np.arange(40), rng.zipf(1.5, 3000) % 40])
+        back = [None] * len(stream)
+        for _, own, places in word_bpe.bucketed(words, stream, n_buckets):
+            own, (times, at) = word_bpe._word_list(own), word_bpe.positions(places)
+            for place, w in zip(at.tolist(), (w for w, n in zip(own, times) for _ in range(n))):
+                assert back[place] is None
+                back[place] = w
+        assert back == [words[i] for i in stream]
 
 
 def test_word_bpe_query(spark, sf, library):
