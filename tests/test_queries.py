@@ -5,9 +5,9 @@ from __future__ import annotations
 import pytest
 from compare import rows
 
-from splicefind.plans import applied, editing, matching, misc, repairing, sequences
+from splicefind.plans import applied, editing, matching, misc, refining, repairing, sequences
 
-PARTS = (matching, editing, repairing, misc, sequences, applied)
+PARTS = (matching, editing, repairing, misc, sequences, applied, refining)
 QUERIES = {k: f for p in PARTS for k, f in p.QUERIES.items()}
 SQL = {k: s for p in PARTS for k, s in p.SQL.items()}
 
