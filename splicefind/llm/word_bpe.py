@@ -5,7 +5,7 @@
    the chunk (packed).  Another row per document says how many pre-tokens it has.  So " the" is one entry a chunk, however often it occurs.
 2. Encode: the words of all chunks meet by bucket, without positions, and each distinct word is encoded once.
 3. Join back: the ids of a bucket's words go back to the chunks that hold them.
-4. Reassemble: a chunk's positions and ids meet in one task, which lays the ids out by position and cuts them into documents.
+4. Reassemble: a chunk's positions (stored by chunk, so they are not moved again) and ids meet in one task, which lays the ids out by position and cuts them into documents.
 
 The number of buckets comes from the bytes of all texts, so a bucket's words fit a task (BUCKET_BYTES, about); a word
 of every chunk adds one entry a chunk to its bucket.
@@ -34,12 +34,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batches, parts_for, stored, text_bytes
+from .common import by_batches, parts_for, shared_dir, text_bytes
 
-CHUNK_BYTES = 32 << 20
+CHUNK_BYTES = 16 << 20
 BUCKET_BYTES = 16 << 20
 BUCKETS = 32  # at least, so that small tables use all cores
 PIECE_CHARS = 1 << 20
+RUN = 1 << 19  # pre-tokens or ids that are laid out at once
 MOST_TOKENS = 1 << 22
 
 _loaded: dict[tuple[str, str], object] = {}
@@ -179,6 +180,24 @@ def _binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.binary())
 
 
+def _row_runs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Row ranges of at most ``most`` in sum, or of one row."""
+    ends, a = np.cumsum(sizes), 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, side="right")))
+        yield a, b
+        a = b
+
+
+def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each stretch, one after the other."""
+    return np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)
+
+
+def _lists(values: np.ndarray, cuts: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(values, pa.int32()))
+
+
 def exploded(docs: DataFrame, pattern: str, key: str, text: str, n_buckets: int, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Rows of documents (chunk, place, key, pieces) and rows of words (chunk, bucket, words, positions)."""
     kind = docs.schema[key].dataType.simpleString()
@@ -220,6 +239,19 @@ def exploded(docs: DataFrame, pattern: str, key: str, text: str, n_buckets: int,
     return rows.mapInArrow(task, f"chunk long, place int, key {kind}, pieces long, bucket int, words binary, positions binary")
 
 
+def stored_by(df: DataFrame, column: str, files: int) -> DataFrame:
+    """The rows of ``df`` as a table in the shared folder that is dealt by ``column``, so that grouping by it moves no row.
+
+    A task writes a file for each bucket it has rows of; ``column`` has few values a task.
+    """
+    spark, path = df.sparkSession, shared_dir(df.sparkSession)
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    df.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(min(files, 100_000), column).saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay: the table lies at a path of its own
+    return out
+
+
 def encoded_words(words: DataFrame, path: str, pattern: str) -> DataFrame:
     """(chunk, bucket, ids) of ``words`` (chunk, bucket, words): each distinct word of a bucket is encoded once."""
 
@@ -248,7 +280,7 @@ def reassembled(rows: DataFrame, ids: DataFrame) -> DataFrame:
         """Lay out the ids of one chunk by position and cut them into its documents."""
         docs = rows.filter(pc.is_valid(rows["place"])).sort_by("place")
         places = dict(zip(rows["bucket"].to_pylist(), rows["positions"]))
-        stream = np.zeros(pc.sum(docs["pieces"]).as_py() or 0, dtype=np.int64)
+        stream = np.zeros(pc.sum(docs["pieces"]).as_py() or 0, dtype=np.int32)
         size, flat, upto = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
         for bucket, blob in zip(ids["bucket"].to_pylist(), ids["ids"]):
             n, (sizes, own) = _parts(blob.as_py())
@@ -257,20 +289,23 @@ def reassembled(rows: DataFrame, ids: DataFrame) -> DataFrame:
             times, at = positions(places[bucket].as_py())
             stream[at] = upto + np.repeat(np.arange(n), times)
             upto += n
-        size, flat = np.concatenate(size), np.concatenate(flat)
-        long = size[stream]
-        ends = np.cumsum(long)
-        out = flat[np.arange(int(long.sum())) + np.repeat((np.cumsum(size) - size)[stream] - (ends - long), long)].astype(np.int32)
-        cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(np.asarray(docs["pieces"], dtype=np.int64))])]
-        return pa.table([docs["key"], pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(out, pa.int32()))], ["key", "ids"])
+        size, flat = np.concatenate(size), np.concatenate(flat).astype(np.int32)
+        start, many = np.cumsum(size) - size, np.asarray(docs["pieces"], dtype=np.int64)
+        lists, at = [], 0
+        for a, b in _row_runs(many, RUN):
+            own = stream[at : at + int(many[a:b].sum())]
+            at += len(own)
+            lists.append(_lists(flat[_spread(start[own], size[own])], np.concatenate([[0], np.cumsum(size[own])])[np.concatenate([[0], np.cumsum(many[a:b])])]))
+        return pa.table([docs["key"], pa.chunked_array(lists, pa.list_(pa.int32()))], ["key", "ids"])
 
     return rows.drop("words").groupBy("chunk").cogroup(ids.groupBy("chunk")).applyInArrow(task, f"key {kind}, ids array<int>")
 
 
 def bpe_encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(``key``, ids) of every whole text."""
-    n_buckets = parts_for(text_bytes(docs, text) // 6, BUCKET_BYTES, BUCKETS)  # a chunk's words are about a sixth of its text at most
-    rows = stored(exploded(docs, pattern, key, text, n_buckets, chunk_bytes), free=False)
+    total = text_bytes(docs, text)
+    n_buckets = parts_for(total // 6, BUCKET_BYTES, BUCKETS)  # a chunk's words are about a sixth of its text at most
+    rows = stored_by(exploded(docs, pattern, key, text, n_buckets, chunk_bytes), "chunk", parts_for(total, max(chunk_bytes, 1 << 20)))
     words = rows.where(F.col("bucket").isNotNull()).select(*(F.col(n).alias(n) for n in ("chunk", "bucket", "words")))  # names of their own
     return reassembled(rows, encoded_words(words, path, pattern)).withColumnRenamed("key", key)
 
@@ -283,18 +318,18 @@ def bpe_decode(tokens: DataFrame, path: str, ids: str = "ids", out: str = "bytes
         size, start, data = token_table(path)
         for batch in batches:
             lists = batch.column(ids)
-            flat = np.asarray(lists.flatten().fill_null(-1), dtype=np.int64)
+            flat = np.asarray(lists.flatten().fill_null(-1), dtype=np.int32)
             if len(flat) and (flat.min() < 0 or flat.max() >= len(size) or size[flat].min() < 0):
                 raise ValueError("an id has no entry in the vocabulary")
-            long = size[flat]
-            begin = np.cumsum(long) - long
-            text = data[np.arange(int(long.sum())) + np.repeat(start[flat] - begin, long)]
-            many = np.asarray(lists.value_lengths().fill_null(0), dtype=np.int64)
-            ends = np.concatenate([[0], np.cumsum(long)])[np.cumsum(many)]
-            whole = _binary(text, ends)
-            if lists.null_count:
-                whole = pc.if_else(lists.is_valid(), whole, pa.scalar(None, pa.binary()))
-            yield pa.record_batch([*(batch.column(n) for n in at), whole], [*at, out])
+            many, done = np.asarray(lists.value_lengths().fill_null(0), dtype=np.int64), 0
+            for a, b in _row_runs(many, RUN):
+                own = flat[done : done + int(many[a:b].sum())]
+                done += len(own)
+                ends = np.concatenate([[0], np.cumsum(size[own])])[np.cumsum(many[a:b])]
+                whole = _binary(data[_spread(start[own], size[own])], ends)
+                if lists.null_count:
+                    whole = pc.if_else(lists.slice(a, b - a).is_valid(), whole, pa.scalar(None, pa.binary()))
+                yield pa.record_batch([*(batch.column(n).slice(a, b - a) for n in at), whole], [*at, out])
 
     kinds = ", ".join(f"`{n}` {tokens.schema[n].dataType.simpleString()}" for n in at)
     return tokens.select(*at).mapInArrow(task, f"{kinds}, `{out}` binary")
