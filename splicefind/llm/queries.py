@@ -104,12 +104,12 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from .word_bpe import bpe_decode, bpe_encode, ids_digest
+    from .word_bpe import bpe_decode, bpe_encode
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = ids_digest(bpe_decode(bpe_encode(docs, path, public_tokenizers.PATTERN), path))
-    return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))
+    out = bpe_decode(bpe_encode(docs, path, public_tokenizers.PATTERN, packed=True), path)
+    return out.select("doc_id", F.expr("cast(octet_length(ids) div 4 as long)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
 def registered() -> dict:

@@ -36,11 +36,11 @@ from pyspark.sql import functions as F
 
 from .common import by_batches, parts_for, shared_dir, text_bytes
 
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 BUCKET_BYTES = 16 << 20
 BUCKETS = 32  # at least, so that small tables use all cores
 PIECE_CHARS = 1 << 20
-RUN = 1 << 19  # pre-tokens or ids that are laid out at once
+RUN = 1 << 18  # pre-tokens or ids that are laid out at once
 MOST_TOKENS = 1 << 22
 
 _loaded: dict[tuple[str, str], object] = {}
@@ -194,10 +194,6 @@ def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)
 
 
-def _lists(values: np.ndarray, cuts: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(values, pa.int32()))
-
-
 def exploded(docs: DataFrame, pattern: str, key: str, text: str, n_buckets: int, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Rows of documents (chunk, place, key, pieces) and rows of words (chunk, bucket, words, positions)."""
     kind = docs.schema[key].dataType.simpleString()
@@ -272,8 +268,8 @@ def encoded_words(words: DataFrame, path: str, pattern: str) -> DataFrame:
     return words.groupBy("bucket").applyInArrow(task, "chunk long, bucket int, ids binary")
 
 
-def reassembled(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """(key, ids) of each document: ``rows`` as `exploded` gives them, ``ids`` (chunk, bucket, ids)."""
+def reassembled(rows: DataFrame, ids: DataFrame, packed: bool = False) -> DataFrame:
+    """(key, ids) of each document, ids as an array or ``packed``: ``rows`` as `exploded` gives them, ``ids`` (chunk, bucket, ids)."""
     kind = rows.schema["key"].dataType.simpleString()
 
     def task(name, rows, ids):
@@ -295,33 +291,38 @@ def reassembled(rows: DataFrame, ids: DataFrame) -> DataFrame:
         for a, b in _row_runs(many, RUN):
             own = stream[at : at + int(many[a:b].sum())]
             at += len(own)
-            lists.append(_lists(flat[_spread(start[own], size[own])], np.concatenate([[0], np.cumsum(size[own])])[np.concatenate([[0], np.cumsum(many[a:b])])]))
-        return pa.table([docs["key"], pa.chunked_array(lists, pa.list_(pa.int32()))], ["key", "ids"])
+            out, cuts = flat[_spread(start[own], size[own])], np.concatenate([[0], np.cumsum(size[own])])[np.concatenate([[0], np.cumsum(many[a:b])])]
+            lists.append(_binary(out.astype("<u4").view(np.uint8), 4 * cuts[1:]) if packed else pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(out, pa.int32())))
+        return pa.table([docs["key"], pa.chunked_array(lists, pa.binary() if packed else pa.list_(pa.int32()))], ["key", "ids"])
 
-    return rows.drop("words").groupBy("chunk").cogroup(ids.groupBy("chunk")).applyInArrow(task, f"key {kind}, ids array<int>")
+    return rows.drop("words").groupBy("chunk").cogroup(ids.groupBy("chunk")).applyInArrow(task, f"key {kind}, ids {'binary' if packed else 'array<int>'}")
 
 
-def bpe_encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """(``key``, ids) of every whole text."""
+def bpe_encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES, packed: bool = False) -> DataFrame:
+    """(``key``, ids) of every whole text; ``packed`` ids are one binary of little-endian unsigned 32-bit integers."""
     total = text_bytes(docs, text)
     n_buckets = parts_for(total // 6, BUCKET_BYTES, BUCKETS)  # a chunk's words are about a sixth of its text at most
     rows = stored_by(exploded(docs, pattern, key, text, n_buckets, chunk_bytes), "chunk", parts_for(total, max(chunk_bytes, 1 << 20)))
     words = rows.where(F.col("bucket").isNotNull()).select(*(F.col(n).alias(n) for n in ("chunk", "bucket", "words")))  # names of their own
-    return reassembled(rows, encoded_words(words, path, pattern)).withColumnRenamed("key", key)
+    return reassembled(rows, encoded_words(words, path, pattern), packed).withColumnRenamed("key", key)
 
 
 def bpe_decode(tokens: DataFrame, path: str, ids: str = "ids", out: str = "bytes") -> DataFrame:
-    """``tokens`` with the bytes that the ids stand for."""
+    """``tokens`` with the bytes that the ids (an array, or packed) stand for."""
     at = [c for c in tokens.columns if c != out]
+    packed = tokens.schema[ids].dataType.simpleString() == "binary"
 
     def task(batches):
         size, start, data = token_table(path)
         for batch in batches:
             lists = batch.column(ids)
-            flat = np.asarray(lists.flatten().fill_null(-1), dtype=np.int32)
+            if packed:
+                flat = np.frombuffer(b"".join(x for x in lists.to_pylist() if x), "<u4").astype(np.int64)
+            else:
+                flat = np.asarray(lists.flatten().fill_null(-1), dtype=np.int32)
             if len(flat) and (flat.min() < 0 or flat.max() >= len(size) or size[flat].min() < 0):
                 raise ValueError("an id has no entry in the vocabulary")
-            many, done = np.asarray(lists.value_lengths().fill_null(0), dtype=np.int64), 0
+            many, done = np.asarray((pc.binary_length(lists) if packed else lists.value_lengths()).fill_null(0), dtype=np.int64) // (4 if packed else 1), 0
             for a, b in _row_runs(many, RUN):
                 own = flat[done : done + int(many[a:b].sum())]
                 done += len(own)
@@ -333,22 +334,3 @@ def bpe_decode(tokens: DataFrame, path: str, ids: str = "ids", out: str = "bytes
 
     kinds = ", ".join(f"`{n}` {tokens.schema[n].dataType.simpleString()}" for n in at)
     return tokens.select(*at).mapInArrow(task, f"{kinds}, `{out}` binary")
-
-
-def ids_digest(tokens: DataFrame, ids: str = "ids") -> DataFrame:
-    """``tokens`` with ``ids`` replaced by n_tokens and ids_sha256 (of little-endian unsigned 32-bit integers)."""
-    import hashlib
-
-    at = [c for c in tokens.columns if c != ids]
-
-    def task(batches):
-        for batch in batches:
-            lists = batch.column(ids)
-            raw = memoryview(np.asarray(lists.flatten(), dtype="<u4").tobytes())
-            many = np.asarray(lists.value_lengths(), dtype=np.int64)
-            ends = np.cumsum(many)
-            digest = [hashlib.sha256(raw[4 * (e - n) : 4 * e]).hexdigest() for n, e in zip(many.tolist(), ends.tolist())]
-            yield pa.record_batch([*(batch.column(n) for n in at), pa.array(many), pa.array(digest, pa.string())], [*at, "n_tokens", "ids_sha256"])
-
-    kinds = ", ".join(f"`{n}` {tokens.schema[n].dataType.simpleString()}" for n in at)
-    return tokens.mapInArrow(task, f"{kinds}, n_tokens long, ids_sha256 string")

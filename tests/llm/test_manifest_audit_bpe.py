@@ -234,8 +234,9 @@ def test_word_bpe_of_other_keys_and_none(odd, empty, library):
     rows, df = odd
     named = word_bpe.bpe_encode(df.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string"))), PATH, P.PATTERN)
     assert Counter((r["doc_id"], len(r["ids"])) for r in named.collect()) == Counter((None if r[0] is None else f"d{r[0]}", len(library.encode_ordinary(r[4] or ""))) for r in rows)
-    out = word_bpe.ids_digest(word_bpe.bpe_decode(word_bpe.bpe_encode(empty, PATH, P.PATTERN), PATH))
-    assert out.columns == ["doc_id", "bytes", "n_tokens", "ids_sha256"] and out.count() == 0
+    for packed in (False, True):
+        out = word_bpe.bpe_decode(word_bpe.bpe_encode(empty, PATH, P.PATTERN, packed=packed), PATH)
+        assert out.columns == ["doc_id", "ids", "bytes"] and out.count() == 0
 
 
 def test_decoding_of_nulls_and_unknown_ids(spark):
@@ -243,6 +244,8 @@ def test_decoding_of_nulls_and_unknown_ids(spark):
     got = {r["doc_id"]: r["bytes"] for r in word_bpe.bpe_decode(df, PATH).collect()}
     table = {i: b for b, i in word_bpe.ranks(PATH).items()}
     assert got[1] is None and got[2] == b"" and got[3] == table[0] + table[1] + table[50255]
+    packed = df.select("doc_id", F.when(F.col("doc_id") == 3, F.lit(bytearray(np.array([0, 1, 50255], "<u4").tobytes()))).when(F.col("doc_id") == 2, F.lit(bytearray())).alias("ids"))
+    assert {r["doc_id"]: r["bytes"] for r in word_bpe.bpe_decode(packed, PATH).collect()} == got
     for bad in ([50257], [-1], [None]):
         with pytest.raises(Exception, match="no entry"):
             word_bpe.bpe_decode(spark.createDataFrame([(1, bad)], "doc_id long, ids array<int>"), PATH).collect()
