@@ -102,7 +102,7 @@ def _between_safe(df: DataFrame, keys: list[str], at: str, start: str, end: str,
         w = over(part, at)
         return rows.withColumn("_l", F.col(at) - F.coalesce(F.lag(at).over(w), F.col(start))).withColumn("_r", F.coalesce(F.lead(at).over(w), F.col(end)) - F.col(at))
 
-    rows = by_ranges(df, keys, at, width, 1, sides)
+    rows = reliable(by_ranges(df, keys, at, width, 1, sides))
     safe = rows.where((F.col("_l") >= F.col(full)) & (F.col("_r") >= F.col(full))).select(*keys, F.col(at).alias("_safe"))
     near = around(rows.drop("_l", "_r"), safe, keys, at, "_safe", [], width)
     return near.withColumn("_from", F.coalesce(F.col("_prev.at"), F.col(start).cast("double"))).withColumn("_to", F.coalesce(F.col("_next.at"), F.col(end).cast("double"))).drop("_prev", "_next")
@@ -158,6 +158,7 @@ def protect_durations(df: DataFrame, keys: list[str], at: str, start: str, end:
     """
     near = _between_safe(df.withColumn("_full", F.lit(float(max(least, marked)))), keys, at, start, end, "_full", width).drop("_full")
     # a safe point, or the series' start, opens the piece after it; the piece's closing point is sent there, too
+    near = reliable(near)
     opens = near.withColumn("_piece", F.when(F.col(at) < F.col(end), F.col("_from")).otherwise(F.coalesce(F.when(F.col("_from") < F.col(at), F.col("_from")), F.col(start).cast("double"))))
     closing = by_ranges(near.where((F.col("_from") == F.col(at)) | (F.col(at) == F.col(start)) | (F.col(at) == F.col(end))), keys, at, width, 1, lambda rows, part: rows.withColumn("_piece", F.lag(at).over(over(part, at))))
     closing = closing.where(F.col("_piece").isNotNull()).withColumn("_closing", F.lit(True))

@@ -11,16 +11,6 @@ from splicefind.plans import fixtures as fx
 from splicefind.plans.editing import _E, _SHOT, _sessions, _shots
 
 
-def shot_detection(spark, d):
-    rows = fx.library(spark, d).withColumn("source", F.lit(0))
-    return folds.fold(rows, ["source"], ["t"], lambda r: folds.shots(r, cut_abs=0.9, z=1.0, least_s=2.0), "shot int, start double, end double, n long", ["source"])
-
-
-def two_level_shots(spark, d):
-    rows = fx.library(spark, d).withColumn("source", F.lit(0))
-    return folds.fold(rows, ["source"], ["t"], lambda r: folds.shots(r, True, cut_abs=0.9, z=1.5, least_s=2.0), "shot int, start double, end double, n long", ["source"])
-
-
 def spaced_peaks(spark, d):
     s = fx.series(spark, d).withColumn("at", F.col("seq").cast("double"))
     kept = folds.fold(s, ["user_id"], ["seq"], lambda r: [r[i] for i in folds.keep_strongest([x["at"] for x in r], [x["x"] for x in r], 3.0)])
