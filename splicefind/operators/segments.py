@@ -203,10 +203,10 @@ def coarse_cuts(dense: DataFrame, keys: list[str], width: float, fps: float, coa
 
 
 def drop_after_marked(segments: DataFrame, marks: DataFrame, keys: list[str], width: float, share: float = 0.5) -> DataFrame:
-    """``segments`` (keys, start, end) without the one after each that marks (keys, t) fill to ``share``, or itself where it is the last."""
+    """``segments`` (keys, start, end) without the one after each that marks (keys, t) fill to ``share`` (at most 1), or itself where it is the last."""
     met = range_join(marks.select(*keys, F.col("t").alias("_m")), segments, keys, "_m", "start", "end", BAND)
     fill = met.groupBy(*keys, "start").agg(F.when(F.count("*") > 1, F.max("_m") - F.min("_m")).otherwise(0.05).alias("_fill"))
-    rows = segments.join(fill, [*keys, "start"], "left").withColumn("_hit", F.coalesce(F.least(F.lit(1.0), F.col("_fill") / F.greatest(F.lit(1e-6), F.col("end") - F.col("start"))) >= share, F.lit(False)))
+    rows = segments.join(fill, [*keys, "start"], "left").withColumn("_hit", F.coalesce(F.col("_fill") / F.greatest(F.lit(1e-6), F.col("end") - F.col("start")) >= share, F.lit(False)))
 
     def sides(r: DataFrame, part: list[str]) -> DataFrame:
         w = over(part, "start")
