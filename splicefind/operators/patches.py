@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from splicefind.functions.vectors import centroids, cosine
 from splicefind.operators.asof import asof_forward, range_join
+from splicefind.operators.components import reliable
 from splicefind.operators.folds import fold, spaced_best
 from splicefind.operators.retrieval import DIGITS, _matrix, top_k, topk_per_key
 from splicefind.operators.timeseries import similarity_runs
@@ -108,7 +109,7 @@ def patch_rerank(mains: DataFrame, spans: DataFrame, pool: DataFrame, queries: D
     shots' representatives.  Shots that are clear and have one window at most give no row; a
     window within ``near`` of the main one's middle moves nothing.
     """
-    windows = candidate_windows(spans, pool)
+    windows = reliable(candidate_windows(spans, pool))
     sims = spans.groupBy("shot_no").agg(F.sort_array(F.collect_list(F.coalesce("sim", F.lit(0.0))), asc=False).alias("_s"))
     size = windows.groupBy("shot_no").agg(F.count("*").alias("_n"))
     asked = mains.join(sims, "shot_no", "left").join(size, "shot_no")
@@ -134,7 +135,8 @@ def nearfield_rescue(mains: DataFrame, queries: DataFrame, frames: DataFrame, ra
     half = int(radius // stride)
     now = mains.where(F.col("q_end") - F.col("q_start") >= least_width).select("shot_no", ((F.col("start") + F.col("end")) / 2).alias("now")).where("now is not null")
     grid = now.withColumn("at", F.explode(F.transform(F.sequence(F.lit(-half), F.lit(half)), lambda k: F.greatest(F.lit(0.0), F.round(F.col("now") + k * stride, 2)))))
-    scores = late_scores(queries, grid.select("shot_no", "at").unionByName(now.select("shot_no", F.col("now").alias("at"))), frames, best).select("shot_no", "at", F.col("stacked").alias("score"))
+    scores = late_scores(queries, grid.select("shot_no", "at").unionByName(now.select("shot_no", F.col("now").alias("at"))), frames, best)
+    scores = reliable(scores.select("shot_no", "at", F.col("stacked").alias("score")))
     top = topk_per_key(grid.distinct().join(scores, ["shot_no", "at"]), ["shot_no"], [F.desc("score"), "at"], 1)
     out = top.join(scores.select("shot_no", F.col("at").alias("now"), F.col("score").alias("_main")), ["shot_no", "now"])
     lead = F.round(F.col("score") - F.col("_main"), DIGITS)
@@ -211,14 +213,15 @@ def patch_refine(mains: DataFrame, queries: DataFrame, library: DataFrame, frame
     """
     mains = mains.where((F.col("end") - F.col("start") > 0.01) & (F.col("q_end") - F.col("q_start") > 0.01))
     mids = evaluated(mains, spaced_candidates(centroids(queries, ["shot_no"], out="feature").withColumn("t", F.lit(0.0)), library, k))
-    grid = window_grid(mids, radius, end=end)
+    grid = reliable(window_grid(mids, radius, end=end))
     scores = grid.join(late_scores(queries, grid, frames, best), ["shot_no", "at"])
     scores = scores.withColumn("_s", F.round(GLOBAL * F.col("cosine") + PATCH * F.col("per_frame"), DIGITS)).groupBy("shot_no", "now", "place", "mid").agg(F.max("_s").alias("score"))
+    scores = reliable(scores)
     top = topk_per_key(scores, ["shot_no"], [F.desc("score"), "place"], 1).select("shot_no", "now", "mid", "score")
     main = topk_per_key(scores.where(F.abs(F.col("mid") - F.col("now")) <= 0.5), ["shot_no"], [F.desc("place")], 1).select("shot_no", F.col("score").alias("_main"))
-    out = top.join(main, "shot_no").join(mains.select("shot_no", "q_start", "q_end"), "shot_no")
+    out = reliable(top.join(main, "shot_no").join(mains.select("shot_no", "q_start", "q_end"), "shot_no"))
     q_mid = ((F.col("q_start") + F.col("q_end")) / 2).alias("q_mid")
-    votes = vote(out.select("shot_no", F.explode(F.array_distinct(F.array("mid", "now"))).alias("mid"), q_mid), queries, library)
+    votes = reliable(vote(out.select("shot_no", F.explode(F.array_distinct(F.array("mid", "now"))).alias("mid"), q_mid), queries, library))
     out = out.join(votes, ["shot_no", "mid"]).join(votes.select("shot_no", F.col("mid").alias("now"), F.col("vote").alias("_now")), ["shot_no", "now"])
     lead, vote_lead = F.round(F.col("score") - F.col("_main"), DIGITS), F.round(F.col("vote") - F.col("_now"), DIGITS)
     half = (F.col("q_end") - F.col("q_start")) / 2
