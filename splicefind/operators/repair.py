@@ -7,8 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from splicefind.operators.asof import nearest, range_join
+from splicefind.operators.components import reliable
 from splicefind.operators.retrieval import nearest_apart, top_k, topk_per_key
-from splicefind.operators.timeseries import over
+from splicefind.operators.suppress import numbered_rows
+from splicefind.operators.timeseries import by_ranges, over
 
 
 def best_window(sims: DataFrame, keys: list[str], rows: int, width: float, t: str = "t", sim: str = "sim") -> DataFrame:
@@ -72,12 +74,19 @@ def pool_frames(centroids: DataFrame, scenes: DataFrame, frames: DataFrame, best
     return met.where(even).select("shot_no", "scene_no", "rank", "sim", "t")
 
 
-def uniqueness(df: DataFrame, keys: list[str], order: str, radius: int = 1, feature: str = "feature") -> DataFrame:
-    """How alike the nearest other neighbourhood is: the largest cosine of +-radius blocks that do not overlap (keys, order, nearest)."""
-    w = over(keys, order).rowsBetween(-radius, radius)
-    rows = df.withColumn("_i", F.row_number().over(over(keys, order))).withColumn("_block", F.flatten(F.collect_list(feature).over(w))).withColumn("_n", F.count("*").over(w)).where(F.col("_n") == 2 * radius + 1)
-    met = nearest_apart(rows.withColumn("_i", F.col("_i").cast("long")), keys, "_i", 2 * radius, "_block")
-    return rows.select(*keys, order, F.col("_i").cast("long").alias("_i")).join(met, [*keys, "_i"]).select(*keys, order, "nearest")
+def uniqueness(df: DataFrame, keys: list[str], order: str, radius: int = 1, feature: str = "feature", width: float = 4096.0) -> DataFrame:
+    """How alike the nearest other neighbourhood is: the largest cosine of +-radius blocks that do not overlap (keys, order, nearest).
+
+    Neighbourhoods are built on ranges of ``width`` of the order.
+    """
+    def local(rows: DataFrame, part: list[str]) -> DataFrame:
+        w = over(part, order).rowsBetween(-radius, radius)
+        return rows.withColumn("_hood", F.flatten(F.collect_list(feature).over(w))).withColumn("_rows", F.count("*").over(w))
+
+    rows = by_ranges(numbered_rows(df.select(*keys, order, feature), keys, order, width, "_place"), keys, order, width, radius, local)
+    rows = reliable(rows.where(F.col("_rows") == 2 * radius + 1).select(*keys, order, "_place", "_hood"))
+    met = nearest_apart(rows, keys, "_place", 2 * radius, "_hood")
+    return rows.drop("_hood").join(met, [*keys, "_place"]).select(*keys, order, "nearest")
 
 
 def rank_of_truth(ranked: DataFrame, keys: list[str], score: str, truth: str) -> DataFrame:

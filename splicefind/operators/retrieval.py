@@ -1,9 +1,9 @@
-"""Exhaustive cosine retrieval: a stated query set against all rows, in blocks.
+"""Exhaustive cosine retrieval: queries against all rows, block by block.
 
-The query set goes out in slices of bounded size (``SLICE_ROWS`` rows each, never more
-on an executor at once); each library partition answers a slice with one matrix product per Arrow
-batch and keeps its own top k per query, so the shuffle holds partitions x queries x k
-rows however large the library is.  Similarities are rounded to ``DIGITS`` before they
+Queries and library are dealt in blocks of at most about ``BLOCK_ROWS`` rows, and every pair of blocks is one task of a cogroup: a query
+row is sent to as many tasks as the library has blocks, and the other way round; nothing passes the driver.  A task multiplies slices of its
+blocks (``CELLS`` products at once) and sends on what its consumer needs: k rows a query, or one value a shot.  So the second shuffle holds
+blocks x queries x k rows however large the library is.  Similarities are rounded to ``DIGITS`` before they
 are ranked, which makes ties (broken by time) the same on any partitioning.
 """
 
@@ -11,11 +11,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SLICE_ROWS = 20_000
+from splicefind.operators.asof import range_join
+from splicefind.operators.suppress import numbered_rows
+
+BLOCK_ROWS = 20_000
+CELLS = 4_000_000
 DIGITS = 9
 
 
@@ -35,6 +39,43 @@ def _matrix(column) -> np.ndarray:
     return flat / np.maximum(np.linalg.norm(flat, axis=1, keepdims=True), 1e-8)
 
 
+def _times(column) -> np.ndarray:
+    return column.to_numpy() if isinstance(column, pa.ChunkedArray) else column.to_numpy(zero_copy_only=False)
+
+
+def n_blocks(queries: DataFrame, library: DataFrame) -> tuple[int, int]:
+    """Blocks of either side: by rows, and the library's at least one a core where it has a thousand rows for each."""
+    sides = queries.select(F.lit(0).alias("side")).unionByName(library.select(F.lit(1).alias("side")))
+    n = {r["side"]: r["n"] for r in sides.groupBy("side").agg(F.count("*").alias("n")).collect()}
+    by = lambda rows, each: max(1, -(-rows // each))
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    return by(n.get(0, 0), BLOCK_ROWS), max(by(n.get(1, 0), BLOCK_ROWS), min(cores, by(n.get(1, 0), 1000)))
+
+
+def crossed(queries: DataFrame, library: DataFrame, block: Column, lib_block: Column, nq: int, nl: int):
+    """The cogroup of every pair of a query block (0 .. nq - 1) and a library block (0 .. nl - 1)."""
+    q = queries.withColumn("_b", block).withColumn("_pair", F.explode(F.sequence(F.lit(0), F.lit(nl - 1)))).withColumn("_pair", F.col("_b") * nl + F.col("_pair")).drop("_b")
+    lib = library.withColumn("_b", lib_block).withColumn("_pair", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))).withColumn("_pair", F.col("_pair") * nl + F.col("_b")).drop("_b")
+    return q.groupBy("_pair").cogroup(lib.withColumnRenamed("_pair", "_with").groupBy("_with"))
+
+
+def _slices(rows: int, width: int):
+    step = max(1, CELLS // max(width, 1))
+    return (slice(a, a + step) for a in range(0, rows, step))
+
+
+def _leaders(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, value) of each row's k largest, the lower column first on ties."""
+    n = sims.shape[1]
+    least = np.partition(sims, n - k, axis=1)[:, n - k, None] if k < n else -np.inf
+    row, col = np.nonzero(sims >= least)
+    value = sims[row, col]
+    order = np.lexsort((col, -value, row))
+    row, col, value = row[order], col[order], value[order]
+    few = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[few], col[few], value[few]
+
+
 def top_k(queries: DataFrame, library: DataFrame, k: int, feature: str = "feature", t: str = "t", shot: str = "shot_no", floor: float | None = None) -> DataFrame:
     """(shot_no, q_t, l_t, sim, rank): the k most similar library rows of each query row.
 
@@ -43,31 +84,22 @@ def top_k(queries: DataFrame, library: DataFrame, k: int, feature: str = "featur
     """
     q = queries.where(F.col(feature).isNotNull() & F.col(t).isNotNull()).select(F.col(shot).cast("long").alias("shot_no"), F.col(t).cast("double").alias("q_t"), F.col(feature).alias("f"))
     lib = library.where(F.col(feature).isNotNull() & F.col(t).isNotNull()).select(F.col(t).cast("double").alias("l_t"), F.col(feature).alias("f"))
-    parts = max(1, -(-q.count() // SLICE_ROWS))
-    found = None
-    for part in range(parts):
-        few = (q.where(F.pmod(F.xxhash64("shot_no", "q_t"), F.lit(parts)) == part) if parts > 1 else q).toArrow().combine_chunks()
-        sent = queries.sparkSession.sparkContext.broadcast((few["shot_no"].to_numpy(), few["q_t"].to_numpy(), _matrix(few["f"])))
-
-        def task(batches, sent=sent):
-            shots, times, qs = sent.value
-            best_s = best_t = None
-            for batch in batches:
-                if not batch.num_rows or not len(shots):
-                    continue
-                lt = batch.column(0).to_numpy(zero_copy_only=False)
-                sims = np.round(qs @ _matrix(batch.column(1)).T, DIGITS)
-                both_s = sims if best_s is None else np.concatenate([best_s, sims], axis=1)
-                both_t = np.broadcast_to(lt, sims.shape) if best_t is None else np.concatenate([best_t, np.broadcast_to(lt, sims.shape)], axis=1)
-                order = np.lexsort((both_t, -both_s), axis=1)[:, :k]
-                best_s, best_t = np.take_along_axis(both_s, order, 1), np.take_along_axis(both_t, order, 1)
-            if best_s is not None:
-                ok = np.isfinite(best_s) if floor is None else best_s >= floor
-                row = np.nonzero(ok)[0]
-                yield pa.record_batch([pa.array(shots[row]), pa.array(times[row]), pa.array(best_t[ok]), pa.array(best_s[ok])], ["shot_no", "q_t", "l_t", "sim"])
-
-        rows = lib.mapInArrow(task, "shot_no long, q_t double, l_t double, sim double")
-        found = rows if found is None else found.unionByName(rows)
+    nq, nl = n_blocks(q, lib)
+    names = ["shot_no", "q_t", "l_t", "sim"]
+
+    def task(q, lib):
+        parts = []
+        if len(q) and len(lib):
+            lib = lib.sort_by("l_t")
+            shots, times, qs, lt, ls = _times(q["shot_no"]), _times(q["q_t"]), _matrix(q["f"]), _times(lib["l_t"]), _matrix(lib["f"])
+            for part in _slices(len(qs), len(ls)):
+                row, col, sim = _leaders(np.round(qs[part] @ ls.T, DIGITS), k)
+                ok = np.ones(len(sim), bool) if floor is None else sim >= floor
+                parts.append((shots[part][row[ok]], times[part][row[ok]], lt[col[ok]], sim[ok]))
+        kinds = (np.int64, np.float64, np.float64, np.float64)
+        return pa.table([pa.array(np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, kind)) for i, kind in enumerate(kinds)], names)
+
+    found = crossed(q, lib, F.pmod(F.xxhash64("shot_no", "q_t"), F.lit(nq)), F.pmod(F.xxhash64("l_t"), F.lit(nl)), nq, nl).applyInArrow(task, "shot_no long, q_t double, l_t double, sim double")
     return topk_per_key(found, ["shot_no", "q_t"], [F.desc("sim"), "l_t"], k)
 
 
@@ -84,73 +116,124 @@ def patch_score(left: DataFrame, right: DataFrame, best: int = 100, feature: str
     return topk_per_key(peak.drop("rank"), ["shot_no"], [F.desc("sim"), "q_t"], best).groupBy("shot_no").agg(F.avg("sim").alias("score"), F.count("*").alias("n"))
 
 
+def _shot_maxima(q, lib, shot: str = "shot_no"):
+    """(shots, for each the largest similarity to each library row), in slices of library rows."""
+    q = q.sort_by(shot)
+    names, first = np.unique(_times(q[shot]), return_index=True)
+    qs, ls = _matrix(q["f"]), _matrix(lib["f"])
+    sims = [np.maximum.reduceat(np.round(qs @ ls[part].T, DIGITS), first, axis=0) for part in _slices(len(ls), len(qs))]
+    return names, np.concatenate(sims, axis=1)
+
+
+def _by_shot(queries: DataFrame, feature: str, group: str) -> DataFrame:
+    return queries.where(F.col(feature).isNotNull()).select(F.col(group).cast("long").alias("shot_no"), F.col(feature).alias("f"))
+
+
 def set_similarity(left: DataFrame, right: DataFrame, feature: str = "feature", t: str = "t", group: str = "shot_no") -> DataFrame:
-    """(shot_no, forward, backward, symmetric): mean-of-max similarity of each left set and the whole right side."""
+    """(shot_no, forward, backward, symmetric): mean-of-max similarity of each left set and the whole right side.
+
+    A left set is in one block; each block of the right side sends one sum a set.
+    """
     forward = top_k(left, right, 1, feature, t, group).groupBy("shot_no").agg(F.avg("sim").alias("forward"))
-    # backward: for each right row and left set the maximum, then the mean per set
-    sims = grouped_max(right, left, feature, t, group)
-    backward = sims.groupBy("shot_no").agg(F.avg("sim").alias("backward"))
+    q, lib = _by_shot(left, feature, group), right.where(F.col(feature).isNotNull() & F.col(t).isNotNull()).select(F.col(t).cast("double").alias("l_t"), F.col(feature).alias("f"))
+    nq, nl = n_blocks(q, lib)
+
+    def task(q, lib):
+        if not len(q) or not len(lib):
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.float64()), pa.array([], pa.int64())], ["shot_no", "s", "n"])
+        names, sims = _shot_maxima(q, lib)
+        return pa.table([pa.array(names), pa.array(sims.sum(axis=1)), pa.array(np.full(len(names), sims.shape[1]))], ["shot_no", "s", "n"])
+
+    sums = crossed(q, lib, F.pmod(F.xxhash64("shot_no"), F.lit(nq)), F.pmod(F.xxhash64("l_t"), F.lit(nl)), nq, nl).applyInArrow(task, "shot_no long, s double, n long")
+    backward = sums.groupBy("shot_no").agg((F.sum("s") / F.sum("n")).alias("backward"))
     return forward.join(backward, "shot_no").withColumn("symmetric", (F.col("forward") + F.col("backward")) / 2)
 
 
-def grouped_max(rows: DataFrame, queries: DataFrame, feature: str = "feature", t: str = "t", group: str = "shot_no") -> DataFrame:
-    """(shot_no, l_t, sim): for each row of ``rows`` and each query group the largest similarity; one row each."""
-    q = queries.select(F.col(group).cast("long").alias("shot_no"), F.col(feature).alias("f")).where("f is not null")
-    lib = rows.select(F.col(t).cast("double").alias("l_t"), F.col(feature).alias("f")).where("f is not null")
-    groups = q.select("shot_no").distinct().count()
-    parts = max(1, -(-q.count() // SLICE_ROWS)) if groups else 1
-    out = None
-    for part in range(parts):
-        few = (q.where(F.pmod(F.xxhash64("shot_no"), F.lit(parts)) == part) if parts > 1 else q).orderBy("shot_no").toArrow().combine_chunks()
-        sent = rows.sparkSession.sparkContext.broadcast((few["shot_no"].to_numpy(), _matrix(few["f"])))
+def best_windows(queries: DataFrame, library: DataFrame, rows: int, width: float, feature: str = "feature", t: str = "t", group: str = "shot_no") -> DataFrame:
+    """(shot_no, start, end, mean_sim): the ``rows`` consecutive library rows whose largest similarities to the shot have the best mean.
 
-        def task(batches, sent=sent):
-            shots, qs = sent.value
-            names, first = np.unique(shots, return_index=True)
-            for batch in batches:
-                if batch.num_rows and len(names):
-                    sims = np.maximum.reduceat(np.round(qs @ _matrix(batch.column(1)).T, DIGITS), first, axis=0)
-                    lt = batch.column(0).to_numpy(zero_copy_only=False)
-                    yield pa.record_batch([pa.array(np.repeat(names, len(lt))), pa.array(np.tile(lt, len(names))), pa.array(sims.ravel())], ["shot_no", "l_t", "sim"])
+    Stretches over ``width`` + 2 s are skipped, the first of equal ones wins.  The library is dealt by ranges of its rows, each with the next
+    ``rows`` - 1 rows lent; a range sends its best stretch of each shot, never its similarities.
+    """
+    q, lib = _by_shot(queries, feature, group), library.where(F.col(feature).isNotNull() & F.col(t).isNotNull()).select(F.col(t).cast("double").alias("l_t"), F.col(feature).alias("f"))
+    nq, nl = n_blocks(q, lib)
+    lib = numbered_rows(lib, [], "l_t", 4096.0)
+    each = F.greatest(F.ceil(F.col("place_n") / nl), F.lit(rows)).cast("long")
+    block = F.floor(F.col("place") / each)
+    lent = F.when((F.col("place") % each < rows - 1) & (block > 0), block - 1)
+    lib = lib.withColumn("_r", F.explode(F.array_compact(F.array(block, lent)))).withColumn("own", F.floor(F.col("place") / each) == F.col("_r"))
+
+    def task(q, lib):
+        names = ["shot_no", "start", "mean_sim"]
+        if not len(q) or len(lib) < rows:
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.float64()), pa.array([], pa.float64())], names)
+        lib = lib.sort_by("l_t")
+        shots, sims = _shot_maxima(q, lib)
+        at = _times(lib["l_t"])
+        mean = np.round(np.lib.stride_tricks.sliding_window_view(sims, rows, axis=1).mean(axis=2), DIGITS)
+        ok = (at[rows - 1 :] - at[: len(at) - rows + 1] <= width + 2) & _times(lib["own"])[: len(at) - rows + 1]
+        mean = np.where(ok, mean, -np.inf)
+        top = mean.argmax(axis=1)
+        some = np.isfinite(mean.max(axis=1))
+        return pa.table([pa.array(shots[some]), pa.array(at[top[some]]), pa.array(mean.max(axis=1)[some])], names)
+
+    got = crossed(q, lib.drop("place", "place_n"), F.pmod(F.xxhash64("shot_no"), F.lit(nq)), F.col("_r"), nq, nl)
+    best = topk_per_key(got.applyInArrow(task, "shot_no long, start double, mean_sim double"), ["shot_no"], [F.desc("mean_sim"), "start"], 1)
+    return best.select("shot_no", "start", (F.col("start") + width).alias("end"), "mean_sim")
+
+
+def window_sims(windows: DataFrame, queries: DataFrame, library: DataFrame, lo: str, hi: str, width: float, feature: str = "feature", t: str = "t", group: str = "shot_no") -> DataFrame:
+    """(shot_no, t, sim): the largest similarity to the shot of each library row inside one of its windows (shot_no, lo, hi; closed).
+
+    Only rows that lie in a window are fetched and multiplied.
+    """
+    lib = library.where(F.col(feature).isNotNull()).select(F.col(t).cast("double").alias("t"), F.col(feature).alias("f"))
+    rows = range_join(lib, windows.select(F.col("shot_no").cast("long").alias("shot_no"), lo, hi), [], "t", lo, hi, width).select("shot_no", "t", "f").dropDuplicates(["shot_no", "t"])
+
+    def task(rows, q):
+        if not len(q) or not len(rows):
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.float64()), pa.array([], pa.float64())], ["shot_no", "t", "sim"])
+        _, sims = _shot_maxima(q, rows, "_shot")
+        return pa.table([rows["shot_no"], rows["t"], pa.array(sims[0])], ["shot_no", "t", "sim"])
 
-        got = lib.mapInArrow(task, "shot_no long, l_t double, sim double")
-        out = got if out is None else out.unionByName(got)
-    return out
+    q = _by_shot(queries, feature, group).withColumnRenamed("shot_no", "_shot")
+    return rows.groupBy("shot_no").cogroup(q.groupBy("_shot")).applyInArrow(task, "shot_no long, t double, sim double")
 
 
 def nearest_apart(rows: DataFrame, keys: list[str], place: str, apart: int, feature: str = "feature") -> DataFrame:
     """Per row the largest cosine to a row of its series more than ``apart`` places away: (keys, place, nearest).
 
-    All rows are held against all, slice by slice as in ``top_k``; each partition keeps one value a row.
+    A series' rows are dealt in blocks by their place (0 or 1 on, without large gaps); each pair of blocks of one series is one task, which
+    answers for both. Series never meet.
     """
     names = [*keys, place]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*names).schema) + ", sim double"
-    rows = rows.select(*names, F.hash(*keys).alias("_k") if keys else F.lit(0).alias("_k"), F.col(feature).alias("f"))
-    parts = max(1, -(-rows.count() // SLICE_ROWS))
-    found = None
-    for part in range(parts):
-        few = (rows.where(F.pmod(F.xxhash64(*names), F.lit(parts)) == part) if parts > 1 else rows).toArrow().combine_chunks()
-        sent = rows.sparkSession.sparkContext.broadcast((few.select(names), few["_k"].to_numpy(), few[place].to_numpy(), _matrix(few["f"])))
-
-        def task(batches, sent=sent):
-            head, group, at, qs = sent.value
-            best = np.full(len(at), -np.inf)
-            for batch in batches:
-                if batch.num_rows and len(at):
-                    sims = np.round(qs @ _matrix(batch["f"]).T, DIGITS)
-                    far = (np.abs(at[:, None] - batch[place].to_numpy()) > apart) & (group[:, None] == batch["_k"].to_numpy())
-                    best = np.maximum(best, np.where(far, sims, -np.inf).max(axis=1))
+    rows = rows.where(F.col(feature).isNotNull()).select(*names, F.struct(F.lit(0).alias("_"), *keys).alias("_series"), F.col(feature).alias("f"), F.floor(F.col(place) / BLOCK_ROWS).alias("_block"))
+    size = rows.groupBy("_series").agg(F.max("_block").alias("_last")).withColumnRenamed("_series", "_of")
+    dealt = rows.join(size, rows["_series"].eqNullSafe(size["_of"])).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))))
+    dealt = dealt.select(*names, "_series", "f", "_block", F.least("_block", "_other").alias("_low"), F.greatest("_block", "_other").alias("_high"))
+
+    def task(key, table):
+        i, j = key[1].as_py(), key[2].as_py()
+        both = [table.filter(pa.array(_times(table["_block"]) == b)) for b in ((i,) if i == j else (i, j))]
+        left, right = both[0], both[-1]
+        ls, rs, lp, rp = _matrix(left["f"]), _matrix(right["f"]), _times(left[place]), _times(right[place])
+        up, down = np.full(len(lp), -np.inf), np.full(len(rp), -np.inf)
+        for part in _slices(len(ls), len(rs)) if len(rs) else ():
+            far = np.where(np.abs(lp[part][:, None] - rp) > apart, np.round(ls[part] @ rs.T, DIGITS), -np.inf)
+            up[part] = far.max(axis=1)
+            down = np.maximum(down, far.max(axis=0))
+        out = []
+        for side, best in ((left, up), (right, down))[: len(both)]:
             ok = np.isfinite(best)
-            kept = head.filter(pa.array(ok)).combine_chunks()
-            yield from kept.append_column("sim", pa.array(best[ok])).to_batches()
+            out.append(side.select(names).filter(pa.array(ok)).append_column("sim", pa.array(best[ok])))
+        return pa.concat_tables(out)
 
-        got = rows.mapInArrow(task, schema)
-        found = got if found is None else found.unionByName(got)
+    found = dealt.groupBy("_series", "_low", "_high").applyInArrow(task, schema)
     return found.groupBy(*names).agg(F.max("sim").alias("nearest"))
 
 
 ITEM_GRAMS = 4_000_000
-CELLS = 4_000_000
 
 
 def best_containment(docs: DataFrame, items: DataFrame, doc: str, item: str, grams: str = "grams") -> DataFrame:

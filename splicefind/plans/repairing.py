@@ -5,34 +5,33 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from splicefind.functions import vectors as V
-from splicefind.operators import grading, repair
+from splicefind.operators import grading, repair, retrieval
 from splicefind.operators import timeseries as ts
-from splicefind.operators.retrieval import grouped_max
 from splicefind.plans import fixtures as fx
 from splicefind.plans.editing import _SHOT, _shots
 
 
-def _sims(spark, d):
-    """Each library row's best similarity to each shot, as a series per shot."""
-    return grouped_max(fx.library(spark, d), fx.shots(spark, d)).select("shot_no", F.col("l_t").alias("t"), "sim")
-
-
 def relocated(spark, d):
-    return repair.best_window(_sims(spark, d), ["shot_no"], 4, 4.0).select("shot_no", "start", "end", F.round("mean_sim", 6).alias("mean_sim"))
+    return retrieval.best_windows(fx.shots(spark, d), fx.library(spark, d), 4, 4.0).withColumn("mean_sim", F.round("mean_sim", 6))
 
 
 def span_means(spark, d):
     s = fx.spans(spark, d).select("shot_no", F.col("cluster_no").cast("long").alias("cluster_no"), "start", "end")
-    return repair.span_mean(s, _sims(spark, d), ["shot_no"], "cluster_no", 30.0).select("shot_no", "cluster_no", F.round("mean_sim", 6).alias("mean_sim"))
+    sims = retrieval.window_sims(s, fx.shots(spark, d), fx.library(spark, d), "start", "end", 30.0)
+    return repair.span_mean(s, sims, ["shot_no"], "cluster_no", 30.0).select("shot_no", "cluster_no", F.round("mean_sim", 6).alias("mean_sim"))
 
 
 def aligned_scores(spark, d):
     want = fx.shots(spark, d).select("shot_no", F.col("t").alias("q"), (F.pmod(F.col("t") * 7, F.lit(450.0)) + 0.5).alias("at"))
-    return repair.aligned_max(want, _sims(spark, d), ["shot_no"], "q", "at", 1.5).select("q", F.round("best", 6).alias("best"))
+    near = want.select("shot_no", (F.col("at") - 1.5).alias("lo"), (F.col("at") + 1.5).alias("hi"))
+    sims = retrieval.window_sims(near, fx.shots(spark, d), fx.library(spark, d), "lo", "hi", 6.0)
+    return repair.aligned_max(want, sims, ["shot_no"], "q", "at", 1.5).select("q", F.round("best", 6).alias("best"))
 
 
 def start_shifts(spark, d):
-    curve = _sims(spark, d).withColumn("current", F.col("shot_no") * 10 + 7.0).where("abs(t - current) <= 15")
+    now = fx.shots(spark, d).select("shot_no", (F.col("shot_no") * 10 + 7.0).alias("current")).distinct()
+    near = now.select("shot_no", (F.col("current") - 15).alias("lo"), (F.col("current") + 15).alias("hi"))
+    curve = retrieval.window_sims(near, fx.shots(spark, d), fx.library(spark, d), "lo", "hi", 30.0).join(now, "shot_no")
     return repair.start_shift(curve, ["shot_no"], "current", 0.03, 0.01, 10.0, "t", "sim").select("shot_no", "new_start", F.round("best", 6).alias("best"), F.round("now", 6).alias("now"))
 
 
