@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from splicefind.operators.asof import asof_forward, nearest, range_join
+from splicefind.operators.asof import asof_forward, nearest, overlap_join, range_join
 from splicefind.operators.intervals import neighbours, temporal_outliers
 from splicefind.operators.retrieval import topk_per_key
 
@@ -80,16 +80,20 @@ def flash_frame(mean: Column, bright: Column, mean_least: float = 200.0, bright_
 CRITERIA = {"S_strict": ("strict", 0.0, "base"), "Z_point": ("point", 0.0, "base"), "T_tol05": ("strict", 0.5, "base"), "R_rec": ("point", 0.5, "base"), "O_overlap": ("strict", 0.0, "overlap"), "A_any": ("strict", 0.0, "any"), "SE_diag": ("wide", 0.0, "base")}
 
 
-def recall_criteria(truth: DataFrame, results: DataFrame, key: str) -> DataFrame:
+def recall_criteria(truth: DataFrame, results: DataFrame, key: str, width: float = 60.0) -> DataFrame:
     """Per truth row (truth_id, key, q_start, q_end, start, end) the seven recall criteria side by side.
 
     ``results`` has key, q_start, q_end, start, end, one row a span and ``result_id``.  The query side counts by plain overlap (strict), also for
     points (point) or with half a second to spare (wide); the truth's window may be half a second wider; a hit is
     base (inside +-2 s, holding the midpoint, or covering 40 %), or an overlap of half a second (any) that is also
     half of the shorter side (overlap).  Without one, summed overlaps of half on both sides count.
+    Pairs are made in buckets of ``width`` of the query side.
     """
     r = results.where("end - start > 0.01").select(key, "result_id", F.col("q_start").alias("_qs"), F.col("q_end").alias("_qe"), F.col("start").alias("_s"), F.col("end").alias("_e"))
-    met = truth.join(r, key).where((F.col("_qs") <= F.col("q_end") + 0.5) & (F.col("_qe") >= F.col("q_start") - 0.5))
+    # both sides wider than what counts, so that touching spans and points meet, too
+    near = truth.withColumns({"_t0": F.col("q_start") - 0.75, "_t1": F.col("q_end") + 0.75})
+    r = r.withColumns({"_r0": F.col("_qs") - 0.25, "_r1": F.col("_qe") + 0.25})
+    met = overlap_join(near, r, [key], "_t0", "_t1", "_r0", "_r1", width).where((F.col("_qs") <= F.col("q_end") + 0.5) & (F.col("_qe") >= F.col("q_start") - 0.5))
     shared = lambda a0, a1, b0, b1: F.greatest(F.lit(0.0), F.least(a1, b1) - F.greatest(a0, b0))
     c = F.col
     q = {

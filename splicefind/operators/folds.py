@@ -555,16 +555,22 @@ def match_one_to_one(found: list[float], truth: list[float], tolerance: float) -
     return out
 
 
-def average_precision(found: list[tuple[float, float]], truth: list[float], tolerance: float) -> float:
-    """Ranked finds (time, score) claim a truth once; each true positive adds hits/(hits), so AP = hits/truths."""
-    free = set(range(len(truth)))
-    hits = 0
-    for t, _ in sorted(found, key=lambda x: -x[1]):
-        near = min(((abs(truth[i] - t), i) for i in free if abs(truth[i] - t) <= tolerance), default=None)
-        if near:
-            free.discard(near[1])
-            hits += 1
-    return hits / len(truth) if truth else 0.0
+def boundary_precision(found: list[dict], truth: list[dict], tolerance: float, least: float = 0.5) -> tuple[float, float]:
+    """(average precision, recall) of ranked finds at a tolerance; both have start, q_start and q_end.
+
+    Down the ranks (score, then level, then place; the last two may be missing) each find claims the first unclaimed truth that it overlaps by ``least`` on the query side and meets within
+    ``tolerance``.  A precision is counted at hits only, so it is 1 at each, and the average is the share of claimed truths.  Recall asks of each
+    truth for its nearest overlapping find, claimed or not.
+    """
+    meets = lambda f, t: min(f["q_end"], t["q_end"]) - max(f["q_start"], t["q_start"]) >= least
+    free = list(range(len(truth)))
+    for f in sorted(found, key=lambda f: (-f["score"], -f.get("level", 0), f.get("place", 0))):
+        mine = next((i for i in free if meets(f, truth[i]) and abs(f["start"] - truth[i]["start"]) <= tolerance), None)
+        if mine is not None:
+            free.remove(mine)
+    near = [min((abs(f["start"] - t["start"]) for f in found if meets(f, t)), default=math.inf) for t in truth]
+    n = len(truth)
+    return ((n - len(free)) / n, sum(x <= tolerance for x in near) / n) if n else (0.0, 0.0)
 
 
 def debounce(rows: list[dict], quiet: float = 0.5, flush: bool = True) -> list[dict]:

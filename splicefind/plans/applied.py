@@ -111,14 +111,15 @@ def matched_truths(spark, d):
 
 
 def boundary_ap(spark, d):
-    """Average precision of each customer's even starts, ranked by score, against its odd ones."""
-    s = _shots(spark, d)
+    """Average precision and recall of each customer's even starts, ranked by score, against its odd ones, at three tolerances."""
+    s = _shots(spark, d).withColumn("q_start", F.col("i").cast("double")).withColumn("q_end", F.when(F.col("i") % 2 == 1, F.col("i") + 2.0).otherwise(F.col("i") + 1.5))
 
     def run(rows):
-        truth = [r["start"] for r in rows if r["i"] % 2]
-        return [{"o_custkey": rows[0]["o_custkey"], "n": len(truth), "ap": round(folds.average_precision([(r["start"], r["score"]) for r in rows if not r["i"] % 2], truth, 60.0), 6)}]
+        truth, found = [r for r in rows if r["i"] % 2], [{**r, "place": r["i"]} for r in rows if not r["i"] % 2]
+        pairs = [(delta, folds.boundary_precision(found, truth, delta)) for delta in (30.0, 120.0, 400.0)]
+        return [{"o_custkey": rows[0]["o_custkey"], "delta": delta, "n": len(truth), "ap": round(ap, 6), "recall": round(recall, 6)} for delta, (ap, recall) in pairs]
 
-    return folds.fold(s, ["o_custkey"], ["i"], run, "n long, ap double", ["o_custkey"])
+    return folds.fold(s, ["o_custkey"], ["i"], run, "delta double, n long, ap double, recall double", ["o_custkey"])
 
 
 def box_nms(spark, d):
@@ -184,8 +185,16 @@ def _criteria() -> str:
     return ", ".join(out)
 
 
+_AP_MEET = "least(x.i + 2, f.i + 1.5) - greatest(x.i, f.i) >= 0.5 AND abs(f.s - x.s) <= delta"
 _LINES = "ln AS (SELECT o_custkey, l_linenumber, l_partkey, l_extendedprice, CAST(l_discount AS DOUBLE) AS dc FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
 SQL = {
+    "boundary_ap": f"""WITH RECURSIVE {_SHOT}, t AS (SELECT o_custkey, list({{'i': i, 's': s}} ORDER BY i) AS ts, count(*) AS n FROM shot WHERE i % 2 = 1 GROUP BY 1),
+f AS (SELECT o_custkey, i, s, row_number() OVER (PARTITION BY o_custkey ORDER BY score DESC, i) AS z FROM shot WHERE i % 2 = 0),
+w AS (SELECT o_custkey, ts, n, delta, 0::BIGINT AS z, []::BIGINT[] AS took FROM t, (SELECT unnest([30.0, 120.0, 400.0])::DOUBLE AS delta) UNION ALL
+  SELECT w.o_custkey, ts, n, delta, f.z, CASE WHEN c.p IS NULL THEN took ELSE list_append(took, c.p) END FROM w JOIN f ON f.o_custkey = w.o_custkey AND f.z = w.z + 1, LATERAL (SELECT list_filter(ts, lambda x: NOT list_contains(took, x.i) AND {_AP_MEET})[1].i AS p) c),
+b AS (SELECT o_custkey, delta, any_value(n) AS n, max(len(took)) AS k FROM w GROUP BY ALL),
+r AS (SELECT o_custkey, delta, count(*) AS k FROM (SELECT DISTINCT x.o_custkey, x.i, delta FROM shot x JOIN f ON f.o_custkey = x.o_custkey, (SELECT unnest([30.0, 120.0, 400.0])::DOUBLE AS delta) WHERE x.i % 2 = 1 AND {_AP_MEET}) GROUP BY ALL)
+SELECT b.o_custkey, b.delta, n, round(b.k / n, 6) AS ap, round(coalesce(r.k, 0) / n, 6) AS recall FROM b LEFT JOIN r ON r.o_custkey = b.o_custkey AND r.delta = b.delta""",
     "strided_rows": f"WITH {fx.SERIES} SELECT user_id, CAST(seq AS INTEGER) AS seq FROM ser WHERE seq % 3 = 0",
     "even_rows": f"WITH {fx.SERIES}, n AS (SELECT user_id, count(*) AS n FROM ser GROUP BY 1) SELECT user_id, CAST(seq AS INTEGER) AS seq FROM ser JOIN n USING (user_id) WHERE n <= 5 OR seq IN (SELECT CAST(floor(k * (n - 1) / 4 + 1e-9) AS BIGINT) FROM range(5) t(k))",
     "snapped_rows": f"WITH {_E} SELECT a.sid, arg_min(b.s, (abs(b.s - a.s), b.s)) AS \"at\" FROM ses a LEFT JOIN ses b ON (b.grp + 1) % 10 = a.grp GROUP BY a.sid",

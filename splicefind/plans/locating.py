@@ -106,6 +106,8 @@ tt AS (SELECT shot_no, kind, u, avg(CAST(ok AS INTEGER)) AS bc FROM rn GROUP BY
 lu AS (SELECT un.*, round(CASE WHEN un.kind = 2 THEN a ELSE least(c0, coalesce(a, c0)) END, 2) AS s, round(CASE WHEN un.kind = 2 THEN b ELSE greatest(c1, coalesce(b, c1)) END, 2) AS e, round(CASE WHEN a IS NULL THEN 0 ELSE bc END, 3) AS cover, round(sim, 3) AS sim
   FROM un LEFT JOIN (SELECT * FROM rs WHERE o = 1) r ON r.shot_no = un.shot_no AND r.kind = un.kind AND r.u = un.u LEFT JOIN tt ON tt.shot_no = un.shot_no AND tt.kind = un.kind AND tt.u = un.u)"""
 SQL = {
+    "pool_frames": f"""WITH {fx.LIB}, {fx.QRY}, {_CTR}, {_area_sql("sc", 20)}, {_pool_sql("ps", "sc", 5, 50, False, -2)}
+SELECT t.shot_no, t.u AS scene_no, CAST(k AS INTEGER) AS rank, count(*) AS n, min(t) AS first, max(t) AS last FROM pst t JOIN psh h ON h.shot_no = t.shot_no AND h.u = t.u GROUP BY ALL""",
     "frame_units": f"WITH {_FRAMES} SELECT shot_no, u AS unit_no, c0, c1, n, round(mid, 6) AS \"at\", q0 AS q_start, q1 AS q_end, list_sum(qs) AS rows FROM fu",
     "recall_pools": f"""WITH {fx.LIB}, {fx.QRY}, {_CTR}, {_area_sql("sc", 20)}, {_area_sql("ev", 60)}, {_pool_sql("ps", "sc", 4, 50, True, AREA_LEAST)}, {_pool_sql("pe", "ev", 2, 90, False, AREA_LEAST)}
 SELECT shot_no, u AS unit_no, c0, c1, s AS start, e AS "end", n, 'scene' AS kind FROM ps UNION ALL SELECT shot_no, u, c0, c1, s, e, n, 'event' FROM pe""",

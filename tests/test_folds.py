@@ -210,7 +210,18 @@ def test_shift_uses_the_shifted_row_before():
 
 def test_one_to_one_and_average_precision():
     assert folds.match_one_to_one([1.0, 1.3], [1.1, 1.15], 0.5) == [(0, 0), (1, 1)]
-    assert folds.average_precision([(1.0, 0.9), (5.0, 0.8)], [1.1, 9.0], 0.5) == 0.5
+
+    def find(start, q, score=0.5):
+        return {"start": start, "q_start": q, "q_end": q + 1.0, "score": score}
+
+    truth = [find(10.0, 0.0), find(11.0, 0.2), find(50.0, 5.0)]
+    # the stronger find claims the first truth in reach, not the nearest; the second one is left with the other
+    assert folds.boundary_precision([find(11.0, 0.0, 0.9), find(10.2, 0.0, 0.8)], truth, 2.0) == (2 / 3, 2 / 3)
+    # in time but without enough overlap on the query side: neither claimed nor recalled
+    assert folds.boundary_precision([find(50.0, 5.6)], truth, 2.0) == (0.0, 0.0)
+    # one find recalls two truths and claims one
+    assert folds.boundary_precision([find(10.5, 0.1)], truth, 1.0) == (1 / 3, 2 / 3)
+    assert folds.boundary_precision([], truth, 1.0) == (0.0, 0.0) and folds.boundary_precision([find(1.0, 0.0)], [], 1.0) == (0.0, 0.0)
 
 
 def test_debounce_emits_the_held_frame_first():
