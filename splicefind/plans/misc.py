@@ -37,6 +37,12 @@ def channel_audits(spark, d):
     return got["before"].withColumn("step", F.lit("before")).unionByName(got["after"].withColumn("step", F.lit("after")))
 
 
+def project_files(spark, d):
+    """Every customer's spans as an edit list, without scenes."""
+    got = pipelines.export_project(_results(spark, d), None, ["o_custkey"], "edl", "cut", "film.mkv")["files"]
+    return got.select("o_custkey", "file", F.size(F.split("text", "V     C")).alias("pieces"))
+
+
 def fragment_warnings(spark, d):
     return intervals.fragment_warnings(_sessions(spark, d), ["grp"]).select("grp", "fragments", F.sha2("warning", 256).alias("digest"))
 

@@ -40,21 +40,23 @@ def locate(queries: DataFrame, library: DataFrame, gap: float = 15.0, least_rows
     return grading.grade(out).select("shot_no", "mode", "nq", "qcov", "primary", "secondary", "spans", "score", "level", "flags", "reasons")
 
 
-def channel_plan(results: DataFrame, scenes: DataFrame, keys: list[str], width: float, least: str = "MEDIUM", tolerance: float = 1.0, fps: float = 25.0) -> dict[str, DataFrame]:
+def channel_plan(results: DataFrame, scenes: DataFrame, keys: list[str], width: float, least: str = "MEDIUM", tolerance: float = 1.0, fps: float = 25.0, low_policy: str = "exclude", snap: bool = True, split: bool = True, expand: bool = True) -> dict[str, DataFrame]:
     """plan, warnings, before and after (the two audits), in the fixed order.
 
     Flatten, warn of fragments, snap to scene edges, split at scene edges, expand to scenes (but split
-    pieces), audit, trim overlaps, audit.  ``results`` and ``scenes`` carry ``keys`` (the source); see
+    pieces), audit, trim overlaps, audit.  ``snap``, ``split`` and ``expand`` turn single steps off.  ``results`` and ``scenes`` carry ``keys`` (the source); see
     ``export.export_plan`` for the rest.
     """
-    plan = export.export_plan(results, least).join(results.select("seg_index", *keys), "seg_index")
+    plan = export.export_plan(results, least, low_policy).join(results.select("seg_index", *keys), "seg_index")
     warnings = intervals.fragment_warnings(plan, keys)
     marks = intervals.boundaries(scenes, keys)
     renamed = {"new_start": "start", "new_end": "end"}
-    row = intervals.snap(plan, marks, keys, tolerance, width=width).drop("start", "end").withColumnsRenamed(renamed).withColumn("_row", F.concat_ws(":", "seg_index", "sub_index"))
+    row = (intervals.snap(plan, marks, keys, tolerance, width=width).drop("start", "end").withColumnsRenamed(renamed) if snap else plan).withColumn("_row", F.concat_ws(":", "seg_index", "sub_index"))
     subs = row.where("kind = 'sub'").withColumn("piece", F.lit(-1))
-    pieces = subs.unionByName(intervals.split_at(row.where("kind <> 'sub'"), marks, keys, "_row", width))
-    whole = intervals.expand(pieces.where("piece < 0"), scenes, keys, "_row", width, rel_cap=1.5).drop("start", "end").withColumnsRenamed(renamed)
+    mains = row.where("kind <> 'sub'")
+    pieces = subs.unionByName(intervals.split_at(mains, marks, keys, "_row", width) if split else mains.withColumn("piece", F.lit(-1)), allowMissingColumns=True)
+    whole = pieces.where("piece < 0")
+    whole = intervals.expand(whole, scenes, keys, "_row", width, rel_cap=1.5).drop("start", "end").withColumnsRenamed(renamed) if expand else whole.withColumn("expanded", F.lit(False))
     wide = whole.unionByName(pieces.where("piece >= 0").withColumn("expanded", F.lit(False)))
     mains = wide.where("kind <> 'sub'")
     before = intervals.overlap_audit(mains, keys, "q_start", width)
@@ -71,3 +73,40 @@ def fcp_xml(plan: DataFrame, keys: list[str], title: str, fps: float) -> DataFra
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("track", "x"))), lambda s: F.concat(F.lit("<track>"), s["x"], F.lit("</track>"))), "")
     head = f'<?xml version="1.0" encoding="UTF-8"?><!DOCTYPE xmeml><xmeml version="4"><sequence><name>{title}</name><rate><timebase>{round(fps)}</timebase><ntsc>{"TRUE" if abs(fps - round(fps)) > 0.01 else "FALSE"}</ntsc></rate><media><video>'
     return tracks.groupBy(*keys).agg(F.concat(F.lit(head), body, F.lit("</video></media></sequence></xmeml>")).alias("text"))
+
+
+FORMATS = ("edl", "fcp7_xml", "draft")
+
+
+def export_project(results: DataFrame, scenes: DataFrame | None, keys: list[str], fmt: str, title: str, source: str, fps: float = 25.0, least: str = "MEDIUM", low_policy: str = "exclude", snap: bool = True, material: str = "scene", width: float = 64.0) -> dict[str, DataFrame]:
+    """files (keys, file, text), plan and warnings of each timeline in one format: ``edl``, ``fcp7_xml`` or ``draft`` (clips as JSON lines).
+
+    All formats share one channel plan; only a draft widens its clips to whole scenes, and only with ``material`` = ``scene``.  Without ``scenes``
+    nothing is snapped, split or widened.  Rows that are marked not_in_source or failed, and those without a span, are not exported.
+    """
+    for name, value, allowed in (("fmt", fmt, FORMATS), ("least", least, ("LOW", "MEDIUM", "HIGH")), ("low_policy", low_policy, ("exclude", "backup")), ("material", material, ("scene", "core"))):
+        if value not in allowed:
+            raise ValueError(f"invalid {name}: {value!r}, expected one of {allowed}")
+    for mark in ("not_in_source", "failed"):
+        if mark in results.columns:
+            results = results.where(~F.coalesce(F.col(mark), F.lit(False)))
+    known = scenes is not None
+    none = results.sparkSession.createDataFrame([], ", ".join([*(f"`{k}` {results.schema[k].dataType.simpleString()}" for k in keys), "start double, end double"]))
+    out = channel_plan(results, scenes if known else none, keys, width, least, fps=fps, low_policy=low_policy, snap=snap and known, split=known, expand=known and fmt == "draft" and material == "scene")
+    plan = out["plan"]
+    if fmt == "edl":
+        text, ending = export.edl_text(plan, keys, title, source, fps), "loc.edl"
+    elif fmt == "fcp7_xml":
+        text, ending = fcp_xml(plan, keys, title, fps), "loc.xml"
+    else:
+        clips = export.reel_plan(plan, keys)
+        line = F.to_json(F.struct("stem", "start", "end", "placed", "width"))
+        text = clips.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("placed", line.alias("x")))), lambda c: c["x"]), "\n").alias("text"))
+        ending = "draft.jsonl"
+    name = F.concat_ws("-", *(F.regexp_replace(F.col(k).cast("string"), r"[^0-9A-Za-z_]", "_") for k in keys))
+    return {"files": text.select(*keys, F.concat(name, F.lit(f".{ending}")).alias("file"), "text"), "plan": plan, "warnings": out["warnings"]}
+
+
+def write_files(files: DataFrame, path: str) -> None:
+    """One folder per file name under ``path``, each with its text."""
+    files.select("file", "text").write.partitionBy("file").option("lineSep", "\n").text(path)
