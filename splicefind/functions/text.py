@@ -8,9 +8,21 @@ from pyspark.sql import functions as F
 from splicefind.functions.vectors import col
 
 
+# Results must equal those of the tool that this follows, so these patterns are given as they are.
+NOT_KEPT = r"[^0-9a-z\u3400-\u9fff]+"
+REDACTIONS = (
+    (r"(?i)([?&](?:token|session|svl_session|api_key)=)[^&\s\"']*", "$1<REDACTED>"),
+    (r"(?i)\bfile://[^\s\"'<>|]*?([^/\s\"'<>|]*)(?=[\s\"'<>|]|$)", "file://<PATH:$1>"),
+    (r"(?i)\b((?:https?|ftp)://[^\s\"'<>|?]+)\?[^\s\"'<>|]+", "$1?<REDACTED>"),
+    (r"\b[A-Za-z]:[\\/](?:[^\s\"'<>|\\/]*[\\/])*([^\s\"'<>|\\/]*)", "<PATH:$1>"),
+    (r"\\\\[^/\s\"'<>|]*?([^\\/\s\"'<>|]*)(?=[\s\"'<>|]|$)", "<PATH:$1>"),
+    (r"(?<![\w:/.>])/(?:Users|home|var|opt|mnt|media|srv)/(?:[^\s\"'<>|/]*/)*([^\s\"'<>|/]*)", "<PATH:$1>"),
+)
+
+
 def normalize_text(s: Column | str) -> Column:
     """Lower case, letters a-z, digits and CJK ideographs only; null is empty."""
-    return F.regexp_replace(F.lower(F.coalesce(col(s), F.lit(""))), r"[^0-9a-z\u3400-\u9fff]+", "")
+    return F.regexp_replace(F.lower(F.coalesce(col(s), F.lit(""))), NOT_KEPT, "")
 
 
 def is_content(s: Column | str, watermarks: tuple[str, ...] = ()) -> Column:
@@ -43,12 +55,10 @@ def containment(a: Column | str, b: Column | str) -> Column:
 
 def redact_text(s: Column | str) -> Column:
     """Mask secrets in queries, url queries and absolute paths (their last part stays), in this order."""
-    out = F.regexp_replace(col(s), r"(?i)([?&](?:token|session|svl_session|api_key)=)[^&\s\"']*", "$1<REDACTED>")
-    out = F.regexp_replace(out, r"(?i)\bfile://[^\s\"'<>|]*?([^/\s\"'<>|]*)(?=[\s\"'<>|]|$)", "file://<PATH:$1>")
-    out = F.regexp_replace(out, r"(?i)\b((?:https?|ftp)://[^\s\"'<>|?]+)\?[^\s\"'<>|]+", "$1?<REDACTED>")
-    out = F.regexp_replace(out, r"\b[A-Za-z]:[\\/](?:[^\s\"'<>|\\/]*[\\/])*([^\s\"'<>|\\/]*)", "<PATH:$1>")
-    out = F.regexp_replace(out, r"\\\\[^/\s\"'<>|]*?([^\\/\s\"'<>|]*)(?=[\s\"'<>|]|$)", "<PATH:$1>")
-    return F.regexp_replace(out, r"(?<![\w:/.>])/(?:Users|home|var|opt|mnt|media|srv)/(?:[^\s\"'<>|/]*/)*([^\s\"'<>|/]*)", "<PATH:$1>")
+    out = col(s)
+    for pattern, masked in REDACTIONS:
+        out = F.regexp_replace(out, pattern, masked)
+    return out
 
 
 def error_summary(s: Column | str, most: int = 400) -> Column:
