@@ -5,9 +5,9 @@ from __future__ import annotations
 import pytest
 from compare import rows
 
-from splicefind.plans import applied, editing, locating, matching, misc, refining, repairing, segmenting, sequences
+from splicefind.plans import applied, assessing, editing, locating, matching, misc, refining, repairing, segmenting, sequences
 
-PARTS = (matching, editing, repairing, misc, sequences, applied, refining, segmenting, locating)
+PARTS = (matching, editing, repairing, misc, sequences, applied, refining, segmenting, locating, assessing)
 QUERIES = {k: f for p in PARTS for k, f in p.QUERIES.items()}
 SQL = {k: s for p in PARTS for k, s in p.SQL.items()}
 
