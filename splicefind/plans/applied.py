@@ -221,4 +221,14 @@ g AS (SELECT id, {_criteria()} FROM j GROUP BY id) SELECT t.id AS truth_id, {",
 x AS (SELECT w.*, r, c, v FROM w JOIN sm ON sm.o_custkey = w.o_custkey AND c >= lo AND c < hi WHERE hi - lo >= 2), t AS (SELECT o_custkey, a, lo, r, max(v) AS b, arg_min(c, (-v, c)) - min(lo) AS g FROM x GROUP BY o_custkey, a, lo, r),
 p AS (SELECT o_custkey, a, avg(b) AS coarse, avg(CAST(b >= 0.05 AS INTEGER)) AS support, floor(median(g)) AS md FROM t GROUP BY ALL), f AS (SELECT o_custkey, a, avg(m) AS refined FROM (SELECT x.o_custkey, x.a, r, max(v) AS m FROM x JOIN p ON p.o_custkey = x.o_custkey AND p.a = x.a WHERE c BETWEEN lo + greatest(0, md - 1) AND lo + md + 1 GROUP BY ALL) GROUP BY ALL)
 SELECT st.o_custkey, CAST(st.a AS INTEGER) AS start, round(coalesce(coarse, -1), 6) AS coarse, round(coalesce(support, -1), 6) AS support, round(coalesce(refined, -1), 6) AS refined FROM st LEFT JOIN p ON p.o_custkey = st.o_custkey AND p.a = st.a LEFT JOIN f ON f.o_custkey = st.o_custkey AND f.a = st.a""",
+    "box_nms": f"""WITH RECURSIVE {_SHOT}, r AS (SELECT *, s % 50 AS x, row_number() OVER (PARTITION BY o_custkey ORDER BY score DESC, i) AS z FROM shot),
+w AS (SELECT o_custkey, o_orderkey, z, [x] AS kept, true AS ok FROM r WHERE z = 1 UNION ALL
+  SELECT r.o_custkey, r.o_orderkey, r.z, CASE WHEN c.ok THEN list_append(kept, r.x) ELSE kept END, c.ok FROM w JOIN r ON r.o_custkey = w.o_custkey AND r.z = w.z + 1,
+  LATERAL (SELECT len(list_filter(kept, lambda k: greatest(0, least(k + 20, r.x + 20) - greatest(k, r.x) + 1) * 21 / (882 - greatest(0, least(k + 20, r.x + 20) - greatest(k, r.x) + 1) * 21) > 0.4)) = 0 AS ok) c)
+SELECT o_custkey, o_orderkey FROM w WHERE ok""",
+    "matched_truths": f"""WITH RECURSIVE {_SHOT}, f AS (SELECT o_custkey, list({{'j': i, 's': s, 'k': o_orderkey}} ORDER BY i) AS found FROM shot WHERE i % 2 = 0 GROUP BY 1),
+w AS (SELECT o_custkey, found, CAST(-1 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS truth, CAST(NULL AS BIGINT) AS got FROM f
+  UNION ALL SELECT w.o_custkey, found, t.i, CASE WHEN c.p IS NULL THEN used ELSE list_append(used, c.p.j) END, t.o_orderkey, c.p.k FROM w JOIN shot t ON t.o_custkey = w.o_custkey AND t.i = w.i + 2,
+  LATERAL (SELECT list_sort(list_transform(list_filter(found, lambda x: NOT list_contains(used, x.j) AND abs(x.s - t.s) <= 120), lambda x: {{'d': abs(x.s - t.s), 'j': x.j, 'k': x.k}}))[1] AS p) c)
+SELECT o_custkey, truth, got AS found FROM w WHERE got IS NOT NULL""",
 }

@@ -82,7 +82,7 @@ def subspan_gate(spark, d):
 
 def claim_gate(spark, d):
     s = _shots(spark, d).withColumn("q_start", F.col("i").cast("double")).withColumn("q_end", F.col("i") + F.lit(1.0)).withColumn("level", F.lit("HIGH"))
-    return folds.fold(s, ["o_custkey"], ["i"], lambda r: folds.claim_gate(r, 0.2), "dup_share double, duplicate boolean")
+    return folds.fold(s, ["o_custkey"], ["i"], lambda r: folds.claim_gate(r, 0.2), "dup_share double, duplicate boolean").withColumn("dup_share", F.round("dup_share", 6))
 
 
 def shift_repeats(spark, d):
@@ -153,4 +153,26 @@ SELECT o_orderkey, round(a, 4) AS start, round(b, 4) AS "end", sh AS shifted FRO
     "timeline_prior": f"""WITH RECURSIVE {_SHOT}, w AS (SELECT o_custkey, o_orderkey, i, (s + e) / 2 AS m, 0 AS pick FROM shot WHERE i = 1 UNION ALL
   SELECT t.o_custkey, t.o_orderkey, t.i, CASE WHEN c.pick = 1 THEN t.s * 0.5 + 2 ELSE (t.s + t.e) / 2 END, c.pick FROM w JOIN shot t ON t.o_custkey = w.o_custkey AND t.i = w.i + 1, LATERAL (SELECT CASE WHEN abs((t.s + t.e) / 2 - w.m) > 45 AND abs((t.s * 0.5 + (t.s * 0.5 + 4)) / 2 - w.m) <= 45 THEN 1 ELSE 0 END AS pick) c)
 SELECT o_custkey, o_orderkey, CAST(pick AS INTEGER) AS pick FROM w""",
+    "short_merge": f"""WITH RECURSIVE {fx.SERIES}, c AS (SELECT user_id, list({{'e': seq, 'p': x}} ORDER BY seq) FILTER (seq > 0 AND x >= 15) AS c, count(*) AS n FROM ser GROUP BY 1),
+w AS (SELECT user_id, list_concat([{{'e': CAST(0 AS BIGINT), 'p': CAST('inf' AS DOUBLE)}}], coalesce(c, []), [{{'e': n, 'p': CAST('inf' AS DOUBLE)}}]) AS k FROM c
+  UNION ALL SELECT user_id, list_filter(k, lambda y, i: i <> h.g) FROM w, LATERAL (SELECT list_filter(range(1, len(k)), lambda i: k[i + 1].e - k[i].e < 4)[1] AS j) f,
+  LATERAL (SELECT CASE WHEN k[f.j].p <= k[f.j + 1].p AND f.j > 1 OR f.j + 1 = len(k) THEN f.j ELSE f.j + 1 END AS g) h WHERE len(k) > 2 AND f.j IS NOT NULL),
+d AS (SELECT user_id, unnest(arg_min(k, len(k))).e AS seq FROM w GROUP BY 1)
+SELECT user_id, CAST(seq AS INTEGER) AS seq, x FROM d JOIN ser USING (user_id, seq) WHERE seq > 0""",
+    "claim_gate": f"""WITH RECURSIVE {_SHOT}, r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY score DESC, i) AS z FROM shot),
+w AS (SELECT o_custkey, CAST(0 AS BIGINT) AS z, CAST([] AS STRUCT(a DOUBLE, b DOUBLE)[]) AS cl, CAST(NULL AS BIGINT) AS o_orderkey, CAST(0 AS DOUBLE) AS dup, false AS gone FROM (SELECT DISTINCT o_custkey FROM shot)
+  UNION ALL SELECT r.o_custkey, r.z, CASE WHEN h.v > 0.2 THEN cl ELSE list_append(cl, {{'a': r.s, 'b': r.e}}) END, r.o_orderkey, h.v, h.v > 0.2 FROM w JOIN r ON r.o_custkey = w.o_custkey AND r.z = w.z + 1,
+  LATERAL (SELECT list_sort(list_filter(list_transform(cl, lambda k: {{'a': greatest(k.a, r.s), 'b': least(k.b, r.e), 't': CAST(0 AS DOUBLE)}}), lambda k: k.b > k.a)) AS l) g,
+  LATERAL (SELECT CASE WHEN r.e > r.s THEN least(1.0, list_reduce(list_concat([{{'a': CAST(-1e18 AS DOUBLE), 'b': CAST(-1e18 AS DOUBLE), 't': CAST(0 AS DOUBLE)}}], g.l), lambda x, y: {{'a': x.a, 'b': greatest(x.b, y.b), 't': x.t + greatest(0.0, y.b - greatest(y.a, x.b))}}).t / (r.e - r.s)) ELSE 0 END AS v) h)
+SELECT r.o_custkey, r.o_orderkey, CAST(i AS INTEGER) AS i, s AS start, e AS "end", CASE WHEN gone THEN 0 ELSE score END AS score, CAST(i AS DOUBLE) AS q_start, i + 1.0 AS q_end, CASE WHEN gone THEN 'LOW' ELSE 'HIGH' END AS level, round(dup, 6) AS dup_share, gone AS duplicate FROM w JOIN r ON r.o_custkey = w.o_custkey AND r.z = w.z""",
+    "subspan_gate": f"""WITH RECURSIVE {_E}, v AS (SELECT * FROM ses WHERE e > s), g AS (SELECT * FROM v WHERE n / 10 >= 0.45 OR n / 20 >= 0.45), b AS (SELECT * FROM g UNION ALL SELECT * FROM (SELECT * FROM v WHERE grp NOT IN (SELECT grp FROM g) QUALIFY row_number() OVER (PARTITION BY grp ORDER BY n DESC, sid) = 1)),
+r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY n DESC, sid) AS z FROM b),
+w AS (SELECT grp, sid, z, [{{'a': s, 'b': e}}] AS kept, true AS ok FROM r WHERE z = 1 UNION ALL
+  SELECT r.grp, r.sid, r.z, CASE WHEN c.ok THEN list_append(kept, {{'a': r.s, 'b': r.e}}) ELSE kept END, c.ok FROM w JOIN r ON r.grp = w.grp AND r.z = w.z + 1,
+  LATERAL (SELECT len(kept) < 10 AND len(list_filter(kept, lambda k: greatest(0, least(k.b, r.e) - greatest(k.a, r.s)) / (greatest(k.b, r.e) - least(k.a, r.s)) > 0.6)) = 0 AS ok) c)
+SELECT v.grp, v.sid, s AS start, e AS "end", n, s AS q_start, n / 10 AS cover, n / 20 AS sim FROM w JOIN v ON v.sid = w.sid AND v.grp = w.grp WHERE ok""",
+    "progress_frames": """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS ts, event_type AS stage, value AS percent, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+w AS (SELECT user_id, i, ts AS last, stage, true AS pub FROM e WHERE i = 1
+  UNION ALL SELECT e.user_id, e.i, CASE WHEN h.p THEN e.ts ELSE last END, CASE WHEN h.p THEN e.stage ELSE w.stage END, h.p FROM w JOIN e ON e.user_id = w.user_id AND e.i = w.i + 1, LATERAL (SELECT e.percent >= 100 OR e.stage IS DISTINCT FROM w.stage OR e.ts - last >= 7200 AS p) h)
+SELECT user_id, event_id, ts, stage, percent FROM (SELECT e.*, pub, lead(pub) OVER (PARTITION BY e.user_id ORDER BY e.i) AS nx FROM e JOIN w ON w.user_id = e.user_id AND w.i = e.i) WHERE pub OR coalesce(nx, true)""",
 }
