@@ -151,4 +151,8 @@ SELECT o_orderkey, CASE WHEN a < b THEN a END AS copy_start, CASE WHEN a < b THE
     "union_covers": f"WITH {_SHOT} SELECT a.o_orderkey, round(sum((least(a.e, b.e) - greatest(a.s, b.s)) / (a.e - a.s)), 6) AS share FROM shot a JOIN shot b ON a.o_custkey = b.o_custkey AND b.i > a.i AND least(a.e, b.e) > greatest(a.s, b.s) GROUP BY a.o_orderkey",
     "truth_prf": f"""WITH {_SHOT}, g AS (SELECT o_custkey, count(*) FILTER (score > 0.5) AS tp, count(*) FILTER (score < 0.2) AS fp, count(*) FILTER (score BETWEEN 0.2 AND 0.5) AS fn FROM shot GROUP BY 1), k AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS r FROM g)
 SELECT o_custkey, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM k""",
+    "fcp_xml": f"""WITH {_SHOT}, p AS (SELECT o_custkey, o_orderkey AS k, -1 AS sub, 1 AS track, i, s AS a, e AS b FROM shot WHERE score >= 0.3 UNION ALL SELECT o_custkey, o_orderkey, 0, 3, i, s + 50, s + 51.5 FROM shot WHERE score >= 0.3),
+c AS (SELECT o_custkey, track, i, k, '<clipitem id="c' || k || '-' || sub || '"><start>' || i * 25 || '</start><end>' || (i + 1) * 25 || '</end><in>' || CAST(round_even(a * 25, 0) AS BIGINT) || '</in><out>' || CAST(round_even(b * 25, 0) AS BIGINT) || '</out></clipitem>' AS x FROM p),
+t AS (SELECT o_custkey, track, '<track>' || string_agg(x, '' ORDER BY i, k) || '</track>' AS x FROM c GROUP BY ALL)
+SELECT o_custkey, '<?xml version="1.0" encoding="UTF-8"?><!DOCTYPE xmeml><xmeml version="4"><sequence><name>cut</name><rate><timebase>25</timebase><ntsc>FALSE</ntsc></rate><media><video>' || string_agg(x, '' ORDER BY track) || '</video></media></sequence></xmeml>' AS text FROM t GROUP BY 1""",
 }

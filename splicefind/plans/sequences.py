@@ -27,7 +27,7 @@ def short_merge(spark, d):
 
 def continuity_clusters(spark, d):
     h = fx.hits(spark, d, 10).drop("rank")
-    return folds.fold(h, ["shot_no"], ["l_t", "q_t"], lambda r: folds.continuity_clusters(r, floor=fx.LEAST), "cluster int")
+    return folds.fold(h, ["shot_no"], ["l_t", "q_t"], lambda r: folds.continuity_clusters(r, floor=fx.LEAST), "cluster int").withColumn("sim", F.round("sim", 6))
 
 
 def similarity_runs(spark, d):
@@ -175,4 +175,20 @@ SELECT v.grp, v.sid, s AS start, e AS "end", n, s AS q_start, n / 10 AS cover, n
 w AS (SELECT user_id, i, ts AS last, stage, true AS pub FROM e WHERE i = 1
   UNION ALL SELECT e.user_id, e.i, CASE WHEN h.p THEN e.ts ELSE last END, CASE WHEN h.p THEN e.stage ELSE w.stage END, h.p FROM w JOIN e ON e.user_id = w.user_id AND e.i = w.i + 1, LATERAL (SELECT e.percent >= 100 OR e.stage IS DISTINCT FROM w.stage OR e.ts - last >= 7200 AS p) h)
 SELECT user_id, event_id, ts, stage, percent FROM (SELECT e.*, pub, lead(pub) OVER (PARTITION BY e.user_id ORDER BY e.i) AS nx FROM e JOIN w ON w.user_id = e.user_id AND w.i = e.i) WHERE pub OR coalesce(nx, true)""",
+    "continuity_clusters": f"""WITH RECURSIVE {fx.hits_sql(10)}, r AS (SELECT *, row_number() OVER (PARTITION BY shot_no ORDER BY l_t, q_t) AS z FROM hits),
+w AS (SELECT shot_no, q_t, l_t, sim, z, [{{'q': q_t, 'l': l_t, 's': sim}}] AS cur, 0 AS cluster FROM r WHERE z = 1
+  UNION ALL SELECT r.shot_no, r.q_t, r.l_t, r.sim, r.z, CASE WHEN j.ok THEN c.all_of ELSE [c.me] END, CASE WHEN j.ok THEN cluster ELSE cluster + 1 END FROM w JOIN r ON r.shot_no = w.shot_no AND r.z = w.z + 1,
+  LATERAL (SELECT {{'q': r.q_t, 'l': r.l_t, 's': r.sim}} AS me, list_append(cur, {{'q': r.q_t, 'l': r.l_t, 's': r.sim}}) AS all_of) c,
+  LATERAL (SELECT list_sort(list_filter(c.all_of, lambda x, i: len(list_filter(c.all_of, lambda y, k: y.q = x.q AND (y.s > x.s OR (y.s = x.s AND k < i)))) = 0)) AS b) b,
+  LATERAL (SELECT list_avg(list_transform(b.b, lambda x: x.s)) >= {fx.LEAST} AND len(list_filter(range(2, len(b.b) + 1), lambda k: b.b[k].l < b.b[k - 1].l - 1e-6
+    OR (b.b[k].q - b.b[k - 1].q > 0.01 AND (b.b[k].l - b.b[k - 1].l) / (b.b[k].q - b.b[k - 1].q) NOT BETWEEN 0 AND 90))) = 0 AS on_) o,
+  LATERAL (SELECT (r.l_t - w.l_t <= 10 OR (r.l_t - w.l_t <= 15 AND o.on_)) AND r.l_t - cur[1].l <= 60 AS ok) j)
+SELECT shot_no, q_t, l_t, round(sim, 6) AS sim, CAST(cluster AS INTEGER) AS cluster FROM w""",
+    "sequence_rerank": f"""WITH RECURSIVE {_SHOT}, c AS (SELECT o_custkey, o_orderkey, i, count(*) OVER (PARTITION BY o_custkey) AS n, [s, e * 0.7, e + 90] AS m, list_transform([score, CAST(0.6 AS DOUBLE), CAST(0.4 AS DOUBLE)], lambda x: x / greatest(score, 0.6)) AS r FROM shot),
+f AS (SELECT o_custkey, i, m, r, list_append(r, CAST(-0.3 AS DOUBLE)) AS v, CAST(NULL AS INTEGER[]) AS tr FROM c WHERE i = 1
+  UNION ALL SELECT c.o_custkey, c.i, c.m, c.r, list_append(list_transform(g.g, lambda x: list_max(x)), list_max(f.v) - 0.3), list_append(list_transform(g.g, lambda x: list_position(x, list_max(x))), list_position(f.v, list_max(f.v)))
+  FROM f JOIN c ON c.o_custkey = f.o_custkey AND c.i = f.i + 1, LATERAL (SELECT list_transform([1, 2, 3], lambda j: list_append(list_transform([1, 2, 3], lambda k: f.v[k] + c.r[j] - 0.001 * greatest(0, f.m[k] - c.m[j])), f.v[4] - 0.3 + c.r[j] - 0.001 * greatest(0, c.i - c.m[j]))) AS g) g),
+b AS (SELECT f.o_custkey, f.i, tr, list_position(v, list_max(v)) AS k FROM f JOIN (SELECT o_custkey, max(i) AS i FROM c GROUP BY 1) l ON l.o_custkey = f.o_custkey AND l.i = f.i
+  UNION ALL SELECT f.o_custkey, f.i, f.tr, b.tr[b.k] FROM b JOIN f ON f.o_custkey = b.o_custkey AND f.i = b.i - 1)
+SELECT c.o_custkey, c.o_orderkey, CAST(CASE WHEN n >= 2 AND k <= 3 THEN k - 1 END AS INTEGER) AS choice, CASE WHEN n >= 2 AND k <= 3 THEN c.r[k] END AS norm, n >= 2 AND k <= 3 AND abs(c.m[k] - c.m[1]) > 0.5 AS changed FROM c JOIN b ON b.o_custkey = c.o_custkey AND b.i = c.i""",
 }
