@@ -191,4 +191,19 @@ f AS (SELECT o_custkey, i, m, r, list_append(r, CAST(-0.3 AS DOUBLE)) AS v, CAST
 b AS (SELECT f.o_custkey, f.i, tr, list_position(v, list_max(v)) AS k FROM f JOIN (SELECT o_custkey, max(i) AS i FROM c GROUP BY 1) l ON l.o_custkey = f.o_custkey AND l.i = f.i
   UNION ALL SELECT f.o_custkey, f.i, f.tr, b.tr[b.k] FROM b JOIN f ON f.o_custkey = b.o_custkey AND f.i = b.i - 1)
 SELECT c.o_custkey, c.o_orderkey, CAST(CASE WHEN n >= 2 AND k <= 3 THEN k - 1 END AS INTEGER) AS choice, CASE WHEN n >= 2 AND k <= 3 THEN c.r[k] END AS norm, n >= 2 AND k <= 3 AND abs(c.m[k] - c.m[1]) > 0.5 AS changed FROM c JOIN b ON b.o_custkey = c.o_custkey AND b.i = c.i""",
+    "trim_overlaps": f"""WITH RECURSIVE {_SHOT}, n AS (SELECT o_custkey, list({{'k': o_orderkey, 'a': s, 'b': e, 'p': CAST(i AS DOUBLE), 'q': i + CAST(1 AS DOUBLE), 'x': false}} ORDER BY i) AS todo FROM shot GROUP BY 1),
+w AS (SELECT o_custkey, todo, todo[1:0] AS done FROM n
+  UNION ALL SELECT o_custkey, CASE WHEN z.tail AND c.lo THEN list_concat([z.t, c.c], c.rest) WHEN z.tail THEN list_concat([z.t], c.rest) ELSE c.rest END,
+    CASE WHEN c.l IS NULL THEN [c.c] WHEN z.tail AND c.lo THEN list_append(c.before, z.o) WHEN c.lo THEN list_concat(c.before, [z.o, z.i]) ELSE list_concat(c.before, [z.i, z.o]) END
+  FROM w, LATERAL (SELECT todo[1] AS c, todo[2:] AS rest, done[len(done)] AS l, done[1:len(done) - 1] AS before, coalesce(done[len(done)].a <= todo[1].a, true) AS lo) c,
+  LATERAL (SELECT CASE WHEN c.lo THEN c.l ELSE c.c END AS o, CASE WHEN c.lo THEN c.c ELSE c.l END AS i, c.l IS NOT NULL AND c.c.p - c.l.q <= 0.05 AND least(c.l.b, c.c.b) > greatest(c.l.a, c.c.a) AS met) m,
+  LATERAL (SELECT m.o.a AS a, m.o.b AS b, m.i.a AS c, m.i.b AS d, least(greatest((m.i.a + m.o.b) / 2, m.o.a + 0.04), m.i.b - 0.04) AS mid) v,
+  LATERAL (SELECT CASE WHEN NOT m.met THEN 'none' WHEN v.b < v.d THEN CASE WHEN v.mid - v.a >= 0.04 AND v.d - v.mid >= 0.04 THEN 'shared' ELSE 'none' END
+    WHEN v.c - v.a >= 0.04 AND v.b - v.d >= 0.04 THEN 'both' WHEN v.c - v.a >= 0.04 THEN 'head' WHEN v.b - v.d >= 0.04 THEN 'tail' WHEN v.b - v.a >= 0.08 THEN 'half' ELSE 'none' END AS how, m.o.p + (m.o.q - m.o.p) * (v.c - v.a) / greatest(v.b - v.a, 1e-9) AS at) h,
+  LATERAL (SELECT h.how = 'both' AS tail, {{'k': m.o.k, 'a': v.d, 'b': v.b, 'p': h.at, 'q': m.o.q, 'x': true}} AS t,
+    {{'k': m.o.k, 'a': CASE WHEN h.how = 'tail' THEN v.d ELSE v.a END, 'b': CASE WHEN h.how IN ('both', 'head') THEN v.c WHEN h.how = 'half' THEN (v.a + v.b) / 2 WHEN h.how = 'shared' THEN v.mid ELSE v.b END, 'p': m.o.p, 'q': CASE WHEN h.how = 'both' THEN h.at ELSE m.o.q END, 'x': m.o.x}} AS o,
+    {{'k': m.i.k, 'a': CASE h.how WHEN 'tail' THEN v.a WHEN 'half' THEN (v.a + v.b) / 2 WHEN 'shared' THEN v.mid ELSE v.c END, 'b': CASE WHEN h.how IN ('head', 'half') THEN v.b ELSE v.d END, 'p': m.i.p, 'q': m.i.q, 'x': m.i.x}} AS i) z
+  WHERE len(todo) > 0),
+d AS (SELECT o_custkey, unnest(done) AS c FROM w WHERE len(todo) = 0)
+SELECT d.o_custkey, o_orderkey, CAST(i AS INTEGER) AS i, score, CAST(format('{{:.3f}}', c.a) AS DOUBLE) AS start, CAST(format('{{:.3f}}', c.b) AS DOUBLE) AS "end", CAST(format('{{:.3f}}', c.p) AS DOUBLE) AS q_start, CAST(format('{{:.3f}}', c.q) AS DOUBLE) AS q_end, c.x AS inserted FROM d JOIN shot ON shot.o_orderkey = c.k""",
 }
