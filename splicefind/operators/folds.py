@@ -525,8 +525,11 @@ def repair_conflicts(rows: list[dict], most_width: float = 8.0, least: float = 0
 
 
 def box_nms(boxes: list[tuple[float, float, float, float, float]], most: float = 0.4) -> list[int]:
-    """Boxes (x1, y1, x2, y2, score) kept, strongest first, by IoU with +1 pixel areas."""
-    area = lambda b: (b[2] - b[0] + 1) * (b[3] - b[1] + 1)
+    """Boxes (x1, y1, x2, y2, score) kept, strongest first, by IoU with +1 pixel areas.
+
+    Areas count to nine digits, so a box has the same area wherever it lies.
+    """
+    area = lambda b: round((b[2] - b[0] + 1) * (b[3] - b[1] + 1), 9)
     kept: list[int] = []
     for i in sorted(range(len(boxes)), key=lambda i: -boxes[i][4]):
         for j in kept:
