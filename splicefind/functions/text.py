@@ -116,13 +116,17 @@ def duration(seconds: Column | str) -> Column:
     return F.concat_ws(" ", F.when(h > 0, F.format_string("%dh", h)), F.when(m > 0, F.format_string("%dm", m)), F.format_string("%ds", s))
 
 
-def byte_size(n: Column | str) -> Column:
+BYTE_UNITS = ("B", "KB", "MB", "GB", "TB")
+
+
+def byte_size(n: Column | str, largest: str = "TB") -> Column:
+    """Byte count in words; sizes beyond the unit ``largest`` stay in it."""
     n = col(n).cast("double")
     out = F.lit(None).cast("string")
-    for i, unit in reversed(list(enumerate(("B", "KB", "MB", "GB", "TB")))):
+    for i, unit in reversed(list(enumerate(BYTE_UNITS[: BYTE_UNITS.index(largest) + 1]))):
         v = n / float(1024**i)
         text = F.concat(F.when(v >= 10, F.round(v, 0).cast("long").cast("string")).otherwise(F.round(v, 1).cast("decimal(18,1)").cast("string")), F.lit(f" {unit}"))
-        out = F.when(n >= float(1024**i), F.coalesce(out, text)) if unit == "TB" else F.coalesce(out, F.when(n >= float(1024**i), text))
+        out = F.coalesce(out, F.when(n >= float(1024**i), text))
     return F.when(n.isNull() | (n <= 0), F.lit("—")).otherwise(out)
 
 
