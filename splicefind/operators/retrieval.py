@@ -234,19 +234,43 @@ def nearest_apart(rows: DataFrame, keys: list[str], place: str, apart: int, feat
 
 
 ITEM_GRAMS = 4_000_000
+POSTINGS = 1_000_000
+
+
+def _bounded(weight: np.ndarray, most: int):
+    """Slices of consecutive rows that weigh at most ``most`` together, or hold one row."""
+    total, lo = np.cumsum(weight), 0
+    while lo < len(total):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + most, side="right")))
+        yield slice(lo, hi)
+        lo = hi
 
 
 def best_containment(docs: DataFrame, items: DataFrame, doc: str, item: str, grams: str = "grams") -> DataFrame:
     """Per document the item with the largest symmetric gram containment (the first by name on ties): (doc, item, sim).
 
     The items are the stated query set: their gram sets go out in slices of at most about ``ITEM_GRAMS``
-    postings, and each document is counted against a slice by its posting lists.  Documents
-    that share no gram with any item have no row.
+    postings, and each document is counted against a slice by its posting lists, at most about ``POSTINGS`` places
+    (or one document's) at once.  Documents that share no gram with any item have no row.
     """
     hashed = lambda df, name: df.select(F.col(name), F.transform(grams, lambda g: F.xxhash64(g)).alias("g"))
     wanted, rows = hashed(items, item), hashed(docs, doc)
     parts = max(1, -(-(wanted.agg(F.sum(F.size("g")).alias("n")).first()["n"] or 0) // ITEM_GRAMS))
     schema = f"`{doc}` {docs.schema[doc].dataType.simpleString()}, `{item}` {items.schema[item].dataType.simpleString()}, sim double"
+
+    def count(batch, own, row, i, many, part, sent):
+        """Best items of the documents ``part``; ``row``, ``i`` and ``many`` are all hit grams' documents, places in the vocabulary and postings."""
+        names, size, _, first, owner = sent.value
+        names, n = names.column(0).combine_chunks(), len(size)
+        inside = slice(np.searchsorted(row, part.start), np.searchsorted(row, part.stop))
+        row, i, many = row[inside] - part.start, i[inside], many[inside]
+        at = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first[i], many)
+        both = np.bincount(np.repeat(row, many) * n + owner[at], minlength=len(own) * n).reshape(len(own), n)
+        sims = np.round((both / np.maximum(own, 1)[:, None] + both / np.maximum(size, 1)) / 2, DIGITS)
+        best = sims.argmax(axis=1)
+        some = np.flatnonzero(both.max(axis=1) > 0)
+        return pa.record_batch([batch[doc].take(pa.array(some)), names.take(pa.array(best[some])), pa.array(sims[some, best[some]])], [doc, item, "sim"])
+
     found = None
     for part in range(parts):
         few = wanted.where(F.pmod(F.xxhash64(item), F.lit(parts)) == part).sort(item).toArrow().combine_chunks()
@@ -258,24 +282,20 @@ def best_containment(docs: DataFrame, items: DataFrame, doc: str, item: str, gra
         sent = docs.sparkSession.sparkContext.broadcast((few.select([item]), size, vocabulary, np.append(first, len(flat)), owner))
 
         def task(batches, sent=sent):
-            names, size, vocabulary, first, owner = sent.value
-            names, n = names.column(0).combine_chunks(), len(size)
-            step = max(1, CELLS // max(n, 1))
+            _, size, vocabulary, first, _ = sent.value
+            n = len(size)
             for whole in batches:
-                for lo in range(0, whole.num_rows if len(vocabulary) else 0, step):
-                    batch = whole.slice(lo, step)
+                # documents are cut where their grams, and then the item places these lead to, reach the bound
+                for cut in _bounded(np.diff(whole["g"].offsets.to_numpy()), POSTINGS) if len(vocabulary) else ():
+                    batch = whole.slice(cut.start, cut.stop - cut.start)
                     own = np.diff(batch["g"].offsets.to_numpy())
                     flat = batch["g"].flatten().to_numpy()
                     i = np.minimum(np.searchsorted(vocabulary, flat), len(vocabulary) - 1)
                     hit = vocabulary[i] == flat
                     row, i = np.repeat(np.arange(len(own)), own)[hit], i[hit]
                     many = first[i + 1] - first[i]
-                    at = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first[i], many)
-                    both = np.bincount(np.repeat(row, many) * n + owner[at], minlength=len(own) * n).reshape(len(own), n)
-                    sims = np.round((both / np.maximum(own, 1)[:, None] + both / np.maximum(size, 1)) / 2, DIGITS)
-                    best = sims.argmax(axis=1)
-                    some = np.flatnonzero(both.max(axis=1) > 0)
-                    yield pa.record_batch([batch[doc].take(pa.array(some)), names.take(pa.array(best[some])), pa.array(sims[some, best[some]])], [doc, item, "sim"])
+                    for part in _bounded(np.maximum(np.bincount(row, many, len(own)), n), POSTINGS):
+                        yield count(batch.slice(part.start, part.stop - part.start), own[part], row, i, many, part, sent)
 
         got = rows.mapInArrow(task, schema)
         found = got if found is None else found.unionByName(got)
