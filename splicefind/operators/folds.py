@@ -490,12 +490,15 @@ def trim_overlaps(rows: list[dict], fps: float = 25.0, record_gap: float = 0.05)
 def repair_conflicts(rows: list[dict], most_width: float = 8.0, least: float = 0.5, good: float = 0.60, drop: float = 0.25) -> list[dict]:
     """Move narrow clashing rows, lowest score first, to the best free place in the gap around them.
 
-    The first row's ``series`` has (t, sim) of the library for these rows.  Positions change between steps.
+    The first row's ``series`` has (t, sim) of the library for these rows, as structs or as one struct of two arrays; other rows need
+    none.  Positions change between steps.
     """
     out = [{**r, "moved": False} for r in rows]
-    t = np.array([x["t"] for x in rows[0]["series"] or []], float)
+    series = rows[0]["series"] or []
+    t, sim = (series[c] if isinstance(series, dict) else [x[c] for x in series] for c in ("t", "sim"))
+    t, sim = np.array(t, float), np.array(sim, float)
     order = np.argsort(t, kind="stable")
-    t, sums = t[order], np.concatenate([[0.0], np.cumsum(np.array([x["sim"] for x in rows[0]["series"] or []], float)[order])])
+    t, sums = t[order], np.concatenate([[0.0], np.cumsum(sim[order])])
 
     def means(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Mean similarity in each [a, b]; nan without a row."""

@@ -116,7 +116,9 @@ def conflict_repair(spark, d):
     """Clashing spans of a customer moved within the similarities that its order lines give."""
     lines = fx.table(spark, d, "lineitem").join(fx.table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
     series = lines.groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct(F.round(F.pmod("l_extendedprice", F.lit(1000.0)), 2).alias("t"), (F.col("l_discount") * 10).cast("double").alias("sim")))).alias("series"))
-    rows = _shots(spark, d).join(series, "o_custkey", "left")
+    # two plain arrays, on a customer's first row only
+    series = series.select("o_custkey", F.struct(F.col("series.t").alias("t"), F.col("series.sim").alias("sim")).alias("series"))
+    rows = _shots(spark, d).join(series, "o_custkey", "left").withColumn("series", F.when(F.col("i") == 1, F.col("series")))
     return folds.fold(rows, ["o_custkey"], ["i"], lambda r: folds.repair_conflicts(r, least=0.2, good=0.3), "moved boolean", ["o_custkey", "o_orderkey", "i", "start", "end", "score"])
 
 
