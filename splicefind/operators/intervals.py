@@ -55,17 +55,28 @@ def gaps(df: DataFrame, keys: list[str], least: float = 0.0) -> DataFrame:
     return rows.where(F.col("end") - F.col("start") >= least)
 
 
-def overlap_audit(df: DataFrame, keys: list[str], order: str, width: float) -> DataFrame:
-    """Per key: overlapping pairs of neighbours in ``order`` and of others, seconds claimed and covered, empty spans."""
-    seq = df.withColumn("_i", F.row_number().over(W.partitionBy(*keys).orderBy(order, "start", "end")))
-    b = seq.select(*keys, F.col("_i").alias("_j"), F.col("start").alias("_s"), F.col("end").alias("_e"))
-    met = overlap_join(seq, b, keys, "start", "end", "_s", "_e", width).where("_i < _j")
-    near = F.col("_j") == F.col("_i") + 1
-    pairs = met.groupBy(*keys).agg(F.sum(near.cast("long")).alias("adjacent"), F.sum((~near).cast("long")).alias("reused"))
-    size = F.col("end") - F.col("start")
-    total = df.groupBy(*keys).agg(F.sum(F.greatest(size, F.lit(0.0))).alias("claimed_s"), F.sum((size <= 0).cast("long")).alias("zero_width"), F.sum((size < 0.15).cast("long")).alias("fragments"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return total.join(pairs, keys, "left").join(union_length(df, keys), keys, "left").select(*keys, zero("adjacent"), zero("reused"), "claimed_s", F.coalesce("union_s", F.lit(0.0)).alias("union_s"), "zero_width", "fragments")
+def overlap_audit(df: DataFrame, keys: list[str], order: str, width: float | None = None) -> DataFrame:
+    """Per key: overlapping pairs of neighbours in ``order`` and of others, seconds claimed and covered, empty spans.
+
+    No pair is made: of m spans that are not empty, those pairs do not overlap in which one ends before or where the other starts, and
+    a running count of ends gives their number.  All windows share one shuffle on ``keys``; ``width`` is not needed any more.
+    """
+    part = W.partitionBy(*keys)
+    size, wide = F.col("end") - F.col("start"), F.coalesce(F.col("end") > F.col("start"), F.lit(False))
+    s, e = (F.lead(c).over(part.orderBy(order, "start", "end")) for c in ("start", "end"))
+    near = wide & F.coalesce(e > s, F.lit(False)) & (F.least("end", e) - F.greatest("start", s) > 0)
+    reach = F.max(F.when(wide, F.col("end"))).over(part.orderBy("start", "end").rowsBetween(W.unboundedPreceding, -1))
+    rows = df.withColumns({"_near": near, "_wide": wide}).withColumn("_new", F.when(wide, F.greatest(F.lit(0.0), F.col("end") - F.greatest("start", reach))))
+    # each span as its end and its start; ends come first where both meet
+    ends = F.filter(F.array(F.struct(F.col("end").alias("at"), F.lit(0).alias("kind")), F.struct(F.col("start").alias("at"), F.lit(1).alias("kind"))), lambda x: F.col("_wide") | (x["kind"] == 1))
+    rows = rows.select(*keys, "start", "end", "_near", "_wide", "_new", F.explode(ends).alias("_x"))
+    rows = rows.withColumn("_apart", F.sum((F.col("_x.kind") == 0).cast("long")).over(part.orderBy("_x.at", "_x.kind").rowsBetween(W.unboundedPreceding, 0)))
+    total = rows.where("_x.kind = 1").groupBy(*keys).agg(
+        F.sum(F.greatest(size, F.lit(0.0))).alias("claimed_s"), F.sum((size <= 0).cast("long")).alias("zero_width"), F.sum((size < 0.15).cast("long")).alias("fragments"), F.coalesce(F.sum("_new"), F.lit(0.0)).alias("union_s"),
+        F.sum(F.col("_near").cast("long")).alias("adjacent"), F.sum(F.col("_wide").cast("long")).alias("_m"), F.coalesce(F.sum(F.when(F.col("_wide"), F.col("_apart"))), F.lit(0)).alias("_apart"),
+    )
+    met = F.expr("_m * (_m - 1) div 2") - F.col("_apart")
+    return total.select(*keys, "adjacent", (met - F.col("adjacent")).alias("reused"), "claimed_s", "union_s", "zero_width", "fragments")
 
 
 def boundaries(df: DataFrame, keys: list[str]) -> DataFrame:
