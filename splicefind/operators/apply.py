@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from splicefind.operators.asof import asof_forward, nearest, overlap_join, range_join
+from splicefind.operators.folds import changes, whole_keys
 from splicefind.operators.intervals import neighbours, temporal_outliers
-from splicefind.operators.retrieval import topk_per_key
+from splicefind.operators.retrieval import CELLS, bounded, topk_per_key
 
 
 def temporal_ambiguity(rows: DataFrame, keys: list[str], order: str, row: str, near: float = 180.0, far: float = 600.0) -> DataFrame:
@@ -129,16 +133,80 @@ def score_starts(sims: DataFrame, starts: DataFrame, keys: list[str], span: int,
     Each query row's maximum over places [start, start + span]: their mean (coarse), the share of at least ``least``
     (support), and the mean of the maxima within +-1 place of the median best place (refined).  Windows with under
     max(2, span // 3) places give -1 each.
+
+    Cells and starts meet in one shuffle on ``keys``; a task scores all tables of a batch at once.  One key's table of ``columns`` places is
+    the unit of memory.
     """
-    s = starts.select(*keys, "start").distinct().withColumns({"_lo": F.greatest(F.col("start"), F.lit(0)), "_hi": F.least(F.lit(columns), F.col("start") + span + 1)})
-    short = F.col("_hi") - F.col("_lo") < max(2, span // 3)
-    cells = range_join(sims.select(*keys, row, place, sim), s.where(~short).withColumn("_end", F.col("_hi") - 1), keys, place, "_lo", "_end", float(max(span, 1)))
-    top = cells.groupBy(*keys, "start", row).agg(F.max(sim).alias("_best"), (F.min_by(place, F.struct(-F.col(sim), F.col(place))) - F.min("_lo")).alias("_arg"))
-    per = top.groupBy(*keys, "start").agg(F.avg("_best").alias("coarse"), F.avg((F.col("_best") >= least).cast("double")).alias("support"), F.floor(F.percentile("_arg", F.lit(0.5))).alias("_med"))
-    fine = cells.join(per.select(*keys, "start", "_med"), [*keys, "start"]).where(F.col(place).between(F.col("_lo") + F.greatest(F.lit(0), F.col("_med") - 1), F.col("_lo") + F.col("_med") + 1))
-    fine = fine.groupBy(*keys, "start", row).agg(F.max(sim).alias("_r")).groupBy(*keys, "start").agg(F.avg("_r").alias("refined"))
-    out = s.select(*keys, "start").join(per.drop("_med"), [*keys, "start"], "left").join(fine, [*keys, "start"], "left")
-    return out.fillna(-1.0, ["coarse", "support", "refined"])
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    cells = sims.where(known & F.col(row).isNotNull() & F.col(sim).isNotNull() & F.col(place).between(0, columns - 1))
+    cells = cells.select(*keys, F.xxhash64(row).alias("_row"), F.col(place).cast("int").alias("_place"), F.col(sim).cast("double").alias("_sim"), F.lit(None).cast(starts.schema["start"].dataType).alias("start"), F.lit(False).alias("_asked"))
+    asked = starts.select(*keys, F.lit(None).cast("long").alias("_row"), F.lit(None).cast("int").alias("_place"), F.lit(None).cast("double").alias("_sim"), "start", F.lit(True).alias("_asked"))
+    names = [*keys, "start"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in starts.select(*names).schema) + ", coarse double, support double, refined double"
+
+    def run(batches):
+        for table in whole_keys(batches, keys):
+            key = np.cumsum(changes(table, keys)) - 1
+            ask = table["_asked"].to_numpy().astype(bool)
+            wanted = table.filter(pa.array(ask)).select(names).append_column("_k", pa.array(key[ask])).sort_by([("_k", "ascending"), ("start", "ascending")])
+            wanted = wanted.filter(pa.array(changes(wanted, ["_k", "start"])))
+            of, start = wanted["_k"].to_numpy(), pc.fill_null(wanted["start"].cast("int64"), columns).to_numpy()  # a null start scores nothing
+            wanted = wanted.select(names)
+            held = table.filter(pa.array(~ask))
+            got = _window_scores(key[~ask], held["_row"].to_numpy(), held["_place"].to_numpy(), held["_sim"].to_numpy(), of, start, span, columns, least)
+            for name, values in zip(("coarse", "support", "refined"), got, strict=True):
+                wanted = wanted.append_column(name, pa.array(values))
+            yield from wanted.combine_chunks().to_batches()
+
+    return cells.unionByName(asked).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+def _window_scores(key, row, place, sim, of, start, span: int, columns: int, least: float) -> np.ndarray:
+    """coarse, support and refined of each start (``of`` its key) over cells (key, row, place, sim); -1 where nothing counts."""
+    out = np.full((3, len(start)), -1.0)
+    if not len(key):
+        return out
+    # one line of the grid for each row of a key, a key's lines together
+    order = np.lexsort((row, key))
+    key, row, place, sim = key[order], row[order], place[order], sim[order]
+    line = np.cumsum(np.r_[True, (key[1:] != key[:-1]) | (row[1:] != row[:-1])]) - 1
+    line_key = key[np.flatnonzero(np.r_[True, line[1:] != line[:-1]])]
+    grid = np.full((len(line_key), columns + span + 1), -np.inf)
+    np.maximum.at(grid, (line, place), sim)
+    lo, hi = np.maximum(start, 0), np.minimum(columns, start + span + 1)
+    ask = np.flatnonzero(hi - lo >= max(2, span // 3))
+    a, b = np.searchsorted(line_key, of[ask]), np.searchsorted(line_key, of[ask], side="right")
+    offset = np.arange(span + 1)
+    for part in bounded((b - a) * (span + 1), CELLS):
+        some, n = ask[part], (b - a)[part]
+        which = np.repeat(np.arange(len(some)), n)
+        at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a[part], n)
+        left = lo[some][which]
+        window = grid[at[:, None], left[:, None] + offset]
+        window[offset >= (hi[some][which] - left)[:, None]] = -np.inf
+        best = window.max(axis=1)
+        full = np.isfinite(best)
+        which, window, best = which[full], window[full], best[full]
+        rows = np.bincount(which, minlength=len(some))
+        met = rows > 0
+        out[0, some[met]] = np.bincount(which, best, len(some))[met] / rows[met]
+        out[1, some[met]] = np.bincount(which, best >= least, len(some))[met] / rows[met]
+        arg = window.argmax(axis=1)
+        by = np.lexsort((arg, which))
+        begin = np.cumsum(rows) - rows
+        low, high = begin[met] + (rows[met] - 1) // 2, begin[met] + rows[met] // 2
+        median = np.zeros(len(some), np.int64)
+        median[met] = (arg[by][low] + arg[by][high]) // 2
+        near = np.abs(offset - np.maximum(median, 0)[which][:, None]) <= 1
+        near &= offset >= np.maximum(0, median - 1)[which][:, None]
+        fine = np.where(near, window, -np.inf).max(axis=1)
+        has = np.isfinite(fine)
+        count = np.bincount(which[has], minlength=len(some))
+        met = count > 0
+        out[2, some[met]] = np.bincount(which[has], fine[has], len(some))[met] / count[met]
+    return out
 
 
 def prior_start(start: Column, end: Column, seed: Column, ok: Column) -> Column:

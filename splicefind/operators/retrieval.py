@@ -237,7 +237,7 @@ ITEM_GRAMS = 4_000_000
 POSTINGS = 1_000_000
 
 
-def _bounded(weight: np.ndarray, most: int):
+def bounded(weight: np.ndarray, most: int):
     """Slices of consecutive rows that weigh at most ``most`` together, or hold one row."""
     total, lo = np.cumsum(weight), 0
     while lo < len(total):
@@ -286,7 +286,7 @@ def best_containment(docs: DataFrame, items: DataFrame, doc: str, item: str, gra
             n = len(size)
             for whole in batches:
                 # documents are cut where their grams, and then the item places these lead to, reach the bound
-                for cut in _bounded(np.diff(whole["g"].offsets.to_numpy()), POSTINGS) if len(vocabulary) else ():
+                for cut in bounded(np.diff(whole["g"].offsets.to_numpy()), POSTINGS) if len(vocabulary) else ():
                     batch = whole.slice(cut.start, cut.stop - cut.start)
                     own = np.diff(batch["g"].offsets.to_numpy())
                     flat = batch["g"].flatten().to_numpy()
@@ -294,7 +294,7 @@ def best_containment(docs: DataFrame, items: DataFrame, doc: str, item: str, gra
                     hit = vocabulary[i] == flat
                     row, i = np.repeat(np.arange(len(own)), own)[hit], i[hit]
                     many = first[i + 1] - first[i]
-                    for part in _bounded(np.maximum(np.bincount(row, many, len(own)), n), POSTINGS):
+                    for part in bounded(np.maximum(np.bincount(row, many, len(own)), n), POSTINGS):
                         yield count(batch.slice(part.start, part.stop - part.start), own[part], row, i, many, part, sent)
 
         got = rows.mapInArrow(task, schema)
