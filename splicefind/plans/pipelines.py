@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from splicefind.operators import export, folds, grading, intervals, localize
+from splicefind.operators.components import reliable
 from splicefind.operators.retrieval import top_k
 
 
@@ -57,7 +58,8 @@ def channel_plan(results: DataFrame, scenes: DataFrame, keys: list[str], width:
     pieces = subs.unionByName(intervals.split_at(mains, marks, keys, "_row", width) if split else mains.withColumn("piece", F.lit(-1)), allowMissingColumns=True)
     whole = pieces.where("piece < 0")
     whole = intervals.expand(whole, scenes, keys, "_row", width, rel_cap=1.5).drop("start", "end").withColumnsRenamed(renamed) if expand else whole.withColumn("expanded", F.lit(False))
-    wide = whole.unionByName(pieces.where("piece >= 0").withColumn("expanded", F.lit(False)))
+    # read by both audits and the trimming, so kept
+    wide = reliable(whole.unionByName(pieces.where("piece >= 0").withColumn("expanded", F.lit(False))))
     mains = wide.where("kind <> 'sub'")
     before = intervals.overlap_audit(mains, keys, "q_start", width)
     trimmed = folds.fold(mains, keys, ["q_start", "q_end", "seg_index", "piece"], lambda r: folds.trim_overlaps(r, fps), "inserted boolean")
