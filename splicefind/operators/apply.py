@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from splicefind.operators.asof import asof_forward, nearest, overlap_join, range_join
 from splicefind.operators.folds import changes, whole_keys
 from splicefind.operators.intervals import neighbours, temporal_outliers
-from splicefind.operators.retrieval import CELLS, bounded, topk_per_key
+from splicefind.operators.retrieval import bounded, topk_per_key
+
+CELLS = 4_000_000  # cells scored at once
 
 
 def temporal_ambiguity(rows: DataFrame, keys: list[str], order: str, row: str, near: float = 180.0, far: float = 600.0) -> DataFrame:

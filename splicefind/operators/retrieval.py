@@ -2,13 +2,15 @@
 
 Queries and library are dealt in blocks of at most about ``BLOCK_ROWS`` rows, and every pair of blocks is one task of a cogroup: a query
 row is sent to as many tasks as the library has blocks, and the other way round; nothing passes the driver.  A task multiplies slices of its
-blocks (``CELLS`` products at once) and sends on what its consumer needs: k rows a query, or one value a shot.  So the second shuffle holds
+blocks (``PRODUCTS`` products at once; a slice becomes doubles when its turn comes) and sends on what its consumer needs: k rows a query, or one value a shot.  So the second shuffle holds
 blocks x queries x k rows however large the library is.  Similarities are rounded to ``DIGITS`` before they
 are ranked, which makes ties (broken by time) the same on any partitioning.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -19,8 +21,9 @@ from splicefind.operators.asof import range_join
 from splicefind.operators.suppress import numbered_rows
 
 BLOCK_ROWS = 20_000
-CELLS = 4_000_000
+PRODUCTS = 1_000_000
 DIGITS = 9
+NORMED = 1000  # rows brought to unit length at once
 
 
 def topk_per_key(df: DataFrame, keys: list[str], order: list, k: int, rank: str = "rank") -> DataFrame:
@@ -30,13 +33,18 @@ def topk_per_key(df: DataFrame, keys: list[str], order: list, k: int, rank: str
 
 def _matrix(column) -> np.ndarray:
     """Rows of a list column at unit length, in double."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    n = len(column)
-    if not n:
+    if not len(column):
         return np.zeros((0, 1))
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
-    return flat / np.maximum(np.linalg.norm(flat, axis=1, keepdims=True), 1e-8)
+    chunks = [c for c in (column.chunks if isinstance(column, pa.ChunkedArray) else [column]) if len(c)]
+    out, a = np.empty((len(column), len(chunks[0].flatten()) // len(chunks[0]))), 0
+    for chunk in chunks:  # no copy of the whole beside the result
+        for i in range(0, len(chunk), NORMED):
+            few = chunk.slice(i, NORMED)
+            rows = out[a : a + len(few)]
+            rows[:] = few.flatten().to_numpy(zero_copy_only=False).reshape(len(few), out.shape[1])
+            rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-8)
+            a += len(few)
+    return out
 
 
 def _times(column) -> np.ndarray:
@@ -60,7 +68,7 @@ def crossed(queries: DataFrame, library: DataFrame, block: Column, lib_block: Co
 
 
 def _slices(rows: int, width: int):
-    step = max(1, CELLS // max(width, 1))
+    step = max(1, PRODUCTS // max(width, 1))
     return (slice(a, a + step) for a in range(0, rows, step))
 
 
@@ -204,7 +212,7 @@ def nearest_apart(rows: DataFrame, keys: list[str], place: str, apart: int, feat
     """Per row the largest cosine to a row of its series more than ``apart`` places away: (keys, place, nearest).
 
     A series' rows are dealt in blocks by their place (0 or 1 on, without large gaps); each pair of blocks of one series is one task, which
-    answers for both. Series never meet.
+    answers for both. Series never meet. A task multiplies tiles of about ``PRODUCTS`` products, whose rows alone are doubles.
     """
     names = [*keys, place]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*names).schema) + ", sim double"
@@ -215,18 +223,31 @@ def nearest_apart(rows: DataFrame, keys: list[str], place: str, apart: int, feat
 
     def task(key, table):
         i, j = key[1].as_py(), key[2].as_py()
-        both = [table.filter(pa.array(_times(table["_block"]) == b)) for b in ((i,) if i == j else (i, j))]
+        block = _times(table["_block"])
+        both = [table.filter(pa.array(block == b)) for b in ((i,) if i == j else (i, j))]
         left, right = both[0], both[-1]
-        ls, rs, lp, rp = _matrix(left["f"]), _matrix(right["f"]), _times(left[place]), _times(right[place])
+        lp, rp = _times(left[place]), _times(right[place])
         up, down = np.full(len(lp), -np.inf), np.full(len(rp), -np.inf)
-        for part in _slices(len(ls), len(rs)) if len(rs) else ():
-            far = np.where(np.abs(lp[part][:, None] - rp) > apart, np.round(ls[part] @ rs.T, DIGITS), -np.inf)
-            up[part] = far.max(axis=1)
-            down = np.maximum(down, far.max(axis=0))
+        step = max(1, math.isqrt(PRODUCTS))
+        for b in range(0, len(rp), step) if len(lp) else ():
+            cols = slice(b, b + step)
+            rs, order = _matrix(right["f"].slice(b, step)), np.argsort(rp[cols], kind="stable")
+            line = rp[cols][order]
+            for a in range(0, len(lp), step):
+                rows = slice(a, a + step)
+                sims = _matrix(left["f"].slice(a, step)) @ rs.T
+                # each row's near columns are one stretch of the places in order
+                first = np.searchsorted(line, lp[rows] - apart)
+                many = np.searchsorted(line, lp[rows] + apart, side="right") - first
+                at = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first, many)
+                sims[np.repeat(np.arange(len(many)), many), order[at]] = -np.inf
+                np.maximum(up[rows], sims.max(axis=1), out=up[rows])
+                np.maximum(down[cols], sims.max(axis=0), out=down[cols])
         out = []
         for side, best in ((left, up), (right, down))[: len(both)]:
             ok = np.isfinite(best)
-            out.append(side.select(names).filter(pa.array(ok)).append_column("sim", pa.array(best[ok])))
+            # rounding keeps the order, so the largest is rounded once
+            out.append(side.select(names).filter(pa.array(ok)).append_column("sim", pa.array(np.round(best[ok], DIGITS))))
         return pa.concat_tables(out)
 
     found = dealt.groupBy("_series", "_low", "_high").applyInArrow(task, schema)
