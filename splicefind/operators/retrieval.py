@@ -99,9 +99,10 @@ def top_k(queries: DataFrame, library: DataFrame, k: int, feature: str = "featur
         parts = []
         if len(q) and len(lib):
             lib = lib.sort_by("l_t")
-            shots, times, qs, lt, ls = _times(q["shot_no"]), _times(q["q_t"]), _matrix(q["f"]), _times(lib["l_t"]), _matrix(lib["f"])
-            for part in _slices(len(qs), len(ls)):
-                row, col, sim = _leaders(np.round(qs[part] @ ls.T, DIGITS), k)
+            shots, times, lt, ls = _times(q["shot_no"]), _times(q["q_t"]), _times(lib["l_t"]), _matrix(lib["f"])
+            for part in _slices(len(q), len(ls)):
+                sims = _matrix(q["f"].slice(part.start, part.stop - part.start)) @ ls.T
+                row, col, sim = _leaders(np.round(sims, DIGITS, out=sims), k)
                 ok = np.ones(len(sim), bool) if floor is None else sim >= floor
                 parts.append((shots[part][row[ok]], times[part][row[ok]], lt[col[ok]], sim[ok]))
         kinds = (np.int64, np.float64, np.float64, np.float64)
