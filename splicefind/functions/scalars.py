@@ -36,6 +36,15 @@ def micros(t: Column | str) -> Column:
     return F.bround(col(t) * 1e6).cast("long")
 
 
+def sql_round(x: Column | str, digits: int) -> Column:
+    """Rounded as SQL rounds doubles: times 10^digits, to the nearest whole number, halves away from 0.
+
+    F.round goes by the printed decimals, so it has 0.251654 of 0.2516535 where SQL has 0.251653.
+    """
+    scale = F.lit(10.0**digits)
+    return F.round(col(x) * scale) / scale
+
+
 def parse_rate(s: Column | str) -> Column:
     """'24000/1001' or '25' as double; null when it is no number or the divisor is 0."""
     p = F.split(col(s), "/")

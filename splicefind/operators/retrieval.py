@@ -194,16 +194,19 @@ def best_windows(queries: DataFrame, library: DataFrame, rows: int, width: float
 def window_sims(windows: DataFrame, queries: DataFrame, library: DataFrame, lo: str, hi: str, width: float, feature: str = "feature", t: str = "t", group: str = "shot_no") -> DataFrame:
     """(shot_no, t, sim): the largest similarity to the shot of each library row inside one of its windows (shot_no, lo, hi; closed).
 
-    Only rows that lie in a window are fetched and multiplied.
+    Only rows that lie in a window are fetched and multiplied. Of library rows of one time the most similar counts.
     """
     lib = library.where(F.col(feature).isNotNull()).select(F.col(t).cast("double").alias("t"), F.col(feature).alias("f"))
-    rows = range_join(lib, windows.select(F.col("shot_no").cast("long").alias("shot_no"), lo, hi), [], "t", lo, hi, width).select("shot_no", "t", "f").dropDuplicates(["shot_no", "t"])
+    rows = range_join(lib, windows.select(F.col("shot_no").cast("long").alias("shot_no"), lo, hi), [], "t", lo, hi, width).select("shot_no", "t", "f").distinct()
 
     def task(rows, q):
         if not len(q) or not len(rows):
             return pa.table([pa.array([], pa.int64()), pa.array([], pa.float64()), pa.array([], pa.float64())], ["shot_no", "t", "sim"])
         _, sims = _shot_maxima(q, rows, "_shot")
-        return pa.table([rows["shot_no"], rows["t"], pa.array(sims[0])], ["shot_no", "t", "sim"])
+        at, place = np.unique(_times(rows["t"]), return_inverse=True)
+        best = np.full(len(at), -np.inf)
+        np.maximum.at(best, place, sims[0])
+        return pa.table([rows["shot_no"].slice(0, len(at)), pa.array(at), pa.array(best)], ["shot_no", "t", "sim"])
 
     q = _by_shot(queries, feature, group).withColumnRenamed("shot_no", "_shot")
     return rows.groupBy("shot_no").cogroup(q.groupBy("_shot")).applyInArrow(task, "shot_no long, t double, sim double")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from splicefind.functions import scalars
 from splicefind.functions import vectors as V
 from splicefind.operators import grading, repair, retrieval
 from splicefind.operators import timeseries as ts
@@ -22,10 +23,10 @@ def span_means(spark, d):
 
 
 def aligned_scores(spark, d):
-    want = fx.shots(spark, d).select("shot_no", F.col("t").alias("q"), (F.pmod(F.col("t") * 7, F.lit(450.0)) + 0.5).alias("at"))
+    want = fx.shots(spark, d).select("shot_no", F.col("t").alias("q"), (F.col("t") * 7 % 450.0 + 0.5).alias("at")).distinct()
     near = want.select("shot_no", (F.col("at") - 1.5).alias("lo"), (F.col("at") + 1.5).alias("hi"))
     sims = retrieval.window_sims(near, fx.shots(spark, d), fx.library(spark, d), "lo", "hi", 6.0)
-    return repair.aligned_max(want, sims, ["shot_no"], "q", "at", 1.5).select("q", F.round("best", 6).alias("best"))
+    return repair.aligned_max(want, sims, ["shot_no"], "q", "at", 1.5).select("q", scalars.sql_round("best", 6).alias("best"))
 
 
 def start_shifts(spark, d):
